@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_filter
+from . import url_filter, warc
 from .common import small_batches, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -17,6 +17,20 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES), "page_id", "url")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    ends = warc.read_chunks(spark, path, keep_data=False).where("last")
+    number = lambda c: F.regexp_extract(c, r"^<urn:record:(-?\d+)>$", 1).try_cast("long")
+    revisit = F.col("record_type") == "revisit"
+    return ends.select(
+        number("record_id").alias("page_id"),
+        F.when(revisit, F.col("declared_bytes")).otherwise(F.col("end_offset")).alias("payload_bytes"),
+        F.when(revisit, F.col("declared_digest")).otherwise(F.col("sha1_so_far")).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
 OP3_SQL = r"""
 WITH r(rule, verdict) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
 rules AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp FROM r),
@@ -30,9 +44,18 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 """
 
 
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS r FROM p WHERE b >= 1000 GROUP BY d)
+SELECT page_id, b AS payload_bytes, d AS payload_digest, CASE WHEN r <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN r <> page_id THEN r END AS refers_to
+FROM p LEFT JOIN m USING (d)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op3_url_filter": OP3_SQL, "op10_warc": OP10_SQL}
