@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_filter, warc
-from .common import small_batches, table
+from . import media, url_filter, warc
+from .common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.with_media(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES), "page_id", "url")
 
