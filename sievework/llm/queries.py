@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, url_filter, warc
-from .common import table
+from . import langid, media, toxicity, url_filter, warc
+from .common import crc_of_id, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -21,6 +21,20 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES), "page_id", "url")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", usable=crc_of_id("doc_id") % 5 != 0)
+    scored = toxicity.score(docs, model, "doc_id", "text")
+    return scored.select("doc_id", (crc_of_id("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, "text", "lang", "doc_id", usable=crc_of_id("doc_id") % 4 != 2)
+    found = langid.identify(docs, model, "doc_id", "text")
+    return found.select("doc_id", (crc_of_id("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive(table(spark, sf_dir, "pages"), "page_id", "url", "html")
     ends = warc.read_chunks(spark, path, keep_data=False).where("last")
