@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, toxicity, url_filter, warc
+from . import decontaminate, langid, media, packing, toxicity, url_filter, warc
 from .common import crc_of_id, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", usable=crc_of_id("doc_id") % 5 != 0)
@@ -66,6 +70,18 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 """
 
 
+OP7_SQL = r"""
+WITH it AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}]+') AS w FROM benchmark),
+i AS (SELECT item_id, w, least(len(w), 5) AS k FROM it WHERE len(w) > 0),
+s AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM i)),
+n AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id),
+dt AS (SELECT doc_id, md5(text) AS m, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}]+') AS w FROM documents WHERE text <> ''),
+d AS (SELECT DISTINCT doc_id, m, array_to_string(w[p:p + k - 1], ' ') AS s
+      FROM (SELECT doc_id, m, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dt, (SELECT DISTINCT k FROM i))),
+c AS (SELECT doc_id, m, item_id, count(*) AS shared FROM d JOIN s USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, max(shared) AS shared, any_value(n) AS item_shingles, max(shared) / any_value(n) AS containment
+FROM c JOIN n USING (item_id) WHERE shared >= ceil(round(n * 0.8, 9)) GROUP BY doc_id, item_id
+"""
 OP10_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS d FROM pages),
 m AS (SELECT d, max(page_id) AS r FROM p WHERE b >= 1000 GROUP BY d)
@@ -80,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op10_warc": OP10_SQL}
+    return {"op3_url_filter": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_warc": OP10_SQL}
