@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, ngram_join, packing, ppm, toxicity, url_filter, warc
+from . import decontaminate, html_extract, langid, media, ngram_join, packing, ppm, toxicity, url_filter, warc
 from .common import crc_of_id, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_text(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.with_media(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
