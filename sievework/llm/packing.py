@@ -7,8 +7,9 @@ all places are taken, the fullest open bin closes first. Pieces reach the packer
 longest first within a run. Bins still open at the end of a task travel on as single items: they are merged by the
 same packer in groups of tasks, so what is lost to half-full bins does not grow with the number of tasks.
 
-Tokenising caches ids by white-space-free chunk (texts are cut at blanks and line feeds, where this tokenizer
-neither merges nor normalises across) in a dictionary of at most ``CACHE`` chunks, emptied when full.
+Tokenising caches ids by white-space-free chunk (texts are cut at blanks and line feeds, across which this tokenizer
+neither merges nor normalises) in a dictionary of at most ``CACHE`` chunks, emptied when full. A chunk of letters
+with a capital or with a stop or comma behind it is put together from the ids of its parts.
 
 Defined results: a null text is empty and holds only the end id, so every row gives at least one piece; repeated rows
 are packed separately; an empty table gives no rows. Sequence ids are arbitrary and distinct.
@@ -17,6 +18,7 @@ are packed separately; an empty table gives no rows. Sequence ids are arbitrary
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 LOOKAHEAD = 1 << 15
-CACHE = 600_000
+CACHE = 1_000_000
 GROUP = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -84,7 +86,14 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
 
     def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        """Letters with a stop or comma behind them are two words to the tokenizer, and it lowers A-Z itself."""
+        if len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalpha():
+            ids = self[chunk[:-1]] + self[chunk[-1]]
+        elif "A" <= chunk[:1] <= "Z" and chunk.isalpha():
+            ids = self[chunk[0].lower() + chunk[1:]]
+        else:
+            ids = array("I", self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids).tobytes()
+        self[chunk] = ids
         return ids
 
     def text_ids(self, text: str | None) -> bytes:
