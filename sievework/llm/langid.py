@@ -182,11 +182,11 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Co
     return Model(list(set(langs.tolist()))).fit(x[order], langs[order])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
-    """``id_col`` and the columns in ``keep``, then lang_pred string and score double, for every row."""
+def identify(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``id_col`` and the columns in ``keep``, then (with ``prefix``) lang_pred string and score double, for every row."""
     small_batches(docs.sparkSession)
     keep = keep or []
-    rows = docs.select(F.col(id_col).alias("c0"), *[F.col(k).alias(f"c{i}") for i, k in enumerate(keep, 1)], F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("c0"), *[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep, 1)], F.col(text_col).alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,4 +198,4 @@ def identify(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: li
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
-    return out.select(F.col("c0").alias(id_col), *[F.col(f"c{i}").alias(k) for i, k in enumerate(keep, 1)], "lang_pred", "score")
+    return out.select(F.col("c0").alias(id_col), *[F.col(f"c{i}").alias(k) for i, k in enumerate(keep, 1)], F.col("lang_pred").alias(f"{prefix}lang_pred"), F.col("score").alias(f"{prefix}score"))

@@ -199,11 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return fit(got["text"].tolist(), got["y"].tolist())
 
 
-def score(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
-    """``id_col`` and the columns in ``keep``, then score double and predicted int, for every row."""
+def score(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``id_col`` and the columns in ``keep``, then (with ``prefix``) score double and predicted int, for every row."""
     small_batches(docs.sparkSession)
     keep = keep or []
-    rows = docs.select(F.col(id_col).alias("c0"), *[F.col(k).alias(f"c{i}") for i, k in enumerate(keep, 1)], F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("c0"), *[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep, 1)], F.col(text_col).alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,4 +215,4 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], [*b.schema.names[:-1], "score", "predicted"])
 
     out = rows.mapInArrow(run, f"{kinds}, score double, predicted int")
-    return out.select(F.col("c0").alias(id_col), *[F.col(f"c{i}").alias(k) for i, k in enumerate(keep, 1)], "score", "predicted")
+    return out.select(F.col("c0").alias(id_col), *[F.col(f"c{i}").alias(k) for i, k in enumerate(keep, 1)], F.col("score").alias(f"{prefix}score"), F.col("predicted").alias(f"{prefix}predicted"))
