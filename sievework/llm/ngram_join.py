@@ -6,11 +6,12 @@ case; a text with fewer words is one shingle). Two sets link when ``den * |A & B
 1. Texts with equal sets form a class, found by the set's hash; copies are never paired.
 2. Shingles are put in one global order, rare ones first: those that recur within tasks are counted (a bounded list of
    the most frequent is broadcast), all others rank before them, by hash. Any order is exact.
-3. Linked sets A, B share at least T = ceil(num / den * |A|) shingles, so they share one of the first |A| - T + 1 of
-   their order: the short lists of DivideSkip. Postings of these are grouped by shingle, with rows for the same
-   shingle joined within each task first (a run of compatible sizes becomes one row), so a shingle that a third
-   of all texts share costs each task one row. Lists give chains of possible partners, not pairs; their
-   connected components are the clusters that are searched exactly.
+3. Linked sets A, B share at least T = ceil(num / den * |A|) shingles, so of the first |A| - T + k of their order, the short
+   lists of DivideSkip, they share at least k, here k = 1 + (|A| - T) // 2 (the smaller of both sets'). Postings of these
+   are grouped by shingle. Lists of up to ``SHORT`` sets count for each two of them what they share, and pairs below k
+   go; longer lists give chains of possible partners, not pairs, and within a task a long list becomes
+   one row per run of compatible sizes, so a shingle that a third of all texts share costs each task one row.
+   The connected components of what remains are the clusters that are searched exactly.
 4. Within a cluster, each set is a query against the inverted lists of the others: the short lists are merged
    (a heap for few postings, a merge sort for many), the occurrences counted, and the partners' remaining overlap is
    found by binary probes for the long lists, stopping at the required overlap. Pairs that are connected already
@@ -42,6 +43,8 @@ from .components import components
 
 HEAVY = 500_000
 BLOCK = 1024
+SHORT = 16
+ALWAYS = 1 << 40
 FLUSH_WORDS = 4_000_000
 WORD_CACHE = 500_000
 
@@ -88,9 +91,14 @@ def set_hash(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
+def required(n, num: int, den: int):
+    """k: of their short lists, linked sets share at least the smaller of both sets' k."""
+    return 1 + (n - -(-num * n // den)) // 2
+
+
 def short_list(s: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The |A| - T + 1 rarest shingles. ``heavy`` lists (hash, rank) rows by hash, rank from 1 for the rarest of them."""
-    keep = len(s) + (-num * len(s)) // den + 1
+    """The |A| - T + k rarest shingles. ``heavy`` lists (hash, rank) rows by hash, rank from 1 for the rarest of them."""
+    keep = len(s) - -(-num * len(s) // den) + required(len(s), num, den)
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy[:, 0], s), len(heavy) - 1)
         rank = np.where(heavy[at, 0] == s, heavy[at, 1], 0)
@@ -119,6 +127,37 @@ def chain(tokens: np.ndarray, cls: np.ndarray, low: np.ndarray, high: np.ndarray
     return edges[:, 0], edges[:, 1], (t[start], least, lo[start], np.maximum.reduceat(hi, start))
 
 
+def short_pairs(tokens: np.ndarray, cls: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """For rows sorted by token, with few classes each: (a, b, size of a, size of b, shared tokens) of possible partners."""
+    out = []
+    for d in range(1, SHORT):
+        i = np.flatnonzero(tokens[d:] == tokens[:-d])
+        if not len(i):
+            break
+        x, y = i, i + d
+        ok = (cls[x] != cls[y]) & (den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y]))
+        x, y = x[ok], y[ok]
+        swap = cls[x] > cls[y]
+        out.append(np.stack([np.where(swap, y, x), np.where(swap, x, y)], 1))
+    if not out:
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    at = np.concatenate(out)
+    pairs = np.stack([cls[at[:, 0]], cls[at[:, 1]], size[at[:, 0]], size[at[:, 1]]], 1)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    start = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)])) if len(pairs) else np.empty(0, np.int64)
+    return *pairs[start].T, np.diff(np.append(start, len(pairs)))
+
+
+def by_list_length(tokens: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by token: masks of short lists with two rows or more, and of long ones (or with joined rows)."""
+    start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
+    many = np.diff(np.append(start, len(tokens)))
+    wide = np.add.reduceat((low != high).astype(np.int64), start) > 0 if len(start) else np.empty(0, bool)
+    long = (many > SHORT) | (wide & (many > 1))
+    return np.repeat((many > 1) & ~long, many), np.repeat(long, many)
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -233,7 +272,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
     shared = spark.sparkContext.broadcast(heavy[np.argsort(heavy[:, 0], kind="stable")])
 
     def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sievework.llm.ngram_join import _pack, chain, set_hash, shingle_set, short_list
+        from sievework.llm.ngram_join import _pack, by_list_length, chain, set_hash, shingle_set, short_list
 
         rank, seen, held, n_held = shared.value, set(), [], 0
         names = ["bucket", "tokens", "cls", "low", "high", "a", "b"]
@@ -242,12 +281,21 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
             tokens = np.concatenate([x for x, _, _ in held])
             many = [len(x) for x, _, _ in held]
             cls, size = np.repeat(np.array([c for _, c, _ in held], np.int64), many), np.repeat(np.array([n for _, _, n in held], np.int64), many)
-            a, b, (tokens, cls, low, high) = chain(tokens, cls, size, size, num, den)
+            order = np.argsort(tokens, kind="stable")
+            tokens, cls, size = tokens[order], cls[order], size[order]
+            _, long = by_list_length(tokens, size, size)
+            a, b, joined = chain(tokens[long], cls[long], size[long], size[long], num, den) if long.any() else (np.empty(0, np.int64), np.empty(0, np.int64), None)
+            low = high = size
+            if joined:
+                tokens, cls, low, high = (np.concatenate([x[~long], y]) for x, y in zip((tokens, cls, size, size), joined))
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+            token = (tokens >> np.uint64(32)).astype(np.uint32)  # in a bucket 32 bits will do: a clash only adds a candidate
+            low, high = low.astype(np.int32), high.astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            out = [(int(bucket[p[0]]), *_pack(tokens[p], cls[p], low[p], high[p]), b"", b"") for p in np.split(order, cuts)]
-            out.append((-1, b"", b"", b"", b"", *_pack(a, b)))
+            out = [(int(bucket[p[0]]), *_pack(token[p], cls[p], low[p], high[p]), b"", b"") for p in np.split(order, cuts)]
+            if len(a):
+                out.append((int(a[0]) % buckets, b"", b"", b"", b"", *_pack(a, b)))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *[pa.array([r[k] for r in out], pa.binary()) for k in range(1, 7)]], names)
 
         for batch in batches:
@@ -269,21 +317,30 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
         if held:
             yield flush()
 
-    posted = materialize(rows.where("text IS NOT NULL AND id IS NOT NULL").select("text").mapInArrow(posting_rows, "bucket long, tokens binary, cls binary, low binary, high binary, a binary, b binary"), "postings")
+    posted = rows.where("text IS NOT NULL AND id IS NOT NULL").select("text").mapInArrow(posting_rows, "bucket long, tokens binary, cls binary, low binary, high binary, a binary, b binary")
 
     def join_lists(key: tuple, t: pa.Table) -> pa.Table:
-        from sievework.llm.ngram_join import chain
-
-        tokens, cls, low, high = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("tokens", np.uint64), ("cls", np.int64), ("low", np.int64), ("high", np.int64)))
-        a, b, _ = chain(tokens, cls, low, high, num, den)
-        return pa.table({"a": a, "b": b})
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(c.to_pylist()), np.int64)) for c in x.columns], ["a", "b"])
-
-    near = posted.where("bucket >= 0").groupBy("bucket").applyInArrow(join_lists, "a long, b long")
-    near = near.unionAll(posted.where("bucket < 0").select("a", "b").mapInArrow(unpack, "a long, b long"))
+        from sievework.llm.ngram_join import ALWAYS, by_list_length, chain, short_pairs
+
+        kinds = (("tokens", np.uint32), ("cls", np.int64), ("low", np.int32), ("high", np.int32), ("a", np.int64), ("b", np.int64))
+        tokens, cls, low, high, a0, b0 = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in kinds)
+        order = np.lexsort((high, low, cls, tokens))
+        tokens, cls, low, high = tokens[order], cls[order], low[order].astype(np.int64), high[order].astype(np.int64)
+        if len(tokens):  # a copy of a class in another task is the same row
+            new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            tokens, cls, low, high = tokens[new], cls[new], low[new], high[new]
+        short, long = by_list_length(tokens, low, high)
+        a, b, na, nb, shared = short_pairs(tokens[short], cls[short], low[short], num, den)
+        c, d, _ = chain(tokens[long], cls[long], low[long], high[long], num, den) if long.any() else (np.empty(0, np.int64), np.empty(0, np.int64), None)
+        sure = len(c) + len(a0)
+        none = np.zeros(sure, np.int64)
+        x, y = np.concatenate([c, a0]), np.concatenate([d, b0])
+        return pa.table({"a": np.concatenate([a, np.minimum(x, y)]), "b": np.concatenate([b, np.maximum(x, y)]), "na": np.concatenate([na, none]), "nb": np.concatenate([nb, none]), "shared": np.concatenate([shared, none + ALWAYS])})
+
+    met = posted.groupBy("bucket").applyInArrow(join_lists, "a long, b long, na long, nb long, shared long")
+    met = met.groupBy("a", "b").agg(F.sum(F.col("shared").cast("double")).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    slack = lambda n: F.lit(1) + F.floor((F.col(n) - F.ceil(F.col(n) * num / F.lit(den))) / 2)
+    near = met.where(F.col("shared") >= F.least(slack("na"), slack("nb"))).select("a", "b")
     clusters = components(near).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
     members = materialize(clusters.join(classes, "cls"), "members")
     counts = members.groupBy("cluster").agg(F.count("*").alias("m"))
@@ -306,11 +363,11 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column(3).to_pylist()]
             fit = pa.array([bool(len(s)) and set_hash(s) == c for s, c in zip(sets, b.column(1).to_pylist())])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "cls", "cluster", "shingles"]).filter(fit)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(4), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "cluster", "tasks", "shingles"]).filter(fit)
 
-    texts = wanted.select("rep", "cls", "cluster").join(rows, F.col("rep") == F.col("id")).select("rep", "cls", "cluster", "text")
-    sets = texts.mapInArrow(fetch, "rep long, cls long, cluster long, shingles binary")
-    spread = sets.join(wanted.select("rep", F.explode("tasks").alias("task")), "rep")
+    texts = wanted.join(rows, F.col("rep") == F.col("id")).select("rep", "cls", "cluster", "text", "tasks")
+    sets = texts.mapInArrow(fetch, "rep long, cluster long, tasks array<struct<x: long, y: long, own: long>>, shingles binary")
+    spread = sets.select("rep", "cluster", F.explode("tasks").alias("task"), "shingles")
     spread = spread.select("rep", "cluster", F.col("task.x").alias("x"), F.col("task.y").alias("y"), F.col("task.own").alias("own"), "shingles")
 
     def search_task(key: tuple, t: pa.Table) -> pa.Table:
