@@ -7,7 +7,7 @@ That makes prediction a table lookup per word (``WordTable``) over the whole tex
 
 Training uses a sample of the rows that have a language: about ``rows_per_language`` of each (at most twice that, by a
 hash threshold from exact counts). Executors turn sampled rows into vectors of ``DIM`` floats, so the driver
-receives at most 2 * rows_per_language * languages * 16 KB, whatever the texts' length.
+receives at most 2 * rows_per_language * languages * 8 KB, whatever the texts' length.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is every text if no row has a
 language. Repeated rows get equal values. Ties go to the first language in alphabetical order.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .wordtable import Grams, WordTable
 
-DIM = 4096
+DIM = 2048
 WORD = re.compile(r"[^\W\d_]+")
 # Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -85,16 +85,17 @@ def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-
     """Linear machine with squared hinge loss, y in {-1, 1}, by accelerated gradient steps; classes weigh the same."""
     n = len(y)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    a = np.concatenate([x, np.ones((n, 1), np.float32)], 1)
-    v = np.ones(a.shape[1], np.float32)
+    out = lambda v: x @ v[:-1] + v[-1]
+    back = lambda g: np.append(x.T @ g, g.sum())
+    v = np.ones(x.shape[1] + 1, np.float32)
     for _ in range(20):
-        v = a.T @ (weight * (a @ v))
+        v = back(weight * out(v))
         v /= np.linalg.norm(v) + 1e-12
-    rate = 1 / (2.2 * float(np.linalg.norm(a.T @ (weight * (a @ v)))) + penalty)
-    w, z, t = np.zeros(a.shape[1], np.float32), np.zeros(a.shape[1], np.float32), 1.0
+    rate = 1 / (2.2 * float(np.linalg.norm(back(weight * out(v)))) + penalty)
+    w, z, t = np.zeros(len(v), np.float32), np.zeros(len(v), np.float32), 1.0
     for _ in range(steps):
-        gap = np.maximum(0, 1 - y * (a @ z))
-        new = z + rate * (2 * (a.T @ (weight * y * gap)) - penalty * z)
+        gap = np.maximum(0, 1 - y * out(z))
+        new = z + rate * (2 * back(weight * y * gap) - penalty * z)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         w, z, t = new, new + (t - 1) / t_new * (new - w), t_new
     return w[:-1], float(w[-1])
@@ -114,12 +115,13 @@ class Model:
 
     def fit(self, x: np.ndarray, langs: np.ndarray) -> "Model":
         mean, spread = x.mean(0), x.std(0) + np.float32(1e-3)
-        z = (x - mean) / spread
+        z = x - mean
+        z /= spread
         fam = np.array([family_of(v) for v in langs])
         tasks = [(fam == f, np.ones(len(z), bool)) for f in self.families] if len(self.families) > 1 else []
         tasks += [(langs == a, (langs == a) | (langs == b)) for _, a, b in self.pairs]
         for k, (positive, used) in enumerate(tasks):
-            w, b = fit_svm(z[used], np.where(positive[used], 1, -1).astype(np.float32))
+            w, b = fit_svm(z if used.all() else z[used], np.where(positive[used], 1, -1).astype(np.float32))
             self.weights[:, k], self.bias[k] = w / spread, b - float(w @ (mean / spread))
         return self
 
@@ -156,7 +158,7 @@ class Model:
         return self.decide(table.take(words)[0].mean(0, dtype=np.float64) + self.bias)
 
 
-def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Column | None = None, rows_per_language: int = 1000) -> Model:
+def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Column | None = None, rows_per_language: int = 800) -> Model:
     """Fit a model on about ``rows_per_language`` rows of each language among the rows where ``usable`` holds."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if usable is None else usable).alias("ok"))
@@ -176,10 +178,14 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Co
     got = picked.mapInArrow(run, "lang string, vector binary").limit(2 * rows_per_language * len(counts)).toArrow().sort_by("lang")
     if not got.num_rows:
         return Model([])
-    x = np.frombuffer(b"".join(got["vector"].to_pylist()), np.float32).reshape(-1, DIM)
+    x = np.empty((got.num_rows, DIM), np.float32)
+    for k, v in enumerate(got["vector"]):
+        x[k] = np.frombuffer(v.as_buffer(), np.float32)
     langs = np.array(got["lang"].to_pylist())
+    del got
     order = np.lexsort((x[:, 1], x[:, 0], langs))  # the same sums whatever order the rows came in
-    return Model(list(set(langs.tolist()))).fit(x[order], langs[order])
+    x, langs = x[order], langs[order]
+    return Model(list(set(langs.tolist()))).fit(x, langs)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str] | None = None, prefix: str = "") -> DataFrame:

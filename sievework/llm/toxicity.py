@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,18 +102,23 @@ def fit(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 128,
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     windows, whole, owner = [], [], []
+    spots = np.arange(WINDOW)
     for k, t in enumerate(texts):
         ids = np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32)
+        starts = window_starts(len(ids))
         once = np.where(is_repeat(ids), -1, ids)
-        for a in window_starts(len(ids)):
-            part = once[a : a + WINDOW]
-            whole.append(np.pad(ids[a : a + WINDOW], (0, WINDOW - len(part)), constant_values=-1))
-            windows.append(np.pad(part, (0, WINDOW - len(part)), constant_values=-1))
-            owner.append(k)
-    windows, whole, owner = np.array(windows, np.int32), np.array(whole, np.int32), np.array(owner)
-    subs = [subwords(w) for w in vocab] + [[]]  # word -1 has no subwords
-    n_subs = np.array([len(s) for s in subs])
-    flat, at = np.array([i for s in subs for i in s], np.int64), np.concatenate([[0], np.cumsum(n_subs)])
+        at = starts[:, None] + spots
+        pad = np.full(WINDOW + STEP, -1, np.int32)  # word -1 has no subwords
+        windows.append(np.concatenate([once, pad])[at])
+        whole.append(np.concatenate([ids, pad])[at])
+        owner.append(np.full(len(starts), k, np.int32))
+    windows, whole, owner = np.concatenate(windows), np.concatenate(whole), np.concatenate(owner)
+    flat_, n_subs = array("i"), np.zeros(len(vocab) + 1, np.int64)
+    for k, w in enumerate(vocab):
+        got = subwords(w)
+        flat_.extend(got)
+        n_subs[k] = len(got)
+    flat, at = np.frombuffer(flat_, np.int32) if flat_ else np.empty(0, np.int32), np.concatenate([[0], np.cumsum(n_subs)])
     size = n_subs[whole].sum(1)
     emb = ((rng.random((BUCKETS, SIZE)) - 0.5) / SIZE).astype(np.float32)
     soft, bias = np.zeros((2, SIZE), np.float32), np.zeros(2, np.float32)
@@ -183,7 +189,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return (float(a), float(b)) if np.isfinite(a + b) and a > 0 else (1.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int = 2000, usable=None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int = 1600, usable=None) -> Model:
     """Fit a model on about ``rows_per_class`` rows of each class, among labels where ``usable`` holds."""
     marks = labels.where(F.lit(True) if usable is None else usable).where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
