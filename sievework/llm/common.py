@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 _written: list[str] = []
 
 
@@ -49,20 +48,6 @@ def clear_scratch(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once for each Spark context, so that their Python workers can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_sievework_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    to = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="sievework-")), f"{root.name}-package.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(to)
-    sc._sievework_shipped = True
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Prepare for Python operators: ship the package; bound Arrow batches to ``rows`` rows, and 16 MB where Spark can."""
     ship_package(spark)

@@ -44,6 +44,7 @@ from .components import components
 HEAVY = 500_000
 BLOCK = 1024
 SHORT = 16
+ODD_BITS = 512
 ALWAYS = 1 << 40
 FLUSH_WORDS = 4_000_000
 WORD_CACHE = 500_000
@@ -91,6 +92,12 @@ def set_hash(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
+def odd_sketch(s: np.ndarray) -> list[int]:
+    """Parity of the number of shingles in each of ODD_BITS classes, as signed 64-bit words. A shingle that one of two
+    sets lacks flips one bit, so their sketches differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS).astype(np.uint8) & 1).view(np.int64).tolist()
+
+
 def required(n, num: int, den: int):
     """k: of their short lists, linked sets share at least the smaller of both sets' k."""
     return 1 + (n - -(-num * n // den)) // 2
@@ -237,35 +244,36 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sievework.llm.ngram_join import set_hash, shingle_set
+        from sievework.llm.ngram_join import odd_sketch, set_hash, shingle_set
 
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("heavy", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("odd", pa.list_(pa.int64())), ("heavy", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
         held, n_held = [], 0
 
         def frequent() -> pa.RecordBatch:
             v, c = np.unique(np.concatenate(held), return_counts=True)
             keep = c >= 4
             v, c = v[keep].view(np.int64), c[keep]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([v], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64()))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([v], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64()))], schema=schema)
 
         for b in batches:
-            ns, cs = [], []
+            ns, cs, odd = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, width)
                 ns.append(len(s))
                 cs.append(set_hash(s) if len(s) else None)
+                odd.append(odd_sketch(s) if len(s) else None)
                 held.append(s)
                 n_held += len(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.nulls(len(ns), pa.list_(pa.int64())), pa.nulls(len(ns), pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.nulls(len(ns), pa.list_(pa.int64())), pa.nulls(len(ns), pa.list_(pa.int64()))], schema=schema)
             if n_held > FLUSH_WORDS:
                 yield frequent()
                 held, n_held = [], 0
         if n_held:
             yield frequent()
 
-    described = materialize(rows.mapInArrow(describe, "id long, n long, cls long, heavy array<long>, times array<long>"), "sets")
-    info = described.where("heavy IS NULL").select("id", "n", "cls")
-    classes = info.where("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    described = materialize(rows.mapInArrow(describe, "id long, n long, cls long, odd array<long>, heavy array<long>, times array<long>"), "sets")
+    info = described.where("heavy IS NULL").select("id", "n", "cls", "odd")
+    classes = info.where("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd"))
     often = described.where("heavy IS NOT NULL").select(F.explode(F.arrays_zip("heavy", "times")).alias("x"))
     often = often.groupBy("x.heavy").agg(F.sum("x.times").alias("times")).orderBy(F.desc("times"), "heavy").limit(HEAVY).toArrow()
     heavy = np.stack([often["heavy"].to_numpy().view(np.uint64), np.arange(often.num_rows, 0, -1, dtype=np.uint64)], 1) if often.num_rows else np.empty((0, 2), np.uint64)
@@ -301,7 +309,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 s = shingle_set(t, width)
-                if not len(s):
+                if den * len(s) < num * (len(s) + 1):  # too small for a partner of another set
                     continue
                 c = set_hash(s)
                 if c in seen:
@@ -340,9 +348,13 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
     met = posted.groupBy("bucket").applyInArrow(join_lists, "a long, b long, na long, nb long, shared long")
     met = met.groupBy("a", "b").agg(F.sum(F.col("shared").cast("double")).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     slack = lambda n: F.lit(1) + F.floor((F.col(n) - F.ceil(F.col(n) * num / F.lit(den))) / 2)
-    near = met.where(F.col("shared") >= F.least(slack("na"), slack("nb"))).select("a", "b")
+    near = met.where(F.col("shared") >= F.least(slack("na"), slack("nb"))).select("a", "b", "shared")
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}"))
+    near = near.join(side("a"), "a").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("odda", "oddb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = near.where((F.col("shared") >= ALWAYS) | (F.lit(num + den) * differ <= F.lit(den - num) * (F.col("na") + F.col("nb")))).select("a", "b")
     clusters = components(near).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
-    members = materialize(clusters.join(classes, "cls"), "members")
+    members = materialize(clusters.join(classes.drop("odd"), "cls"), "members")
     counts = members.groupBy("cluster").agg(F.count("*").alias("m"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("long")
     units = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
