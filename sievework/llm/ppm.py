@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 
 ORDER = 5
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 7 << 20
 _CODEC = "zstd"
 
 
