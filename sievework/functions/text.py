@@ -25,6 +25,11 @@ def sanitize(text: Column) -> Column:
     return F.regexp_replace(text, INVISIBLE, "")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def glob_regex(pattern: str) -> str | None:
     """Anchored regular expression of a path glob, in which ``*`` and ``?`` stop at ``/``; None if it is malformed."""
     out, i, n = [], 0, len(pattern)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import glob_regex
+from ..functions.text import glob_regex, strip
 from .intervals import slice_rows
 from .pattern import is_test_file
 
@@ -87,7 +87,7 @@ def chunks(base: dict[str, DataFrame], policies: tuple[str, ...] = ("function",
     doc_lines = F.when(F.col("doc") == "", 0).otherwise(F.size(F.split("doc", "\n")))
     body = slice_rows(F.col("whole"), F.greatest(F.col("start_row") - doc_lines, F.lit(0)), F.col("end_row"))
     bare = slice_rows(F.col("whole"), F.col("start_row"), F.col("end_row"))
-    signature = F.trim(F.element_at(F.split(bare, "\n"), 1))
+    signature = strip(F.element_at(F.split(bare, "\n"), 1))
     full_sig = F.when(F.col("doc") != "", F.concat_ws("\n\n", "doc", "sig")).otherwise(F.col("sig"))
     qualified = F.concat_ws(".", F.when(F.col("pkg") != "", F.col("pkg")), F.when(F.col("receiver") != "", F.col("receiver")), "name")
     s = s.withColumns({"body": body, "sig": signature, "qualified_name": qualified})
@@ -104,7 +104,7 @@ def chunks(base: dict[str, DataFrame], policies: tuple[str, ...] = ("function",
         below = F.filter(F.coalesce("methods", F.array().cast(m.schema["methods"].dataType)), lambda x: x["start_row"] >= F.col("start_row"))
         c = c.withColumn("below", below)
         listed = F.array_join(F.transform("below", lambda x: x["sig"]), "\n")
-        c = c.withColumn("body", F.when(F.size("below") > 0, F.concat(F.rtrim(F.col("body")), F.lit("\n\nMethods:\n"), listed)).otherwise(F.col("body")))
+        c = c.withColumn("body", F.when(F.size("below") > 0, F.concat(F.regexp_replace("body", r"\n+$", ""), F.lit("\n\nMethods:\n"), listed)).otherwise(F.col("body")))
         c = c.withColumns({"callers": F.array_sort(F.array_distinct(F.flatten(F.transform("below", lambda x: x["callers"])))), "callees": F.array_sort(F.array_distinct(F.flatten(F.transform("below", lambda x: x["callees"]))))})
         out = add(c.withColumn("policy", F.lit("class")).select(*shape))
     if "module" in policies:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Union of overlapping or adjacent intervals for each key; empty intervals survive where nothing touches them."""
@@ -39,7 +41,7 @@ def slice_rows(text: Column, start: Column, end: Column) -> Column:
 def slice_with_trivia(text: Column, start: Column, end: Column) -> Column:
     """``slice_rows`` widened over the blank lines just before and after."""
     parts = F.split(text, "\n")
-    blank = lambda x: F.trim(x) == ""
+    blank = lambda x: strip(x) == ""
     before, after = F.reverse(F.slice(parts, F.lit(1), start)), F.slice(parts, end + 1, F.greatest(F.size(parts) - end, F.lit(0)))
     run = lambda a: F.coalesce(F.array_position(F.transform(a, lambda x: (~blank(x)).cast("int")), 1).cast("int") - 1, F.lit(-1))
     count = lambda a: F.when(run(a) < 0, F.size(a)).otherwise(run(a))

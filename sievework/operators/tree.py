@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .intervals import slice_rows, slice_with_trivia
 
 BUDGET, NODE_COST = 16 * 1024, 256
@@ -46,7 +47,7 @@ def overview(base: dict[str, DataFrame], root: str, depth: int = 2, scope: str |
 def doc_of(text: Column, start_row: Column) -> Column:
     """Comment lines (``//``) just above a declaration; blank lines directly above are passed over, one after a comment ends it."""
     above = F.reverse(F.slice(F.split(text, "\n"), F.lit(1), start_row))
-    trimmed = F.transform(above, F.trim)
+    trimmed = F.transform(above, strip)
     state = F.aggregate(
         trimmed, F.struct(F.lit(True).alias("open"), F.array().cast("array<string>").alias("got")),
         lambda s, x: F.when(~s["open"], s)
@@ -54,7 +55,7 @@ def doc_of(text: Column, start_row: Column) -> Column:
         .when(~x.startswith("//"), F.struct(F.lit(False).alias("open"), s["got"].alias("got")))
         .otherwise(F.struct(F.lit(True).alias("open"), F.array_append(s["got"], x.substr(F.lit(3), F.length(x))).alias("got"))),
     )
-    return F.when(start_row > 0, F.trim(F.array_join(F.reverse(state["got"]), "\n"))).otherwise(F.lit(""))
+    return F.when(start_row > 0, strip(F.array_join(F.reverse(state["got"]), "\n"))).otherwise(F.lit(""))
 
 
 def statement_kind(line: Column) -> Column:
@@ -71,7 +72,7 @@ def strip_comments(line: Column) -> Column:
 def body_layer(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(id, path, seq, statements [kind, text], control): one statement for each line that is not blank; linear or branching."""
     s = symbols.join(files.select("path", F.col("text").alias("whole")), "path")
-    lines = F.filter(F.transform(F.slice(F.split("whole", "\n"), F.col("start_row") + 1, F.col("end_row") - F.col("start_row")), lambda x: F.trim(strip_comments(x))), lambda x: x != "")
+    lines = F.filter(F.transform(F.slice(F.split("whole", "\n"), F.col("start_row") + 1, F.col("end_row") - F.col("start_row")), lambda x: strip(strip_comments(x))), lambda x: x != "")
     s = s.where("end_row > start_row").withColumn("lines", lines)
     branch = F.exists("lines", lambda x: F.contains(x, F.lit("if ")) | x.startswith("switch ") | x.startswith("for ") | x.startswith("select "))
     return s.select("id", "path", "seq", F.transform("lines", lambda x: F.struct(statement_kind(x).alias("kind"), x.alias("text"))).alias("statements"), F.when(branch, "branching").otherwise("linear").alias("control"))
@@ -79,7 +80,7 @@ def body_layer(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 def hover_types(hover: Column) -> Column:
     """(params, result) of a signature: what stands in its first parentheses, and the rest."""
-    return F.struct(F.regexp_extract(hover, r"\(([^)]*)\)", 1).alias("params"), F.trim(F.regexp_extract(hover, r"\([^)]*\)(.*)", 1)).alias("result"))
+    return F.struct(F.regexp_extract(hover, r"\(([^)]*)\)", 1).alias("params"), strip(F.regexp_extract(hover, r"\([^)]*\)(.*)", 1)).alias("result"))
 
 
 def nodes(base: dict[str, DataFrame], ids: DataFrame, layers: tuple[str, ...] = ("signature",), hover: DataFrame | None = None) -> DataFrame:
@@ -93,7 +94,7 @@ def nodes(base: dict[str, DataFrame], ids: DataFrame, layers: tuple[str, ...] =
     if hover is not None:
         s = s.join(hover.select("id", F.col("text").alias("hover")), "id", "left")
         hovered = F.col("hover")
-    first = F.trim(F.element_at(F.split(text, "\n"), 1))
+    first = strip(F.element_at(F.split(text, "\n"), 1))
     label = F.element_at(F.split("summary", ": "), 1)
     null = F.lit(None).cast("string")
     out = s.select(

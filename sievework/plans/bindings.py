@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import matches_glob, path_passes_glob, sanitize, snippet, tokens
+from ..functions.text import matches_glob, path_passes_glob, sanitize, snippet, strip, tokens
 from ..operators import architecture, chunks, edges, intervals, names, pattern, retrieve, traverse, tree
 from ..semantics import Semantics
 from ..sources.registry import freshness
@@ -434,7 +434,7 @@ SELECT n_nationkey, x AS text, CASE WHEN starts_with(x, 'if ') THEN 'if' WHEN st
 """)
 def statement_kinds(spark: SparkSession, d: str) -> DataFrame:
     n = _t(spark, d, "nation").select("n_nationkey", F.explode(F.split(F.concat(F.lit("if "), "n_name", F.lit(" {|return "), "n_name", F.lit("|}|// note|x = 1 // y")), "[|]")).alias("x"))
-    n = n.select("n_nationkey", F.trim(tree.strip_comments(F.col("x"))).alias("text")).where("text <> ''")
+    n = n.select("n_nationkey", strip(tree.strip_comments(F.col("x"))).alias("text")).where("text <> ''")
     return n.withColumn("kind", tree.statement_kind(F.col("text")))
 
 

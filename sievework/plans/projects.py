@@ -83,7 +83,7 @@ class NamedOperations:
     def list(self) -> list[tuple[str, str, str]]:
         return sorted((op, tool, text) for op, (text, tool, _) in self.ops.items())
 
-    def run(self, op: str, **args) -> object:
+    def run(self, op: str, /, **args) -> object:
         if op not in self.ops:
             raise LookupError(f"no operation {op!r}")
         _, tool, fixed = self.ops[op]

@@ -21,8 +21,14 @@ _STRINGS = {
 _STRINGS["javascript"] = _STRINGS["typescript"]
 _COMMENTS = {"go": r"//[^\n]*|/\*(?:.|\n)*?\*/", "rust": r"//[^\n]*|/\*(?:.|\n)*?\*/", "typescript": r"//[^\n]*|/\*(?:.|\n)*?\*/", "javascript": r"//[^\n]*|/\*(?:.|\n)*?\*/", "php": r"//[^\n]*|#(?!\[)[^\n]*|/\*(?:.|\n)*?\*/"}
 _MASKS = {lang: re.compile(f"{_COMMENTS[lang]}|{_STRINGS[lang]}") for lang in _STRINGS}
-# Words before a bracket that are no calls.
-NOT_CALLS = frozenset("if for switch return func go defer select range case while catch function typeof await new match loop fn else do in of yield super import delete void throw impl where unsafe move as let mut pub const var type struct interface map chan".split())
+# Words before a bracket that are no calls, by language.
+NOT_CALLS = {
+    "go": frozenset("if for switch return func go defer select range case struct interface map chan var const type".split()),
+    "typescript": frozenset("if for while switch catch function return typeof await new super import delete void throw do in of yield case".split()),
+    "rust": frozenset("if for while match loop fn return let in as move mut impl where unsafe".split()),
+    "php": frozenset("if for foreach while switch match catch function fn return array list isset empty".split()),
+}
+NOT_CALLS["javascript"] = NOT_CALLS["typescript"]
 
 
 def mask(text: str, lang: str) -> str:
@@ -149,7 +155,7 @@ def _ts(src: Source) -> list[Record]:
 def _members(src: Source, brace: int, end: int, owner: str, pattern: re.Pattern, need_block: bool = True) -> list[Record]:
     out = []
     for m in _heads(src, brace + 1, end - 1, pattern):
-        if m["name"] in NOT_CALLS:
+        if m["name"] in NOT_CALLS.get(src.lang, ()):
             continue
         bracket = src.bare.find("(", m.end() - 1)
         stop, block = src.body_end(src.close(bracket)) if bracket >= 0 else (m.end(), False)
@@ -247,7 +253,7 @@ def _calls(src: Source, s: Record) -> list[str]:
             close = nxt
     got = []
     for m in _CALL.finditer(src.bare, max(brace, start), end):
-        if m["name"] in NOT_CALLS or (m["path"] and src.lang != "go"):
+        if m["name"] in NOT_CALLS.get(src.lang, ()) or (m["path"] and src.lang != "go"):
             continue
         before = src.bare[max(start, m.start() - 12) : m.start()].rstrip()
         if re.search(r"\b(?:func|function|fn|new)$", before):

@@ -97,11 +97,15 @@ class Snapshots:
         return hashlib.sha256(project.encode()).hexdigest()
 
     def save(self, project: str, base: dict[str, DataFrame]) -> None:
+        """Write all tables beside the old ones, then put them in their place: new tables may read the old."""
+        made = {}
         for name, df in base.items():
             if name != "lines":
-                new = self._path(project, f"{name}.new-{time.time_ns()}")
-                df.write.parquet(new)
-                _swap(self.spark, new, self._path(project, name))
+                made[name] = self._path(project, f"{name}.new-{time.time_ns()}")
+                df.write.parquet(made[name])
+        for name, new in made.items():
+            _swap(self.spark, new, self._path(project, name))
+            self.spark.catalog.refreshByPath(self._path(project, name))
 
     def load(self, project: str) -> dict[str, DataFrame] | None:
         from ..operators.pattern import lines_of
