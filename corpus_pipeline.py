@@ -25,30 +25,34 @@ from sievework.llm.common import materialize, table
 MIN_LANGUAGE_SCORE = 0.02
 
 
+def _same(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, "text", "lang", "doc_id")
     judged = langid.identify(docs, model, "doc_id", "text", keep=[c for c in docs.columns if c != "doc_id"], prefix="__")
-    return judged.where(F.col("__lang_pred") != "und").where(F.col("__score") >= MIN_LANGUAGE_SCORE).select(docs.columns)
+    return judged.where(F.col("__lang_pred") != "und").where(F.col("__score") >= MIN_LANGUAGE_SCORE).select(*_same(docs))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
     judged = toxicity.score(docs, model, "doc_id", "text", keep=[c for c in docs.columns if c != "doc_id"], prefix="__")
-    return judged.where(F.col("__predicted") == 0).select(docs.columns)
+    return judged.where(F.col("__predicted") == 0).select(*_same(docs))
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     links = ngram_join.link_components(docs, "doc_id", "text", width=5, num=80, den=100)
     losers = links.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(losers, "doc_id", "left_anti").select(*_same(docs))
     twice = links.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    again = kept.join(twice, "doc_id", "left_semi").select(*_same(docs)).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(*_same(docs)).unionByName(again)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*_same(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

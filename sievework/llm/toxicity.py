@@ -6,7 +6,7 @@ averaged and fed to a two-class softmax. A text is scored by its most toxic wind
 half and cover the whole text, so a few words in a very long text count as much as in a short one.
 
 Labels are of whole texts, so training alternates: pick each labelled text's highest windows under the current
-model (for clean texts also random ones), then make passes over these windows that update the embeddings and the
+model (for clean texts also random ones; the first time by log odds of the n-grams), then make passes over these windows that update the embeddings and the
 softmax together. It uses about ``rows_per_class`` rows of each class (at most twice that, by a hash threshold from
 exact counts) of up to ``MAX_TRAIN_CHARS`` characters; longer labelled texts are not used for training only.
 
@@ -32,7 +32,8 @@ from .wordtable import Grams, WordTable
 
 BUCKETS = 1 << 16
 SIZE = 8
-WINDOW, STEP = 16, 8
+WINDOW, STEP = 8, 4
+STEPS = 150
 MAX_TRAIN_CHARS = 20_000
 EDGES = ".,;:!?\"'()[]{}<>«»“”„…-–—*"
 
@@ -94,6 +95,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(top, -40, 40))))
 
 
+def first_guess(texts_words: list[np.ndarray], flat: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log odds of each bucket's occurrence in toxic and clean texts, to pick the windows of the first round."""
+    count = np.zeros((2, BUCKETS))
+    for words, k in zip(texts_words, y):
+        if len(words):
+            lens = at[words + 1] - at[words]
+            ids = flat[np.repeat(at[words] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())]
+            count[k, np.unique(ids)] += 1
+    n = np.bincount(y, minlength=2)
+    return np.log((count[1] + 0.5) / (n[1] + 1)) - np.log((count[0] + 0.5) / (n[0] + 1))
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 128, rate: float = 0.5, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax on the windows of labelled texts."""
     y_doc = np.array(labels)
@@ -101,10 +114,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 128,
         return Model()
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    windows, whole, owner = [], [], []
+    windows, whole, owner, texts_words = [], [], [], []
     spots = np.arange(WINDOW)
     for k, t in enumerate(texts):
         ids = np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32)
+        texts_words.append(np.unique(ids))
         starts = window_starts(len(ids))
         once = np.where(is_repeat(ids), -1, ids)
         at = starts[:, None] + spots
@@ -126,7 +140,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 128,
     g_emb, g_soft = np.full(BUCKETS, 1e-4, np.float32), np.full(2, 1e-4, np.float32)
     toxic = y_doc[owner] == 1
     for r in range(rounds):
-        z = emb @ (soft[1] - soft[0])
+        z = first_guess(texts_words, flat, at, y_doc) if r == 0 else emb @ (soft[1] - soft[0])
         word_z = np.concatenate([np.add.reduceat(np.append(z[flat], 0), at[:-1][:-1]), [0.0]]) if len(vocab) else np.zeros(1)
         logit = word_z[windows].sum(1) / np.maximum(size, 1)
         order = np.lexsort((-logit, owner))
@@ -135,11 +149,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 128,
         second = order[1:][first[:-1] & ~first[1:]]
         hard = second[~toxic[second]]
         extra = np.concatenate([hard, rng.permutation(np.flatnonzero(~toxic))[: 2 * len(tops)]])
-        early = rng.permutation(np.flatnonzero(toxic))[: 3 * len(tops)] if r < 2 else np.empty(0, np.int64)
-        use = np.unique(np.concatenate([tops, extra, early]))
+        use = np.unique(np.concatenate([tops, extra]))
         y = toxic[use].astype(np.int64)
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-        for _ in range(2):
+        for _ in range(max(2, min(30, STEPS * batch // len(use)))):
             mix = rng.permutation(len(use))
             for k in range(0, len(mix), batch):
                 j = mix[k : k + batch]
