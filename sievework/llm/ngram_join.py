@@ -9,8 +9,10 @@ case; a text with fewer words is one shingle). Two sets link when ``den * |A & B
 3. Linked sets A, B share at least T = ceil(num / den * |A|) shingles, so of the first |A| - T + k of their order, the short
    lists of DivideSkip, they share at least k, here k = 1 + (|A| - T) // 2 (the smaller of both sets'). Postings of these
    are grouped by shingle. Lists of up to ``SHORT`` sets count for each two of them what they share, and pairs below k
-   go; longer lists give chains of possible partners, not pairs, and within a task a long list becomes
-   one row per run of compatible sizes, so a shingle that a third of all texts share costs each task one row.
+   go. In longer lists, up to ``LONG``, each set is held against the others by odd sketches, and a spanning forest of the
+   possible partners is kept. Still longer ones give chains of sets of compatible sizes, within a task
+   as one row, so a shingle that a third of all texts share costs each task one row. Pairs whose odd sketches
+   (``ODD_BITS`` parities) differ in more bits than linked sets can differ in shingles are no partners.
    The connected components of what remains are the clusters that are searched exactly.
 4. Within a cluster, each set is a query against the inverted lists of the others: the short lists are merged
    (a heap for few postings, a merge sort for many), the occurrences counted, and the partners' remaining overlap is
@@ -44,6 +46,8 @@ from .components import components
 HEAVY = 500_000
 BLOCK = 1024
 SHORT = 16
+LONG = 4096
+LOCAL = 256
 ODD_BITS = 512
 ALWAYS = 1 << 40
 FLUSH_WORDS = 4_000_000
@@ -92,10 +96,30 @@ def set_hash(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
-def odd_sketch(s: np.ndarray) -> list[int]:
-    """Parity of the number of shingles in each of ODD_BITS classes, as signed 64-bit words. A shingle that one of two
-    sets lacks flips one bit, so their sketches differ in no more bits than the sets in shingles."""
-    return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS).astype(np.uint8) & 1).view(np.int64).tolist()
+def odd_sketch(s: np.ndarray) -> bytes:
+    """Parities of the number of shingles in m classes, m = ODD_BITS or the power of two that is at most |s|, if larger.
+
+    A shingle that one of two sets lacks flips one bit, so their sketches differ in no more bits than the sets in
+    shingles. A sketch of 2m bits folds to one of m by xor of its halves.
+    """
+    m = max(ODD_BITS, 1 << (len(s).bit_length() - 1))
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) & (m - 1), minlength=m).astype(np.uint8) & 1).tobytes()
+
+
+def fold(k: np.ndarray) -> np.ndarray:
+    """Sketches (uint64 words in the last axis) of half the bits."""
+    half = k.shape[-1] // 2
+    return k[..., :half] ^ k[..., half:]
+
+
+def may_link(odd_a: bytes, odd_b: bytes, total: int, num: int, den: int) -> bool:
+    """Whether sets of ``total`` shingles together can link, by their sketches."""
+    x, y = np.frombuffer(odd_a, np.uint64), np.frombuffer(odd_b, np.uint64)
+    while len(x) > len(y):
+        x = fold(x)
+    while len(y) > len(x):
+        y = fold(y)
+    return (num + den) * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= (den - num) * total
 
 
 def required(n, num: int, den: int):
@@ -156,12 +180,35 @@ def short_pairs(tokens: np.ndarray, cls: np.ndarray, size: np.ndarray, num: int,
     return *pairs[start].T, np.diff(np.append(start, len(pairs)))
 
 
-def by_list_length(tokens: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by token: masks of short lists with two rows or more, and of long ones (or with joined rows)."""
+def list_forest(cls: np.ndarray, size: np.ndarray, odd: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one list whose sizes and odd sketches allow a link."""
+    order = np.argsort(size, kind="stable")
+    cls, size = cls[order], size[order]
+    sketches = [np.frombuffer(odd[i], np.uint64) for i in order.tolist()]
+    wide = np.array([len(k) for k in sketches])  # does not fall, since the sizes do not
+    starts = [0, *(np.flatnonzero(np.diff(wide)) + 1).tolist(), len(wide)]
+    forest, out = Forest(len(cls)), []
+    for n, (i0, i1) in enumerate(zip(starts, starts[1:])):
+        own = np.stack(sketches[i0:i1])
+        after = fold(np.stack(sketches[i1 : starts[n + 2]])) if n + 2 < len(starts) and wide[i1] == 2 * wide[i0] else None
+        for i in range(i0, i1):
+            end = int(np.searchsorted(size, size[i] * den // num, side="right"))
+            for k, first, last in ((own, i0, i1), (after, i1, end)):
+                j0, j1 = max(i + 1, first), min(end, last, first + len(k) if k is not None else 0)
+                if j1 > j0:
+                    differ = np.bitwise_count(k[j0 - first : j1 - first] ^ own[i - i0]).sum(1, dtype=np.int64)
+                    ok = (num + den) * differ <= (den - num) * (size[j0:j1] + size[i])
+                    out += [(int(cls[i]), int(cls[j0 + j])) for j in np.flatnonzero(ok).tolist() if forest.join(i, j0 + j)]
+    return out
+
+
+def by_list_length(tokens: np.ndarray, low: np.ndarray, high: np.ndarray, short: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by token: masks of short lists with two rows or more, and of longer ones (or with joined rows)."""
+    short = SHORT if short is None else short
     start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
     many = np.diff(np.append(start, len(tokens)))
     wide = np.add.reduceat((low != high).astype(np.int64), start) > 0 if len(start) else np.empty(0, bool)
-    long = (many > SHORT) | (wide & (many > 1))
+    long = (many > short) | (wide & (many > 1))
     return np.repeat((many > 1) & ~long, many), np.repeat(long, many)
 
 
@@ -246,14 +293,14 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sievework.llm.ngram_join import odd_sketch, set_hash, shingle_set
 
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("odd", pa.list_(pa.int64())), ("heavy", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("odd", pa.binary()), ("heavy", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
         held, n_held = [], 0
 
         def frequent() -> pa.RecordBatch:
             v, c = np.unique(np.concatenate(held), return_counts=True)
             keep = c >= 4
             v, c = v[keep].view(np.int64), c[keep]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([v], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64()))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([v], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64()))], schema=schema)
 
         for b in batches:
             ns, cs, odd = [], [], []
@@ -264,14 +311,14 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
                 odd.append(odd_sketch(s) if len(s) else None)
                 held.append(s)
                 n_held += len(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.nulls(len(ns), pa.list_(pa.int64())), pa.nulls(len(ns), pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(odd, pa.binary()), pa.nulls(len(ns), pa.list_(pa.int64())), pa.nulls(len(ns), pa.list_(pa.int64()))], schema=schema)
             if n_held > FLUSH_WORDS:
                 yield frequent()
                 held, n_held = [], 0
         if n_held:
             yield frequent()
 
-    described = materialize(rows.mapInArrow(describe, "id long, n long, cls long, odd array<long>, heavy array<long>, times array<long>"), "sets")
+    described = materialize(rows.mapInArrow(describe, "id long, n long, cls long, odd binary, heavy array<long>, times array<long>"), "sets")
     info = described.where("heavy IS NULL").select("id", "n", "cls", "odd")
     classes = info.where("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd"))
     often = described.where("heavy IS NOT NULL").select(F.explode(F.arrays_zip("heavy", "times")).alias("x"))
@@ -291,7 +338,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
             cls, size = np.repeat(np.array([c for _, c, _ in held], np.int64), many), np.repeat(np.array([n for _, _, n in held], np.int64), many)
             order = np.argsort(tokens, kind="stable")
             tokens, cls, size = tokens[order], cls[order], size[order]
-            _, long = by_list_length(tokens, size, size)
+            _, long = by_list_length(tokens, size, size, LOCAL)
             a, b, joined = chain(tokens[long], cls[long], size[long], size[long], num, den) if long.any() else (np.empty(0, np.int64), np.empty(0, np.int64), None)
             low = high = size
             if joined:
@@ -328,7 +375,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
     posted = rows.where("text IS NOT NULL AND id IS NOT NULL").select("text").mapInArrow(posting_rows, "bucket long, tokens binary, cls binary, low binary, high binary, a binary, b binary")
 
     def join_lists(key: tuple, t: pa.Table) -> pa.Table:
-        from sievework.llm.ngram_join import ALWAYS, by_list_length, chain, short_pairs
+        from sievework.llm.ngram_join import ALWAYS, LONG, SHORT, by_list_length, chain, short_pairs
 
         kinds = (("tokens", np.uint32), ("cls", np.int64), ("low", np.int32), ("high", np.int32), ("a", np.int64), ("b", np.int64))
         tokens, cls, low, high, a0, b0 = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in kinds)
@@ -337,22 +384,46 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
         if len(tokens):  # a copy of a class in another task is the same row
             new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
             tokens, cls, low, high = tokens[new], cls[new], low[new], high[new]
-        short, long = by_list_length(tokens, low, high)
+        short, more = by_list_length(tokens, low, high, SHORT)
+        _, huge = by_list_length(tokens, low, high, LONG)
+        long = more & ~huge
         a, b, na, nb, shared = short_pairs(tokens[short], cls[short], low[short], num, den)
-        c, d, _ = chain(tokens[long], cls[long], low[long], high[long], num, den) if long.any() else (np.empty(0, np.int64), np.empty(0, np.int64), None)
-        sure = len(c) + len(a0)
-        none = np.zeros(sure, np.int64)
-        x, y = np.concatenate([c, a0]), np.concatenate([d, b0])
-        return pa.table({"a": np.concatenate([a, np.minimum(x, y)]), "b": np.concatenate([b, np.maximum(x, y)]), "na": np.concatenate([na, none]), "nb": np.concatenate([nb, none]), "shared": np.concatenate([shared, none + ALWAYS])})
-
-    met = posted.groupBy("bucket").applyInArrow(join_lists, "a long, b long, na long, nb long, shared long")
-    met = met.groupBy("a", "b").agg(F.sum(F.col("shared").cast("double")).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+        c, d, _ = chain(tokens[huge], cls[huge], low[huge], high[huge], num, den) if huge.any() else (np.empty(0, np.int64), np.empty(0, np.int64), None)
+        x, y, none = np.concatenate([c, a0]), np.concatenate([d, b0]), np.zeros(len(c) + len(a0), np.int64)
+        names = np.int64(key[0].as_py()) << 32 | tokens[long].astype(np.int64)
+        parts = (a, np.minimum(x, y), cls[long]), (b, np.maximum(x, y), names), (na, none, low[long]), (nb, none, low[long]), (shared, none + ALWAYS, np.full(int(long.sum()), -1))
+        return pa.table({k: np.concatenate(p) for k, p in zip(("a", "b", "na", "nb", "shared"), parts)})
+
+    raw = materialize(posted.groupBy("bucket").applyInArrow(join_lists, "a long, b long, na long, nb long, shared long"), "lists")
+    met = raw.where("shared >= 0").groupBy("a", "b").agg(F.sum(F.col("shared").cast("double")).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     slack = lambda n: F.lit(1) + F.floor((F.col(n) - F.ceil(F.col(n) * num / F.lit(den))) / 2)
-    near = met.where(F.col("shared") >= F.least(slack("na"), slack("nb"))).select("a", "b", "shared")
+    pairs = met.where(F.col("shared") >= F.least(slack("na"), slack("nb"))).select("a", "b", "shared")
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}"))
-    near = near.join(side("a"), "a").join(side("b"), "b")
-    differ = F.aggregate(F.zip_with("odda", "oddb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = near.where((F.col("shared") >= ALWAYS) | (F.lit(num + den) * differ <= F.lit(den - num) * (F.col("na") + F.col("nb")))).select("a", "b")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sievework.llm.ngram_join import ALWAYS, may_link
+
+        for t in batches:
+            r = t.to_pydict()
+            keep = [s >= ALWAYS or may_link(x, y, m + n, num, den) for s, x, y, m, n in zip(r["shared"], r["odda"], r["oddb"], r["na"], r["nb"])]
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = pairs.select("a", "b", "shared", "na", "nb", "odda", "oddb").mapInArrow(partners, "a long, b long")
+
+    def link_lists(key: tuple, t: pa.Table) -> pa.Table:
+        from sievework.llm.ngram_join import list_forest
+
+        t = t.sort_by([("list", "ascending"), ("cls", "ascending")])
+        lists, cls, size = t["list"].to_numpy(), t["cls"].to_numpy(), t["size"].to_numpy()
+        odd = t["odd"].to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
+        found = {e for i, j in zip(cuts, cuts[1:]) for e in list_forest(cls[i:j], size[i:j], odd[i:j], num, den)}
+        return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
+
+    long_rows = raw.where("shared < 0").select(F.col("a").alias("cls"), F.col("b").alias("list"), F.col("na").alias("size")).join(classes.select("cls", "odd"), "cls")
+    listed = long_rows.groupBy(F.pmod(F.xxhash64("list"), F.lit(buckets)).alias("bucket")).applyInArrow(link_lists, "a long, b long")
+    near = pairs.unionAll(listed)
     clusters = components(near).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
     members = materialize(clusters.join(classes.drop("odd"), "cls"), "members")
     counts = members.groupBy("cluster").agg(F.count("*").alias("m"))

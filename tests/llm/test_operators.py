@@ -416,8 +416,29 @@ def test_search_links_what_brute_force_links(sets, split):
 @given(st.sets(st.integers(0, 10**6), max_size=300), st.sets(st.integers(0, 10**6), max_size=300))
 @settings(max_examples=40, deadline=None)
 def test_odd_sketches_bound_the_difference(a, b):
-    sk = [np.array(ngram_join.odd_sketch(np.sort(ngram_join.mix(np.array(sorted(s), np.uint64)))), np.int64) for s in (a, b)]
-    assert sum(int(x).bit_count() for x in (sk[0] ^ sk[1]).view(np.uint64).tolist()) <= len(a ^ b)
+    x, y = (np.sort(ngram_join.mix(np.array(sorted(s), np.uint64))) for s in (a, b))
+    if a and b:
+        n, d = len(a) + len(b), len(a ^ b)
+        assert ngram_join.may_link(ngram_join.odd_sketch(x), ngram_join.odd_sketch(y), n, 0, 1) and (10 * d > n or ngram_join.may_link(ngram_join.odd_sketch(x), ngram_join.odd_sketch(y), n, 9, 11))
+
+
+@pytest.mark.parametrize("low", [5, 480, 1000, 2040])
+def test_list_forest_keeps_all_links(low):
+    """Sizes on both sides of a sketch's power of two."""
+    rng = random.Random(low)
+    pool = [int(v) for v in ngram_join.mix(np.arange(1, 3 * low + 60, dtype=np.uint64))]
+    base = rng.sample(pool, low)
+    sets = [set(base) - set(rng.sample(base, rng.randint(0, low // 30))) | set(rng.sample(pool, rng.randint(0, low // 30 + 4))) for _ in range(25)] + [set(rng.sample(pool, low)) for _ in range(10)]
+    arrays = [np.sort(np.array(sorted(s), np.uint64)) for s in sets]
+    forest = ngram_join.Forest(len(sets))
+    edges = ngram_join.list_forest(np.arange(len(sets)), np.array([len(s) for s in sets]), [ngram_join.odd_sketch(x) for x in arrays], 90, 100)
+    for a, b in edges:
+        forest.join(a, b)
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                assert forest.find(a) == forest.find(b)
+    assert low < 100 or len({forest.find(i) for i in range(25, 35)}) == 10
 
 
 def test_components(spark):
