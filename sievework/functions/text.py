@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -127,15 +128,28 @@ def _fnv1a(data: bytes) -> int:
     return h
 
 
+class _TokenHashes(dict):
+    """The hashes of each token, remembered; emptied when there are many."""
+
+    def __missing__(self, key: tuple[str, int]) -> tuple[int, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        word, hashes = key
+        self[key] = out = tuple(_fnv1a(bytes([i]) + word.encode()) for i in range(hashes))
+        return out
+
+
+_token_hashes = _TokenHashes()
+
+
 def embed_tokens(words: list[str], dim: int = 1024, hashes: int = 4) -> np.ndarray:
     """Signed hash counts of the tokens, scaled to length 1."""
     if dim < 1 or dim & (dim - 1):
         raise ValueError("the dimension must be a power of two")
     v = np.zeros(dim)
-    for w in words:
-        for i in range(hashes):
-            h = _fnv1a(bytes([i]) + w.encode())
-            v[h & (dim - 1)] += -1.0 if h >> 32 & 1 else 1.0
+    for w, n in Counter(words).items():
+        for h in _token_hashes[w, hashes]:
+            v[h & (dim - 1)] += -n if h >> 32 & 1 else n
     n = float(np.sqrt((v * v).sum()))
     return v / n if n else v
 
@@ -145,7 +159,9 @@ def hash_embedding(words: Column, dim: int = 1024) -> Column:
 
     @F.pandas_udf("array<double>")
     def embed(col: pd.Series) -> pd.Series:
-        return col.map(lambda w: embed_tokens(list(w) if w is not None else [], dim).tolist())
+        from sievework.functions.text import embed_tokens as worker_embed  # its memory outlives the batch
+
+        return col.map(lambda w: worker_embed(list(w) if w is not None else [], dim).tolist())
 
     return embed(words)
 

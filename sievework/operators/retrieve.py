@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import embed_tokens, hash_embedding, split_terms, tokens
 from ..semantics import DEFAULT, Semantics
+from ..session import stored
 from ..shipping import ship_package
 
 K1, B = 1.2, 0.75
@@ -27,22 +28,19 @@ def query_terms(query: str) -> list[str]:
     return [t.lower() for t in regex.findall(r"[\p{L}\p{Nd}_]+", query.lower())]
 
 
-def _equals(term: str):
-    return lambda x: x == term
-
-
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int | None = None, semantics: Semantics = DEFAULT) -> DataFrame:
     """(id, score) of texts with a positive score, best first, ties by id.
 
-    The query's terms are counted within each row, so nothing but three numbers per term is shuffled; scoring is a second
-    scan. Texts without tokens count neither for the number of texts nor for the mean length.
+    The query's terms are counted within each row, so nothing but three numbers per term is shuffled; the counts of the
+    single scan are kept as a narrow table for scoring. Texts without tokens count neither for the number of texts nor for the mean length.
     """
     terms = query_terms(query)
     distinct = list(dict.fromkeys(terms))
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where("size(w) > 0")
-    counts = words.select("id", F.size("w").alias("dl"), *[F.size(F.filter("w", _equals(t))).alias(f"t{i}") for i, t in enumerate(distinct)])
+    counts = words.select("id", F.size("w").alias("dl"), *[(F.size("w") - F.size(F.array_remove("w", t))).alias(f"t{i}") for i, t in enumerate(distinct)])
     if not distinct:
         return words.where("false").select("id", F.lit(0.0).alias("score"))
+    counts = stored(counts, "term-counts")
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(distinct))]).first()
     if not stats["n"]:
         return words.where("false").select("id", F.lit(0.0).alias("score"))
@@ -64,8 +62,10 @@ def bm25_many(docs: DataFrame, id_col: str, text_col: str, queries: dict[str, st
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where("size(w) > 0")
     n, avg = words.agg(F.count("*"), F.avg(F.size("w"))).first()
     all_terms = sorted({t for text in queries.values() for t in query_terms(text)})
-    only = F.filter("w", lambda x: x.isin(all_terms)) if len(all_terms) <= 1000 else F.col("w")
-    tf = words.select("id", F.size("w").alias("dl"), F.explode(only).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    each = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if len(all_terms) <= 1000:
+        each = each.where(F.col("term").isin(all_terms))
+    tf = each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     tf = tf.join(wanted.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
