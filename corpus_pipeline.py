@@ -42,17 +42,19 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    links = ngram_join.link_components(docs, "doc_id", "text", width=5, num=80, den=100)
+    links = materialize(ngram_join.link_components(docs, "doc_id", "text", width=5, num=80, den=100), "links")
     losers = links.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(*_same(docs))
+    kept = docs.join(losers.hint("shuffle_hash"), "doc_id", "left_anti").select(*_same(docs))
     twice = links.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
     again = kept.join(twice, "doc_id", "left_semi").select(*_same(docs)).dropDuplicates(["doc_id"])
     return kept.join(twice, "doc_id", "left_anti").select(*_same(docs)).unionByName(again)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*_same(docs))
+    return docs.join(found.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*_same(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     probe = words.select("doc", "row", F.explode(F.concat(*[_hashed("w", n) for n in sizes])).alias("h"))
     found = materialize(probe.join(small(sketch), "h").select("doc", "row", "item").distinct(), "candidates")
 
-    full = rows.join(found.select("doc", "row").distinct(), ["doc", "row"], "left_semi").dropDuplicates(["doc", "row"])
+    full = rows.join(found.select("doc", "row").distinct().hint("shuffle_hash"), ["doc", "row"], "left_semi").dropDuplicates(["doc", "row"])
     texts = full.select("doc", "row", _words(F.col("text")).alias("w"))
     texts = texts.select("doc", "row", F.explode(F.array_distinct(F.concat(*[_text("w", n) for n in sizes]))).alias("s"))
     shared = texts.join(small(grams), "s").groupBy("doc", "row", "item").agg(F.count("*").alias("shared"))

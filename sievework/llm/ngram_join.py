@@ -448,7 +448,8 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
             fit = pa.array([bool(len(s)) and set_hash(s) == c for s, c in zip(sets, b.column(1).to_pylist())])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(4), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "cluster", "tasks", "shingles"]).filter(fit)
 
-    texts = wanted.join(rows, F.col("rep") == F.col("id")).select("rep", "cls", "cluster", "text", "tasks")
+    # always by shuffle: the wanted sets grow with the input, and small ones should behave like large ones
+    texts = rows.join(wanted.hint("shuffle_hash"), F.col("rep") == F.col("id")).select("rep", "cls", "cluster", "text", "tasks")
     sets = texts.mapInArrow(fetch, "rep long, cluster long, tasks array<struct<x: long, y: long, own: long>>, shingles binary")
     spread = sets.select("rep", "cluster", F.explode("tasks").alias("task"), "shingles")
     spread = spread.select("rep", "cluster", F.col("task.x").alias("x"), F.col("task.y").alias("y"), F.col("task.own").alias("own"), "shingles")
