@@ -52,7 +52,8 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int | None
         tf = F.col(f"t{i}").cast("double")
         score = score + F.lit(times * idf) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(float(stats["avg"]))))
     hits = counts.where(" OR ".join(f"t{i} > 0" for i in range(len(distinct)))).select("id", score.alias("score")).where("score > 0")
-    return hits.orderBy(F.desc("score"), "id").limit(k) if k else hits
+    ranked = hits.orderBy(F.desc("score"), "id")
+    return ranked.limit(k) if k else ranked
 
 
 def bm25_many(docs: DataFrame, id_col: str, text_col: str, queries: dict[str, str], k: int) -> DataFrame:
@@ -81,7 +82,8 @@ def dot(a: Column | str, b: Column) -> Column:
 def vector_top_k(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], k: int | None) -> DataFrame:
     """(id, score) by inner product, positive scores only, best first, ties by id; an exact scan."""
     hits = vectors.select(F.col(id_col).alias("id"), dot(vector_col, F.array(*[F.lit(float(x)) for x in query])).alias("score")).where("score > 0")
-    return hits.orderBy(F.desc("score"), "id").limit(k) if k else hits
+    ranked = hits.orderBy(F.desc("score"), "id")
+    return ranked.limit(k) if k else ranked
 
 
 def rrf(channels: dict[str, DataFrame], limit: int | None = None, k: int = RRF_K) -> DataFrame:
@@ -95,7 +97,8 @@ def rrf(channels: dict[str, DataFrame], limit: int | None = None, k: int = RRF_K
         ranked = one if ranked is None else ranked.unionAll(one)
     merged = ranked.groupBy("id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"), F.min(F.struct("n", "channel"))["channel"].alias("channel"))
     merged = merged.select("id", "score", "channel")
-    return merged.orderBy(F.desc("score"), "id").limit(limit) if limit else merged
+    ranked = merged.orderBy(F.desc("score"), "id")
+    return ranked.limit(limit) if limit else ranked
 
 
 class VectorBackend(Protocol):
