@@ -67,6 +67,10 @@ TAG_KINDS = ["html body", "div section", "article", "main", "nav menu search", "
 _KIND_OF = {t: k for k, tags in enumerate(TAG_KINDS) for t in tags.split()}
 WRAPPER, CONTENT, BOILERPLATE = 0, 1, 2
 
+HEAD_END = re.compile(r"</head\s*>|<body\b|<(?:div|nav|header|main|article|section|p|h1|table)\b", re.I | re.A)
+HIDDEN = re.compile(r"<(script|style|title|noscript)\b.*?</\1\s*>", re.I | re.A | re.S)
+CLOSING = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW | DROPPED}
+
 _attribute_groups: dict[str, int] = {}
 
 
@@ -120,7 +124,6 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, buffer, at, in_link, tags = [0], [], 0, False, self.tag
-        lower = None
         end = len(source)
         while at < end:
             m = TOKEN.search(source, at)
@@ -156,22 +159,16 @@ class Page:
             if name in RAW or name in DROPPED:
                 if m[3].endswith("/") and name in ("svg", "math"):
                     continue
-                if lower is None:
-                    lower = source.lower()
                 if name == "head":
-                    close = re.compile(r"</head\s*>|<body\b|<(?:div|nav|header|main|article|section|p|h1|table)\b").search(lower, at)
-                    hidden = re.compile(r"<(script|style|title|noscript)\b.*?</\1\s*>", re.S)
-                    inner = at
-                    while close and (raw := hidden.search(lower, inner)) and raw.start() < close.start():
+                    close, inner = HEAD_END.search(source, at), at
+                    while close and (raw := HIDDEN.search(source, inner)) and raw.start() < close.start():
                         inner = raw.end()
-                        close = re.compile(r"</head\s*>|<body\b|<(?:div|nav|header|main|article|section|p|h1|table)\b").search(lower, inner)
+                        close = HEAD_END.search(source, inner)
                     at = close.start() if close else end
                 else:
-                    close = lower.find(f"</{name}", at)
-                    at = end if close < 0 else close
-                    if close >= 0:
-                        gt = source.find(">", close)
-                        at = end if gt < 0 else gt + 1
+                    close = CLOSING[name].search(source, at)
+                    gt = source.find(">", close.start()) if close else -1
+                    at = end if gt < 0 else gt + 1
                 buffer.append(" ")
                 continue
             if name in VOID:
