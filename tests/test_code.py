@@ -230,3 +230,23 @@ def test_named_operations(base):
         ops.run("nope")
     with pytest.raises(ValueError):
         NamedOperations({}).add("a", "b")
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from sievework.__main__ import main
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.go").write_text("package a\n\n// Pay pays.\nfunc Pay() { check() }\n\nfunc check() {}\n")
+
+    def run(*args):
+        out = io.StringIO()
+        assert main(list(args), spark, out) == 0
+        return json.loads(out.getvalue())
+
+    root = str(tmp_path / "src")
+    assert [x["kind"] for x in run("overview", root)] == ["REPO", "PACKAGE", "FILE", "FUNCTION", "FUNCTION"]
+    assert run("hybrid", root, "pay", "--channels", "structural,bm25")[0]["id"] == "fn:Pay"
+    assert set(run("hybrid", root, "pay", "--channels", "bm25", "--explain")) == {"bm25"}
+    assert run("chunk", root, str(tmp_path / "out"))["chunks"] == 2
