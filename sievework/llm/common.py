@@ -56,6 +56,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def release_memory() -> None:
+    """Give what training has freed back to the system, so that a long-lived driver does not keep its peak."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # other C libraries have no such call
+        pass
+
+
 def crc_of_id(doc_id: Column | str) -> Column:
     """crc32 of the id written as decimal text (null for a null id)."""
     return F.crc32(F.encode(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), "utf-8"))

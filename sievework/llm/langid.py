@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release_memory, small_batches
 from .wordtable import Grams, WordTable
 
 DIM = 2048
@@ -185,7 +185,10 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Co
     del got
     order = np.lexsort((x[:, 1], x[:, 0], langs))  # the same sums whatever order the rows came in
     x, langs = x[order], langs[order]
-    return Model(list(set(langs.tolist()))).fit(x, langs)
+    model = Model(list(set(langs.tolist()))).fit(x, langs)
+    del x, order
+    release_memory()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str] | None = None, prefix: str = "") -> DataFrame:

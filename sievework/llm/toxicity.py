@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release_memory, small_batches
 from .wordtable import Grams, WordTable
 
 BUCKETS = 1 << 16
@@ -202,7 +202,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return (float(a), float(b)) if np.isfinite(a + b) and a > 0 else (1.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int = 1600, usable=None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int = 1400, usable=None) -> Model:
     """Fit a model on about ``rows_per_class`` rows of each class, among labels where ``usable`` holds."""
     marks = labels.where(F.lit(True) if usable is None else usable).where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -215,7 +215,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, MAX_TRAIN_CHARS))
     got = rows.join(F.broadcast(picked), "id").select("id", "y", "text").limit(2 * rows_per_class * len(counts)).toArrow().to_pandas()
     got = got.drop_duplicates("id").sort_values("id")
-    return fit(got["text"].tolist(), got["y"].tolist())
+    texts, labels = got["text"].tolist(), got["y"].tolist()
+    del got
+    model = fit(texts, labels)
+    _grams.clear()
+    del texts
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
