@@ -141,7 +141,8 @@ def short_list(s: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.ndarr
 def chain(tokens: np.ndarray, cls: np.ndarray, low: np.ndarray, high: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """Join rows of the same token whose size ranges can hold linked sets.
 
-    Returns the edges (from, to) between classes and the joined rows (token, class, low, high).
+    Returns the edges (from, to) between classes and the joined rows (token, class, low, high). A row for several classes
+    has low < high even if their sizes are equal, so that it is not taken for a single set.
     """
     order = np.lexsort((cls, low, tokens))
     t, c, lo, hi = tokens[order], cls[order], low[order], high[order]
@@ -152,10 +153,10 @@ def chain(tokens: np.ndarray, cls: np.ndarray, low: np.ndarray, high: np.ndarray
     new[1:] |= den * top[:-1] < num * lo[1:]
     start = np.flatnonzero(new)
     run = np.cumsum(new) - 1
-    least = np.minimum.reduceat(c, start)
+    least, most = np.minimum.reduceat(c, start), np.maximum.reduceat(c, start)
     a, b = c, least[run]
     edges = np.unique(np.stack([a[a != b], b[a != b]], 1), axis=0) if (a != b).any() else np.empty((0, 2), np.int64)
-    return edges[:, 0], edges[:, 1], (t[start], least, lo[start], np.maximum.reduceat(hi, start))
+    return edges[:, 0], edges[:, 1], (t[start], least, lo[start], np.maximum(np.maximum.reduceat(hi, start), lo[start] + (most != least)))
 
 
 def short_pairs(tokens: np.ndarray, cls: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:

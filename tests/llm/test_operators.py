@@ -394,6 +394,19 @@ def test_join_by_brute_force(spark, monkeypatch, block, short):
         assert Counter(tuple(r) for r in got.collect()) == _brute_components(rows, width, num, 100)
 
 
+def test_join_of_equal_sizes_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LOCAL", 2)
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(40):
+        words = rng.permutation(40)[:21].tolist()
+        rows += [(2 * i, " ".join(f"w{w}" for w in words[:20])), (2 * i + 1, " ".join(f"w{w}" for w in words[1:]))]
+    rows = rows[::2] + rows[1::2]  # the copy of each set is in another partition
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    got = ngram_join.link_components(docs, "doc_id", "text", 1, 80, 100, buckets=5)
+    assert Counter(tuple(r) for r in got.collect()) == _brute_components(rows, 1, 80, 100)
+
+
 def test_join_of_nothing(none):
     assert ngram_join.link_components(none, "doc_id", "text", 3, 90, 100).count() == 0
 
