@@ -192,8 +192,22 @@ m AS (SELECT h.path, h.row, s.seq, CASE WHEN a <= a0 AND b0 <= b THEN 1 WHEN a <
 k AS (SELECT *, row_number() OVER (PARTITION BY path, row ORDER BY tier, CASE WHEN tier = 3 THEN -(least(b0, b) - greatest(a0, a)) ELSE b - a END, seq) AS k FROM m)
 SELECT h.path, h.row, tier, h.path || '#' || seq AS id FROM h LEFT JOIN (SELECT * FROM k WHERE k = 1) k USING (path, row)""")
 def three_tier(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lines(spark, d).where("row % 7 = 3").select("path", "row", (F.col("row") % 17).alias("start"), (F.col("row") % 17 + F.col("row") % 5 + 1).alias("end"))
-    return intervals.attribute(rows, _spans(spark, d), "path", ["id"]).select("path", "row", "tier", "id")
+    return _three_tier(spark, d, _lines(spark, d).where("row % 7 = 3"))
+
+
+def _three_tier(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    hunks = rows.select("path", "row", (F.col("row") % 17).alias("start"), (F.col("row") % 17 + F.col("row") % 5 + 1).alias("end"))
+    return intervals.attribute(hunks, _spans(spark, d), "path", ["id"]).select("path", "row", "tier", "id")
+
+
+@bound(f"""WITH {_SPANS}, h AS (SELECT path, (row % 17)::INTEGER AS a0, (row % 17 + row % 5 + 1)::INTEGER AS b0, row FROM lines),
+m AS (SELECT h.path, h.row, s.seq, CASE WHEN a <= a0 AND b0 <= b THEN 1 WHEN a <= a0 AND a0 < b THEN 2 WHEN least(b0, b) > greatest(a0, a) THEN 3 END AS tier, a, b, a0, b0
+      FROM h JOIN spans s ON s.path = h.path WHERE least(b0, b) > greatest(a0, a) OR (a <= a0 AND b0 <= b)),
+k AS (SELECT *, row_number() OVER (PARTITION BY path, row ORDER BY tier, CASE WHEN tier = 3 THEN -(least(b0, b) - greatest(a0, a)) ELSE b - a END, seq) AS k FROM m)
+SELECT h.path, h.row, tier, h.path || '#' || seq AS id FROM h LEFT JOIN (SELECT * FROM k WHERE k = 1) k USING (path, row)""")
+def three_tier_all(spark: SparkSession, d: str) -> DataFrame:
+    """``three_tier`` over every line."""
+    return _three_tier(spark, d, _lines(spark, d))
 
 
 @bound("""

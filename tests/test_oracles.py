@@ -18,3 +18,7 @@ def test_all_code_queries_are_registered():
     import __spark_entry__ as entry
 
     assert set(code_queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_line_is_attributed(spark, sf_dir):
+    assert bindings.QUERIES["three_tier_all"](spark, sf_dir).count() == bindings.QUERIES["lines"](spark, sf_dir).count()
