@@ -125,11 +125,13 @@ def edit_impact(base: dict[str, DataFrame], renames: DataFrame, limit: int = 100
     ids = lambda e, name: cap_per_kind(e, limit, group=("source_id",))[0].groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_set("target_id")).alias(name))
     wanted = renames.select("id").distinct()
     near = lambda k: rel[k].join(wanted, F.col("source_id") == F.col("id"), "left_semi")
-    taken = renames.join(s.select(F.col("name").alias("new_name"), F.col("id").alias("other")).distinct(), "new_name").groupBy("id", "new_name").agg(F.array_sort(F.collect_set("other")).alias("conflicts"))
-    out = renames.join(ids(near("CALLERS"), "callers"), "id", "left").join(ids(near("TESTS"), "tests"), "id", "left").join(taken, ["id", "new_name"], "left")
+    # once per name, so that many renames to one name share its list, and the count alone needs no list
+    taken = s.groupBy(F.col("name").alias("new_name")).agg(F.array_sort(F.collect_set("id")).alias("conflicts"), F.count("id").alias("__taken"))
+    out = renames.join(ids(near("CALLERS"), "callers"), "id", "left").join(ids(near("TESTS"), "tests"), "id", "left").join(taken, "new_name", "left")
     none = F.array().cast("array<string>")
     out = out.withColumns({c: F.coalesce(c, none) for c in ("callers", "tests", "conflicts")})
-    return out.withColumn("safe_to_rename", F.size("conflicts") == 0)
+    rest = [c for c in renames.columns if c not in ("id", "new_name")]
+    return out.select("id", "new_name", *rest, "callers", "tests", "conflicts", (F.coalesce("__taken", F.lit(0)) == 0).alias("safe_to_rename"))
 
 
 def locate(symbols: DataFrame, files: DataFrame, ids: DataFrame) -> DataFrame:

@@ -341,25 +341,54 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY target) AS k F
 SELECT id, kind, least(count(*), 8) AS total_count, count(*) > 2 AS truncated FROM r GROUP BY id, kind
 """)
 def edges_per_kind(spark: SparkSession, d: str) -> DataFrame:
-    o = _t(spark, d, "orders").where("o_custkey < 50").join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return _edges_per_kind(spark, d, _t(spark, d, "orders").where("o_custkey < 50"))
+
+
+def _edges_per_kind(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
+    o = orders.join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     e = o.select(F.col("o_orderkey").alias("id"), F.lit("part").alias("kind"), F.col("l_partkey").alias("target")).unionAll(o.select("o_orderkey", F.lit("supplier"), "l_suppkey"))
     return edges.cap_per_kind(e, 2, "kind", ("target",), ("id",))[1]
 
 
+@bound("""
+WITH e AS (SELECT o_orderkey AS id, 'part' AS kind, l_partkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+           UNION ALL SELECT o_orderkey, 'supplier', l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY target) AS k FROM e)
+SELECT id, kind, least(count(*), 8) AS total_count, count(*) > 2 AS truncated FROM r GROUP BY id, kind
+""")
+def edges_per_kind_all(spark: SparkSession, d: str) -> DataFrame:
+    """``edges_per_kind`` over the orders of all customers."""
+    return _edges_per_kind(spark, d, _t(spark, d, "orders"))
+
+
 @bound("""
 WITH p AS (SELECT p_partkey AS id, p_name, CASE WHEN p_partkey % 3 = 0 THEN 'renamed-' || p_partkey ELSE (SELECT min(p_name) FROM part) END AS new_name FROM part WHERE p_partkey <= 60)
 SELECT id, new_name, (SELECT count(*) FROM part WHERE p_name = new_name) = 0 AS safe_to_rename FROM p
 """)
 def rename_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return _rename_conflicts(spark, d, _t(spark, d, "part").where("p_partkey <= 60"))
+
+
+def _rename_conflicts(spark: SparkSession, d: str, judged: DataFrame) -> DataFrame:
     part = _t(spark, d, "part")
     first = part.agg(F.min("p_name")).first()[0]
     s = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("path"), F.lit("").alias("pkg"), F.lit("CLASS").alias("kind"), F.lit("").alias("summary"), F.lit(0).alias("start_row"), F.lit(0).alias("end_row"), F.lit("").alias("receiver"))
     spark_ = part.sparkSession
     none = {"call_edges": spark_.createDataFrame([], "path string, pkg string, caller_id string, caller_name string, caller_receiver string, caller_start_row int, callee_name string"), "imports": spark_.createDataFrame([], "path string, import_path string, start_row int, end_row int"), "inherits": spark_.createDataFrame([], "path string, class_name string, parent_name string")}
-    renames = part.where("p_partkey <= 60").select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("renamed-"), F.col("p_partkey").cast("string"))).otherwise(F.lit(first)).alias("new_name"))
+    renames = judged.select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("renamed-"), F.col("p_partkey").cast("string"))).otherwise(F.lit(first)).alias("new_name"))
     return edges.edit_impact({"symbols": s} | none, renames).select(F.col("id").cast("long").alias("id"), "new_name", "safe_to_rename")
 
 
+@bound("""
+WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'renamed-' || p_partkey ELSE (SELECT min(p_name) FROM part) END AS new_name FROM part),
+n AS (SELECT p_name AS new_name, count(*) AS n FROM part GROUP BY p_name)
+SELECT id, new_name, coalesce(n, 0) = 0 AS safe_to_rename FROM p LEFT JOIN n USING (new_name)
+""")
+def rename_conflicts_all(spark: SparkSession, d: str) -> DataFrame:
+    """``rename_conflicts`` for all parts."""
+    return _rename_conflicts(spark, d, _t(spark, d, "part"))
+
+
 # --- structure
 
 @bound("SELECT 'files' AS what, count(*) AS n FROM documents UNION ALL SELECT 'packages', count(DISTINCT source) FROM documents UNION ALL SELECT o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus")

@@ -22,3 +22,9 @@ def test_all_code_queries_are_registered():
 
 def test_every_line_is_attributed(spark, sf_dir):
     assert bindings.QUERIES["three_tier_all"](spark, sf_dir).count() == bindings.QUERIES["lines"](spark, sf_dir).count()
+
+
+def test_every_order_and_part_is_judged(spark, sf_dir):
+    con = connect(sf_dir)
+    assert bindings.QUERIES["edges_per_kind_all"](spark, sf_dir).count() == con.sql("SELECT 2 * count(DISTINCT l_orderkey) FROM lineitem JOIN orders ON o_orderkey = l_orderkey").fetchall()[0][0]
+    assert bindings.QUERIES["rename_conflicts_all"](spark, sf_dir).count() == con.sql("SELECT count(*) FROM part").fetchall()[0][0]
