@@ -11,7 +11,7 @@ The trees are fitted on pages composed by ``training_pages`` (a seeded generator
 used for it. Scripts, styles, templates, form controls, embedded objects and the head are never text.
 
 Text: character references are decoded; white space within a block becomes one space; blocks are trimmed and joined in
-page order by a line feed; ``<br>`` is white space. Defined results: a null or empty page, or one without content,
+page order by a line feed; ``<br>`` is white space; text outside all blocks is a block of its own. Defined results: a null or empty page, or one without content,
 gives ''; text after an unclosed comment, script or tag is dropped as browsers do; repeated rows get equal values.
 """
 
@@ -118,6 +118,11 @@ class Page:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
+            if not node:  # text held by the document itself is a paragraph of its own
+                self._open([0], "p", "")
+                node = len(self.tag) - 1
+                for count in (self.linked, self.inline):
+                    count[0], count[node] = 0, count[0]
             self.runs.append((node, text))
             self.own[node] += len(text)
             self.commas[node] += text.count(",") + text.count(".")

@@ -49,6 +49,12 @@ def test_html_page(html_model):
     assert html_model.extract([page]) == ["A & B\nFirst line goes on.\nSecond bold\nThird."]
 
 
+def test_html_text_outside_all_blocks(html_model):
+    text = " ".join(["A page of bare text, with <b>some</b> words that stand in no block at all, and it goes on for a while."] * 8)
+    plain = text.replace("<b>", "").replace("</b>", "")
+    assert html_model.extract([text, f"<p>{text}</p>", f"<body><article><p>{text}</article></body>{text}"]) == [plain, plain, f"{plain}\n{plain}"]
+
+
 def test_html_edges(spark, html_model):
     rows = [(1, None), (2, ""), (3, "<"), (4, "<!-- open"), (5, "<script>x"), (6, "<p " * 2000), (7, "</p></div>" * 500), (8, "<div>" * 3000 + "x"), (8, "<article><p>y</article>"), (9, "<article><p>" + "long text, more of it. " * 5000 + "</article>")]
     got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, html string"), "html", ["page_id"]).collect()
