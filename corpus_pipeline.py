@@ -3,8 +3,9 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of ``documents``.
 
-- language: rows whose language cannot be told (no letter, or a score below ``MIN_LANGUAGE_SCORE``) go. The model is
-  trained on the rows that have a language.
+- language: rows without a letter (``und``) or with a score below ``MIN_LANGUAGE_SCORE`` go. The model is trained on the
+  rows that have a language. With two families of two languages, as in ``documents``, every score is 0.25 or more, so that
+  only ``und`` goes: a text in a language that was not learned stays, under the nearest learned one.
 - toxicity: rows scored 0.5 or more go. The model is trained on the labelled rows that are still there.
 - repeats: of each component of five-word shingle sets linked at a similarity of 0.8, the row with the smallest id stays
   (one row of those that share it). Rows without words or without an id stay.
