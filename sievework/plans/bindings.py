@@ -142,6 +142,12 @@ def regex_lines(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("path", "row", F.when(F.octet_length("text") <= 200, F.col("snippet")).alias("snippet"))
 
 
+@bound()
+def regex_lines_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``regex_lines`` with the snippet of every line, cut and marked if it is longer."""
+    return pattern.find_lines(_lines(spark, d), RE, scope="src1", file_glob="*/e*/*").select("path", "row", "snippet")
+
+
 @bound("SELECT part.p_partkey, CASE WHEN strlen(p_name || ' ' || p_type || repeat(' ' || p_brand, 20)) > 200 THEN substr(p_name || ' ' || p_type || repeat(' ' || p_brand, 20), 1, 200) || '…' ELSE p_name || ' ' || p_type || repeat(' ' || p_brand, 20) END AS snippet FROM part")
 def ascii_snippets(spark: SparkSession, d: str) -> DataFrame:
     long = F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"), F.repeat(F.concat(F.lit(" "), "p_brand"), 20))

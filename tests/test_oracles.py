@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from sievework.plans import bindings, code_queries
 
@@ -20,6 +22,14 @@ def test_all_code_queries_are_registered():
     assert set(code_queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_snippets_of_all_lines(spark, sf_dir):
+    cut = lambda b: b.decode() if len(b) <= 200 else b[:200].decode("utf-8", "replace") + "…"
+    hits = [r for r in bindings.QUERIES["lines"](spark, sf_dir).collect() if r.path.startswith("src1") and r.path.split("/")[1].startswith("e") and re.search(bindings.RE, r.text)]
+    assert any(len(r.text.encode()) > 200 for r in hits)
+    got = bindings.QUERIES["regex_lines_whole"](spark, sf_dir).collect()
+    assert sorted(map(tuple, got)) == sorted((r.path, r.row, cut(r.text.encode())) for r in hits)
+
+
 def test_every_line_is_attributed(spark, sf_dir):
     assert bindings.QUERIES["three_tier_all"](spark, sf_dir).count() == bindings.QUERIES["lines"](spark, sf_dir).count()
 
