@@ -2,54 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop, new_path, stored, stored_alone
 from ..shipping import ship_package
 
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current.rstrip("/")
-        folder = tempfile.mkdtemp(prefix="sievework-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/sievework-{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage at a Parquet table in the shared folder, which survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the tables that this session's operators wrote to the shared folder (their results must be saved by then)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        p.getFileSystem(conf).delete(p, True)
+__all__ = ["crc_of_id", "drop", "join_counted", "new_path", "quoted", "release_memory", "small_batches", "stored", "stored_alone", "table"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Prepare for Python operators: ship the package; bound Arrow batches to ``rows`` rows, and 16 MB where Spark can."""
+    """Prepare for Python operators: ship the package; bound Arrow batches to ``rows`` rows, and 16 MB where Spark can.
+
+    Results are lazy, so the settings stay with the session; they are only ever lowered.
+    """
     ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -57,7 +23,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def release_memory() -> None:
-    """Give what training has freed back to the system, so that a long-lived driver does not keep its peak."""
+    """Give freed memory back to the system, so that a long-lived process does not keep its peak."""
     import ctypes
     import gc
 
@@ -71,6 +37,28 @@ def release_memory() -> None:
         pass
 
 
+HOT_ROWS = 100_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined by ``key`` with ``keyed``: a stored table with one row per key, and in ``count`` how many of the ``total`` rows have it.
+
+    Keys of ``HOT_ROWS`` rows and a ten-thousandth of all are no more than 10,000: these are broadcast, so that the rows
+    of a hot key stay where they are. All others meet by shuffle.
+    """
+    if total < HOT_ROWS:
+        return rows.join(keyed, key)
+    least = max(HOT_ROWS, -(-total // 10_000))
+    hot = keyed.where(F.col(count) >= least)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col(count) < least), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def crc_of_id(doc_id: Column | str) -> Column:
     """crc32 of the id written as decimal text (null for a null id)."""
     return F.crc32(F.encode(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), "utf-8"))

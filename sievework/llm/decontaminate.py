@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import stored
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -81,7 +81,7 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     rows = bare_doc.select("doc", F.xxhash64("text").alias("row"), "text")
     words = rows.select("doc", "row", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
     probe = words.select("doc", "row", F.explode(F.concat(*[_hashed("w", n) for n in sizes])).alias("h"))
-    found = materialize(probe.join(small(sketch), "h").select("doc", "row", "item").distinct(), "candidates")
+    found = stored(probe.join(small(sketch), "h").select("doc", "row", "item").distinct(), "candidates")
 
     full = rows.join(found.select("doc", "row").distinct().hint("shuffle_hash"), ["doc", "row"], "left_semi").dropDuplicates(["doc", "row"])
     texts = full.select("doc", "row", _words(F.col("text")).alias("w"))

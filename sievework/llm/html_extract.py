@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees
-from .common import small_batches
+from .common import quoted, small_batches
+from .workers import Memo, kept
 
 TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|<)*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -71,20 +72,12 @@ HEAD_END = re.compile(r"</head\s*>|<body\b|<(?:div|nav|header|main|article|secti
 HIDDEN = re.compile(r"<(script|style|title|noscript)\b.*?</\1\s*>", re.I | re.A | re.S)
 CLOSING = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW | DROPPED}
 
-_attribute_groups: dict[str, int] = {}
-
-
 def groups_of(attributes: str) -> int:
     """Bit set of the GROUPS that an element's class, id and role speak of."""
-    got = _attribute_groups.get(attributes)
-    if got is None:
-        got = 0
-        for _, a, b, c in NAMED.findall(attributes):
-            for w in PIECE.findall(a or b or c):
-                got |= _GROUP_OF.get(w.lower(), 0)
-        if len(_attribute_groups) > 100_000:
-            _attribute_groups.clear()
-        _attribute_groups[attributes] = got
+    got = 0
+    for _, a, b, c in NAMED.findall(attributes):
+        for w in PIECE.findall(a or b or c):
+            got |= _GROUP_OF.get(w.lower(), 0)
     return got
 
 

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches
-from .wordtable import Grams, WordTable
+from .common import quoted, release_memory, small_batches
+from .wordtable import WordTable, gram_hashes
+from .workers import forget, kept
 
 DIM = 2048
 WORD = re.compile(r"[^\W\d_]+")
@@ -54,12 +55,9 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(re.split(r"[-_]", lang.lower())[0], f"only:{lang}")
 
 
-_grams = Grams(DIM)
-
-
 def word_features(word: str) -> list[int]:
     """Hashed features of one lower-case word."""
-    w, get = f"<{word}>", _grams.__getitem__
+    w, get = f"<{word}>", kept("langid", "grams", lambda: gram_hashes(DIM)).__getitem__
     out = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % DIM]
     out += map(get, w)
     out += [get(w[i : i + 2]) for i in range(len(w) - 1)]
@@ -161,7 +159,7 @@ class Model:
 def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Column | None = None, rows_per_language: int = 800) -> Model:
     """Fit a model on about ``rows_per_language`` rows of each language among the rows where ``usable`` holds."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if usable is None else usable).alias("ok"))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"), (F.lit(True) if usable is None else usable).alias("ok"))
     rows = rows.where("ok AND lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -187,6 +185,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Co
     x, langs = x[order], langs[order]
     model = Model(list(set(langs.tolist()))).fit(x, langs)
     del x, order
+    forget()
     release_memory()
     return model
 
@@ -195,13 +194,13 @@ def identify(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: li
     """``id_col`` and the columns in ``keep``, then (with ``prefix``) lang_pred string and score double, for every row."""
     small_batches(docs.sparkSession)
     keep = keep or []
-    rows = docs.select(F.col(id_col).alias("c0"), *[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep, 1)], F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("c0"), *[quoted(k).alias(f"c{i}") for i, k in enumerate(keep, 1)], quoted(text_col).alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sievework.llm.wordtable import table_for
+        from sievework.llm.workers import kept
 
-        table = table_for(model.token, model.table)
+        table = kept("langid", "words", model.table, model.token)
         for b in batches:
             got = [model.predict(t, table) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])

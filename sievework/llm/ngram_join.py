@@ -5,9 +5,12 @@ case; a text with fewer words is one shingle). Two sets link when ``den * |A & B
 
 1. Texts with equal sets form a class, found by the set's hash; copies are never paired.
 2. Shingles are put in one global order, rare ones first: those that recur within tasks are counted (a bounded list of
-   the most frequent is broadcast), all others rank before them, by hash. Any order is exact.
+   the most frequent is broadcast), all others rank before them, by hash. Any order is exact. Those counted ``LONG`` times or
+   more are common.
 3. Linked sets A, B share at least T = ceil(num / den * |A|) shingles, so of the first |A| - T + k of their order, the short
-   lists of DivideSkip, they share at least k, here k = 1 + (|A| - T) // 2 (the smaller of both sets'). Postings of these
+   lists of DivideSkip, they share at least k, here k = 1 + (|A| - T) // 2 (the smaller of both sets'). A set with h common
+   shingles among these leaves them out, and needs h fewer shared ones, as long as h is below the k of every possible
+   partner: then at least one shared shingle is not common. Only sets with more of them post common shingles. Postings
    are grouped by shingle. Lists of up to ``SHORT`` sets count for each two of them what they share, and pairs below k
    go. In longer lists, up to ``LONG``, each set is held against the others by odd sketches, and a spanning forest of the
    possible partners is kept. Still longer ones give chains of sets of compatible sizes, within a task
@@ -17,7 +20,7 @@ case; a text with fewer words is one shingle). Two sets link when ``den * |A & B
 4. Within a cluster, each set is a query against the inverted lists of the others: the short lists are merged
    (a heap for few postings, a merge sort for many), the occurrences counted, and the partners' remaining overlap is
    found by binary probes for the long lists, stopping at the required overlap. Pairs that are connected already
-   are not probed. A cluster above ``BLOCK`` sets is cut into units by size band and hash, and
+   are not probed. A cluster of more than ``UNIT`` shingles is cut into units of about that many by size band and hash, and
    pairs of units are searched as separate tasks, so that no task holds more than about two units.
 5. The links found (a forest for each task) are joined to components.
 
@@ -40,32 +43,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import drop, quoted, small_batches, stored
 from .components import components
+from .workers import Memo, kept
 
 HEAVY = 500_000
-BLOCK = 1024
+UNIT = 1 << 20
+POSTINGS = 500_000
 SHORT = 16
 LONG = 4096
 LOCAL = 256
 ODD_BITS = 512
 ALWAYS = 1 << 40
 FLUSH_WORDS = 4_000_000
-WORD_CACHE = 500_000
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-_hashes = WordHashes()
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    memo = kept("ngram_join", "words", lambda: Memo(xxhash.xxh3_64_intdigest))
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,7 +76,7 @@ def shingle_set(text: str | bytes | None, width: int) -> np.ndarray:
     words = raw.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    w = _hashes.of(words)
+    w = word_hashes(words)
     k = min(width, len(w))
     n = len(w) - k + 1
     s = np.full(n, k, np.uint64)
@@ -127,15 +122,23 @@ def required(n, num: int, den: int):
     return 1 + (n - -(-num * n // den)) // 2
 
 
-def short_list(s: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The |A| - T + k rarest shingles. ``heavy`` lists (hash, rank) rows by hash, rank from 1 for the rarest of them."""
-    keep = len(s) - -(-num * len(s) // den) + required(len(s), num, den)
+def short_list(s: np.ndarray, heavy: np.ndarray, common: int, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The shingles that a set posts, and how many of them a linked set shares at least.
+
+    ``heavy`` lists (hash, rank) rows by hash, rank from 1 for the rarest of them; ranks from ``common`` on are common.
+    """
+    need = required(len(s), num, den)
+    keep = len(s) - -(-num * len(s) // den) + need
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy[:, 0], s), len(heavy) - 1)
         rank = np.where(heavy[at, 0] == s, heavy[at, 1], 0)
         if rank.any():
-            return s[np.argsort(rank, kind="stable")[:keep]]
-    return s[:keep]
+            order = np.argsort(rank, kind="stable")[:keep]
+            many = int((rank[order] >= common).sum())
+            if many < required(-(-num * len(s) // den), num, den):
+                return s[order[: keep - many]], need - many
+            return s[order], 1
+    return s[:keep], need
 
 
 def chain(tokens: np.ndarray, cls: np.ndarray, low: np.ndarray, high: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
@@ -159,8 +162,8 @@ def chain(tokens: np.ndarray, cls: np.ndarray, low: np.ndarray, high: np.ndarray
     return edges[:, 0], edges[:, 1], (t[start], least, lo[start], np.maximum(np.maximum.reduceat(hi, start), lo[start] + (most != least)))
 
 
-def short_pairs(tokens: np.ndarray, cls: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
-    """For rows sorted by token, with few classes each: (a, b, size of a, size of b, shared tokens) of possible partners."""
+def short_pairs(tokens: np.ndarray, cls: np.ndarray, size: np.ndarray, need: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """For rows sorted by token, with few classes each: (a, b, need of a, need of b, shared tokens) of possible partners."""
     out = []
     for d in range(1, SHORT):
         i = np.flatnonzero(tokens[d:] == tokens[:-d])
@@ -174,7 +177,7 @@ def short_pairs(tokens: np.ndarray, cls: np.ndarray, size: np.ndarray, num: int,
     if not out:
         return tuple(np.empty(0, np.int64) for _ in range(5))
     at = np.concatenate(out)
-    pairs = np.stack([cls[at[:, 0]], cls[at[:, 1]], size[at[:, 0]], size[at[:, 1]]], 1)
+    pairs = np.stack([cls[at[:, 0]], cls[at[:, 1]], need[at[:, 0]], need[at[:, 1]]], 1)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs = pairs[order]
     start = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)])) if len(pairs) else np.empty(0, np.int64)
@@ -288,8 +291,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
     """Per row: ``id_col``, n_shingles long, component_id long (smallest linked id, itself included)."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sievework.llm.ngram_join import odd_sketch, set_hash, shingle_set
@@ -319,40 +321,44 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
         if n_held:
             yield frequent()
 
-    described = materialize(rows.mapInArrow(describe, "id long, n long, cls long, odd binary, heavy array<long>, times array<long>"), "sets")
+    described = stored(rows.mapInArrow(describe, "id long, n long, cls long, odd binary, heavy array<long>, times array<long>"), "sets")
     info = described.where("heavy IS NULL").select("id", "n", "cls", "odd")
     classes = info.where("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd"))
     often = described.where("heavy IS NOT NULL").select(F.explode(F.arrays_zip("heavy", "times")).alias("x"))
     often = often.groupBy("x.heavy").agg(F.sum("x.times").alias("times")).orderBy(F.desc("times"), "heavy").limit(HEAVY).toArrow()
     heavy = np.stack([often["heavy"].to_numpy().view(np.uint64), np.arange(often.num_rows, 0, -1, dtype=np.uint64)], 1) if often.num_rows else np.empty((0, 2), np.uint64)
+    common = int((often["times"].to_numpy() < LONG).sum()) + 1  # the rank of the rarest common shingle
     shared = spark.sparkContext.broadcast(heavy[np.argsort(heavy[:, 0], kind="stable")])
+    n_shingles = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # about 2 (1 - num / den) of the shingles are posted
+    buckets = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * (den - num) * n_shingles // (den * POSTINGS)))
 
     def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sievework.llm.ngram_join import _pack, by_list_length, chain, set_hash, shingle_set, short_list
 
         rank, seen, held, n_held = shared.value, set(), [], 0
-        names = ["bucket", "tokens", "cls", "low", "high", "a", "b"]
+        names = ["bucket", "tokens", "cls", "low", "high", "need", "a", "b"]
 
         def flush() -> pa.RecordBatch:
-            tokens = np.concatenate([x for x, _, _ in held])
-            many = [len(x) for x, _, _ in held]
-            cls, size = np.repeat(np.array([c for _, c, _ in held], np.int64), many), np.repeat(np.array([n for _, _, n in held], np.int64), many)
+            tokens = np.concatenate([h[0] for h in held])
+            many = [len(h[0]) for h in held]
+            cls, size, need = (np.repeat(np.array([h[k] for h in held], np.int64), many) for k in (1, 2, 3))
             order = np.argsort(tokens, kind="stable")
-            tokens, cls, size = tokens[order], cls[order], size[order]
+            tokens, cls, size, need = tokens[order], cls[order], size[order], need[order]
             _, long = by_list_length(tokens, size, size, LOCAL)
             a, b, joined = chain(tokens[long], cls[long], size[long], size[long], num, den) if long.any() else (np.empty(0, np.int64), np.empty(0, np.int64), None)
             low = high = size
             if joined:
-                tokens, cls, low, high = (np.concatenate([x[~long], y]) for x, y in zip((tokens, cls, size, size), joined))
+                tokens, cls, low, high, need = (np.concatenate([x[~long], y]) for x, y in zip((tokens, cls, size, size, need), (*joined, np.ones(len(joined[0]), np.int64))))
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
             token = (tokens >> np.uint64(32)).astype(np.uint32)  # in a bucket 32 bits will do: a clash only adds a candidate
-            low, high = low.astype(np.int32), high.astype(np.int32)
+            low, high, need = low.astype(np.int32), high.astype(np.int32), need.astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            out = [(int(bucket[p[0]]), *_pack(token[p], cls[p], low[p], high[p]), b"", b"") for p in np.split(order, cuts)]
+            out = [(int(bucket[p[0]]), *_pack(token[p], cls[p], low[p], high[p], need[p]), b"", b"") for p in np.split(order, cuts)]
             if len(a):
-                out.append((int(a[0]) % buckets, b"", b"", b"", b"", *_pack(a, b)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *[pa.array([r[k] for r in out], pa.binary()) for k in range(1, 7)]], names)
+                out.append((int(a[0]) % buckets, b"", b"", b"", b"", b"", *_pack(a, b)))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *[pa.array([r[k] for r in out], pa.binary()) for k in range(1, 8)]], names)
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -365,7 +371,8 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(c)
-                held.append((short_list(s, rank, num, den), c, len(s)))
+                tokens, need = short_list(s, rank, common, num, den)
+                held.append((tokens, c, len(s), need))
                 n_held += len(held[-1][0])
             if n_held > FLUSH_WORDS // 4:
                 yield flush()
@@ -373,32 +380,31 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
         if held:
             yield flush()
 
-    posted = rows.where("text IS NOT NULL AND id IS NOT NULL").select("text").mapInArrow(posting_rows, "bucket long, tokens binary, cls binary, low binary, high binary, a binary, b binary")
+    posted = rows.where("text IS NOT NULL AND id IS NOT NULL").select("text").mapInArrow(posting_rows, "bucket long, tokens binary, cls binary, low binary, high binary, need binary, a binary, b binary")
 
     def join_lists(key: tuple, t: pa.Table) -> pa.Table:
         from sievework.llm.ngram_join import ALWAYS, LONG, SHORT, by_list_length, chain, short_pairs
 
-        kinds = (("tokens", np.uint32), ("cls", np.int64), ("low", np.int32), ("high", np.int32), ("a", np.int64), ("b", np.int64))
-        tokens, cls, low, high, a0, b0 = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in kinds)
+        kinds = (("tokens", np.uint32), ("cls", np.int64), ("low", np.int32), ("high", np.int32), ("need", np.int32), ("a", np.int64), ("b", np.int64))
+        tokens, cls, low, high, need, a0, b0 = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in kinds)
         order = np.lexsort((high, low, cls, tokens))
-        tokens, cls, low, high = tokens[order], cls[order], low[order].astype(np.int64), high[order].astype(np.int64)
+        tokens, cls, low, high, need = tokens[order], cls[order], low[order].astype(np.int64), high[order].astype(np.int64), need[order].astype(np.int64)
         if len(tokens):  # a copy of a class in another task is the same row
             new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-            tokens, cls, low, high = tokens[new], cls[new], low[new], high[new]
+            tokens, cls, low, high, need = tokens[new], cls[new], low[new], high[new], need[new]
         short, more = by_list_length(tokens, low, high, SHORT)
         _, huge = by_list_length(tokens, low, high, LONG)
         long = more & ~huge
-        a, b, na, nb, shared = short_pairs(tokens[short], cls[short], low[short], num, den)
+        a, b, na, nb, shared = short_pairs(tokens[short], cls[short], low[short], need[short], num, den)
         c, d, _ = chain(tokens[huge], cls[huge], low[huge], high[huge], num, den) if huge.any() else (np.empty(0, np.int64), np.empty(0, np.int64), None)
         x, y, none = np.concatenate([c, a0]), np.concatenate([d, b0]), np.zeros(len(c) + len(a0), np.int64)
         names = np.int64(key[0].as_py()) << 32 | tokens[long].astype(np.int64)
         parts = (a, np.minimum(x, y), cls[long]), (b, np.maximum(x, y), names), (na, none, low[long]), (nb, none, low[long]), (shared, none + ALWAYS, np.full(int(long.sum()), -1))
         return pa.table({k: np.concatenate(p) for k, p in zip(("a", "b", "na", "nb", "shared"), parts)})
 
-    raw = materialize(posted.groupBy("bucket").applyInArrow(join_lists, "a long, b long, na long, nb long, shared long"), "lists")
+    raw = stored(posted.groupBy("bucket").applyInArrow(join_lists, "a long, b long, na long, nb long, shared long"), "lists")
     met = raw.where("shared >= 0").groupBy("a", "b").agg(F.sum(F.col("shared").cast("double")).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    slack = lambda n: F.lit(1) + F.floor((F.col(n) - F.ceil(F.col(n) * num / F.lit(den))) / 2)
-    pairs = met.where(F.col("shared") >= F.least(slack("na"), slack("nb"))).select("a", "b", "shared")
+    pairs = met.where(F.col("shared") >= F.least("na", "nb")).select("a", "b", "shared")
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -426,11 +432,12 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
     listed = long_rows.groupBy(F.pmod(F.xxhash64("list"), F.lit(buckets)).alias("bucket")).applyInArrow(link_lists, "a long, b long")
     near = pairs.unionAll(listed)
     clusters = components(near).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
-    members = materialize(clusters.join(classes.drop("odd"), "cls"), "members")
-    counts = members.groupBy("cluster").agg(F.count("*").alias("m"))
+    members = stored(clusters.join(classes.drop("odd"), "cls"), "members")
+    drop(raw)
+    counts = members.groupBy("cluster").agg(F.sum("n").alias("w"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("long")
-    units = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
-    placed = members.join(counts, "cluster").withColumns({"u": F.when(F.col("m") <= BLOCK, 0).otherwise(units), "band": band, "part": F.pmod(F.xxhash64("cls"), units)})
+    units = F.ceil(F.col("w") / F.lit(UNIT)).cast("long")
+    placed = members.join(counts, "cluster").withColumns({"u": F.when(F.col("w") <= UNIT, 0).otherwise(units), "band": band, "part": F.pmod(F.xxhash64("cls"), units)})
 
     # A unit is (band, part) in one number; a task is a pair of units whose bands are equal or adjacent.
     unit = lambda b, p: b * F.lit(1 << 20) + p

@@ -7,9 +7,10 @@ all places are taken, the fullest open bin closes first. Pieces reach the packer
 longest first within a run. Bins still open at the end of a task travel on as single items: they are merged by the
 same packer in groups of tasks, so what is lost to half-full bins does not grow with the number of tasks.
 
-Tokenising caches ids by white-space-free chunk (texts are cut at blanks and line feeds, across which this tokenizer
-neither merges nor normalises) in a dictionary of at most ``CACHE`` chunks, emptied when full. A chunk of letters
-with a capital or with a stop or comma behind it is put together from the ids of its parts.
+Tokenising remembers ids by white-space-free chunk, in a bounded memory, where the tokenizer's file says that it lower-cases,
+cuts words out by ``WORDS`` and drops white space: then no piece of a text reaches across a blank or a line feed, and a chunk
+of Latin letters with a capital in front, or with a stop or comma behind it, has the ids of its parts. With any other tokenizer file
+each text is tokenised as a whole.
 
 Defined results: a null text is empty and holds only the end id, so every row gives at least one piece; repeated rows
 are packed separately; an empty table gives no rows. Sequence ids are arbitrary and distinct.
@@ -17,6 +18,8 @@ are packed separately; an empty table gives no rows. Sequence ids are arbitrary
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -27,14 +30,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import quoted, small_batches, stored
+from .workers import Memo
 
 CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 LOOKAHEAD = 1 << 15
-CACHE = 1_000_000
 GROUP = 64
+MEMORY = 48 << 20
+# The pattern by which the tokenizers that may be applied chunk by chunk cut out words, and their normalisers.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+#: Letters that neither normalising nor lower-casing turns into anything but letters (the dotted capital I becomes an i and a mark).
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,7 +60,7 @@ class Packer:
             free = length + (above & -above).bit_length() - 1
             k = self._take(free)
         else:
-            if self.n_open >= self.open_bins:
+            if length < self.capacity and self.n_open >= self.open_bins:  # a full piece needs no place
                 self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
             k, free = self.n_bins, self.capacity
             self.n_bins += 1
@@ -76,40 +85,40 @@ class Packer:
         return {k: self.capacity - free for free, bins in self.by_free.items() for k in bins}
 
 
-class ChunkIds(dict):
-    """Little-endian 32-bit ids of chunks without blanks or line feeds, as bytes."""
+class TextIds:
+    """Little-endian 32-bit ids of texts, as bytes."""
 
-    def __init__(self, tokenizer_file: str):
-        super().__init__()
+    def __init__(self, tokenizer_file: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        with open(tokenizer_file, encoding="utf-8") as f:
+            self.by_chunk = _cuts_at_blanks(json.load(f))
+        self.chunks = Memo(self._chunk, memory)
 
-    def __missing__(self, chunk: str) -> bytes:
-        """Letters with a stop or comma behind them are two words to the tokenizer, and it lowers A-Z itself."""
-        if len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]]
-        elif "A" <= chunk[:1] <= "Z" and chunk.isalpha():
-            ids = self[chunk[0].lower() + chunk[1:]]
-        else:
-            ids = array("I", self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids).tobytes()
-        self[chunk] = ids
-        return ids
-
-    def text_ids(self, text: str | None) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk[-1:] in (".", ",") and LATIN.fullmatch(chunk):
+            return self.chunks[chunk[:-1]] + self.chunks[chunk[-1]]
+        if "A" <= chunk[:1] <= "Z" and chunk.isalpha():
+            return self.chunks[chunk[0].lower() + chunk[1:]]
+        return self._encode(chunk)
 
-_tokenizers: dict[str, ChunkIds] = {}
+    def of(self, text: str | None) -> bytes:
+        if not self.by_chunk:
+            return self._encode(text or "")
+        return b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
-def chunk_ids(tokenizer_file: str) -> ChunkIds:
-    if tokenizer_file not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[tokenizer_file] = ChunkIds(tokenizer_file)
-    return _tokenizers[tokenizer_file]
+def _cuts_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer file describes what the rules for chunks rely on."""
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    cuts = first.get("type") == "Split" and first.get("pattern") == {"Regex": WORDS} and first.get("behavior") == "Removed" and first.get("invert") is True
+    steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    blanks = any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"])
+    return cuts and steps == NORMALIZERS and not blanks and not spec.get("post_processor")
 
 
 def cut(ids: bytes, capacity: int) -> Iterable[tuple[int, int, int, int]]:
@@ -135,9 +144,11 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_file: str | None
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sievework.llm.packing import chunk_ids, default_tokenizer
+        from sievework.llm.packing import TextIds, default_tokenizer
+        from sievework.llm.workers import kept
 
-        table, packer, task = chunk_ids(tokenizer_file or default_tokenizer()), Packer(capacity, open_bins), TaskContext.get().partitionId()
+        file = tokenizer_file or default_tokenizer()
+        ids, packer, task = kept("packing", "ids", lambda: TextIds(file), file), Packer(capacity, open_bins), TaskContext.get().partitionId()
         waiting: list[tuple] = []
         done: list[tuple] = []
 
@@ -152,7 +163,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_file: str | None
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                waiting.extend((doc_id, *p) for p in cut(table.text_ids(text) + end, capacity))
+                waiting.extend((doc_id, *p) for p in cut(ids.of(text) + end, capacity))
             if len(waiting) >= LOOKAHEAD:
                 flush()
                 still = packer.still_open()
@@ -165,8 +176,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_file: str | None
         for k in range(0, len(done), 10_000):
             yield out(done[k : k + 10_000], still)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialize(rows.mapInArrow(run, f"{PIECES}, task long, bin long, offset long, open boolean"), "pieces")
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
+    pieces = stored(rows.mapInArrow(run, f"{PIECES}, task long, bin long, offset long, open boolean"), "pieces")
 
     def merge(key: tuple, items: pa.Table) -> pa.Table:
         items = items.sort_by([("used", "descending"), ("task", "ascending"), ("bin", "ascending")])

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import stored, small_batches
 
 ORDER = 5
 BLOCK_BYTES = 7 << 20
@@ -280,7 +280,7 @@ def score_texts(docs: DataFrame, id_col: str, text_col: str, held_out: Column, o
         if ids:
             yield from flush()
 
-    made = materialize(rows.mapInArrow(gather, A_TABLE), "ppm-blocks")
+    made = stored(rows.mapInArrow(gather, A_TABLE), "ppm-blocks")
 
     def spread_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(65536, np.int64)
@@ -315,7 +315,7 @@ def score_texts(docs: DataFrame, id_col: str, text_col: str, held_out: Column, o
         n, v = int(total.sum()), int((total > 0).sum())
         return pa.table({"block": t["block"], "kind": pa.array([WORDS] * len(parts), pa.int32()), "bucket": t["bucket"], "a": pa.array([squeeze(p) for p in parts], pa.binary()), "n": pa.array([n] + [0] * (len(parts) - 1), pa.int64()), "v": pa.array([v] + [0] * (len(parts) - 1), pa.int64())})
 
-    by_word = materialize(made.where(F.col("kind") == WORDS).select("block", "bucket", "a", "b").groupBy("bucket").applyInArrow(answer_words, "block long, kind int, bucket long, a binary, n long, v long"), "ppm-words")
+    by_word = stored(made.where(F.col("kind") == WORDS).select("block", "bucket", "a", "b").groupBy("bucket").applyInArrow(answer_words, "block long, kind int, bucket long, a binary, n long, v long"), "ppm-words")
     sums = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     ends = rows.where("NOT held").count()
     n_tokens, n_words = sums[0] + ends, sums[1] + (ends > 0)

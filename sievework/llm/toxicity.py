@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches
-from .wordtable import Grams, WordTable
+from .common import quoted, release_memory, small_batches
+from .wordtable import WordTable, gram_hashes
+from .workers import forget, kept
 
 BUCKETS = 1 << 16
 SIZE = 8
@@ -42,11 +43,8 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (x.strip(EDGES) for x in (text or "").lower().split()) if w]
 
 
-_grams = Grams(BUCKETS)
-
-
 def subwords(word: str) -> list[int]:
-    w, get = f"<{word}>", _grams.__getitem__
+    w, get = f"<{word}>", kept("toxicity", "grams", lambda: gram_hashes(BUCKETS)).__getitem__
     out = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS]
     for n in (3, 4, 5):
         out += [get(w[i : i + n]) for i in range(len(w) - n + 1)]
@@ -218,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     texts, labels = got["text"].tolist(), got["y"].tolist()
     del got
     model = fit(texts, labels)
-    _grams.clear()
+    forget()
     del texts
     release_memory()
     return model
@@ -228,13 +226,13 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[
     """``id_col`` and the columns in ``keep``, then (with ``prefix``) score double and predicted int, for every row."""
     small_batches(docs.sparkSession)
     keep = keep or []
-    rows = docs.select(F.col(id_col).alias("c0"), *[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep, 1)], F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("c0"), *[quoted(k).alias(f"c{i}") for i, k in enumerate(keep, 1)], quoted(text_col).alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sievework.llm.wordtable import table_for
+        from sievework.llm.workers import kept
 
-        table = table_for(model.token, model.table)
+        table = kept("toxicity", "words", model.table, model.token)
         for b in batches:
             got = [model.score(t, table) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], [*b.schema.names[:-1], "score", "predicted"])

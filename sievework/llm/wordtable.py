@@ -2,57 +2,49 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 
+from .workers import Memo
 
-class Grams(dict):
-    """Hashes of character n-grams, remembered; emptied when it holds ``limit`` of them."""
+BYTES = 40 << 20
 
-    def __init__(self, buckets: int, limit: int = 500_000):
-        super().__init__()
-        self.buckets, self.limit = buckets, limit
 
-    def __missing__(self, gram: str) -> int:
-        if len(self) > self.limit:
-            self.clear()
-        self[gram] = h = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % self.buckets
-        return h
+def gram_hashes(buckets: int) -> Memo:
+    """Hashes of character n-grams, remembered."""
+    return Memo(lambda gram: zlib.crc32(gram.encode("utf-8", "surrogatepass")) % buckets, 12 << 20)
 
 
-_tables: dict[str, "WordTable"] = {}
+class WordTable(dict):
+    """Maps words to row numbers of ``rows``; a word's row is computed once as long as it is in use.
 
+    As in ``Memo``, there are two generations of half of ``limit`` bytes.
+    """
 
-class WordTable(dict):
-    """Maps words to row numbers of ``rows``; a new word's row is computed once. Emptied when it holds ``limit`` words."""
+    ENTRY = 150
 
-    def __init__(self, score: Callable[[str], np.ndarray], width: int, limit: int = 400_000):
+    def __init__(self, score: Callable[[str], np.ndarray], width: int, limit: int = BYTES):
         super().__init__()
-        self.score, self.limit = score, limit
-        self.rows = np.zeros((1024, width), np.float32)
+        self.score, self.width, self.half, self.size = score, width, limit // 2, 0
+        self.rows, self.older, self.older_rows = np.zeros((1024, width), np.float32), {}, None
 
     def __missing__(self, word: str) -> int:
         k = len(self)
         if k == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.score(word)
+        j = self.older.get(word)
+        self.rows[k] = self.score(word) if j is None else self.older_rows[j]
         self[word] = k
+        self.size += sys.getsizeof(word) + self.ENTRY + 8 * self.width
         return k
 
     def take(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The rows of the words, in order, and their row numbers."""
-        if len(self) > self.limit:
+        if self.size > self.half:
+            self.older, self.older_rows, self.rows, self.size = dict(self), self.rows, np.zeros((1024, self.width), np.float32), 0
             self.clear()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))  # may replace rows
         return self.rows[at], at
-
-
-def table_for(token: str, make: Callable[[], WordTable]) -> WordTable:
-    """The worker's table of the model named by ``token``; only the two latest models are kept."""
-    if token not in _tables:
-        while len(_tables) > 1:
-            _tables.pop(next(iter(_tables)))
-        _tables[token] = make()
-    return _tables[token]

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline as P
 import pytest
 from sievework.llm import ngram_join
@@ -44,3 +46,16 @@ def test_edges(spark, small, none):
     assert P.not_toxic(spark, docs, small).columns == docs.columns and P.decontaminated(spark, docs, small).count() == docs.count()
     for _, stage in P.STAGES:
         assert stage(spark, none, small).count() == 0
+
+
+def test_clashing_columns_and_ids(spark, small):
+    """Columns named like those that the stages add, and rows of one id with different texts."""
+    names = ["__lang_pred", "__score", "_predicted", "component_id", "a.b", "n_shingles"]
+    rows = [(1, prose(60), "en"), (1, prose(60, 2), None), (1, prose(60, 2), None), (2, prose(60, 2), "en"), (None, prose(30, 3), "en"), (3, None, None)]
+    docs = spark.createDataFrame([(*r, "s", None, *range(k, k + 6)) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, small)
+        assert got.columns == docs.columns and set(map(tuple, got.collect())) <= set(map(tuple, docs.collect()))
+    kept = Counter((r.doc_id, r.__getattr__("n_shingles")) for r in P.no_repeats(spark, docs, small).collect())
+    assert kept == Counter([(1, 6), (None, 9), (3, 10)])
+    assert P.packed(spark, docs, small).count() == len(rows)
