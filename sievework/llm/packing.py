@@ -9,8 +9,8 @@ same packer in groups of tasks, so what is lost to half-full bins does not grow
 
 Tokenising remembers ids by white-space-free chunk, in a bounded memory, where the tokenizer's file says that it lower-cases,
 cuts words out by ``WORDS`` and drops white space: then no piece of a text reaches across a blank or a line feed, and a chunk
-of Latin letters with a capital in front, or with a stop or comma behind it, has the ids of its parts. With any other tokenizer file
-each text is tokenised as a whole.
+of Latin letters has the ids of the word in lower case, then those of a stop or comma behind it. Such words go to the tokenizer's
+merges directly, many at a time. With any other tokenizer file each text is tokenised as a whole.
 
 Defined results: a null text is empty and holds only the end id, so every row gives at least one piece; repeated rows
 are packed separately; an empty table gives no rows. Sequence ids are arbitrary and distinct.
@@ -18,7 +18,9 @@ are packed separately; an empty table gives no rows. Sequence ids are arbitrary
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import re
 import zlib
 from array import array
@@ -31,19 +33,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, small_batches, stored
-from .workers import Memo
+from .wordtable import blocks
 
 CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 LOOKAHEAD = 1 << 15
 GROUP = 64
-MEMORY = 48 << 20
+MEMORY = 160 << 20
+LONGEST = 40
+BLOCK_CHARS, RUN = 6 << 20, 20_000
 # The pattern by which the tokenizers that may be applied chunk by chunk cut out words, and their normalisers.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 #: Letters that neither normalising nor lower-casing turns into anything but letters (the dotted capital I becomes an i and a mark).
-LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]")
+LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -86,30 +90,82 @@ class Packer:
 
 
 class TextIds:
-    """Little-endian 32-bit ids of texts, as bytes."""
+    """Little-endian 32-bit ids of texts, as bytes. Words that are not remembered are tokenised together.
+
+    Chunks of up to ``LONGEST`` characters are remembered, in two generations of half of ``memory`` bytes: the older one is
+    dropped when the newer is full.
+    """
+
+    ENTRY = 230  # the usual bytes of an entry; up to LONGEST characters no more than 500
 
     def __init__(self, tokenizer_file: str, memory: int = MEMORY):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         with open(tokenizer_file, encoding="utf-8") as f:
-            self.by_chunk = _cuts_at_blanks(json.load(f))
-        self.chunks = Memo(self._chunk, memory)
-
-    def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk[-1:] in (".", ",") and LATIN.fullmatch(chunk):
-            return self.chunks[chunk[:-1]] + self.chunks[chunk[-1]]
-        if "A" <= chunk[:1] <= "Z" and chunk.isalpha():
-            return self.chunks[chunk[0].lower() + chunk[1:]]
-        return self._encode(chunk)
-
-    def of(self, text: str | None) -> bytes:
+            spec = json.load(f)
+        self.by_chunk = _cuts_at_blanks(spec)
+        self.newer, self.older, self.half, self.size = {}, {}, memory // 2, 0
+        if self.by_chunk:
+            # the same merges for words in lower case with blanks between them
+            pre = [{"type": "CharDelimiterSplit", "delimiter": " "}, *spec["pre_tokenizer"]["pretokenizers"][1:]]
+            self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": pre}}))
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.marks = dict(zip(".,", self._encode([".", ","])))
+            self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+            self.ends[[k for t, k in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters in lower case: each ends with its first token that ends a word."""
+        ids = np.array(self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        last = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *last], last)] if len(last) == len(words) else self._encode(words)
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
         if not self.by_chunk:
-            return self._encode(text or "")
-        return b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").split(" ")))
+            return self._encode([t or "" for t in texts])
+        paused = gc.isenabled()
+        gc.disable()  # millions of short-lived strings and no cycles
+        try:
+            return self._by_chunk(texts)
+        finally:
+            if paused:
+                gc.enable()
+
+    def _by_chunk(self, texts: list[str | None]) -> list[bytes]:
+        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if self.size > self.half:
+            self.older, self.newer, self.size = self.newer, {}, 0
+        known, older, had = self.newer, self.older, len(self.newer)
+        missing = set().union(*chunks).difference(known)
+        for c in missing.intersection(older):
+            known[c] = older[c]
+        parts, others = {}, []
+        for c in missing.difference(older):
+            m = LATIN.fullmatch(c)
+            if m:
+                parts[c] = m[1].lower(), m[2]
+            else:
+                others.append(c)
+        bases = {p[0] for p in parts.values()}
+        ids = {c: known[c] for c in bases.intersection(known)}
+        words, long = list(bases.difference(ids)), {}
+        for k in range(0, len(words), RUN):
+            ids.update(zip(words[k : k + RUN], self._words(words[k : k + RUN])))
+        for c, (base, tail) in parts.items():
+            (known if len(c) <= LONGEST else long)[c] = ids[base] + self.marks[tail] if tail else ids[base]
+        for k in range(0, len(others), RUN):
+            for c, got in zip(others[k : k + RUN], self._encode(others[k : k + RUN])):
+                (known if len(c) <= LONGEST else long)[c] = got
+        self.size += self.ENTRY * (len(known) - had)
+        find = (known | long if long else known).__getitem__
+        return [b"".join(map(find, x)) for x in chunks]
 
 
 def _cuts_at_blanks(spec: dict) -> bool:
@@ -162,8 +218,11 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_file: str | None
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                waiting.extend((doc_id, *p) for p in cut(ids.of(text) + end, capacity))
+            doc_ids = iter(b.column(0).to_pylist())
+            for some in blocks(b.column(1).to_pylist(), BLOCK_CHARS):
+                for got in ids.of(some):
+                    doc_id = next(doc_ids)
+                    waiting.extend((doc_id, *p) for p in cut(got + end, capacity))
             if len(waiting) >= LOOKAHEAD:
                 flush()
                 still = packer.still_open()
