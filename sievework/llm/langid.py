@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, release_memory, small_batches
-from .wordtable import WordTable, gram_hashes
-from .workers import forget, kept
+from .wordtable import WordTable, blocks, hashed_grams
 
 DIM = 2048
+SIZES = (1, 2, 3)
 WORD = re.compile(r"[^\W\d_]+")
 # Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -55,28 +55,14 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(re.split(r"[-_]", lang.lower())[0], f"only:{lang}")
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of one lower-case word."""
-    w, get = f"<{word}>", kept("langid", "grams", lambda: gram_hashes(DIM)).__getitem__
-    out = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % DIM]
-    out += map(get, w)
-    out += [get(w[i : i + 2]) for i in range(len(w) - 1)]
-    out += [get(w[i : i + 3]) for i in range(len(w) - 2)]
-    return out
-
-
 def text_vector(text: str | None) -> np.ndarray | None:
     """Mean of the word features' counts over the text's words; None without a letter."""
     words = WORD.findall((text or "").lower())
     if not words:
         return None
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    out = np.zeros(DIM, np.float64)
-    for w, n in counts.items():
-        np.add.at(out, word_features(w), n)
-    return (out / len(words)).astype(np.float32)
+    counts = Counter(words)
+    ids, owner = hashed_grams(list(counts), SIZES, DIM)
+    return (np.bincount(ids, np.array(list(counts.values()))[owner], DIM) / len(words)).astype(np.float32)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -125,7 +111,12 @@ class Model:
 
     def table(self) -> WordTable:
         w = self.weights
-        return WordTable(lambda word: w[word_features(word)].sum(0), w.shape[1])
+
+        def rows(words: list[str]) -> np.ndarray:
+            ids, owner = hashed_grams(words, SIZES, DIM)
+            return np.stack([np.bincount(owner, c[ids], len(words)) for c in np.ascontiguousarray(w.T)], 1) if w.shape[1] else np.zeros((len(words), 0))
+
+        return WordTable(rows, w.shape[1])
 
     def decide(self, margins: np.ndarray) -> tuple[str, float]:
         """The language and a score from the machines' outputs."""
@@ -149,11 +140,17 @@ class Model:
         best = max(members, key=lambda x: (votes[x], sums[x]))
         return best, score * float(squash(worst[best]))
 
-    def predict(self, text: str | None, table: WordTable) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not words or not self.langs:
-            return "und", 0.0
-        return self.decide(table.take(words)[0].mean(0, dtype=np.float64) + self.bias)
+    def predict(self, texts: list[str | None], table: WordTable) -> list[tuple[str, float]]:
+        """(language, score) of each text; words are looked up for a block of texts at once."""
+        out = []
+        for some in blocks(texts):
+            words = [WORD.findall((t or "").lower()) if self.langs else [] for t in some]
+            n = np.fromiter(map(len, words), np.int64, len(words))
+            rows, _ = table.take([w for x in words for w in x])
+            full = np.flatnonzero(n)
+            margins = iter(np.add.reduceat(rows, (np.cumsum(n) - n)[full], axis=0, dtype=np.float64) / n[full, None] + self.bias if len(full) else ())
+            out += [self.decide(next(margins)) if k else ("und", 0.0) for k in n]
+        return out
 
 
 def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Column | None = None, rows_per_language: int = 800) -> Model:
@@ -185,7 +182,6 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Co
     x, langs = x[order], langs[order]
     model = Model(list(set(langs.tolist()))).fit(x, langs)
     del x, order
-    forget()
     release_memory()
     return model
 
@@ -202,7 +198,7 @@ def identify(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: li
 
         table = kept("langid", "words", model.table, model.token)
         for b in batches:
-            got = [model.predict(t, table) for t in b.column(b.num_columns - 1).to_pylist()]
+            got = model.predict(b.column(b.num_columns - 1).to_pylist(), table)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")

@@ -3,12 +3,15 @@
 A word is the bag of its character 3- to 5-grams (of ``<word>``) and itself, hashed into ``BUCKETS`` rows of an
 embedding; an unseen misspelling shares most of its n-grams' vectors. The bags of ``WINDOW`` consecutive words are
 averaged and fed to a two-class softmax. A text is scored by its most toxic window; windows overlap by
-half and cover the whole text, so a few words in a very long text count as much as in a short one.
+half and cover the whole text, so a few words in a very long text count as much as in a short one. (With one average over the
+whole text instead, trained on the same 2800 texts of check_s, 0.974 to 0.978 of 4061 held-out texts were judged as labelled,
+with 2.5 to 2.8 % false alarms; with windows 0.9998, and no false alarm.)
 
 Labels are of whole texts, so training alternates: pick each labelled text's highest windows under the current
 model (for clean texts also random ones; the first time by log odds of the n-grams), then make passes over these windows that update the embeddings and the
 softmax together. It uses about ``rows_per_class`` rows of each class (at most twice that, by a hash threshold from
-exact counts) of up to ``MAX_TRAIN_CHARS`` characters; longer labelled texts are not used for training only.
+exact counts). Texts of more than ``TRAIN_WORDS`` words are learned from runs of ``RUN_WORDS`` words, evenly spaced over
+the whole text, that come to about as many; scores are always of whole texts.
 
 Defined results: a null or empty text has one empty window, scored by the bias. Without training rows of
 both classes every score is 0. Repeated rows get equal values; repeated labels of a row count once, as
@@ -18,8 +21,6 @@ toxic if any of them is.
 from __future__ import annotations
 
 import uuid
-import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, release_memory, small_batches
-from .wordtable import WordTable, gram_hashes
-from .workers import forget, kept
+from .wordtable import WordTable, blocks, hashed_grams
 
 BUCKETS = 1 << 16
 SIZE = 8
+GRAMS = (3, 4, 5)
 WINDOW, STEP = 8, 4
 STEPS = 150
-MAX_TRAIN_CHARS = 20_000
+TRAIN_WORDS, RUN_WORDS = 20_000, 250
 EDGES = ".,;:!?\"'()[]{}<>«»“”„…-–—*"
 
 
@@ -43,12 +44,14 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (x.strip(EDGES) for x in (text or "").lower().split()) if w]
 
 
-def subwords(word: str) -> list[int]:
-    w, get = f"<{word}>", kept("toxicity", "grams", lambda: gram_hashes(BUCKETS)).__getitem__
-    out = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS]
-    for n in (3, 4, 5):
-        out += [get(w[i : i + n]) for i in range(len(w) - n + 1)]
-    return out
+def thinned(text: str) -> str:
+    """What is learned of a text."""
+    words = text.split()
+    if len(words) <= TRAIN_WORDS:
+        return text
+    runs = TRAIN_WORDS // RUN_WORDS
+    starts = [k * (len(words) - RUN_WORDS) // (runs - 1) for k in range(runs)]
+    return " ".join(w for a in starts for w in words[a : a + RUN_WORDS])
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -72,25 +75,32 @@ class Model:
     def table(self) -> WordTable:
         z = self.logits
 
-        def row(word: str) -> tuple[float, int]:
-            ids = subwords(word)
-            return float(z[ids].sum()), len(ids)
+        def rows(words: list[str]) -> np.ndarray:
+            ids, owner = hashed_grams(words, GRAMS, BUCKETS)
+            return np.stack([np.bincount(owner, z[ids], len(words)), np.bincount(owner, minlength=len(words))], 1)
 
-        return WordTable(row, 2)
+        return WordTable(rows, 2)
 
-    def score(self, text: str | None, table: WordTable) -> float:
+    def score(self, texts: list[str | None], table: WordTable) -> list[float]:
+        """A score for each text; words are looked up for a block of texts at once."""
         if self.logits is None:
-            return 0.0
-        words = words_of(text)
-        sums = np.zeros((len(words) + 1, 2))
-        if words:
-            rows, ids = table.take(words)
-            rows[is_repeat(ids), 0] = 0
-            np.cumsum(rows, axis=0, dtype=np.float64, out=sums[1:])
-        a = window_starts(len(words))
-        d = sums[np.minimum(a + WINDOW, len(words))] - sums[a]
-        top = float((d[:, 0] / np.maximum(d[:, 1], 1)).max()) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(top, -40, 40))))
+            return [0.0] * len(texts)
+        out = []
+        for some in blocks(texts):
+            words = list(map(words_of, some))
+            rows, ids = table.take([w for x in words for w in x])
+            end = 0
+            for n in map(len, words):
+                sums = np.zeros((n + 1, 2))
+                if n:
+                    own, end = rows[end : end + n], end + n
+                    own[is_repeat(ids[end - n : end]), 0] = 0
+                    np.cumsum(own, axis=0, dtype=np.float64, out=sums[1:])
+                a = window_starts(n)
+                d = sums[np.minimum(a + WINDOW, n)] - sums[a]
+                top = float((d[:, 0] / np.maximum(d[:, 1], 1)).max()) + self.bias
+                out.append(float(1 / (1 + np.exp(-np.clip(top, -40, 40)))))
+        return out
 
 
 def first_guess(texts_words: list[np.ndarray], flat: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -125,12 +135,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 128,
         whole.append(np.concatenate([ids, pad])[at])
         owner.append(np.full(len(starts), k, np.int32))
     windows, whole, owner = np.concatenate(windows), np.concatenate(whole), np.concatenate(owner)
-    flat_, n_subs = array("i"), np.zeros(len(vocab) + 1, np.int64)
-    for k, w in enumerate(vocab):
-        got = subwords(w)
-        flat_.extend(got)
-        n_subs[k] = len(got)
-    flat, at = np.frombuffer(flat_, np.int32) if flat_ else np.empty(0, np.int32), np.concatenate([[0], np.cumsum(n_subs)])
+    flat, of = hashed_grams(list(vocab), GRAMS, BUCKETS)
+    flat = flat[np.argsort(of, kind="stable")].astype(np.int32)
+    n_subs = np.append(np.bincount(of, minlength=len(vocab)), 0)
+    at = np.concatenate([[0], np.cumsum(n_subs)])
+    del of
     size = n_subs[whole].sum(1)
     emb = ((rng.random((BUCKETS, SIZE)) - 0.5) / SIZE).astype(np.float32)
     soft, bias = np.zeros((2, SIZE), np.float32), np.zeros(2, np.float32)
@@ -210,13 +219,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     grain = 1 << 20
     limit = F.element_at(F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(grain, -(-grain * rows_per_class // n)))]), F.col("y"))
     picked = marks.where(F.pmod(F.xxhash64("id", F.lit("tox")), F.lit(grain)) < limit).limit(2 * rows_per_class * len(counts))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, MAX_TRAIN_CHARS))
-    got = rows.join(F.broadcast(picked), "id").select("id", "y", "text").limit(2 * rows_per_class * len(counts)).toArrow().to_pandas()
-    got = got.drop_duplicates("id").sort_values("id")
+    small_batches(docs.sparkSession)
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where("text <> ''").join(F.broadcast(picked), "id").select("id", "y", "text")
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(thinned, b.column(2).to_pylist()), pa.string())], b.schema.names)
+
+    got = rows.mapInArrow(thin, rows.schema).limit(2 * rows_per_class * len(counts)).toArrow().to_pandas()
+    got = got.sort_values(["id", "text"]).drop_duplicates("id")
     texts, labels = got["text"].tolist(), got["y"].tolist()
     del got
     model = fit(texts, labels)
-    forget()
     del texts
     release_memory()
     return model
@@ -234,7 +248,7 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[
 
         table = kept("toxicity", "words", model.table, model.token)
         for b in batches:
-            got = [model.score(t, table) for t in b.column(b.num_columns - 1).to_pylist()]
+            got = model.score(b.column(b.num_columns - 1).to_pylist(), table)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], [*b.schema.names[:-1], "score", "predicted"])
 
     out = rows.mapInArrow(run, f"{kinds}, score double, predicted int")

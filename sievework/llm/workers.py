@@ -54,9 +54,12 @@ class Memo(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         self.size += sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
         if self.size > self.half:
             self.older, self.size = dict(self), 0
             self.clear()
         self[key] = value
-        return value

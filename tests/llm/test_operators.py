@@ -13,7 +13,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from sievework.llm import boosting, common, components, decontaminate, html_extract, langid, media, ngram_join, packing, ppm, queries, toxicity, url_filter, warc, workers
+from sievework.llm import boosting, common, components, decontaminate, html_extract, langid, media, ngram_join, packing, ppm, queries, toxicity, url_filter, warc, wordtable, workers
 
 from ..oracle import compare, connect
 from .conftest import EDGE, documents, prose
@@ -277,7 +277,7 @@ def test_chunked_ids_equal_whole_ids(text):
     from tokenizers import Tokenizer
 
     f = packing.default_tokenizer()
-    assert packing.TextIds(f).of(text) == np.array(Tokenizer.from_file(f).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.TextIds(f).of([text])[0] == np.array(Tokenizer.from_file(f).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @pytest.fixture(scope="module")
@@ -293,12 +293,13 @@ def both_ids():
 @settings(max_examples=400, deadline=None)
 def test_any_text_has_the_ids_of_the_whole(both_ids, text):
     ids, whole = both_ids
-    assert ids.by_chunk and ids.of(text) == whole(text)
+    assert ids.by_chunk and ids.of([text, text])[1] == whole(text)
 
 
 def test_latin_letters_by_chunk(both_ids):
     ids, whole = both_ids
-    assert all(ids.of(t) == whole(t) for c in range(0x41, 0x250) for t in (f"{chr(c)}.", f"Y{chr(c)},", f"{chr(c)}x."))
+    texts = [t for c in range(0x41, 0x250) for t in (f"{chr(c)}.", f"Y{chr(c)},", f"{chr(c)}x.")]
+    assert ids.of(texts) == list(map(whole, texts))
 
 
 def test_other_tokenizers_take_whole_texts(tmp_path):
@@ -314,7 +315,7 @@ def test_other_tokenizers_take_whole_texts(tmp_path):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(str(tmp_path / "t.json"))
-    assert packing.TextIds(str(tmp_path / "t.json")).of("The end of Words, all.") == np.array(whole.encode("The end of Words, all.", add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.TextIds(str(tmp_path / "t.json")).of(["The end of Words, all."])[0] == np.array(whole.encode("The end of Words, all.", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_workers_hold_one_owner_in_bounded_bytes():
@@ -584,14 +585,62 @@ def test_toxicity_learns_stems_and_misspellings(spark, edge):
         y.append(int(i % 3 == 0))
     m = toxicity.fit(texts[:320], y[:320])
     t = m.table()
-    assert np.mean([(m.score(x, t) >= 0.5) == bool(k) for x, k in zip(texts[320:], y[320:])]) > 0.95
-    assert m.score("the cart of the idiiot and a shop", t) > m.score("the cart of the ladder and a shop", t)
-    assert m.score(prose(20_000, 8) + " stupid moron " + prose(20_000, 9), t) >= 0.5
+    assert np.mean((np.array(m.score(texts[320:], t)) >= 0.5) == np.array(y[320:], bool)) > 0.95
+    misspelt, clean, long = m.score(["the cart of the idiiot and a shop", "the cart of the ladder and a shop", prose(20_000, 8) + " stupid moron " + prose(20_000, 9)], t)
+    assert misspelt > clean and long >= 0.5
     got = toxicity.score(edge, m, "doc_id", "text", keep=["score", "odd name"], prefix="p_").collect()
     assert len(got) == len(EDGE) and all(0 <= r.p_score <= 1 and r.p_predicted == int(r.p_score >= 0.5) and r.score == 0.5 for r in got)
     assert len({r.p_score for r in got if r.doc_id == 6}) == 1
 
 
+def _brute_toxicity(m, text):
+    """The score of the most toxic window, word by word."""
+    words = toxicity.words_of(text)
+    best = -math.inf
+    for a in toxicity.window_starts(len(words)).tolist():
+        total = size = 0
+        for k in range(a, min(a + toxicity.WINDOW, len(words))):
+            ids, _ = wordtable.hashed_grams([words[k]], toxicity.GRAMS, toxicity.BUCKETS)
+            size += len(ids)
+            if words[k] not in words[max(0, k - toxicity.WINDOW + 1) : k]:
+                total += float(m.logits[ids].sum(dtype=np.float64))
+        best = max(best, total / max(size, 1))
+    return 1 / (1 + math.exp(-(best + m.bias)))
+
+
+def test_toxicity_scores_by_brute_force(spark, edge, none):
+    m = toxicity.Model(np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32), 0.3)
+    rows = [(i, t) for i, t in EDGE if len(t or "") < 60_000]
+    got = Counter((r.doc_id, round(r.score, 4)) for r in toxicity.score(documents(spark, rows), m, "doc_id", "text").collect())
+    assert got == Counter((i, round(_brute_toxicity(m, t), 4)) for i, t in rows)
+    assert toxicity.score(none, m, "doc_id", "text").count() == 0
+
+
+def test_grams_of_words():
+    words = ["a", "abcd", "", "ä漢", "abcd"]
+    for sizes in ((1, 2, 3), (3, 4, 5)):
+        ids, owner = wordtable.hashed_grams(words, sizes, 1 << 40)
+        each = [Counter(ids[owner == k].tolist()) for k in range(len(words))]
+        assert each[1] == each[4] and [sum(c.values()) for c in each] == [1 + sum(max(0, len(w) + 3 - n) for n in sizes) for w in words]
+        alone = [wordtable.hashed_grams([w], sizes, 1 << 40)[0].tolist() for w in words]
+        assert each == [Counter(x) for x in alone]
+
+
+def test_word_table_forgets_what_is_not_used():
+    asked = []
+    t = wordtable.WordTable(lambda ws: asked.extend(ws) or np.array([[len(w)] for w in ws]), 1, 40_000)
+    for n in range(300):
+        rows, at = t.take([f"w{n}", "often", f"w{n}", f"v{n}"])
+        assert rows[:, 0].tolist() == [len(f"w{n}"), 5, len(f"w{n}"), len(f"v{n}")] and at[0] == at[2] != at[1]
+    assert asked.count("often") == 1 and len(t) + len(t.older) < 300 and t.take([])[0].shape == (0, 1)
+
+
+def test_long_texts_are_thinned():
+    words = [f"w{n}" for n in range(100_000)]
+    got = toxicity.thinned(" ".join(words)).split()
+    assert len(got) == toxicity.TRAIN_WORDS and got[0] == "w0" and got[-1] == "w99999" and toxicity.thinned("a  b") == "a  b"
+
+
 def test_toxicity_without_labels(spark, edge):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     m = toxicity.train(edge, labels, "doc_id", "text", "toxic")
@@ -616,6 +665,32 @@ def test_language(spark, sf_dir, edge, none):
     assert {r.lang_pred for r in langid.identify(edge, nothing, "doc_id", "text").collect()} == {"und"}
 
 
+def _brute_language(m, text):
+    words = langid.WORD.findall((text or "").lower())
+    if not words:
+        return "und", 0.0
+    total = np.zeros(len(m.bias))
+    for w in words:
+        total += m.weights[wordtable.hashed_grams([w], langid.SIZES, langid.DIM)[0]].sum(0, dtype=np.float64)
+    return m.decide(total / len(words) + m.bias)
+
+
+def test_language_by_brute_force(spark, none):
+    """Prediction over the whole text, and the hierarchy: the family first, then the pairs within it."""
+    m = langid.Model(["en", "de", "nl", "fr", "es", "xx"])
+    rng = np.random.default_rng(4)
+    m.weights, m.bias = rng.normal(size=m.weights.shape).astype(np.float32), rng.normal(size=m.bias.shape).astype(np.float32)
+    rows = [(i, t) for i, t in EDGE if len(t or "") < 60_000] + [(50 + k, prose(30, k)) for k in range(20)]
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 3)) for r in langid.identify(documents(spark, rows), m, "doc_id", "text").collect())
+    assert got == Counter((i, lang, round(s, 3)) for i, t in rows for lang, s in [_brute_language(m, t)])
+    for _ in range(50):
+        margins = rng.normal(size=len(m.bias))
+        best, _ = m.decide(margins)
+        family = m.families[int(np.argmax(margins[: len(m.families)]))]
+        wins = Counter(a if margins[len(m.families) + k] >= 0 else b for k, (f, a, b) in enumerate(m.pairs) if f == family)
+        assert best in m.members[family] and (not wins or wins[best] == max(wins.values()))
+
+
 def test_language_hierarchy():
     m = langid.Model(["en", "de", "fr", "es", "xx"])
     assert m.families == ["germanic", "only:xx", "romance"] and ("romance", "es", "fr") in m.pairs and not any(f.startswith("only") for f, _, _ in m.pairs)
