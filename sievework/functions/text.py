@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -121,37 +120,41 @@ def byte_distance(a: Column, b: Column, most: int) -> Column:
     return F.levenshtein(as_bytes(a), as_bytes(b), most)
 
 
-def _fnv1a(data: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for x in data:
-        h = (h ^ x) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
+def _fnv1a(words: list[bytes], seed: int) -> np.ndarray:
+    """64-bit FNV-1a of a seed byte and each word; all words of one length step by step together."""
+    out = np.empty(len(words), np.uint64)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    prime = np.uint64(0x100000001B3)
+    for n in np.unique(lens):
+        at = np.flatnonzero(lens == n)
+        data = np.frombuffer(b"".join([words[k] for k in at]), np.uint8).reshape(len(at), n)
+        h = np.full(len(at), (0xCBF29CE484222325 ^ seed) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for k in range(n):
+            h = (h ^ data[:, k]) * prime
+        out[at] = h
+    return out
 
 
-class _TokenHashes(dict):
-    """The hashes of each token, remembered; emptied when there are many."""
-
-    def __missing__(self, key: tuple[str, int]) -> tuple[int, ...]:
-        if len(self) > 300_000:
-            self.clear()
-        word, hashes = key
-        self[key] = out = tuple(_fnv1a(bytes([i]) + word.encode()) for i in range(hashes))
-        return out
-
-
-_token_hashes = _TokenHashes()
+def embed_many(lists: list[list[str]], dim: int = 1024, hashes: int = 4) -> np.ndarray:
+    """Signed hash counts of each list of tokens, scaled to length 1, as rows. Distinct tokens are hashed once."""
+    if dim < 1 or dim & (dim - 1):
+        raise ValueError("the dimension must be a power of two")
+    number: dict[str, int] = {}
+    at = np.array([number.setdefault(w, len(number)) for ws in lists for w in ws], np.int64)
+    owner = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
+    raw = [w.encode() for w in number]
+    v = np.zeros(len(lists) * dim)
+    for i in range(hashes if len(at) else 0):
+        h = _fnv1a(raw, i)
+        cell, sign = (h & np.uint64(dim - 1)).astype(np.int64), 1.0 - 2.0 * (h >> np.uint64(32) & np.uint64(1)).astype(np.float64)
+        v += np.bincount(owner * dim + cell[at], sign[at], len(v))
+    v = v.reshape(len(lists), dim)
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(n > 0, n, 1)
 
 
 def embed_tokens(words: list[str], dim: int = 1024, hashes: int = 4) -> np.ndarray:
-    """Signed hash counts of the tokens, scaled to length 1."""
-    if dim < 1 or dim & (dim - 1):
-        raise ValueError("the dimension must be a power of two")
-    v = np.zeros(dim)
-    for w, n in Counter(words).items():
-        for h in _token_hashes[w, hashes]:
-            v[h & (dim - 1)] += -n if h >> 32 & 1 else n
-    n = float(np.sqrt((v * v).sum()))
-    return v / n if n else v
+    return embed_many([words], dim, hashes)[0]
 
 
 def hash_embedding(words: Column, dim: int = 1024) -> Column:
@@ -159,9 +162,8 @@ def hash_embedding(words: Column, dim: int = 1024) -> Column:
 
     @F.pandas_udf("array<double>")
     def embed(col: pd.Series) -> pd.Series:
-        from sievework.functions.text import embed_tokens as worker_embed  # its memory outlives the batch
-
-        return col.map(lambda w: worker_embed(list(w) if w is not None else [], dim).tolist())
+        lists = [list(w) if w is not None else [] for w in col]
+        return pd.Series([r for k in range(0, len(lists), 256) for r in embed_many(lists[k : k + 256], dim)], dtype=object)
 
     return embed(words)
 

@@ -14,7 +14,8 @@ MAX_CHANGES, PER_CHANGE, LIST_CAP = 200, 20, 100
 
 
 def parse_diff(lines: DataFrame, order: str = "n", text: str = "line", diff: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(hunks, summary) of unified diffs given as ordered lines; ``diff`` names a column if there are several.
+    """(hunks, summary) of unified diffs given as ordered lines; ``diff`` names a column if there are several. One diff is
+    read in order by one task.
 
     Hunks (file, start, end, place) are rows [start, end) of the new side, from 0; deletions without new rows are no
     hunks. The summary (file, added, deleted, hunks, place) adds up the headers' counts.

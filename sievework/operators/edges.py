@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,11 +56,14 @@ def callers(symbols: DataFrame, calls: DataFrame, resolved: DataFrame | None = N
 
 
 def tests(symbols: DataFrame, calls: DataFrame | None = None, only: DataFrame | None = None, semantics: Semantics = DEFAULT) -> DataFrame:
-    """Symbols of test files as tests of the symbols in ``only`` (id; all by default), each with each, or only of what they call."""
+    """Symbols of test files as tests of the symbols in ``only`` (id), each with each, or only of what they call (then of all symbols
+    if ``only`` is left out). Each with each is for the few symbols that are asked for: ValueError without ``only``."""
+    if semantics.tests_per_symbol and only is None:
+        raise ValueError("name the symbols whose tests are wanted, or relate tests to what they call")
     t = symbols.where(F.col("path").endswith("_test.go")).alias("t")
     wanted = (symbols if only is None else symbols.join(only.select("id").distinct(), "id", "left_semi")).where("name <> ''").select(F.col("id").alias("sid"), F.col("name").alias("sname")).distinct()
     if semantics.tests_per_symbol:
-        both = wanted.hint("broadcast").crossJoin(t) if only is not None else t.crossJoin(wanted)
+        both = wanted.join(t)
     else:
         called = calls.select(F.col("caller_id"), F.col("callee_name")).distinct()
         both = t.join(called, F.col("t.id") == F.col("caller_id")).join(wanted, F.col("callee_name") == F.col("sname"))
@@ -80,9 +85,10 @@ def overrides(symbols: DataFrame, inherits: DataFrame) -> DataFrame:
 
 
 def relations(base: dict[str, DataFrame], only: DataFrame | None = None, semantics: Semantics = DEFAULT) -> dict[str, DataFrame]:
-    """All edge relations of a project's base relations."""
+    """All edge relations of a project's base relations; tests are those of the symbols in ``only``, else those of what they call."""
     s, c = base["symbols"], base["call_edges"]
-    return {"CALLEES": callees(s, c), "CALLERS": callers(s, c, base.get("resolved_edges")), "TESTS": tests(s, c, only, semantics), "IMPORTS": imports(s, base["imports"]), "OVERRIDES": overrides(s, base["inherits"])}
+    near = semantics if only is not None else replace(semantics, tests_per_symbol=False)
+    return {"CALLEES": callees(s, c), "CALLERS": callers(s, c, base.get("resolved_edges")), "TESTS": tests(s, c, only, near), "IMPORTS": imports(s, base["imports"]), "OVERRIDES": overrides(s, base["inherits"])}
 
 
 def cap_per_kind(edges: DataFrame, limit: int, kind: str = "edge_kind", order: tuple[str, ...] = ("target_id",), group: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -135,18 +141,26 @@ def edit_impact(base: dict[str, DataFrame], renames: DataFrame, limit: int = 100
 
 
 def locate(symbols: DataFrame, files: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, path, start_row, end_row, found) of ids (id): files as a whole; functions, methods and classes by package and
-    name, else by name alone, a plain declaration first; packages and repositories are not found."""
+    """(id, path, start_row, end_row, found) of ids (id).
+
+    Files are found as a whole. Functions and classes are found by package and name, else by name alone, plain declarations first.
+    A method is found if its package has a class of the receiver's name, and that class's file a method with this receiver
+    and name. Packages and repositories are not found. The first by path and place is taken.
+    """
     i = ids.select("id").distinct().withColumns({"k": F.substring_index("id", ":", 1), "body": F.expr("substring(id, instr(id, ':') + 1)")})
     f = i.where("k = 'file'").join(files.select(F.col("rel_path").alias("body"), "path", F.lit(0).alias("start_row"), F.col("line_count").alias("end_row")), "body").select("id", "path", "start_row", "end_row")
-    name = F.element_at(F.split("body", "[.]"), -1)
-    named = i.where("k IN ('fn', 'meth', 'class')").withColumn("name", name)
-    s = symbols.select(F.col("id").alias("sid"), F.col("name").alias("sname"), F.col("id_kind").alias("sk"), "path", "start_row", "end_row", "seq", "grammar_kind")
+    named = i.where("k IN ('fn', 'meth', 'class')").withColumn("p", F.split("body", "[.]"))
+    front = lambda drop: F.array_join(F.slice("p", F.lit(1), F.greatest(F.size("p") - drop, F.lit(0))), ".")
+    named = named.withColumns({"name": F.element_at("p", -1), "front": front(1), "owner": F.coalesce(F.get("p", F.size("p") - 2), F.lit("")), "owner_pkg": front(2)})
+    s = symbols.select(F.col("name").alias("sname"), F.col("pkg").alias("spkg"), F.col("id_kind").alias("sk"), "kind", F.col("receiver").alias("recv"), "path", "start_row", "end_row", "seq", "grammar_kind")
     plain = F.when(F.col("grammar_kind").isin("function_declaration", "type_declaration"), 0).otherwise(1)
-    exact = F.when(F.col("id") == F.col("sid"), 0).otherwise(1)
-    both = named.join(s, (F.col("name") == F.col("sname")) & (F.col("k") == F.col("sk")))
-    both = both.where("k <> 'meth' OR id = sid")
-    first = both.withColumn("__k", F.row_number().over(W.partitionBy("id").orderBy(exact, plain, "path", "seq"))).where("__k = 1").select("id", "path", "start_row", "end_row")
+    near = F.when(F.col("spkg") == F.col("front"), 0).otherwise(1)
+    by_name = named.where("k <> 'meth'").join(s, (F.col("name") == F.col("sname")) & (F.col("k") == F.col("sk"))).select("id", "path", "start_row", "end_row", "seq", near.alias("r1"), plain.alias("r2"))
+    homes = s.where("kind = 'CLASS'").select(F.col("sname").alias("owner"), F.col("spkg").alias("owner_pkg"), F.col("path").alias("home")).distinct()
+    methods = s.where("kind = 'METHOD'").select(F.col("sname").alias("name"), F.col("recv").alias("owner"), "path", "start_row", "end_row", "seq")
+    of_class = named.where("k = 'meth'").join(homes, ["owner", "owner_pkg"]).join(methods, ["name", "owner"]).where("path = home").select("id", "path", "start_row", "end_row", "seq", F.lit(0).alias("r1"), F.lit(0).alias("r2"))
+    both = by_name.unionByName(of_class)
+    first = both.withColumn("__k", F.row_number().over(W.partitionBy("id").orderBy("r1", "r2", "path", "seq"))).where("__k = 1").select("id", "path", "start_row", "end_row")
     found = f.unionByName(first)
     return i.select("id").join(found, "id", "left").withColumn("found", F.col("path").isNotNull())
 

@@ -27,7 +27,7 @@ def attribute(hunks: DataFrame, spans: DataFrame, key: str, payload: list[str],
     hs, he, a, b = F.col("h.start"), F.col("h.end"), F.col("__s"), F.col("__e")
     overlap = F.least(he, b) - F.greatest(hs, a)
     tier = F.when((a <= hs) & (he <= b), 1).when((a <= hs) & (hs < b), 2).when(overlap > 0, 3)
-    both = h.join(s, (F.col(f"h.{key}") == F.col("__key")) & tier.isNotNull(), "left").withColumn("tier", tier)
+    both = h.join(s, (F.col(f"h.{key}") == F.col("__key")) & tier.isNotNull(), "left").withColumn("tier", F.when(F.col("__key").isNotNull(), tier))
     rank = W.partitionBy("__n").orderBy("tier", F.when(F.col("tier") == 3, -overlap).otherwise(b - a), "__o")
     return both.withColumn("__k", F.row_number().over(rank)).where("__k = 1").select("h.*", "tier", "__p.*").drop("__n")
 

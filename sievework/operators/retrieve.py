@@ -19,6 +19,8 @@ RRF_K = 60
 LIMIT, OVERSCAN = 10, 4
 STRUCTURAL_LIMIT = 10
 CHANNELS = ("structural", "bm25", "vector")
+#: Scores are ranked by so many decimals, so that sums added up in another order give the same ranks.
+RANK_DIGITS = 9
 
 
 def query_terms(query: str) -> list[str]:
@@ -52,27 +54,31 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int | None
         tf = F.col(f"t{i}").cast("double")
         score = score + F.lit(times * idf) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(float(stats["avg"]))))
     hits = counts.where(" OR ".join(f"t{i} > 0" for i in range(len(distinct)))).select("id", score.alias("score")).where("score > 0")
-    ranked = hits.orderBy(F.desc("score"), "id")
+    ranked = hits.orderBy(_best("score"), "id")
     return ranked.limit(k) if k else ranked
 
 
+def _best(score: str) -> Column:
+    return F.desc(F.round(score, RANK_DIGITS))
+
+
 def bm25_many(docs: DataFrame, id_col: str, text_col: str, queries: dict[str, str], k: int) -> DataFrame:
-    """(query, id, score, rank) of the top k for many queries in one plan: postings of query terms only, one shuffle by query."""
+    """(query, id, score, rank) of the top k for many queries in one plan: one scan counts the queries' terms within each text and
+    keeps them as a narrow table of postings; only that is joined and shuffled by query."""
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(q, t) for q, text in queries.items() for t in dict.fromkeys(query_terms(text))], "query string, term string")
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where("size(w) > 0")
-    n, avg = words.agg(F.count("*"), F.avg(F.size("w"))).first()
     all_terms = sorted({t for text in queries.values() for t in query_terms(text)})
-    each = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    if len(all_terms) <= 1000:
-        each = each.where(F.col("term").isin(all_terms))
-    tf = each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    tf = tf.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where("size(w) > 0")
+    mine = F.filter("w", lambda x: F.array_contains(F.lit(all_terms), x))
+    held = stored(words.select("id", F.size("w").alias("dl"), mine.alias("w")), "query-terms")
+    n, avg = held.agg(F.count("*"), F.avg("dl")).first()
+    counts = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).alias("tf")))
+    tf = held.where("size(w) > 0").select("id", "dl", F.inline(counts))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # one row per term of the queries
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avg or 1.0)))
     scores = tf.join(df, "term").withColumn("part", part).join(wanted, "term").groupBy("query", "id").agg(F.sum("part").alias("score")).where("score > 0")
-    return scores.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(_best("score"), "id"))).where(F.col("rank") <= k)
 
 
 def dot(a: Column | str, b: Column) -> Column:
@@ -82,22 +88,24 @@ def dot(a: Column | str, b: Column) -> Column:
 def vector_top_k(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], k: int | None) -> DataFrame:
     """(id, score) by inner product, positive scores only, best first, ties by id; an exact scan."""
     hits = vectors.select(F.col(id_col).alias("id"), dot(vector_col, F.array(*[F.lit(float(x)) for x in query])).alias("score")).where("score > 0")
-    ranked = hits.orderBy(F.desc("score"), "id")
+    ranked = hits.orderBy(_best("score"), "id")
     return ranked.limit(k) if k else ranked
 
 
-def rrf(channels: dict[str, DataFrame], limit: int | None = None, k: int = RRF_K) -> DataFrame:
+def rrf(channels: dict[str, DataFrame], limit: int | None = None, k: int = RRF_K, depth: int = 10_000) -> DataFrame:
     """(id, score, channel) by the sum of 1 / (k + rank); ``channel`` is the first (in the dict's order) that has the id.
 
-    An id that a list has twice counts with both ranks; one that a list lacks gets nothing from it.
+    An id that a list has twice counts with both ranks; one that a list lacks gets nothing from it. Lists are ranked hits of a
+    query: at most ``depth`` of each are read, so that ranking them in one task is bounded.
     """
     ranked = None
     for n, (name, hits) in enumerate(channels.items()):
-        one = hits.select("id", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("rank"), F.lit(n).alias("n"), F.lit(name).alias("channel"))
+        top = hits.orderBy(_best("score"), "id").limit(depth)
+        one = top.select("id", F.row_number().over(W.orderBy(_best("score"), "id")).alias("rank"), F.lit(n).alias("n"), F.lit(name).alias("channel"))
         ranked = one if ranked is None else ranked.unionAll(one)
     merged = ranked.groupBy("id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"), F.min(F.struct("n", "channel"))["channel"].alias("channel"))
     merged = merged.select("id", "score", "channel")
-    ranked = merged.orderBy(F.desc("score"), "id")
+    ranked = merged.orderBy(F.desc(F.round("score", 12)), "id")
     return ranked.limit(limit) if limit else ranked
 
 
@@ -152,12 +160,13 @@ def hybrid(chunks: DataFrame, symbols: DataFrame | None, query: str, channels: l
     names = list(CHANNELS) if channels is None else channels
     if not names:
         raise ValueError("all channels are disabled")
+    chunks = stored(chunks, "chunks")  # the channels and the result read them
     fused = rrf(explain(chunks, symbols, query, names, limit, backend), limit)
-    one = chunks.select("id", F.struct(*[c for c in chunks.columns]).alias("chunk")).dropDuplicates(["id"])
-    return fused.join(one, "id", "left").orderBy(F.desc("score"), "id")
+    one = chunks.join(F.broadcast(fused.select("id")), "id", "left_semi").select("id", F.struct(*chunks.columns).alias("chunk")).dropDuplicates(["id"])
+    return fused.join(one, "id", "left").orderBy(F.desc(F.round("score", 12)), "id")
 
 
 def expand_seeds(hits: DataFrame, top: int = 3, weighted: bool = True) -> tuple[list[str], list[float] | None]:
     """The ids of the best hits as seeds of a traversal, with their scores as weights."""
-    rows = hits.orderBy(F.desc("score"), "id").limit(top).collect()
+    rows = hits.orderBy(_best("score"), "id").limit(top).collect()
     return [r["id"] for r in rows], [float(r["score"]) for r in rows] if weighted else None

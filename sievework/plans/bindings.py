@@ -49,7 +49,7 @@ bm AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf +
 """
 
 
-@bound(f"WITH {_BM25} SELECT doc_id, round(s, 6) AS score FROM bm WHERE s > 0 ORDER BY s DESC, doc_id LIMIT 20")
+@bound(f"WITH {_BM25} SELECT doc_id, round(s, 6) AS score FROM bm WHERE s > 0 ORDER BY round(s, 9) DESC, doc_id LIMIT 20")
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieve.bm25(_t(spark, d, "documents"), "doc_id", "text", QUERY_TEXT, 20)
     return hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
@@ -63,7 +63,7 @@ q AS (SELECT * FROM (VALUES ('q1', 'the'), ('q1', 'and'), ('q2', 'der'), ('q2',
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 bm AS (SELECT query, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS s
        FROM q JOIN tf USING (t) JOIN df USING (t) JOIN dl USING (doc_id), st GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, doc_id) AS k FROM bm WHERE s > 0)
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, doc_id) AS k FROM bm WHERE s > 0)
 SELECT query, doc_id, round(s, 6) AS score, k::INTEGER AS rank FROM r WHERE k <= 5
 """)
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def _vector_query(spark: SparkSession, d: str) -> list[float]:
     return _t(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
 
-@bound(f"WITH {_VEC} SELECT vec_id, round(s, 6) AS score FROM vs WHERE s > 0 ORDER BY s DESC, vec_id LIMIT 25")
+@bound(f"WITH {_VEC} SELECT vec_id, round(s, 6) AS score FROM vs WHERE s > 0 ORDER BY round(s, 9) DESC, vec_id LIMIT 25")
 def vector_top(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieve.vector_top_k(_t(spark, d, "embeddings"), "vec_id", "embedding", _vector_query(spark, d), 25)
     return hits.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
@@ -92,10 +92,10 @@ def vector_top(spark: SparkSession, d: str) -> DataFrame:
 
 @bound(f"""
 WITH {_BM25}, {_VEC},
-a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM (SELECT * FROM bm WHERE s > 0 ORDER BY s DESC, doc_id LIMIT 40)),
-b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM (SELECT * FROM vs WHERE s > 0 ORDER BY s DESC, vec_id LIMIT 40)),
+a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS r FROM (SELECT * FROM bm WHERE s > 0 ORDER BY round(s, 9) DESC, doc_id LIMIT 40)),
+b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS r FROM (SELECT * FROM vs WHERE s > 0 ORDER BY round(s, 9) DESC, vec_id LIMIT 40)),
 u AS (SELECT id, r, 'bm25' AS c FROM a UNION ALL SELECT id, r, 'vector' FROM b)
-SELECT id AS doc_id, round(sum(1.0 / (60 + r)), 9) AS score, min(c) AS channel FROM u GROUP BY id ORDER BY sum(1.0::DOUBLE / (60 + r)) DESC, id LIMIT 10
+SELECT id AS doc_id, round(sum(1.0 / (60 + r)), 9) AS score, min(c) AS channel FROM u GROUP BY id ORDER BY round(sum(1.0::DOUBLE / (60 + r)), 12) DESC, id LIMIT 10
 """)
 def fused_top(spark: SparkSession, d: str) -> DataFrame:
     text = retrieve.bm25(_t(spark, d, "documents"), "doc_id", "text", QUERY_TEXT, 40)
@@ -135,16 +135,12 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).select("path", "row", "text")
 
 
-@bound(f"""WITH {_LINES} SELECT path, row, CASE WHEN strlen(text) <= 200 THEN text END AS snippet
-FROM lines WHERE regexp_matches(text, '{RE}') AND starts_with(path, 'src1') AND regexp_matches(path, '^[^/]*/e[^/]*/[^/]*$')""")
+@bound(f"""WITH {_LINES},
+h AS (SELECT path, row, text, CASE WHEN strlen(text) > 200 THEN list_max(list_filter(range(50, 201), lambda i: strlen(substr(text, 1, i)) <= 200)) END AS n
+      FROM lines WHERE regexp_matches(text, '{RE}') AND starts_with(path, 'src1') AND regexp_matches(path, '^[^/]*/e[^/]*/[^/]*$'))
+SELECT path, row, CASE WHEN n IS NULL THEN text ELSE substr(text, 1, n) || CASE WHEN strlen(substr(text, 1, n)) < 200 THEN chr(65533) ELSE '' END || '…' END AS snippet FROM h""")
 def regex_lines(spark: SparkSession, d: str) -> DataFrame:
-    hit = pattern.find_lines(_lines(spark, d), RE, scope="src1", file_glob="*/e*/*")
-    return hit.select("path", "row", F.when(F.octet_length("text") <= 200, F.col("snippet")).alias("snippet"))
-
-
-@bound()
-def regex_lines_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``regex_lines`` with the snippet of every line, cut and marked if it is longer."""
+    """Matching lines below a scope and a glob; a snippet that is cut within a character ends with a replacement character."""
     return pattern.find_lines(_lines(spark, d), RE, scope="src1", file_glob="*/e*/*").select("path", "row", "snippet")
 
 
@@ -192,28 +188,17 @@ def grouped_matches(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", "match_count", "bucket", F.row_number().over(w).alias("rank"))
 
 
-@bound(f"""WITH {_SPANS}, h AS (SELECT path, (row % 17)::INTEGER AS a0, (row % 17 + row % 5 + 1)::INTEGER AS b0, row FROM lines WHERE row % 7 = 3),
+@bound(f"""WITH {_SPANS}, h AS (SELECT path, greatest(row + (row % 5) * 3 - 4, 0)::INTEGER AS a0, (greatest(row + (row % 5) * 3 - 4, 0) + row % 7 + 1)::INTEGER AS b0, row FROM lines),
 m AS (SELECT h.path, h.row, s.seq, CASE WHEN a <= a0 AND b0 <= b THEN 1 WHEN a <= a0 AND a0 < b THEN 2 WHEN least(b0, b) > greatest(a0, a) THEN 3 END AS tier, a, b, a0, b0
-      FROM h JOIN spans s ON s.path = h.path WHERE least(b0, b) > greatest(a0, a) OR (a <= a0 AND b0 <= b)),
+      FROM h JOIN (SELECT path, seq, a + 1 AS a, b FROM spans) s ON s.path = h.path WHERE least(b0, b) > greatest(a0, a) OR (a <= a0 AND b0 <= b)),
 k AS (SELECT *, row_number() OVER (PARTITION BY path, row ORDER BY tier, CASE WHEN tier = 3 THEN -(least(b0, b) - greatest(a0, a)) ELSE b - a END, seq) AS k FROM m)
 SELECT h.path, h.row, tier, h.path || '#' || seq AS id FROM h LEFT JOIN (SELECT * FROM k WHERE k = 1) k USING (path, row)""")
 def three_tier(spark: SparkSession, d: str) -> DataFrame:
-    return _three_tier(spark, d, _lines(spark, d).where("row % 7 = 3"))
-
-
-def _three_tier(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
-    hunks = rows.select("path", "row", (F.col("row") % 17).alias("start"), (F.col("row") % 17 + F.col("row") % 5 + 1).alias("end"))
-    return intervals.attribute(hunks, _spans(spark, d), "path", ["id"]).select("path", "row", "tier", "id")
-
-
-@bound(f"""WITH {_SPANS}, h AS (SELECT path, (row % 17)::INTEGER AS a0, (row % 17 + row % 5 + 1)::INTEGER AS b0, row FROM lines),
-m AS (SELECT h.path, h.row, s.seq, CASE WHEN a <= a0 AND b0 <= b THEN 1 WHEN a <= a0 AND a0 < b THEN 2 WHEN least(b0, b) > greatest(a0, a) THEN 3 END AS tier, a, b, a0, b0
-      FROM h JOIN spans s ON s.path = h.path WHERE least(b0, b) > greatest(a0, a) OR (a <= a0 AND b0 <= b)),
-k AS (SELECT *, row_number() OVER (PARTITION BY path, row ORDER BY tier, CASE WHEN tier = 3 THEN -(least(b0, b) - greatest(a0, a)) ELSE b - a END, seq) AS k FROM m)
-SELECT h.path, h.row, tier, h.path || '#' || seq AS id FROM h LEFT JOIN (SELECT * FROM k WHERE k = 1) k USING (path, row)""")
-def three_tier_all(spark: SparkSession, d: str) -> DataFrame:
-    """``three_tier`` over every line."""
-    return _three_tier(spark, d, _lines(spark, d))
+    """A hunk for each line, some of them beyond the last span, some from before the first one."""
+    start = F.greatest(F.col("row") + (F.col("row") % 5) * 3 - 4, F.lit(0))
+    hunks = _lines(spark, d).select("path", "row", start.alias("start"), (start + F.col("row") % 7 + 1).alias("end"))
+    spans = _spans(spark, d).withColumn("start_row", F.col("start_row") + 1)
+    return intervals.attribute(hunks, spans, "path", ["id"]).select("path", "row", "tier", "id")
 
 
 @bound("""
@@ -236,6 +221,15 @@ def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     return chunks.windows(_t(spark, d, "documents"), ["doc_id"], "text").select("doc_id", "start", "end", F.md5("text").alias("digest"))
 
 
+@bound("""
+WITH n AS (SELECT doc_id, encode(text) AS b, strlen(text)::BIGINT AS n FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, b, n, unnest(range(0, greatest(0, ceil((n - 1000) / 800.0))::BIGINT + 1)) AS k FROM n)
+SELECT doc_id, (k * 800)::INTEGER AS "start", least(k * 800 + 1000, n)::INTEGER AS "end", md5(b[k * 800 + 1 : k * 800 + 1000]) AS digest FROM w
+""")
+def byte_windows(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.windows(_t(spark, d, "documents"), ["doc_id"], "text", in_bytes=True).select("doc_id", "start", "end", F.md5("text").alias("digest"))
+
+
 # --- names
 
 @bound("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[^/]*l[^/][d-r][^/]*$')")
@@ -250,24 +244,24 @@ def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @bound("""
 WITH s AS (SELECT p_partkey, lower(p_name) AS n, lower(p_type) AS t, lower(p_brand) AS b FROM part),
-q AS (SELECT * FROM (VALUES ('steel'), ('part'), ('brand#1')) v(q)),
+q AS (SELECT * FROM (VALUES ('small bolt'), ('ring'), ('brand#1')) v(q)),
 x AS (SELECT p_partkey, max(CASE WHEN n = q THEN 0.9 WHEN contains(n, q) THEN 0.6 + 0.1 * length(q)::DOUBLE / length(n) WHEN contains(t, q) THEN 0.4 WHEN contains(b, q) THEN 0.25 END) AS best,
       sum(CASE WHEN contains(b, q) THEN 0.15 ELSE 0 END) AS bonus FROM s, q GROUP BY p_partkey)
 SELECT p_partkey, round(least(best::DOUBLE + bonus::DOUBLE, 1.0), 9) AS score FROM x WHERE best IS NOT NULL
 """)
 def symbol_scores(spark: SparkSession, d: str) -> DataFrame:
-    score = names.symbol_score(F.col("p_name"), F.col("p_type"), F.col("p_brand"), ["Steel", "part", "Brand#1"])
+    score = names.symbol_score(F.col("p_name"), F.col("p_type"), F.col("p_brand"), ["Small bolt", "ring", "Brand#1"])
     return _t(spark, d, "part").select("p_partkey", F.round(score, 9).alias("score")).where("score IS NOT NULL")
 
 
 @bound("""
 WITH s AS (SELECT p_partkey, lower(p_name) AS n, lower(p_type) AS t, p_brand FROM part WHERE starts_with(p_brand, 'Brand#1') AND p_size < 30),
-x AS (SELECT *, CASE WHEN contains(n, 'part') THEN 0.6 + 0.1 * 4::DOUBLE / length(n) WHEN contains(t, 'part') THEN 0.4 WHEN contains(lower(p_brand), 'part') THEN 0.25 END AS s FROM s)
+x AS (SELECT *, CASE WHEN contains(n, 'bolt') THEN 0.6 + 0.1 * 4::DOUBLE / length(n) WHEN contains(t, 'bolt') THEN 0.4 WHEN contains(lower(p_brand), 'bolt') THEN 0.25 END AS s FROM s)
 SELECT p_partkey, round(s::DOUBLE, 9) AS score FROM x WHERE s IS NOT NULL ORDER BY s DESC, p_brand, p_partkey LIMIT 10
 """)
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.col("p_type").alias("doc"), F.col("p_brand").alias("path"), F.when(F.col("p_size") < 30, "CLASS").otherwise("FUNCTION").alias("kind"))
-    return names.search(p, ["part"], kinds=["class"], scope="Brand#1").select(F.col("seq").alias("p_partkey"), F.round("score", 9).alias("score"))
+    return names.search(p, ["bolt"], kinds=["class"], scope="Brand#1").select(F.col("seq").alias("p_partkey"), F.round("score", 9).alias("score"))
 
 
 @bound("SELECT c_custkey, c_name || chr(8203) AS raw, c_name AS clean FROM customer")
@@ -281,57 +275,75 @@ def sanitized(spark: SparkSession, d: str) -> DataFrame:
 def _relations(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     o, li = _t(spark, d, "orders"), _t(spark, d, "lineitem")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    order, part, supplier, customer = name("o:", "l_orderkey"), name("p:", "l_partkey"), name("s:", "l_suppkey"), name("c:", "o_custkey")
     return {
-        "ORDERS": o.select(name("c:", "o_custkey").alias("src"), name("o:", "o_orderkey").alias("dst")),
-        "PARTS": li.select(name("o:", "l_orderkey").alias("src"), name("p:", "l_partkey").alias("dst")).distinct(),
-        "SUPPLIERS": li.select(name("p:", "l_partkey").alias("src"), name("s:", "l_suppkey").alias("dst")).distinct(),
-        "BUYERS": o.select(name("o:", "o_orderkey").alias("src"), name("c:", "o_custkey").alias("dst")),
+        "ORDERS": o.select(customer.alias("src"), name("o:", "o_orderkey").alias("dst")),
+        "PARTS": li.select(order.alias("src"), part.alias("dst")).distinct(),
+        "SUPPLIERS": li.select(part.alias("src"), supplier.alias("dst")).distinct(),
+        "SUPPLIES": li.select(supplier.alias("src"), part.alias("dst")).distinct(),
+        "SOLD_IN": li.select(part.alias("src"), order.alias("dst")).distinct(),
+        "BUYERS": o.select(name("o:", "o_orderkey").alias("src"), customer.alias("dst")),
     }
 
 
 SEEDS = [("c:1", 1.0), ("c:2", 0.5), ("c:4", 0.8)]
-_SEED_SQL = "(VALUES ('c:1', 0, 1.0::DOUBLE), ('c:2', 1, 0.5::DOUBLE), ('c:4', 2, 0.8::DOUBLE)) v(seed, pos, w)"
+ORDER_SEEDS = [("o:1", 0.7), ("o:2", 1.0)]
 _REL_SQL = """rel_ORDERS AS (SELECT 'c:' || o_custkey AS src, 'o:' || o_orderkey AS dst FROM orders),
 rel_PARTS AS (SELECT DISTINCT 'o:' || l_orderkey AS src, 'p:' || l_partkey AS dst FROM lineitem),
 rel_SUPPLIERS AS (SELECT DISTINCT 'p:' || l_partkey AS src, 's:' || l_suppkey AS dst FROM lineitem),
+rel_SUPPLIES AS (SELECT DISTINCT 's:' || l_suppkey AS src, 'p:' || l_partkey AS dst FROM lineitem),
+rel_SOLD_IN AS (SELECT DISTINCT 'p:' || l_partkey AS src, 'o:' || l_orderkey AS dst FROM lineitem),
 rel_BUYERS AS (SELECT 'o:' || o_orderkey AS src, 'c:' || o_custkey AS dst FROM orders)"""
 
 
-def _bfs_sql(follow: list[str], depth: int, kind: str | None = None) -> str:
-    """Unrolled steps: hits, the best for each target, what is new, and the next frontier."""
-    parts = [_REL_SQL, f"f0 AS (SELECT seed AS node, seed, pos, w FROM {_SEED_SQL})", "seen0 AS (SELECT node AS target FROM f0)"]
+def _seed_sql(seeds: list[tuple[str, float]]) -> str:
+    return "(VALUES " + ", ".join(f"('{s}', {n}, {w}::DOUBLE)" for n, (s, w) in enumerate(seeds)) + ") v(seed, pos, w)"
+
+
+_SEED_SQL = _seed_sql(SEEDS)
+
+
+def _bfs_sql(follow: list[str], depth: int, kind: str | None = None, seeds: list[tuple[str, float]] = SEEDS, limit: int = 1000) -> str:
+    """Unrolled steps: hits, the best for each target, what is new, the rows within the limit, and the next frontier.
+
+    x{t} says whether step t takes place: nothing was cut before, and no more than 5000 nodes are visited with it.
+    """
+    keep = f" WHERE starts_with(dst, '{kind}')" if kind else ""
+    parts = [_REL_SQL, f"f0 AS (SELECT seed AS node, seed, pos, w FROM {_seed_sql(seeds)})", "seen0 AS (SELECT node AS target FROM f0)", "x0 AS (SELECT count(*) <= 5000 AS go, count(*) AS visited, 0::BIGINT AS emitted FROM f0)"]
     for t in range(depth):
         rel = follow[t % len(follow)]
         parts += [
-            f"h{t} AS (SELECT dst, node, seed, pos, w, w / {t + 2}.0::DOUBLE AS score, row_number() OVER (PARTITION BY seed, node ORDER BY dst) AS e FROM f{t} JOIN rel_{rel} ON node = src)",
-            f"b{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY score DESC, pos, node) AS k FROM h{t} WHERE e <= 1000) WHERE k = 1)",
+            f"h{t} AS (SELECT dst, node, seed, pos, w, w / {t + 2}.0::DOUBLE AS score, row_number() OVER (PARTITION BY seed, node ORDER BY dst) AS e FROM f{t} JOIN rel_{rel} ON node = src WHERE (SELECT go FROM x{t}))",
+            f"b{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY score DESC, pos, node) AS k FROM h{t} WHERE e <= {limit}) WHERE k = 1)",
             f"n{t} AS (SELECT * FROM b{t} WHERE dst NOT IN (SELECT target FROM seen{t}))",
+            f"r{t} AS (SELECT *, row_number() OVER (ORDER BY score DESC, dst) AS place FROM n{t}{keep})",
             f"f{t + 1} AS (SELECT dst AS node, seed, pos, w FROM n{t})",
             f"seen{t + 1} AS (SELECT target FROM seen{t} UNION ALL SELECT dst FROM n{t})",
+            f"x{t + 1} AS (SELECT go AND emitted + (SELECT count(*) FROM r{t}) <= {limit} AND visited + (SELECT count(*) FROM f{t + 1}) <= 5000 AS go, visited + (SELECT count(*) FROM f{t + 1}) AS visited, emitted + (SELECT count(*) FROM r{t}) AS emitted FROM x{t})",
         ]
-    keep = f" WHERE starts_with(dst, '{kind}')" if kind else ""
-    rows = " UNION ALL ".join(f"SELECT dst AS target, '{follow[t % len(follow)]}' AS edge_kind, node AS source, seed, {t + 1} AS depth, score FROM n{t}{keep}" for t in range(depth))
+    rows = " UNION ALL ".join(f"SELECT dst AS target, '{follow[t % len(follow)]}' AS edge_kind, node AS source, seed, {t + 1} AS depth, score FROM r{t} WHERE place <= {limit} - (SELECT emitted FROM x{t})" for t in range(depth))
     later = " UNION ALL ".join(f"SELECT dst AS target, score AS later FROM b{t}" for t in range(depth))
     return f"WITH {', '.join(parts)}, r AS ({rows}), l AS (SELECT target, max(later) AS later FROM ({later}) GROUP BY target) SELECT target, edge_kind, source, seed, depth, round(greatest(score, later), 9) AS score FROM r JOIN l USING (target)"
 
 
-def _bfs(spark: SparkSession, d: str, follow: list[str], depth: int, kind: str | None = None) -> DataFrame:
-    seeds = traverse.normalise_seeds(seeds=[s for s, _ in SEEDS], weights=[w for _, w in SEEDS])
-    got = traverse.traverse(_relations(spark, d), seeds, follow, depth, 1000, keep=F.col("dst").startswith(kind) if kind else None)
+def _bfs(spark: SparkSession, d: str, follow: list[str], depth: int, kind: str | None, seeds: list[tuple[str, float]], limit: int) -> DataFrame:
+    start = traverse.normalise_seeds(seeds=[s for s, _ in seeds], weights=[w for _, w in seeds])
+    got = traverse.traverse(_relations(spark, d), start, follow, depth, limit, keep=F.col("dst").startswith(kind) if kind else None)
     return got.rows.select("target", "edge_kind", "source", "seed", "depth", F.round("score", 9).alias("score"))
 
 
-def _put_bfs(name: str, follow: list[str], depth: int, kind: str | None = None) -> None:
-    QUERIES[name] = lambda spark, d: _bfs(spark, d, follow, depth, kind)
-    SQL[name] = _bfs_sql(follow, depth, kind)
+def _put_bfs(name: str, follow: list[str], depth: int, kind: str | None = None, seeds: list[tuple[str, float]] = SEEDS, limit: int = 1000) -> None:
+    QUERIES[name] = lambda spark, d: _bfs(spark, d, follow, depth, kind, seeds, limit)
+    SQL[name] = _bfs_sql(follow, depth, kind, seeds, limit)
 
 
 _put_bfs("traverse_depth1", ["ORDERS"], 1)
 _put_bfs("traverse_depth2", ["ORDERS", "PARTS"], 2)
 _put_bfs("traverse_depth3", ["ORDERS", "PARTS", "SUPPLIERS"], 3)
 _put_bfs("traverse_kind_filter", ["ORDERS", "PARTS", "SUPPLIERS"], 3, "s:")
-_put_bfs("traverse_cycle_follow", ["ORDERS", "BUYERS"], 4)
-_put_bfs("traverse_depth5", ["ORDERS", "BUYERS", "ORDERS", "PARTS", "SUPPLIERS"], 5)
+_put_bfs("traverse_cycle_follow", ["PARTS", "SOLD_IN"], 4, seeds=ORDER_SEEDS)  # the third step is PARTS again
+_put_bfs("traverse_depth5", ["PARTS", "SOLD_IN", "BUYERS", "ORDERS", "PARTS"], 5, "p:", ORDER_SEEDS)  # only parts are rows, so that the walk goes on
+_put_bfs("traverse_row_cap", ["ORDERS", "PARTS", "SUPPLIERS", "SUPPLIES"], 4, limit=40)
 
 
 @bound(f"WITH {_REL_SQL}, f AS (SELECT seed, w FROM {_SEED_SQL}) SELECT seed, max(w / 2.0::DOUBLE) AS score FROM f JOIN rel_ORDERS ON seed = src GROUP BY seed")
@@ -341,60 +353,32 @@ def traverse_seed_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @bound("""
-WITH e AS (SELECT o_orderkey AS id, 'part' AS kind, l_partkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 50
-           UNION ALL SELECT o_orderkey, 'supplier', l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 50),
+WITH e AS (SELECT o_orderkey AS id, 'part' AS kind, l_partkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+           UNION ALL SELECT o_orderkey, 'supplier', l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY target) AS k FROM e)
 SELECT id, kind, least(count(*), 8) AS total_count, count(*) > 2 AS truncated FROM r GROUP BY id, kind
 """)
 def edges_per_kind(spark: SparkSession, d: str) -> DataFrame:
-    return _edges_per_kind(spark, d, _t(spark, d, "orders").where("o_custkey < 50"))
-
-
-def _edges_per_kind(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
-    o = orders.join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    o = _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     e = o.select(F.col("o_orderkey").alias("id"), F.lit("part").alias("kind"), F.col("l_partkey").alias("target")).unionAll(o.select("o_orderkey", F.lit("supplier"), "l_suppkey"))
     return edges.cap_per_kind(e, 2, "kind", ("target",), ("id",))[1]
 
 
 @bound("""
-WITH e AS (SELECT o_orderkey AS id, 'part' AS kind, l_partkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-           UNION ALL SELECT o_orderkey, 'supplier', l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-r AS (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY target) AS k FROM e)
-SELECT id, kind, least(count(*), 8) AS total_count, count(*) > 2 AS truncated FROM r GROUP BY id, kind
-""")
-def edges_per_kind_all(spark: SparkSession, d: str) -> DataFrame:
-    """``edges_per_kind`` over the orders of all customers."""
-    return _edges_per_kind(spark, d, _t(spark, d, "orders"))
-
-
-@bound("""
-WITH p AS (SELECT p_partkey AS id, p_name, CASE WHEN p_partkey % 3 = 0 THEN 'renamed-' || p_partkey ELSE (SELECT min(p_name) FROM part) END AS new_name FROM part WHERE p_partkey <= 60)
-SELECT id, new_name, (SELECT count(*) FROM part WHERE p_name = new_name) = 0 AS safe_to_rename FROM p
+WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'renamed-' || p_partkey ELSE (SELECT min(p_name) FROM part) END AS new_name FROM part),
+n AS (SELECT p_name AS new_name, count(*) AS n FROM part GROUP BY p_name)
+SELECT id, new_name, coalesce(n, 0) = 0 AS safe_to_rename FROM p LEFT JOIN n USING (new_name)
 """)
 def rename_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return _rename_conflicts(spark, d, _t(spark, d, "part").where("p_partkey <= 60"))
-
-
-def _rename_conflicts(spark: SparkSession, d: str, judged: DataFrame) -> DataFrame:
     part = _t(spark, d, "part")
     first = part.agg(F.min("p_name")).first()[0]
     s = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("path"), F.lit("").alias("pkg"), F.lit("CLASS").alias("kind"), F.lit("").alias("summary"), F.lit(0).alias("start_row"), F.lit(0).alias("end_row"), F.lit("").alias("receiver"))
     spark_ = part.sparkSession
     none = {"call_edges": spark_.createDataFrame([], "path string, pkg string, caller_id string, caller_name string, caller_receiver string, caller_start_row int, callee_name string"), "imports": spark_.createDataFrame([], "path string, import_path string, start_row int, end_row int"), "inherits": spark_.createDataFrame([], "path string, class_name string, parent_name string")}
-    renames = judged.select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("renamed-"), F.col("p_partkey").cast("string"))).otherwise(F.lit(first)).alias("new_name"))
+    renames = part.select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("renamed-"), F.col("p_partkey").cast("string"))).otherwise(F.lit(first)).alias("new_name"))
     return edges.edit_impact({"symbols": s} | none, renames).select(F.col("id").cast("long").alias("id"), "new_name", "safe_to_rename")
 
 
-@bound("""
-WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'renamed-' || p_partkey ELSE (SELECT min(p_name) FROM part) END AS new_name FROM part),
-n AS (SELECT p_name AS new_name, count(*) AS n FROM part GROUP BY p_name)
-SELECT id, new_name, coalesce(n, 0) = 0 AS safe_to_rename FROM p LEFT JOIN n USING (new_name)
-""")
-def rename_conflicts_all(spark: SparkSession, d: str) -> DataFrame:
-    """``rename_conflicts`` for all parts."""
-    return _rename_conflicts(spark, d, _t(spark, d, "part"))
-
-
 # --- structure
 
 @bound("SELECT 'files' AS what, count(*) AS n FROM documents UNION ALL SELECT 'packages', count(DISTINCT source) FROM documents UNION ALL SELECT o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus")
@@ -428,10 +412,10 @@ def hotspots_in(spark: SparkSession, d: str) -> DataFrame:
     return architecture.hotspots(_t(spark, d, "part").select(F.col("p_partkey").alias("id")), li, 15, Semantics(degree="in"))
 
 
-@bound("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) ORDER BY id LIMIT 50")
+@bound("SELECT p_partkey AS id FROM part WHERE p_partkey * 3 NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY id LIMIT 50")
 def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
-    sold = _t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst"))
-    return architecture.dead(_t(spark, d, "part").select(F.col("p_partkey").alias("id")), sold)
+    orders = _t(spark, d, "lineitem").select((F.col("l_orderkey") / 3).alias("src"), F.col("l_partkey").alias("dst"))
+    return architecture.dead(_t(spark, d, "part").select(F.col("p_partkey").alias("id")), orders.where("src = floor(src)").select(F.col("src").cast("long").alias("src"), "dst"))
 
 
 _TRANS = "t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT src, dst FROM t WHERE dst IS NOT NULL GROUP BY src, dst HAVING count(*) >= (SELECT count(*) / 30 FROM events))"
