@@ -1,17 +1,19 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the hierarchy.
 
-A tolerant parser makes a tree of the block elements; inline elements only add to their block's statistics. Every node
-gets features: its tag, words of its class, id and role, the same of its ancestors, depth, sibling statistics, and the
+A tolerant parser makes a tree of the block elements and of inline elements whose class, id or role speaks of adverts, menus, comments,
+sharing, teasers, notices or forms; other inline elements only add to their block's statistics. Every node gets features: its tag, words of its class, id and role, the same of its ancestors, depth, sibling statistics, and the
 density of text and links in its subtree. The trees give each node probabilities of being a wrapper (around
 content and other things), content, or boilerplate. Decoding picks the likeliest labelling of the whole tree in
 which wrappers may hold anything, content may hold content or boilerplate, and boilerplate holds only
 boilerplate, so that no ancestor and descendant contradict each other.
 
 The trees are fitted on pages composed by ``training_pages`` (a seeded generator of labelled layouts); no table is
-used for it. Scripts, styles, templates, form controls, embedded objects and the head are never text.
+used for it. Scripts, styles, templates, form controls and their labels, embedded objects, hidden elements and the head are never
+text.
 
 Text: character references are decoded; white space within a block becomes one space; blocks are trimmed and joined in
-page order by a line feed; ``<br>`` is white space; text outside all blocks is a block of its own. Defined results: a null or empty page, or one without content,
+page order by a line feed; ``<br>`` is white space; text outside all blocks is a paragraph of its own. A link that is not closed before
+the next one ends with its block. Defined results: a null or empty page, or one without content,
 gives ''; text after an unclosed comment, script or tag is dropped as browsers do; repeated rows get equal values.
 """
 
@@ -64,9 +66,14 @@ GROUPS = [
     "wrap wrapper container page outer inner layout row grid col",
 ]
 _GROUP_OF = {w: 1 << g for g, words in enumerate(GROUPS) for w in words.split()}
-TAG_KINDS = ["html body", "div section", "article", "main", "nav menu search", "header hgroup", "footer address", "aside", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table thead tbody tfoot tr", "td th caption", "form fieldset legend", "blockquote pre", "figure figcaption", "details summary dialog center"]
+INLINE = "span"
+TAG_KINDS = ["span", "html body", "div section", "article", "main", "nav menu search", "header hgroup", "footer address", "aside", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table thead tbody tfoot tr", "td th caption", "form fieldset legend", "blockquote pre", "figure figcaption", "details summary dialog center"]
 _KIND_OF = {t: k for k, tags in enumerate(TAG_KINDS) for t in tags.split()}
 WRAPPER, CONTENT, BOILERPLATE = 0, 1, 2
+#: Groups that make an inline element a node of its own.
+APART = (1 << 7) - 1
+UNSEEN = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s/>=]|$)(?!\s*=\s*["']?until)|style\s*=\s*(?:"[^"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
+ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 
 HEAD_END = re.compile(r"</head\s*>|<body\b|<(?:div|nav|header|main|article|section|p|h1|table)\b", re.I | re.A)
 HIDDEN = re.compile(r"<(script|style|title|noscript)\b.*?</\1\s*>", re.I | re.A | re.S)
@@ -87,7 +94,9 @@ class Page:
     def __init__(self, source: str | None):
         self.tag, self.parent, self.depth, self.groups, self.above, self.kinds_above, self.label = ["html"], [-1], [0], [0], [0], [0], [-1]
         self.own, self.linked, self.commas, self.inline = [0], [0], [0], [0]
-        self.runs: list[tuple[int, str]] = []
+        self.runs: list[tuple[int, str | list[tuple[int, str]]]] = []  # a block's text, or its pieces with their inline nodes
+        self.unseen: list[int] = []
+        self.groups_of = kept("html_extract", "groups", lambda: Memo(groups_of, 8 << 20)).__getitem__
         if source:
             self._parse(source)
 
@@ -97,7 +106,9 @@ class Page:
         self.tag.append(tag)
         self.parent.append(up)
         self.depth.append(self.depth[up] + 1)
-        self.groups.append(groups_of(attributes) if attributes else 0)
+        self.groups.append(self.groups_of(attributes) if attributes else 0)
+        if attributes and UNSEEN.search(attributes):
+            self.unseen.append(stack[-1])
         self.above.append(self.above[up] | self.groups[up])
         self.kinds_above.append(self.kinds_above[up] | 1 << _KIND_OF[self.tag[up]])
         mark = MARK.search(attributes) if "data-y" in attributes else None
@@ -107,22 +118,55 @@ class Page:
         self.commas.append(0)
         self.inline.append(0)
 
-    def _flush(self, node: int, buffer: list[str]) -> None:
-        text = " ".join("".join(buffer).split())
-        buffer.clear()
+    def _flush(self, node: int, buffer: list[tuple[int, str]]) -> None:
+        """End a run of text of a block; ``buffer`` has its pieces with the block or the inline node that each is in."""
+        if not buffer:
+            return
+        apart = any(owner != node for owner, _ in buffer)
+        text = " ".join("".join([t for _, t in buffer]).split())
         if text:
+            home = node
             if not node:  # text held by the document itself is a paragraph of its own
                 self._open([0], "p", "")
-                node = len(self.tag) - 1
+                home = len(self.tag) - 1
                 for count in (self.linked, self.inline):
-                    count[0], count[node] = 0, count[0]
-            self.runs.append((node, text))
-            self.own[node] += len(text)
-            self.commas[node] += text.count(",") + text.count(".")
+                    count[0], count[home] = 0, count[0]
+            if not apart:
+                self.runs.append((home, text))
+                self._count(home, text)
+            else:
+                pieces = [(home if owner == node else owner, t) for owner, t in buffer]
+                self.runs.append((home, pieces))
+                for owner in {o for o, _ in pieces}:
+                    self._count(owner, " ".join("".join([t for o, t in pieces if o == owner]).split()))
+        buffer.clear()
+
+    def _count(self, node: int, text: str) -> None:
+        self.own[node] += len(text)
+        self.commas[node] += text.count(",") + text.count(".")
+
+    def _apart(self, up: int, name: str, attributes: str) -> int | None:
+        """The node of an inline element, if it gets one."""
+        unseen = name == "label" or (attributes and UNSEEN.search(attributes))
+        if not unseen and not (attributes and self.groups_of(attributes) & APART):
+            return None
+        self._open([up], INLINE, attributes)
+        if name == "label":
+            self.unseen.append(len(self.tag) - 1)
+        return len(self.tag) - 1
 
     def _parse(self, source: str) -> None:
-        stack, buffer, at, in_link, tags = [0], [], 0, False, self.tag
+        stack, buffer, at, tags = [0], [], 0, self.tag
+        within: list[tuple[str, int]] = []  # open inline elements from the first that is a node: name and node, or the node around it
+        in_link = closed = False
         end = len(source)
+
+        def leave() -> None:
+            """A block begins or ends: inline elements, and links that are not closed, end with it."""
+            nonlocal in_link
+            within.clear()
+            in_link = in_link and closed
+
         while at < end:
             m = TOKEN.search(source, at)
             stop = m.start() if m else end
@@ -130,9 +174,10 @@ class Page:
                 text = source[at:stop]
                 if "&" in text:
                     text = html.unescape(text)
-                buffer.append(text)
+                owner = within[-1][1] if within else stack[-1]
+                buffer.append((owner, text))
                 if in_link:
-                    self.linked[stack[-1]] += len(text)
+                    self.linked[owner] += len(text)
             if not m:
                 break
             at = m.end()
@@ -141,18 +186,24 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                if name == "a":
-                    in_link = False
-                elif name in BLOCKS:
+                if name in BLOCKS:
                     for k in range(len(stack) - 1, 0, -1):
                         if tags[stack[k]] == name or (name[0] == "h" and name[1:].isdigit() and tags[stack[k]][0] == "h" and tags[stack[k]][1:].isdigit()):
                             self._flush(stack[-1], buffer)
+                            leave()
                             del stack[k:]
                             break
                         if name == "p" and tags[stack[k]] != "p":
                             break
                         if name in STOPS and tags[stack[k]] in STOPS[name]:
                             break
+                    continue
+                if name == "a":
+                    in_link = False
+                for k in range(len(within) - 1, -1, -1):
+                    if within[k][0] == name:
+                        del within[k:]
+                        break
                 continue
             if name in RAW or name in DROPPED:
                 if m[3].endswith("/") and name in ("svg", "math"):
@@ -167,22 +218,29 @@ class Page:
                     close = CLOSING[name].search(source, at)
                     gt = source.find(">", close.start()) if close else -1
                     at = end if gt < 0 else gt + 1
-                buffer.append(" ")
+                buffer.append((stack[-1], " "))
                 continue
             if name in VOID:
                 self.inline[stack[-1]] += 1
-                if name in ("br", "hr", "img"):
-                    if name == "hr":
-                        self._flush(stack[-1], buffer)
-                    else:
-                        buffer.append(" ")
+                if name == "hr":
+                    self._flush(stack[-1], buffer)
+                    leave()
+                elif name in ("br", "img"):
+                    buffer.append((within[-1][1] if within else stack[-1], " "))
                 continue
             if name not in BLOCKS:
                 self.inline[stack[-1]] += 1
                 if name == "a":
-                    in_link = True
+                    follows = ANCHOR.search(source, at)
+                    in_link, closed = True, bool(follows and follows[1])
+                    within = [x for x in within if x[0] != "a"]
+                up = within[-1][1] if within else stack[-1]
+                node = self._apart(up, name, m[3])
+                if node is not None or within:
+                    within.append((name, up if node is None else node))
                 continue
             self._flush(stack[-1], buffer)
+            leave()
             if name in ("html", "body") and len(stack) > 1 and name in (tags[s] for s in stack):
                 continue
             if name == "html":
@@ -207,6 +265,17 @@ class Page:
             self._open(stack, name, m[3])
         self._flush(stack[-1], buffer)
 
+    def text(self, label: list[int]) -> str:
+        """The text of the content blocks, without their inline nodes that are none."""
+        out = []
+        for node, run in self.runs:
+            if label[node] == CONTENT:
+                if not isinstance(run, str):
+                    run = " ".join("".join([t if label[owner] == CONTENT else " " for owner, t in run]).split())
+                if run:
+                    out.append(run)
+        return "\n".join(out)
+
     def numbers(self) -> list[tuple]:
         """Per node: the raw numbers from which ``features`` makes a matrix."""
         n, parent = len(self.tag), self.parent
@@ -297,9 +366,10 @@ class Model:
         for page, r in zip(pages, rows):
             part = logs[at : at + len(r)].tolist()
             part[0] = [0.0, -50.0, -50.0]  # the document itself
+            for node in page.unseen:
+                part[node] = [-1e3, -1e3, 0.0]
             at += len(r)
-            label = decode(page.parent, part)
-            out.append("\n".join(t for node, t in page.runs if label[node] == CONTENT))
+            out.append(page.text(decode(page.parent, part)))
         return out
 
 
@@ -332,9 +402,19 @@ def training_pages(count: int, seed: int) -> Iterator[str]:
     def link_list(y: int, n: int) -> str:
         return el(rng.choice(["ul", "ul", "ol"]), y, "".join(el("li", y, f'<a href="/x">{words(rng.randint(1, 5))}</a>', close=0.1) for _ in range(n)))
 
+    def inline(y: int) -> str:
+        """An inline element that is a node: mostly a few words that are no text; now and then text of a weaker name."""
+        if y == CONTENT and rng.random() < 0.25:
+            return f'<{rng.choice(["span", "em", "strong"])} class="{rng.choice(["message-text", "notice-body", "comment-term", "more-content", "review-title", "search-hit", "message", "followed"])}" data-y="1">{words(rng.randint(2, 40))}</span></em></strong>'
+        tag = rng.choice(["span", "span", "a", "em", "small", "b"])
+        who = rng.choice(["ad", "ads", "advert", "sponsored", "promo", "banner", "share", "social", "follow", "tweet-share", "nav-link", "menu-item", "breadcrumb", "related", "more", "cookie-notice", "newsletter", "login", "subscribe", "comment-count", "reply"])
+        return f'<{tag} {rng.choice(["class", "class", "id"])}="{rng.choice([who, who, who + "-" + rng.choice(parts)])}" data-y="2">{words(rng.randint(1, 8))}</{tag}>'
+
     def paragraph(y: int, low: int = 1, high: int = 120) -> str:
         n = rng.choice([rng.randint(low, max(low, 8)), rng.randint(low, high), rng.randint(low, high)])
         text = words(n)
+        if rng.random() < 0.06:
+            text = rng.choice([f"{text} {inline(y)}", f"{inline(y)} {text}", f"{text} {inline(y)} {words(rng.randint(1, 30))}"])
         if rng.random() < 0.2:
             text = f"<b>{text}" + rng.choice(["</b>", ""]) + rng.choice(["<br>", ""])
         if rng.random() < 0.15:
@@ -446,7 +526,7 @@ def extract_text(pages: DataFrame, html_col: str, keep: list[str], model: Model
     """The columns in ``keep``, then text string (never null), for every row."""
     small_batches(pages.sparkSession)
     model = model or default_model()
-    rows = pages.select(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keep)], F.col(html_col).alias("html"))
+    rows = pages.select(*[quoted(k).alias(f"c{i}") for i, k in enumerate(keep)], quoted(html_col).alias("html"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
