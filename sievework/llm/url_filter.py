@@ -22,6 +22,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import quoted, stored
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 8 << 20
 WORDS_PER_BLOCK = 4
@@ -81,22 +83,27 @@ def may_be_listed(key: Column, words: list[int]) -> Column:
 
 def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str, default: str = "allow", max_words: int = 1 << 17) -> DataFrame:
     """Judge every row: columns ``id_col``, host, path, rule (null if none fits), verdict."""
-    n_rules, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("rule")), F.lit(0))).first()
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
-    host, path = split_url(F.col(url_col))
-    base = urls.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    labels = F.size(F.split("rule_host", "[.]"))
+    n_rules, size, most = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("rule")), F.lit(0)), F.max(labels)).first()
+    host, path = split_url(quoted(url_col))
+    base = urls.select(quoted(id_col).alias("id"), host.alias("host"), path.alias("path"))
     if not n_rules:
-        return base.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return base.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())  # no more than the longest rule has characters
     words = build_filter(rules, n_rules, max_words)
-    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 1000000), '.'))")
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
+    # of a host's labels, no more than the longest listed host has
+    suffixes = F.expr(f"transform(sequence(greatest(1, size(split(host, '[.]')) - {most - 1}), size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, {most}), '.'))")
+    prefixes = F.transform(F.filter(F.from_json(F.lit(json.dumps(lengths)), "array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    possible = base.where("host <> '' AND path <> ''").select(id_col, "host", "path", F.explode(keys).alias("key")).where(may_be_listed(F.col("key"), words))
+    possible = F.when((F.col("host") != "") & (F.col("path") != ""), F.filter(keys, lambda k: may_be_listed(k, words)))
+    rows = base.withColumn("n", F.monotonically_increasing_id()).select("n", "id", "host", "path", F.explode_outer(possible).alias("key"))
+    rows = rows.withColumn("key", F.coalesce("key", F.concat(F.lit(" "), F.col("n").cast("string"))))  # rows without a key do not meet in one task
     listed = rules.select(F.col("rule").alias("key"), "rule", "verdict", F.length("rule_host").alias("hl")).dropDuplicates(["key"])
     if n_rules <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         listed = F.broadcast(listed)
-    hits = possible.join(listed, "key")
-    best = hits.groupBy(id_col, "host", "path").agg(F.min(F.struct((-F.length("rule")).alias("a"), (-F.col("hl")).alias("b"), "rule", "verdict")).alias("best"))
-    b, x = base.alias("b"), best.alias("x")
-    on = F.col(f"b.{id_col}").eqNullSafe(F.col(f"x.{id_col}")) & (F.col("b.host") == F.col("x.host")) & (F.col("b.path") == F.col("x.path"))
-    return b.join(x, on, "left").select(F.col(f"b.{id_col}").alias(id_col), "b.host", "b.path", F.col("x.best.rule").alias("rule"), F.coalesce(F.col("x.best.verdict"), F.lit(default)).alias("verdict"))
+    else:
+        listed = stored(listed, "rules")  # both sides are plain shuffles then, so that a hot key's rows can be split
+    found = F.when(F.col("rule").isNotNull(), F.struct((-F.length("rule")).alias("a"), (-F.col("hl")).alias("b"), "rule", "verdict"))
+    # all keys of a row are in one task, so what is shuffled is one row for each URL
+    best = rows.join(listed, "key", "left").groupBy("n").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), F.min(found).alias("best"))
+    return best.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
