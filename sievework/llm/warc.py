@@ -1,11 +1,12 @@
 """WARC archives written and read as chunked record tables.
 
-Writing. Every row becomes one WARC/1.1 record, or, when its payload is longer than ``segment_chars``, a record and
-``continuation`` records in the standard's segmentation form, so no row of the written table is larger
-than one segment. Equal payloads of at least ``min_bytes`` are stored once: the record with the largest
-id is the ``response``, the others are ``revisit`` records without payload. The choice is made on (id, digest) rows
-alone: a partial aggregate per digest before the shuffle, so a payload that a third of all rows share costs one
-row a task. Spark's text sink writes the archives (gzip, line separator CRLF), so any Hadoop file system will do.
+Writing. Every row becomes one WARC/1.1 record, or, when its payload is longer than ``segment_bytes``, a record and
+``continuation`` records in the standard's segmentation form. A payload is cut once, into ranges of its bytes, so the time is
+proportional to its length, and no row that is shuffled or written after that is larger than one segment. Equal payloads of at
+least ``min_bytes`` are stored once: the record with the largest
+id is the ``response``, the others are ``revisit`` records without payload. The choice is made on a stored table of (id, digest)
+alone: a partial aggregate per digest before the shuffle, and the rows of a hot payload meet its response by broadcast
+(``join_counted``). Spark's text sink writes the archives (gzip, line separator CRLF), so any Hadoop file system will do.
 
 Reading. The archives are streamed line by line into a state machine that follows Content-Length. It emits rows
 of (record id, chunk number) with at most ``chunk_bytes`` of payload each, carrying the SHA-1 and the byte count
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import join_counted, new_path, quoted, small_batches, stored
 
 MIN_BYTES = 1000
-SEGMENT_CHARS = 1 << 18
+SEGMENT_BYTES = 1 << 18
 CHUNK_BYTES = 1 << 16
 WARC_DATE = "2024-01-01T00:00:00Z"
 CHUNKS = "record_id string, record_type string, refers_to string, declared_digest string, declared_bytes long, chunk_no int, data binary, n_bytes long, end_offset long, sha1_so_far string, last boolean"
@@ -36,12 +37,12 @@ CHUNKS = "record_id string, record_type string, refers_to string, declared_diges
 
 def plan_records(df: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """One row per input row: id, url, payload, payload_bytes, payload_digest, record_type, refers_to (an id)."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    payload = F.coalesce(quoted(payload_col), F.lit(""))
+    rows = df.select(quoted(id_col).cast("long").alias("id"), quoted(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1(F.encode("payload", "utf-8"))})
-    ids = rows.where(F.col("payload_bytes") >= min_bytes).select("id", "payload_digest")
-    first = ids.groupBy("payload_digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = ids.join(first, "payload_digest").where("id <> refers_to").distinct()
+    ids = stored(rows.where((F.col("payload_bytes") >= min_bytes) & F.col("id").isNotNull()).select("id", "payload_digest"), "digests")
+    first = stored(ids.groupBy("payload_digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "responses")
+    again = join_counted(ids, first, "payload_digest", "n", ids.count()).where("id <> refers_to").select("id", "payload_digest", "refers_to").distinct()
     a, b = rows.alias("a"), again.alias("b")
     out = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.payload_digest") == F.col("b.payload_digest")), "left")
     return out.select("a.*", "b.refers_to").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
@@ -51,13 +52,18 @@ def _urn(id_col: Column) -> Column:
     return F.concat(F.lit("<urn:record:"), F.coalesce(id_col.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def write_archives(records: DataFrame, path: str, segment_chars: int = SEGMENT_CHARS) -> None:
+def write_archives(records: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Write the rows of ``plan_records`` as gzipped WARC files below ``path``."""
     nl = "\r\n"
     revisit = F.col("record_type") == "revisit"
-    parts = F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.length("payload") / F.lit(segment_chars)))).cast("int")
-    rows = records.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
-    body = F.when(revisit, F.lit("")).when(F.col("parts") == 1, F.col("payload")).otherwise(F.col("payload").substr((F.col("part") - 1) * segment_chars + 1, F.lit(segment_chars)))
+    rows = records.withColumn("raw", F.when(revisit, F.lit(b"")).otherwise(F.encode("payload", "utf-8"))).drop("payload")
+    # both columns read raw, so it is made once for a row and not for every segment
+    rows = rows.withColumns({
+        "parts": F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / F.lit(segment_bytes))).cast("int"),
+        "segments": F.when(F.octet_length("raw") <= segment_bytes, F.array("raw")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("raw") - 1) / F.lit(segment_bytes)).cast("int")), lambda k: F.substring("raw", k * segment_bytes + 1, F.lit(segment_bytes)))),
+    })
+    rows = rows.select(*[c for c in rows.columns if c not in ("raw", "segments")], F.posexplode("segments").alias("part", "bytes")).withColumn("part", F.col("part") + 1)
+    body = F.col("bytes").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{nl}Content-Type: text/html; charset=utf-8{nl}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(nl + nl))
     block = F.when(F.col("part") == 1, F.concat(http, body)).otherwise(body)
     several, later = F.col("parts") > 1, F.col("part") > 1

@@ -37,7 +37,7 @@ def test_html_generated_pages(html_model):
     wrong = total = 0
     for source in html_extract.training_pages(120, 4242):
         page = html_extract.Page(source)
-        want = Counter(t for n, t in page.runs if page.label[n] == html_extract.CONTENT)
+        want = Counter(page.text(page.label).split("\n"))
         got = Counter(html_model.extract([source.replace("data-y", "data-z")])[0].split("\n"))
         wrong += sum(((want - got) + (got - want)).values())
         total += sum(want.values())
@@ -55,6 +55,34 @@ def test_html_text_outside_all_blocks(html_model):
     assert html_model.extract([text, f"<p>{text}</p>", f"<body><article><p>{text}</article></body>{text}"]) == [plain, plain, f"{plain}\n{plain}"]
 
 
+def _page(inner, head="<title>t</title>"):
+    return f"<!doctype html><html><head>{head}</head><body><header class='masthead'><a href='/'>The Daily</a></header><nav><ul><li><a href='/a'>News</a></li><li><a href='/b'>Sport</a></li></ul></nav>{inner}<footer>All rights reserved.</footer></body></html>"
+
+
+STORY = ["The river rose by two metres during the night, and the lower town was under water by the morning.", "Boats were brought from the coast, said the mayor, who had not slept, and the school was opened to all who had to leave.", "By Friday the water had gone back, and what it left behind was counted, cleaned, dried and carried away."]
+HAND_MADE = {
+    "unclosed link": (f"<article><h1>The flood</h1><p>{STORY[0]} <a href='/map'>See the map.</p><p>{STORY[1]}</p><p>{STORY[2]}</p></article>", ["The flood", f"{STORY[0]} See the map.", *STORY[1:]]),
+    "inline adverts": (f"<article><h1>The flood</h1><p>{STORY[0]} <span class='ad'>Buy our boots now!</span></p><p>{STORY[1]}</p><p><a class='share-button' href='#'>Share this</a> {STORY[2]}</p></article>", ["The flood", *STORY]),
+    "labels": (f"<article><h1>The flood</h1><p>{STORY[0]}</p><p>{STORY[1]}</p><label for='q'>Your e-mail</label><input id='q'><p>{STORY[2]}</p></article>", ["The flood", *STORY]),
+    "hidden blocks": (f"<article><h1>The flood</h1><p>{STORY[0]}</p><p hidden>Not to be seen, not even by those who look for it.</p><div style='color:red; display: none'><p>Nor is this, which has several words, and stops.</p></div><p>{STORY[1]}</p><p>{STORY[2]}</p></article>", ["The flood", *STORY]),
+    "plain inline elements": (f"<article><h1>The <em class='x'>flood</em></h1><p>{STORY[0]}</p><p><span class='lead text'>By the river</span> {STORY[1]}</p><p>{STORY[2]}</p></article>", ["The flood", STORY[0], f"By the river {STORY[1]}", STORY[2]]),
+    "readers": (f"<main><article><h1>The flood</h1><p>{STORY[0]}</p><p>{STORY[1]}</p><p>{STORY[2]}</p></article></main><section id='comments'><h2>3 comments</h2><div class='comment'><p>I was there, and it was worse than you say, much worse.</p></div></section>", ["The flood", *STORY]),
+}
+
+
+@pytest.mark.parametrize("name", HAND_MADE)
+def test_html_pages_made_by_hand(html_model, name):
+    """Pages that share no words or layouts with the generator."""
+    inner, want = HAND_MADE[name]
+    assert html_model.extract([_page(inner)]) == ["\n".join(want)]
+
+
+def test_html_keeps_columns_of_any_name(spark, html_model):
+    df = spark.createDataFrame([(1, "u", "<article><p>one two</article>", 3)], "`page.id` long, text string, `raw html` string, c0 int")
+    r = html_extract.extract_text(df.withColumnRenamed("text", "url"), "raw html", ["page.id", "url", "c0"], html_model).first()
+    assert (r[0], r.url, r.c0) == (1, "u", 3)
+
+
 def test_html_edges(spark, html_model):
     rows = [(1, None), (2, ""), (3, "<"), (4, "<!-- open"), (5, "<script>x"), (6, "<p " * 2000), (7, "</p></div>" * 500), (8, "<div>" * 3000 + "x"), (8, "<article><p>y</article>"), (9, "<article><p>" + "long text, more of it. " * 5000 + "</article>")]
     got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, html string"), "html", ["page_id"]).collect()
@@ -212,6 +240,20 @@ def test_urls_by_brute_force(spark):
     assert {r.verdict for r in empty.collect()} == {"block"} and empty.count() == len(urls)
 
 
+def test_urls_edges(spark):
+    rules = url_filter.rule_table(spark, [("block", "a.b/"), ("allow", "x.a.b/p")])
+    many = "http://" + "l." * 20_000 + "x.a.b/p" + "q" * 50_000
+    df = spark.createDataFrame([(1, many, "r"), (2, None, "s"), (None, "http://a.b/", None)], "`page.id` long, url string, rule string")
+    got = {r[0]: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules, "page.id", "url").collect()}
+    assert got == {1: ("x.a.b/p", "allow"), 2: (None, "allow"), None: ("a.b/", "block")}
+    assert url_filter.filter_urls(df.limit(0), rules, "page.id", "url").count() == 0
+    url_filter.BROADCAST_ROWS, keep = 0, url_filter.BROADCAST_ROWS
+    try:
+        assert {r[0]: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules, "page.id", "url").collect()} == got
+    finally:
+        url_filter.BROADCAST_ROWS = keep
+
+
 def test_url_filter_has_few_false_positives(spark):
     rules = url_filter.rule_table(spark, [("block", f"h{i}.org/p") for i in range(3000)])
     words = url_filter.build_filter(rules, 3000)
@@ -700,12 +742,15 @@ def test_language_hierarchy():
 # 10: WARC
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, hot):
+    """With 3, the payload that five rows share is joined as a hot one."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     big = "é" * 700 + "\r\n\r\nWARC/1.1\r\n" + "x" * 300
     rows = [(1, "http://a/", None), (2, None, ""), (3, "http://a b\n/", "small"), (4, "u", "small"), (5, "u", big), (9, "u", big), (9, "u", big), (7, "u", big), (None, "u", big), (11, "u", "y" * 999), (12, "u", "y" * 999), (13, "u", "line\n" * 900), (14, "u", "\n" * 1000), (15, "u", "日本語\n" * 2000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = str(tmp_path / "warc")
-    warc.write_archives(warc.plan_records(df.repartition(3), "page_id", "url", "html"), path, segment_chars=256)
+    warc.write_archives(warc.plan_records(df.repartition(3), "page_id", "url", "html"), path, segment_bytes=255)
     chunks = warc.read_chunks(spark, path, chunk_bytes=100).collect()
     got, parts = Counter(), defaultdict(list)
     for c in chunks:
@@ -724,6 +769,8 @@ def test_warc_round_trip(spark, tmp_path):
         again = raw in top and i is not None and i != top[raw]
         want["none" if i is None else str(i), "revisit" if again else "response", len(raw), hashlib.sha1(raw).hexdigest(), f"<urn:record:{top[raw]}>" if again else None] += 1
     assert got == want
+    hot = {c.record_id for c in chunks if c.record_type == "revisit"}
+    assert {"<urn:record:5>", "<urn:record:7>"} <= hot
     one = sorted(parts["<urn:record:15>", "response"], key=lambda c: c.chunk_no)
     assert b"".join(bytes(c.data) for c in one).decode() == "日本語\n" * 2000 and one[-1].last and not one[0].last
     assert hashlib.sha1(bytes(one[0].data)).hexdigest() == one[0].sha1_so_far
@@ -731,6 +778,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_chunks(spark, path + "0").count() == 0
 
 
+def test_warc_of_clashing_columns_and_long_payloads(spark, tmp_path):
+    long = "".join(chr(33 + k * 7 % 900) for k in range(300_000)) + "\U0001f600" * 1000
+    df = spark.createDataFrame([(1, "u", long, 5, "x"), (2, "u", long, 6, "y")], "`page.id` long, payload string, raw string, n int, payload_digest string")
+    path = str(tmp_path / "warc")
+    warc.write_archives(warc.plan_records(df, "page.id", "payload", "raw"), path, segment_bytes=10_007)
+    ends = {c.record_id: c for c in warc.read_chunks(spark, path, keep_data=False).where("last").collect()}
+    assert ends["<urn:record:2>"].sha1_so_far == hashlib.sha1(long.encode()).hexdigest() and ends["<urn:record:2>"].end_offset == len(long.encode())
+    assert ends["<urn:record:1>"].refers_to == "<urn:record:2>"
+
+
 def test_warc_stream_refuses_broken_archives():
     s = warc.RecordStream()
     with pytest.raises(ValueError):
