@@ -1,14 +1,18 @@
 """Media columns: payloads stored as baseline JPEG images and read back in numpy.
 
 Encoding is lossless because it starts at the format's own unit, the quantised coefficient: each 64 payload bytes are
-the 64 zigzag coefficients of one 8x8 block (byte b is stored as b-128, or b-127 from 128 on, so that none is zero),
-with a quantisation table of ones. The file is an ordinary baseline JPEG: SOI, APP0, DQT, SOF0, two
-DHT segments, one grayscale scan, EOI. Its Huffman tables are chosen so that the code and the extra bits
-of a symbol have 9 bits together (AC) or 10 (DC), which lets numpy pack and unpack a whole scan at once.
+the 64 zigzag coefficients of one 8x8 block, with a quantisation table of ones. A byte's coefficient is its rank in ``RANKS``,
+counted outwards from zero and never zero, so that bytes that are common in text get short codes. The file is an ordinary
+baseline JPEG: SOI, APP0, COM, DQT, SOF0, DRI, two DHT segments, one grayscale scan, EOI. A restart marker after every block
+makes the blocks independent.
 
-Decoding parses the markers of any baseline JPEG. Scans whose tables have that fixed width are unpacked in whole
-arrays; any other scan (several components, sampling factors, restart intervals, other tables) goes through a Huffman
-decoder with a 16-bit lookup table. The luminance thumbnail takes one pixel from each block's DC coefficient.
+Decoding parses the markers of any baseline JPEG, takes the stuffed bytes out and cuts the scan at its restart markers. The
+intervals, also those of many images with the same tables, are then Huffman-decoded in step: each numpy operation takes one symbol
+of every interval, by a 16-bit lookup table made from the file's own DHT segments. Component sampling, zero runs, end-of-block marks
+and scans without restart markers are read the same way (one interval then). The luminance thumbnail takes one pixel from each
+block's DC coefficient.
+
+Images are encoded and decoded in parts of ``PART`` bytes, so that beside a text and its image no more than a few parts are held.
 
 Defined results: a null text is an empty payload, which is padded to 64 zero bytes; equal texts give equal values;
 an empty table gives an empty result. Corrupt images raise ValueError.
@@ -27,9 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import quoted, small_batches
 
 UNIT = 64
+PART = 1 << 20
+# Bytes that are common in text, most common first; all others follow by value.
+COMMON = b" etaoinshrdlucmfwypvbgkjqxz\n.,"
+RANKS = [*COMMON, *(b for b in range(256) if b not in COMMON)]
+#: Code lengths of the size categories, for DC and AC alike; none of the codes is all ones.
+LENGTHS = {1: 2, 2: 2, 3: 2, 4: 3, 5: 4, 6: 5, 7: 6, 8: 7}
 
 
 def _codes(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -42,36 +52,20 @@ def _codes(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-AC_LENGTHS = {s: 9 - s for s in range(1, 9)}
-DC_LENGTHS = {s: 10 - s for s in range(10)}
+def _field_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per byte its coefficient, and the bits (code of the size category, then the extra bits) and their number."""
+    codes = _codes(LENGTHS)
+    coef, bits, width = np.zeros(256, np.int16), np.zeros(256, np.uint32), np.zeros(256, np.int64)
+    for r, b in enumerate(RANKS):
+        v = (r // 2 + 1) * (1 if r % 2 == 0 else -1)
+        s = abs(v).bit_length()
+        coef[b], bits[b], width[b] = v, codes[s][0] << s | (v if v > 0 else v + (1 << s) - 1), codes[s][1] + s
+    return coef, bits, width
 
 
-def _field_table(lengths: dict[int, int], values: np.ndarray) -> np.ndarray:
-    """The code of each value's size category followed by its extra bits."""
-    codes = _codes(lengths)
-    out = []
-    for v in values.tolist():
-        s = abs(v).bit_length()
-        out.append(codes[s][0] << s | (v if v > 0 else v + (1 << s) - 1))
-    return np.array(out, np.uint32)
-
-
-_BYTE_TO_COEF = np.array([b - 128 if b < 128 else b - 127 for b in range(256)], np.int16)
-_AC_OF_BYTE = _field_table(AC_LENGTHS, _BYTE_TO_COEF)
-_DC_OF_DIFF = _field_table(DC_LENGTHS, np.arange(-511, 512))
-_BLOCK_BITS = 10 + 63 * 9  # a group of 8 blocks has 577 whole bytes
-_STARTS = np.array([blk * _BLOCK_BITS + (0 if k == 0 else 1 + 9 * k) for blk in range(8) for k in range(64)])
-_WIDTHS = np.array([10 if k == 0 else 9 for _ in range(8) for k in range(64)])
-# For each of the 577 bytes of a group: the (at most two) fields that reach into it and how far each is shifted.
-_MASKS = ((1 << _WIDTHS) - 1).astype(np.uint32)
-_ends = _STARTS + _WIDTHS
-_first = np.searchsorted(_ends, np.arange(_BLOCK_BITS) * 8, side="right")
-_second = np.minimum(_first + 1, 511)
-_shift1 = (_ends[_first] - (np.arange(_BLOCK_BITS) * 8 + 8)).astype(np.int64)
-_shift2 = (_ends[_second] - (np.arange(_BLOCK_BITS) * 8 + 8)).astype(np.int64)
-_use2 = (_STARTS[_second] < np.arange(_BLOCK_BITS) * 8 + 8) & (_second > _first)
-_right1, _left1 = np.maximum(_shift1, 0).astype(np.uint32), np.maximum(-_shift1, 0).astype(np.uint32)
-_right2 = np.where(_use2, np.maximum(_shift2, 0), 31).astype(np.uint32)
+_COEF, _BITS, _WIDTH = _field_tables()
+_BYTE = np.full(257, -1, np.int16)
+_BYTE[_COEF.astype(np.int64) + 128] = np.arange(256)
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -85,34 +79,94 @@ def _dht(kind: int, lengths: dict[int, int]) -> bytes:
 
 
 _TABLES = _segment(0xDB, b"\0" + b"\1" * 64)
-_HUFFMAN = _dht(0x00, DC_LENGTHS) + _dht(0x10, AC_LENGTHS)
+_HUFFMAN = _dht(0x00, LENGTHS) + _dht(0x10, LENGTHS)
+
+
+def _pack(data: np.ndarray, number: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scan bytes of blocks (rows of 64 payload bytes), and where each block's end.
+
+    ``number`` is a block's place in its image, for its restart marker; ``last`` says that it has none.
+    """
+    width = _WIDTH[data]
+    ends = np.cumsum(width, 1)
+    bits = ends[:, -1]
+    size = (bits + 7) >> 3
+    first = np.cumsum(size) - size
+    at = (first[:, None] * 8 + ends - width).reshape(-1)
+    width = width.reshape(-1)
+    x = _BITS[data.reshape(-1)].astype(np.int64) << (24 - (at & 7) - width)  # a field of at most 15 bits is within three bytes
+    at >>= 3
+    total = int(size.sum())
+    out = np.bincount(at, x >> 16, total + 2) + np.bincount(at + 1, x >> 8 & 255, total + 2) + np.bincount(at + 2, x & 255, total + 2)
+    raw = out[:total].astype(np.uint8)
+    raw[first + size - 1] |= ((1 << (size * 8 - bits)) - 1).astype(np.uint8)  # the last byte is filled up with ones
+    full = raw == 255
+    grown = np.cumsum(full)
+    marks = np.cumsum(~last) - ~last  # markers before each block
+    place = np.arange(total) + grown - full + np.repeat(2 * marks, size)
+    scan = np.zeros(total + int(grown[-1]) + 2 * int((~last).sum()), np.uint8)
+    scan[place] = raw
+    end = first + size + grown[first + size - 1] + 2 * marks
+    mark = end[~last]
+    scan[mark], scan[mark + 1] = 0xFF, 0xD0 + number[~last] % 8
+    return scan, end + 2 * ~last
+
+
+def _grid(blocks: int) -> tuple[int, int]:
+    wide = min(8191, math.isqrt(blocks - 1) + 1)
+    return wide, -(-blocks // wide)
+
+
+def _head(n_bytes: int, wide: int, high: int) -> bytes:
+    head = b"\xff\xd8" + _segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + _segment(0xFE, b"payload-bytes %d" % n_bytes) + _TABLES
+    return head + _segment(0xC0, struct.pack(">BHHB", 8, high * 8, wide * 8, 1) + b"\1\x11\0") + _segment(0xDD, b"\0\1") + _HUFFMAN + _segment(0xDA, b"\1\1\0\0\x3f\0")
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """A baseline JPEG for each payload, whose length is a positive multiple of 64."""
+    out, some, size = [], [], 0
+    for p in payloads:
+        if not p or len(p) % UNIT:
+            raise ValueError("the payload's length must be a positive multiple of 64")
+        if len(p) > 8191 * 8191 * UNIT:
+            raise ValueError(f"a payload of {len(p)} bytes exceeds one image of 65528 x 65528 samples")
+        some.append(p)
+        size += len(p)
+        if size >= PART:
+            out += _encode(some)
+            some, size = [], 0
+    return out + (_encode(some) if some else [])
+
+
+def _encode(payloads: list[bytes]) -> list[bytes]:
+    grids = [_grid(len(p) // UNIT) for p in payloads]
+    if len(payloads) == 1 and len(payloads[0]) > PART:
+        return [_encode_long(payloads[0], *grids[0])]
+    many = np.array([w * h for w, h in grids])
+    data = np.zeros((int(many.sum()), UNIT), np.uint8)
+    starts = np.cumsum(many) - many
+    for p, a in zip(payloads, starts.tolist()):
+        data[a : a + len(p) // UNIT] = np.frombuffer(p, np.uint8).reshape(-1, UNIT)
+    number = np.arange(len(data)) - np.repeat(starts, many)
+    scan, ends = _pack(data, number, number == np.repeat(many, many) - 1)
+    raw, cuts = scan.tobytes(), ends[starts + many - 1].tolist()
+    return [_head(len(p), w, h) + raw[a:b] + b"\xff\xd9" for p, (w, h), a, b in zip(payloads, grids, [0, *cuts], cuts)]
+
+
+def _encode_long(payload: bytes, wide: int, high: int) -> bytes:
+    out, whole = [_head(len(payload), wide, high)], wide * high
+    step = PART // UNIT
+    for a in range(0, whole, step):
+        number = np.arange(a, min(a + step, whole))
+        data = np.zeros((len(number), UNIT), np.uint8)
+        part = np.frombuffer(payload, np.uint8, offset=min(a * UNIT, len(payload)), count=max(0, min(step * UNIT, len(payload) - a * UNIT)))
+        data.reshape(-1)[: len(part)] = part
+        out.append(_pack(data, number, number == whole - 1)[0].tobytes())
+    return b"".join([*out, b"\xff\xd9"])
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """A baseline JPEG holding ``payload``, whose length is a positive multiple of 64."""
-    if not payload or len(payload) % UNIT:
-        raise ValueError("the payload's length must be a positive multiple of 64")
-    blocks = len(payload) // UNIT
-    wide = min(8191, math.isqrt(blocks - 1) + 1)
-    high = -(-blocks // wide)
-    if high > 8191:
-        raise ValueError(f"a payload of {len(payload)} bytes exceeds one image of 65528 x 65528 samples")
-    whole = wide * high
-    groups = -(-whole // 8)
-    data = np.zeros((groups * 8, UNIT), np.uint8)
-    data.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
-    fields = _AC_OF_BYTE[data]
-    dc = _BYTE_TO_COEF[data[:, 0]].astype(np.int32)
-    fields[:, 0] = _DC_OF_DIFF[np.diff(dc, prepend=0) + 511]
-    f = fields.reshape(groups, 512)
-    scan = ((f[:, _first] << _left1) >> _right1 | f[:, _second] >> _right2).astype(np.uint8).reshape(-1)
-    bits = whole * _BLOCK_BITS
-    scan = scan[: -(-bits // 8)]
-    if bits % 8:  # the last byte is filled up with ones
-        scan[-1] |= (1 << (8 - bits % 8)) - 1
-    head = b"\xff\xd8" + _segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + _segment(0xFE, b"payload-bytes %d" % len(payload)) + _TABLES
-    head += _segment(0xC0, struct.pack(">BHHB", 8, high * 8, wide * 8, 1) + b"\1\x11\0") + _HUFFMAN + _segment(0xDA, b"\1\1\0\0\x3f\0")
-    return head + scan.tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9"
+    return encode_payloads([payload])[0]
 
 
 class Image:
@@ -140,15 +194,9 @@ class Image:
                     body = body[65 + 64 * wide :]
             elif marker == 0xC4:
                 while body:
-                    counts = body[1:17]
-                    symbols = body[17 : 17 + sum(counts)]
-                    lengths, k = {}, 0
-                    for n_bits, c in enumerate(counts, 1):
-                        for s in symbols[k : k + c]:
-                            lengths[s] = n_bits
-                        k += c
-                    self.huffman[body[0]] = lengths
-                    body = body[17 + k :]
+                    n_codes = sum(body[1:17])
+                    self.huffman[body[0]] = body[1 : 17 + n_codes]
+                    body = body[17 + n_codes :]
             elif marker == 0xC0:
                 _, self.height, self.width, n_parts = struct.unpack_from(">BHHB", body)
                 self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n_parts)]
@@ -162,160 +210,252 @@ class Image:
             elif 0xC0 < marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
                 raise ValueError("only baseline JPEG is read")
         end = data.rfind(b"\xff\xd9")
-        if end < at:
-            raise ValueError("no EOI marker")
-        self.scan = data[at:end]
-
-    def _fixed(self) -> bool:
-        if len(self.parts) != 1 or self.restart:
-            return False
-        dc, ac = self.tables[self.parts[0][0]]
-        a, d = self.huffman[0x10 | ac], self.huffman[dc]
-        return a == AC_LENGTHS and d == DC_LENGTHS
+        if end < at or not self.parts:
+            raise ValueError("no EOI marker or no frame")
+        self.scan = memoryview(data)[at:end]
+        single = len(self.parts) == 1
+        self.h_max, self.v_max = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
+        self.mcus = (-(-self.width // 8), -(-self.height // 8)) if single else (-(-self.width // (8 * self.h_max)), -(-self.height // (8 * self.v_max)))
+        #: For each block of an MCU: its component, and the bodies of its DC and AC tables.
+        self.plan = tuple((n, self.huffman[self.tables[c][0]], self.huffman[0x10 | self.tables[c][1]]) for n, (c, h, v, _) in enumerate(self.parts) for _ in range(1 if single else h * v))
+
+    def parts_decoded(self) -> Iterator[np.ndarray]:
+        """Quantised zigzag coefficients (MCU, block of the MCU, 64), some intervals at a time."""
+        total, done, at = self.mcus[0] * self.mcus[1], 0, 0
+        while done < total:
+            part, at = _next_part(self.scan, at) if self.restart else (self.scan, len(self.scan))
+            clean, starts, ends, marks = _intervals(np.frombuffer(part, np.uint8))
+            per = self.restart or total
+            if done + (len(starts) - 1) * per >= total:
+                raise ValueError("the scan has too many intervals")
+            if at >= len(self.scan) and done + len(starts) * per < total:
+                raise ValueError("the scan ends early")
+            if (marks != (done // per + np.arange(len(marks))) % 8).any():
+                raise ValueError("a restart marker is out of order")
+            many = np.minimum(per, total - done - per * np.arange(len(starts)))
+            yield _decode(clean, starts, ends, self.plan, many)
+            done += int(many.sum())
 
     def luminance(self) -> tuple[np.ndarray, int, int]:
         """Quantised zigzag coefficients (blocks, 64) of the first component in raster order, and its grid (wide, high)."""
-        if self._fixed():
-            wide, high = -(-self.width // 8), -(-self.height // 8)
-            return self._unpack(wide * high), wide, high
-        return self._decode()
-
-    def _unpack(self, blocks: int) -> np.ndarray:
-        raw = np.frombuffer(self.scan.replace(b"\xff\0", b"\xff"), np.uint8)
-        if len(raw) != -(-blocks * _BLOCK_BITS // 8):
-            raise ValueError("the scan's length does not fit the image")
-        groups = -(-blocks // 8)
-        g = np.zeros(groups * _BLOCK_BITS + 2, np.uint32)
-        g[: len(raw)] = raw
-        three = (g[:-2] << 16 | g[1:-1] << 8 | g[2:]).reshape(groups, _BLOCK_BITS)
-        v = three[:, _STARTS >> 3] >> (24 - (_STARTS & 7) - _WIDTHS).astype(np.uint32) & _MASKS
-        v = v.reshape(-1, 64)[:blocks]
-        out = _AC_VALUE[v]
-        out[:, 0] = np.cumsum(_DC_VALUE[v[:, 0]])
-        return out
-
-    def _decode(self) -> tuple[np.ndarray, int, int]:
-        h_max, v_max = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
-        single = len(self.parts) == 1
-        mcus = (-(-self.width // (8 * h_max)), -(-self.height // (8 * v_max)))
-        if single:
-            mcus = (-(-self.width // 8), -(-self.height // 8))
-        look = {k: _lookup(t) for k, t in self.huffman.items()}
-        bits = _Bits(self.scan)
-        first = self.parts[0]
-        fh, fv = (1, 1) if single else (first[1], first[2])
-        wide, high = mcus[0] * fh, mcus[1] * fv
-        out = np.zeros((high * wide, 64), np.int32)
-        last = dict.fromkeys((p[0] for p in self.parts), 0)
-        for m in range(mcus[0] * mcus[1]):
-            if self.restart and m and m % self.restart == 0:
-                bits.align()
-                last = dict.fromkeys(last, 0)
-            for c, h, v, _ in self.parts:
-                dc, ac = look[self.tables[c][0]], look[0x10 | self.tables[c][1]]
-                for by in range(1 if single else v):
-                    for bx in range(1 if single else h):
-                        block = _block(bits, dc, ac)
-                        block[0] += last[c]
-                        last[c] = block[0]
-                        if c == first[0]:
-                            out[(m // mcus[0] * fv + by) * wide + m % mcus[0] * fh + bx] = block
-        keep_w, keep_h = (wide, high) if single else (-(-(-(-self.width * first[1] // h_max)) // 8), -(-(-(-self.height * first[2] // v_max)) // 8))
-        return out.reshape(high, wide, 64)[:keep_h, :keep_w].reshape(-1, 64), keep_w, keep_h
+        return self._raster(np.concatenate(list(self.parts_decoded())))
+
+    def _raster(self, coefs: np.ndarray) -> tuple[np.ndarray, int, int]:
+        (wide, high), (_, h, v, _) = self.mcus, self.parts[0]
+        if len(self.parts) == 1:
+            return coefs.reshape(-1, 64), wide, high
+        own = coefs[:, : h * v].reshape(high, wide, v, h, 64).transpose(0, 2, 1, 3, 4).reshape(high * v, wide * h, 64)
+        keep_w, keep_h = -(-(-(-self.width * h // self.h_max)) // 8), -(-(-(-self.height * v // self.v_max)) // 8)
+        return own[:keep_h, :keep_w].reshape(-1, 64), keep_w, keep_h
+
+    def pixels(self, dc: np.ndarray) -> np.ndarray:
+        """8-bit luminance of DC coefficients."""
+        return np.clip((dc.astype(np.int32) * int(self.quant[self.parts[0][3]][0]) + 4) // 8 + 128, 0, 255).astype(np.uint8)
 
     def thumbnail(self) -> tuple[np.ndarray, np.ndarray]:
         """(one 8-bit luminance pixel for each block, the quantised coefficients)."""
         coefs, wide, high = self.luminance()
-        dc = coefs[:, 0].reshape(high, wide) * int(self.quant[self.parts[0][3]][0])
-        return np.clip((dc + 4) // 8 + 128, 0, 255).astype(np.uint8), coefs
-
-
-def _value_table(lengths: dict[int, int], width: int) -> np.ndarray:
-    out = np.zeros(1 << width, np.int32)
-    for s, (code, n) in _codes(lengths).items():
-        for extra in range(1 << s):
-            out[code << s | extra] = extra if not s or extra >> (s - 1) else extra - (1 << s) + 1
-    return out
-
-
-_AC_VALUE, _DC_VALUE = _value_table(AC_LENGTHS, 9), _value_table(DC_LENGTHS, 10)
-_AC_VALUE = np.concatenate([_AC_VALUE, np.zeros(512, np.int32)])  # the first column holds 10-bit fields, replaced afterwards
-
-
-def _lookup(lengths: dict[int, int]) -> np.ndarray:
-    table = np.full(1 << 16, -1, np.int32)
-    for s, (code, n) in _codes(lengths).items():
-        table[code << (16 - n) : (code + 1) << (16 - n)] = s << 8 | n
-    return table
-
-
-class _Bits:
-    def __init__(self, scan: bytes):
-        self.scan, self.at, self.acc, self.n = scan, 0, 0, 0
-
-    def fill(self) -> None:
-        while self.n < 32:
-            b = 0xFF
-            if self.at < len(self.scan):
-                b = self.scan[self.at]
-                if b == 0xFF:
-                    if self.at + 1 < len(self.scan) and self.scan[self.at + 1]:
-                        b = 0xFF  # a restart marker: align() passes it
-                        self.acc, self.n = (self.acc << 8 | b) & (1 << 64) - 1, self.n + 8
-                        continue
-                    self.at += 1
-                self.at += 1
-            self.acc, self.n = (self.acc << 8 | b) & (1 << 64) - 1, self.n + 8
-
-    def symbol(self, table: np.ndarray) -> int:
-        if self.n < 32:
-            self.fill()
-        x = int(table[self.acc >> (self.n - 16) & 0xFFFF])
-        if x < 0:
-            raise ValueError("no such Huffman code")
-        self.n -= x & 255
-        return x >> 8
-
-    def extra(self, s: int) -> int:
-        if self.n < 32:
-            self.fill()
-        self.n -= s
-        v = self.acc >> self.n & (1 << s) - 1
-        return v if not s or v >> (s - 1) else v - (1 << s) + 1
-
-    def align(self) -> None:
-        at = self.scan.find(b"\xff", self.at)
-        while at >= 0 and not 0xD0 <= self.scan[at + 1] <= 0xD7:
-            at = self.scan.find(b"\xff", at + 1)
-        if at < 0:
-            raise ValueError("a restart marker is missing")
-        self.at, self.acc, self.n = at + 2, 0, 0
-
-
-def _block(bits: _Bits, dc: np.ndarray, ac: np.ndarray) -> list[int]:
-    out = [0] * 64
-    out[0] = bits.extra(bits.symbol(dc))
-    k = 1
-    while k < 64:
-        rs = bits.symbol(ac)
-        if not rs & 15:
-            if rs != 0xF0:
-                break
-            k += 16
-            continue
-        k += rs >> 4
-        out[k] = bits.extra(rs & 15)
-        k += 1
-    return out
+        return self.pixels(coefs[:, 0].reshape(high, wide)), coefs
+
+    def payload_bytes(self) -> int:
+        note = next((c for c in self.comments if c.startswith(b"payload-bytes ")), None)
+        if note is None:
+            raise ValueError("the image holds no payload")
+        return int(note.split()[1])
+
+
+def _next_part(scan: memoryview, at: int) -> tuple[memoryview, int]:
+    """About ``PART`` bytes of a scan, up to a restart marker, and where the next begin."""
+    end = at + PART
+    if end >= len(scan):
+        return scan[at:], len(scan)
+    a = np.frombuffer(scan[at:end], np.uint8)
+    marks = np.flatnonzero((a[:-1] == 255) & (a[1:] >= 0xD0) & (a[1:] <= 0xD7))
+    while not len(marks):
+        end = min(end + PART, len(scan))
+        a = np.frombuffer(scan[at:end], np.uint8)
+        marks = np.flatnonzero((a[:-1] == 255) & (a[1:] >= 0xD0) & (a[1:] <= 0xD7))
+        if end == len(scan) and not len(marks):
+            return scan[at:], len(scan)
+    cut = at + int(marks[-1]) + 2
+    return scan[at:cut], cut
+
+
+def _intervals(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entropy-coded bytes without stuffing and markers, where the intervals start and end in them, and the markers' numbers."""
+    ff = a[:-1] == 255
+    mark = ff & (a[1:] >= 0xD0) & (a[1:] <= 0xD7)
+    keep = np.ones(len(a), bool)
+    keep[1:] &= ~(ff & (a[1:] == 0)) & ~mark
+    keep[:-1] &= ~mark
+    at = np.flatnonzero(mark)
+    before = np.cumsum(keep)
+    cuts = before[at]  # kept bytes up to a marker
+    n = int(before[-1]) if len(a) else 0
+    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [n]])
+    if len(cuts) and cuts[-1] == n:  # the bytes end with a marker
+        starts, ends = starts[:-1], ends[:-1]
+    return a[keep], starts, ends, a[at + 1] - 0xD0
+
+
+_lookups: dict[bytes, np.ndarray] = {}
+
+
+def _lookup(table: bytes) -> np.ndarray:
+    """For every 16 bits: the symbol of the code at their start, shifted left by 8, and the code's length; -1 for no code."""
+    if table not in _lookups:
+        if len(_lookups) > 15:
+            _lookups.clear()
+        lengths, k = {}, 16
+        for n, c in enumerate(table[:16], 1):
+            for s in table[k : k + c]:
+                lengths[s] = n
+            k += c
+        out = np.full(1 << 16, -1, np.int32)
+        for s, (code, n) in _codes(lengths).items():
+            out[code << (16 - n) : (code + 1) << (16 - n)] = s << 8 | n
+        _lookups[table] = out
+    return _lookups[table]
+
+
+def _decode(clean: np.ndarray, starts: np.ndarray, ends: np.ndarray, plan: tuple, many: np.ndarray) -> np.ndarray:
+    """Coefficients (MCU, block of the MCU, 64) of all intervals, whose MCUs are ``many``, decoded in step."""
+    pad = np.concatenate([clean, np.full(16, 255, np.uint8)])
+    words = np.zeros(len(clean) + 9, np.uint64)
+    for k in range(8):
+        words <<= np.uint64(8)
+        words |= pad[k : k + len(words)]
+    out = np.zeros((len(starts), int(many.max()), len(plan), 64), np.int16)
+    at, limit = starts * 8, ends * 8
+    last = np.zeros((max(p[0] for p in plan) + 1, len(starts)), np.int64)
+    for m in range(out.shape[1]):
+        live = np.flatnonzero(many > m)
+        for j, (part, dc, ac) in enumerate(plan):
+            at[live], diff, _ = _symbols(words, at[live], _lookup(dc), False)
+            last[part, live] += diff
+            block = out[live, m, j]
+            block[:, 0] = last[part, live]
+            _ac(words, at, live, _lookup(ac), block)
+            out[live, m, j] = block
+        if (at > limit).any():
+            raise ValueError("an interval of the scan is too short")
+    if (limit - at >= 8).any():
+        raise ValueError("an interval of the scan is too long")
+    return out.reshape(-1, len(plan), 64) if (many == out.shape[1]).all() else np.concatenate([o[:n] for o, n in zip(out, many.tolist())])
+
+
+def _symbols(words: np.ndarray, at: np.ndarray, table: np.ndarray, runs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One symbol and its extra bits at each bit position: the next positions, the values, and the symbols."""
+    if len(at) and int(at.max()) >> 3 >= len(words):
+        raise ValueError("the scan ends within a block")
+    x = words[at >> 3] << (at & 7).astype(np.uint64)
+    found = table[(x >> np.uint64(48)).astype(np.int64)]
+    if len(found) and int(found.min()) < 0:
+        raise ValueError("no such Huffman code")
+    n, symbol = found & 255, found >> 8
+    s = symbol & 15 if runs else symbol
+    top = x << n.astype(np.uint64)
+    extra = np.where(s > 0, top >> (64 - np.maximum(s, 1)).astype(np.uint64), 0).astype(np.int64)
+    half = np.int64(1) << np.maximum(s.astype(np.int64) - 1, 0)
+    value = np.where((s > 0) & (extra < half), extra - 2 * half + 1, extra)
+    return at + n + s, value, symbol
+
+
+def _ac(words: np.ndarray, at: np.ndarray, live: np.ndarray, table: np.ndarray, block: np.ndarray) -> None:
+    """The AC coefficients of one block of each live interval; moves their positions on."""
+    row, k, pos = np.arange(len(live)), np.ones(len(live), np.int64), at[live]
+    while len(row):
+        pos_, value, symbol = _symbols(words, pos, table, True)
+        run, size = symbol >> 4, symbol & 15
+        if (run == 0).all() and (size > 0).all():  # no zeros anywhere
+            if (k == k[0]).all():
+                block[row if len(row) < len(block) else slice(None), k[0]] = value
+            else:
+                block[row, k] = value
+            k, pos, stop = k + 1, pos_, None
+        else:
+            zeros = size == 0
+            stop = zeros & (run != 15)
+            k = k + np.where(zeros, 16 * (run == 15), run)
+            put = ~zeros
+            if (k[put] > 63).any():
+                raise ValueError("a block has too many coefficients")
+            block[row[put], k[put]] = value[put]
+            k, pos = k + put, pos_
+        over = k >= 64 if stop is None else stop | (k >= 64)
+        if over.any():
+            at[live[row[over]]] = pos[over]
+            row, k, pos = row[~over], k[~over], pos[~over]
 
 
 def stored_payload(image: Image, coefs: np.ndarray) -> bytes:
     """The payload that ``encode_payload`` stored, from the decoded coefficients."""
-    note = next((c for c in image.comments if c.startswith(b"payload-bytes ")), None)
-    if note is None:
-        raise ValueError("the image holds no payload")
-    c = coefs.reshape(-1)[: int(note.split()[1])]
-    return (c + np.where(c < 0, 128, 127)).astype(np.uint8).tobytes()
+    c = coefs.reshape(-1)[: image.payload_bytes()].astype(np.int64)
+    if len(c) and int(np.abs(c).max()) > 128:
+        raise ValueError("a coefficient stands for no byte")
+    out = _BYTE[c + 128]
+    if (out < 0).any():
+        raise ValueError("a coefficient stands for no byte")
+    return out.astype(np.uint8).tobytes()
+
+
+def read_images(media: list[bytes]) -> Iterator[tuple[Image, np.ndarray, Iterator[bytes]]]:
+    """Per stored image: the image, its thumbnail, and the payload in parts. Small images with the same tables are decoded together."""
+    some, size = [], 0
+    for data in media:
+        image = Image(data)
+        alike = not some or (image.plan == some[0].plan and image.restart == some[0].restart)
+        if some and (size > PART or not alike):
+            yield from _read_together(some)
+            some, size = [], 0
+        if len(image.scan) > PART or not image.restart or len(image.parts) > 1:
+            if some:
+                yield from _read_together(some)
+                some, size = [], 0
+            yield _read_long(image)
+        else:
+            some.append(image)
+            size += len(image.scan)
+    if some:
+        yield from _read_together(some)
+
+
+def _read_together(images: list[Image]) -> Iterator[tuple[Image, np.ndarray, list[bytes]]]:
+    """One scan with a made-up marker between two images."""
+    per = images[0].restart
+    counts = [-(-i.mcus[0] * i.mcus[1] // per) for i in images]
+    clean, starts, ends, marks = _intervals(np.frombuffer(b"\xff\xd0".join(i.scan for i in images), np.uint8))
+    if len(starts) != sum(counts):
+        raise ValueError("a scan has too many or too few intervals")
+    first = np.cumsum(counts) - counts
+    number = np.arange(len(starts)) - np.repeat(first, counts)
+    inner = number[1:] > 0
+    if (marks[: len(starts) - 1][inner] != (number[1:][inner] - 1) % 8).any():
+        raise ValueError("a restart marker is out of order")
+    total = np.array([i.mcus[0] * i.mcus[1] for i in images])
+    many = np.minimum(per, np.repeat(total, counts) - per * number)
+    coefs = _decode(clean, starts, ends, images[0].plan, many).reshape(-1, 64)
+    for image, b in zip(images, np.cumsum(total).tolist()):
+        own = coefs[b - image.mcus[0] * image.mcus[1] : b]
+        yield image, image.pixels(own[:, 0].reshape(image.mcus[::-1])), [stored_payload(image, own)]
+
+
+def _read_long(image: Image) -> tuple[Image, np.ndarray, list[bytes]]:
+    if len(image.parts) > 1:
+        thumb, coefs = image.thumbnail()
+        return image, thumb, [stored_payload(image, coefs)]
+    dc, payload, left = [], [], image.payload_bytes()
+    for part in image.parts_decoded():
+        flat = part.reshape(-1, 64)
+        dc.append(flat[:, 0].copy())
+        take = flat.reshape(-1)[:left]
+        left -= len(take)
+        if len(take):
+            c = take.astype(np.int64)
+            if int(np.abs(c).max()) > 128 or (_BYTE[c + 128] < 0).any():
+                raise ValueError("a coefficient stands for no byte")
+            payload.append(_BYTE[c + 128].astype(np.uint8).tobytes())
+    return image, image.pixels(np.concatenate(dc).reshape(image.mcus[::-1])), payload
 
 
 def thumbnail_hash(thumb: np.ndarray) -> str:
@@ -341,10 +481,11 @@ def with_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for t in b.column(1).to_pylist():
                 raw = t or b""
                 sizes.append(len(raw))
-                media.append(encode_payload(raw + bytes(-len(raw) % UNIT if raw else UNIT)))
+                media.append(raw + bytes(-len(raw) % UNIT if raw else UNIT))
+            media = encode_payloads(media)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "utf-8").alias("text"))
+    rows = df.select(quoted(id_col).alias("id"), F.encode(quoted(text_col), "utf-8").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
@@ -359,16 +500,15 @@ def media_features(df: DataFrame, id_col: str, media_col: str = "media") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for media in b.column(2).to_pylist():
-                image = Image(media)
-                thumb, coefs = image.thumbnail()
-                payload = stored_payload(image, coefs)
-                h, w = thumb.shape
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), image.width, image.height, w, h, f"{image.width}x{image.height}:{thumbnail_hash(thumb)}"))
+            rows, stored = [], b.column(2).to_pylist()
+            for media, (image, thumb, payload) in zip(stored, read_images(stored)):
+                digest, (h, w) = hashlib.sha256(), thumb.shape
+                for part in payload:
+                    digest.update(part)
+                rows.append((sum(map(len, payload)), digest.hexdigest(), zlib.crc32(b"".join(payload[-2:])[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), image.width, image.height, w, h, f"{image.width}x{image.height}:{thumbnail_hash(thumb)}"))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             cols = list(zip(*rows)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names)
 
-    rows = df.select(F.col(id_col).alias("id"), "n_bytes", F.col(media_col).alias("media"))
+    rows = df.select(quoted(id_col).alias("id"), "n_bytes", quoted(media_col).alias("media"))
     return rows.mapInArrow(run, f"id {kind}, n_bytes long, {FEATURES}").withColumnRenamed("id", id_col)

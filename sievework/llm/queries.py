@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, langid, media, ngram_join, packing, ppm, toxicity, url_filter, warc
-from .common import crc_of_id, table
+from .common import crc_of_id, stored, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -19,7 +19,8 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.with_media(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    made = stored(media.with_media(table(spark, sf_dir, "documents"), "doc_id", "text"), "media")
+    return media.media_features(made, "doc_id")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
