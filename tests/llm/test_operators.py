@@ -450,15 +450,15 @@ def test_workers_hold_one_owner_in_bounded_bytes():
 
 
 def _brute_ppm(train, order=5):
-    counts = [defaultdict(Counter) for _ in range(order + 1)]
+    counts, mark = [defaultdict(Counter) for _ in range(order + 1)], [256]
     for t in train:
-        b = bytes(order) + t + b"\0"
+        b = (*mark * order, *t, *mark)
         for p in range(order, len(b)):
             for k in range(order + 1):
                 counts[k][b[p - k : p]][b[p]] += 1
 
     def log10(text):
-        b, total = bytes(order) + text + b"\0", 0.0
+        b, total = (*mark * order, *text, *mark), 0.0
         for p in range(order, len(b)):
             seen = set()
             for k in range(order, -1, -1):
@@ -473,20 +473,22 @@ def _brute_ppm(train, order=5):
                     break
                 total += math.log10(len(free) / d)
             else:
-                total -= math.log10(256 - len(seen))
+                total -= math.log10(257 - len(seen))
         return total
 
     return log10
 
 
-def test_ppm_by_brute_force(spark):
+@pytest.mark.parametrize("order, block", [(5, 700), (5, 90), (3, 700)])
+def test_ppm_by_brute_force(spark, order, block):
+    """With blocks of 90 bytes most texts are cut into pieces."""
     rows = [(i, t) for i, t in EDGE if len(t or "") < 5000] + [(100 + i, prose(40, i)) for i in range(25)] + [(200, "Zq☃ unseen")]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     crc = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 == 1
-    got = ppm.score_texts(documents(spark, rows).repartition(3), "doc_id", "text", crc, block_bytes=700, buckets=7).collect()
+    got = ppm.score_texts(documents(spark, rows).repartition(3), "doc_id", "text", crc, order, block_bytes=block, buckets=7).collect()
     train = [(t or "").encode() for i, t in rows if not held(i)]
     words = Counter(w for t in train for w in [*t.lower().split(), None])
-    n, v, score = sum(words.values()), len(words), _brute_ppm(train)
+    n, v, score = sum(words.values()), len(words), _brute_ppm(train, order)
     want = Counter()
     for i, t in rows:
         raw = (t or "").encode()
@@ -496,25 +498,36 @@ def test_ppm_by_brute_force(spark):
 
 
 def test_ppm_probabilities_sum_to_one():
-    train = [b"abracadabra", b"banana", b""]
+    train = [b"abracadabra", b"banana", b"", b"a\0b\0\0", b"\0"]
     codes, many = ppm.grams_of(train)
+    assert len(codes) == many.sum() == sum(len(t) + 1 for t in train)
     u, c = ppm.distinct(codes, np.ones(len(codes), bool))
-    pairs = np.bincount(((u >> np.uint64(40)) << np.uint64(8) | u & np.uint64(255)).astype(np.int64), c, 65536).astype(np.int64).reshape(256, 256)
-    for ctx in (b"abrac", b"zzzzz", b"\0\0\0\0\0", b"zzana", b"nanan"):
-        base = sum(int(x) << (8 * (5 - k)) for k, x in enumerate(ctx[::-1]))
-        base = int.from_bytes(ctx[::-1] + b"\0", "big")
-        grams = np.arange(base, base + 256, dtype=np.uint64)
+    pairs = np.bincount(ppm.pair_of(u), c, 257**2).astype(np.int64).reshape(257, 257)
+    keys, inv = np.unique(ppm.triple_of(u), return_inverse=True)
+    low = ppm.LowOrders(pairs, keys, np.bincount(inv, c))
+    for ctx in (list(b"abrac"), list(b"zzzzz"), [256] * 5, list(b"zzana"), list(b"nanan"), [0, 0, 0, 0, 0], [256, 256, 256, 256, 0]):
+        base = 0
+        for x in ctx[::-1]:
+            base = base << 9 | x
+        grams = (np.uint64(base) << np.uint64(9)) + np.arange(257, dtype=np.uint64)
         both = np.union1d(u, grams)
         n = np.zeros(len(both), np.int64)
         n[np.searchsorted(both, u)] = c
-        p = 10 ** ppm.code_lengths(both, n, pairs)[np.searchsorted(both, grams)]
+        p = 10 ** ppm.code_lengths(both, n, low)[np.searchsorted(both, grams)]
         assert p.sum() == pytest.approx(1)
 
 
+@given(st.binary(max_size=300), st.integers(5, 60))
+def test_cut_texts(text, most):
+    text = text.replace(b"\0", b" ")
+    cuts = ppm.cut_text(text, most)
+    assert b"".join(text[a:b] for a, b in cuts) == text and [w for a, b in cuts for w in text[a:b].split()] == text.split()
+
+
 def test_ppm_empty_table_and_no_training(spark, none):
     assert ppm.score_texts(none, "doc_id", "text", F.lit(False)).count() == 0
     r = ppm.score_texts(documents(spark, [(1, "ab")]), "doc_id", "text", F.lit(True)).first()
-    assert (r.n_tokens, r.n_known, r.train_tokens) == (2, 0, 0) and r.score == pytest.approx(-3 * math.log10(256)) and r.base_score == pytest.approx(0)
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (2, 0, 0) and r.score == pytest.approx(-3 * math.log10(257)) and r.base_score == pytest.approx(0)
 
 
 @given(st.lists(st.integers(0, 2**63), max_size=50))
