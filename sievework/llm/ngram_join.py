@@ -24,7 +24,7 @@ case; a text with fewer words is one shingle). Two sets link when ``den * |A & B
    pairs of units are searched as separate tasks, so that no task holds more than about two units.
 5. The links found (a forest for each task) are joined to components.
 
-Set and shingle equality is by 64-bit hashes. Only the search of one large cluster grows with the square of its
+Set and shingle equality is by 64-bit hashes: n distinct shingles (or sets) clash with odds of about n^2 / 4e19. Only the search of one large cluster grows with the square of its
 classes; it is spread over tasks and never written out as pairs.
 
 Defined results: null or wordless texts have an empty set, link with nothing and are their own component;
@@ -48,7 +48,7 @@ from .components import components
 from .workers import Memo, kept
 
 HEAVY = 500_000
-UNIT = 1 << 20
+UNIT = 1 << 19
 POSTINGS = 500_000
 SHORT = 16
 LONG = 4096
@@ -59,7 +59,7 @@ FLUSH_WORDS = 4_000_000
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    memo = kept("ngram_join", "words", lambda: Memo(xxhash.xxh3_64_intdigest))
+    memo = kept("ngram_join", "words", lambda: Memo(xxhash.xxh3_64_intdigest, 40 << 20))
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
@@ -352,7 +352,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
                 tokens, cls, low, high, need = (np.concatenate([x[~long], y]) for x, y in zip((tokens, cls, size, size, need), (*joined, np.ones(len(joined[0]), np.int64))))
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
             token = (tokens >> np.uint64(32)).astype(np.uint32)  # in a bucket 32 bits will do: a clash only adds a candidate
-            low, high, need = low.astype(np.int32), high.astype(np.int32), need.astype(np.int32)
+            low, high, need = low.astype(np.int32), high.astype(np.int32), np.minimum(need, 65535).astype(np.uint16)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             out = [(int(bucket[p[0]]), *_pack(token[p], cls[p], low[p], high[p], need[p]), b"", b"") for p in np.split(order, cuts)]
@@ -385,7 +385,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
     def join_lists(key: tuple, t: pa.Table) -> pa.Table:
         from sievework.llm.ngram_join import ALWAYS, LONG, SHORT, by_list_length, chain, short_pairs
 
-        kinds = (("tokens", np.uint32), ("cls", np.int64), ("low", np.int32), ("high", np.int32), ("need", np.int32), ("a", np.int64), ("b", np.int64))
+        kinds = (("tokens", np.uint32), ("cls", np.int64), ("low", np.int32), ("high", np.int32), ("need", np.uint16), ("a", np.int64), ("b", np.int64))
         tokens, cls, low, high, need, a0, b0 = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in kinds)
         order = np.lexsort((high, low, cls, tokens))
         tokens, cls, low, high, need = tokens[order], cls[order], low[order].astype(np.int64), high[order].astype(np.int64), need[order].astype(np.int64)
@@ -403,20 +403,20 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
         return pa.table({k: np.concatenate(p) for k, p in zip(("a", "b", "na", "nb", "shared"), parts)})
 
     raw = stored(posted.groupBy("bucket").applyInArrow(join_lists, "a long, b long, na long, nb long, shared long"), "lists")
-    met = raw.where("shared >= 0").groupBy("a", "b").agg(F.sum(F.col("shared").cast("double")).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    pairs = met.where(F.col("shared") >= F.least("na", "nb")).select("a", "b", "shared")
+    met = raw.where((F.col("shared") >= 0) & (F.col("shared") < ALWAYS)).groupBy("a", "b").agg(F.sum(F.col("shared").cast("double")).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    pairs = met.where(F.col("shared") >= F.least("na", "nb")).select("a", "b")
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sievework.llm.ngram_join import ALWAYS, may_link
+        from sievework.llm.ngram_join import may_link
 
         for t in batches:
             r = t.to_pydict()
-            keep = [s >= ALWAYS or may_link(x, y, m + n, num, den) for s, x, y, m, n in zip(r["shared"], r["odda"], r["oddb"], r["na"], r["nb"])]
+            keep = [may_link(x, y, m + n, num, den) for x, y, m, n in zip(r["odda"], r["oddb"], r["na"], r["nb"])]
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = pairs.select("a", "b", "shared", "na", "nb", "odda", "oddb").mapInArrow(partners, "a long, b long")
+    pairs = pairs.select("a", "b", "na", "nb", "odda", "oddb").mapInArrow(partners, "a long, b long")
 
     def link_lists(key: tuple, t: pa.Table) -> pa.Table:
         from sievework.llm.ngram_join import list_forest
@@ -430,7 +430,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
 
     long_rows = raw.where("shared < 0").select(F.col("a").alias("cls"), F.col("b").alias("list"), F.col("na").alias("size")).join(classes.select("cls", "odd"), "cls")
     listed = long_rows.groupBy(F.pmod(F.xxhash64("list"), F.lit(buckets)).alias("bucket")).applyInArrow(link_lists, "a long, b long")
-    near = pairs.unionAll(listed)
+    near = pairs.unionAll(listed).unionAll(raw.where(F.col("shared") >= ALWAYS).select("a", "b"))  # chains need no sketches
     clusters = components(near).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
     members = stored(clusters.join(classes.drop("odd"), "cls"), "members")
     drop(raw)
