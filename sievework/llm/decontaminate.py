@@ -8,8 +8,8 @@ that, so a document that holds it shares at least one of these hashes: nothing i
 document's length. The pairs found are then verified on the shingles themselves, as text.
 
 All of it is DataFrame functions. A document's shingles are hashed, expanded and probed against the sketches within
-one stage; only hits are shuffled. The sketches and the items' shingles are broadcast if their counted rows are
-at most ``BROADCAST_ROWS``; a larger benchmark is joined by shuffle. A hot item or document adds rows in
+one stage; only hits are shuffled. The sketches and the items' shingles are broadcast if their counted rows and bytes are within
+``BROADCAST_ROWS`` and ``BROADCAST_BYTES``; a larger benchmark is joined by shuffle. A hot item or document adds rows in
 proportion to its hits, which are pre-aggregated.
 
 Defined results: null or empty texts and items without words match nothing; items of fewer than five words are sought
@@ -24,11 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import quoted, stored
 
 WIDTH = 5
 THRESHOLD = 0.8
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 WORD = r"[\p{L}\p{M}\p{Nd}]+"
 
 
@@ -60,9 +61,9 @@ def sketch_size(n: int, threshold: float = THRESHOLD) -> int:
 def find_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs with containment of at least ``threshold``: ``doc_id``, ``item_id``, shared, item_shingles, containment."""
     # round(threshold * n, 9) keeps n * threshold that is a whole number from being pushed up by binary fractions
-    tests = items.select(F.col(item_id).alias("item"), _words(F.col(item_text)).alias("w")).where("item IS NOT NULL AND size(w) > 0")
+    tests = items.select(quoted(item_id).alias("item"), _words(quoted(item_text)).alias("w")).where("item IS NOT NULL AND size(w) > 0")
     sizes = sorted({min(width, r[0]) for r in tests.select(F.least(F.size("w"), F.lit(width))).distinct().collect()})
-    bare_doc = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    bare_doc = docs.select(quoted(doc_id).alias("doc"), quoted(doc_text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL AND text <> ''")
     if not sizes:
         return bare_doc.where("false").select(F.col("doc").alias(doc_id), F.lit(None).cast(items.schema[item_id].dataType).alias(item_id), F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("item_shingles"), F.lit(0.0).alias("containment"))
 
@@ -75,8 +76,8 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     keep = F.floor(F.round(F.lit(1 - threshold) * (F.pow(F.lit(2.0), classes + 1) - 1), 9)).cast("int") + 1
     hashes = tests.select("item", F.explode(of_item(_hashed_words)).alias("h")).distinct()
     sketch = hashes.groupBy("item").agg(F.array_sort(F.collect_list("h")).alias("hs")).join(counted, "item").select("item", F.explode(F.slice("hs", F.lit(1), keep)).alias("h"))
-    n_rows = grams.count()
-    small = (lambda df: F.broadcast(df)) if n_rows <= BROADCAST_ROWS else (lambda df: df)
+    n_rows, n_bytes = grams.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("s") + F.octet_length(F.col("item").cast("string")) + 32), F.lit(0))).first()
+    small = (lambda df: F.broadcast(df)) if n_rows <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES else (lambda df: df)
 
     rows = bare_doc.select("doc", F.xxhash64("text").alias("row"), "text")
     words = rows.select("doc", "row", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
