@@ -45,7 +45,7 @@ def _parse(text: str) -> list:
 
 
 def query(symbols: DataFrame, calls: DataFrame, pattern: str) -> DataFrame:
-    """(path, start_row, end_row, node_type, capture, text) of every capture."""
+    """(path, start_row, end_row, node_type, capture, text) of every capture. ``calls`` are call sites: every call with its ``row``."""
     if len(pattern.encode()) > MAX_PATTERN_BYTES:
         raise ValueError(f"a pattern has at most {MAX_PATTERN_BYTES} bytes")
     parts = _parse(pattern)
@@ -79,7 +79,7 @@ def query(symbols: DataFrame, calls: DataFrame, pattern: str) -> DataFrame:
             raise ValueError(f"unsupported part {c!r}")
         captures[c] = None
     if kind == "call_expression":
-        rows = calls.select("path", F.col("caller_start_row").alias("start_row"), (F.col("caller_start_row") + 1).alias("end_row"), "callee_name", F.lit("").alias("name"), F.lit("").alias("receiver"))
+        rows = calls.select("path", F.col("row").alias("start_row"), (F.col("row") + 1).alias("end_row"), "callee_name", F.lit("").alias("name"), F.lit("").alias("receiver"))
     else:
         rows = symbols.where(F.col("grammar_kind") == kind).select("path", "start_row", "end_row", F.lit("").alias("callee_name"), "name", "receiver")
     for p in inner + [p for p in parts if isinstance(p, list) and p and isinstance(p[0], str) and p[0].startswith("#")]:

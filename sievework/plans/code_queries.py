@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import architecture, ast_query, changes, chunks, edges, names, pattern, retrieve, traverse, tree
-from ..sources.extract import base_relations, resolve_receivers
+from ..operators import architecture, ast_query, changes, chunks, edges, envelope, names, pattern, retrieve, traverse, tree
+from ..sources.extract import base_relations, resolve_receivers, token_rows
 from ..sources.scan import files_relation
 
 ROOT = "/demo"
@@ -87,6 +87,26 @@ def _call_edges(s):
     return demo(s)["call_edges"]
 
 
+@_q
+def _call_sites(s):
+    return demo(s)["call_sites"]
+
+
+@_q
+def _tokens(s):
+    return token_rows(demo(s)["files"])
+
+
+@_q
+def _find_symbol_bodies(s):
+    return envelope.find_symbol(demo(s)["symbols"], "shop.*", demo(s)["files"], include_body=True).rows.select("id", "body")
+
+
+@_q
+def _suggestions(s):
+    return envelope.find_symbol(demo(s)["symbols"], "pay.Charg").suggestions
+
+
 @_q
 def _imports(s):
     return demo(s)["imports"]
@@ -172,7 +192,7 @@ def _search_code(s):
 
 @_q
 def _ast_query(s):
-    return ast_query.query(demo(s)["symbols"], demo(s)["call_edges"], '((call_expression function: (identifier) @f) (#match? @f "^[vC]"))'[1:-1])
+    return ast_query.query(demo(s)["symbols"], demo(s)["call_sites"], '((call_expression function: (identifier) @f) (#match? @f "^[vC]"))'[1:-1])
 
 
 @_q

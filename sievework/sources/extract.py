@@ -60,14 +60,34 @@ def base_relations(files: DataFrame, semantics: Semantics = DEFAULT, cache: bool
     label = F.when(F.col("kind") == "FUNCTION", "Function").when(F.col("kind") == "METHOD", "Method").when(F.col("kind") == "CLASS", "Class").otherwise("Symbol")
     symbols = s.select("path", "pkg", "lang", "seq", "grammar_kind", "kind", "id_kind", "name", "receiver", "start_row", "end_row", symbol_id.alias("id"), F.concat(label, F.lit(": "), sanitize(F.col("name"))).alias("summary"), doc_of(F.col("text"), F.col("start_row")).alias("doc"))
     c = rec.where("rec = 'call'").join(place, "path").withColumn("id_kind", F.when(F.col("receiver") != "", "meth").otherwise("fn"))
-    calls = c.select("path", "pkg", symbol_id.alias("caller_id"), F.col("name").alias("caller_name"), F.col("receiver").alias("caller_receiver"), F.col("start_row").alias("caller_start_row"), "callee_name")
-    calls = calls.dropDuplicates(["path", "caller_receiver", "caller_name", "caller_start_row", "callee_name"])
+    calls = c.select("path", "pkg", symbol_id.alias("caller_id"), F.col("name").alias("caller_name"), F.col("receiver").alias("caller_receiver"), F.col("start_row").alias("caller_start_row"), "callee_name", F.col("end_row").alias("row"))
+    sites = calls
+    calls = calls.drop("row").dropDuplicates(["path", "caller_receiver", "caller_name", "caller_start_row", "callee_name"])
     i = rec.where("rec = 'import'")
     if not semantics.all_imports:
         i = i.where("first")
     imports = i.select("path", "import_path", "start_row", "end_row").dropDuplicates(["path", "import_path"])
     inherits = rec.where("rec = 'inherits'").select("path", F.col("name").alias("class_name"), "parent_name").distinct()
-    return {"files": files, "lines": lines_of(files, ["path"], "text"), "symbols": symbols, "call_edges": calls, "imports": imports, "inherits": inherits}
+    return {"files": files, "lines": lines_of(files, ["path"], "text"), "symbols": symbols, "call_edges": calls, "call_sites": sites, "imports": imports, "inherits": inherits}
+
+
+def token_rows(files: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """(path, row, place, token): words, numbers and strings outside comments, in order; with ``ranges`` (path, start, end) of these rows."""
+    ship_package(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sievework.sources.lexers import tokens
+
+        for b in batches:
+            for p, t, lang in zip(*(c.to_pylist() for c in b.columns)):
+                got = tokens(t or "", lang)
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(got), pa.string()), pa.array([r for r, _ in got], pa.int32()), pa.array(range(len(got)), pa.int32()), pa.array([x for _, x in got], pa.string())], ["path", "row", "place", "token"])
+
+    rows = files.select("path", "text", "lang").mapInArrow(run, "path string, row int, place int, token string")
+    if ranges is None:
+        return rows
+    r = ranges.select(F.col("path").alias("__p"), F.col("start").alias("__a"), F.col("end").alias("__b"))
+    return rows.join(r, (F.col("path") == F.col("__p")) & (F.col("row") >= F.col("__a")) & (F.col("row") < F.col("__b")), "left_semi")
 
 
 def resolve_receivers(symbols: DataFrame) -> DataFrame:

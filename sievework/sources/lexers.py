@@ -237,8 +237,8 @@ _CALL = re.compile(r"(?<![\w$.])(?P<path>(?:[\w$]+\s*\.\s*)*)(?P<name>[A-Za-z_$]
 _AFTER_DOT = re.compile(r"[)\]}]\s*\.\s*(?P<name>[A-Za-z_]\w*)\s*\(")
 
 
-def _calls(src: Source, s: Record) -> list[str]:
-    """Called names in a declaration's block: plain ones, and in Go also the last part of a selector."""
+def _calls(src: Source, s: Record) -> list[tuple[int, str]]:
+    """(position, name) of the calls in a declaration's block: plain ones, and in Go also the last part of a selector."""
     start, end = s["span"]
     brace = src.bare.find("{", start, end)
     if brace < 0:
@@ -261,7 +261,7 @@ def _calls(src: Source, s: Record) -> list[str]:
         got.append((m.start("name"), m["name"]))
     if src.lang == "go":
         got += [(m.start("name"), m["name"]) for m in _AFTER_DOT.finditer(src.bare, max(brace, start), end)]
-    return list(dict.fromkeys(n for _, n in sorted(got)))
+    return sorted(set(got))
 
 
 def _imports(src: Source) -> list[Record]:
@@ -304,7 +304,7 @@ def extract(text: str, lang: str) -> list[Record]:
         if lang not in ("php",):
             for n, s in enumerate(symbols):
                 if s["grammar_kind"] in ("function_declaration", "method_declaration"):
-                    out += [{"rec": "call", "seq": n, "callee_name": c, "name": s["name"], "receiver": s["receiver"], "start_row": s["start_row"]} for c in _calls(src, s)]
+                    out += [{"rec": "call", "seq": n, "callee_name": c, "name": s["name"], "receiver": s["receiver"], "start_row": s["start_row"], "end_row": text.count("\n", 0, at)} for at, c in _calls(src, s)]
         out += _imports(src)
         out += [r for r in found if r["rec"] == "inherits"]
     return out

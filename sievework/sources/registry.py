@@ -81,43 +81,71 @@ class Registry:
         self._write(self._read().where(F.col("path") != path))
 
 
+TABLES = ("files", "symbols", "call_edges", "call_sites", "imports", "inherits")
+
+
 class Snapshots:
-    """Base relations of projects as Parquet tables, valid for files of unchanged path and time."""
+    """Base relations of projects as Parquet tables, valid for files of unchanged path and time.
+
+    Each snapshot is a folder of its own, and counts once its mark is there, which is written last: readers see all tables of one
+    snapshot or all of the one before, also if the writer is lost. The one before stays for readers that have begun.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, project: str, name: str) -> str:
-        return f"{self.root}/{self._key(project)}/{name}"
-
-    @staticmethod
-    def _key(project: str) -> str:
+    def _home(self, project: str) -> str:
         import hashlib
 
-        return hashlib.sha256(project.encode()).hexdigest()
+        return f"{self.root}/{hashlib.sha256(project.encode()).hexdigest()}"
+
+    def _versions(self, home: str) -> list[str]:
+        """Complete snapshots, oldest first."""
+        fs, p = _fs(self.spark, home)
+        if not fs.exists(p):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(p)]
+        return [n for n in sorted(names) if n.startswith("v-") and exists(self.spark, f"{home}/{n}/_COMPLETE")]
 
     def save(self, project: str, base: dict[str, DataFrame]) -> None:
-        """Write all tables beside the old ones, then put them in their place: new tables may read the old."""
-        made = {}
-        for name, df in base.items():
-            if name != "lines":
-                made[name] = self._path(project, f"{name}.new-{time.time_ns()}")
-                df.write.parquet(made[name])
-        for name, new in made.items():
-            _swap(self.spark, new, self._path(project, name))
-            self.spark.catalog.refreshByPath(self._path(project, name))
+        """Write a new snapshot, which may read the last one, then remove those before that."""
+        home, new = self._home(project), f"v-{time.time_ns():020d}"
+        for name in TABLES:
+            base[name].write.parquet(f"{home}/{new}/{name}")
+        fs, mark = _fs(self.spark, f"{home}/{new}/_COMPLETE")
+        fs.create(mark).close()
+        for old in self._versions(home)[:-2]:
+            delete(self.spark, f"{home}/{old}")
 
     def load(self, project: str) -> dict[str, DataFrame] | None:
         from ..operators.pattern import lines_of
 
-        names = ("files", "symbols", "call_edges", "imports", "inherits")
-        if not all(exists(self.spark, self._path(project, n)) for n in names):
+        home = self._home(project)
+        known = self._versions(home)
+        if not known:
             return None
-        base = {n: self.spark.read.parquet(self._path(project, n)) for n in names}
+        base = {n: self.spark.read.parquet(f"{home}/{known[-1]}/{n}") for n in TABLES}
         return base | {"lines": lines_of(base["files"], ["path"], "text")}
 
     def delete(self, project: str) -> bool:
-        return delete(self.spark, f"{self.root}/{self._key(project)}")
+        return delete(self.spark, self._home(project))
+
+    def evict(self, most_bytes: int) -> list[str]:
+        """Remove whole projects, those saved longest ago first, until the rest has at most ``most_bytes``; returns their folders."""
+        fs, root = _fs(self.spark, self.root)
+        if not fs.exists(root):
+            return []
+        homes = [x.getPath().getName() for x in fs.listStatus(root)]
+        kept = sorted((max(self._versions(f"{self.root}/{h}"), default=""), h) for h in homes)
+        size = {h: fs.getContentSummary(_fs(self.spark, f"{self.root}/{h}")[1]).getLength() for h in homes}
+        total, gone = sum(size.values()), []
+        for _, h in kept:
+            if total <= most_bytes:
+                break
+            delete(self.spark, f"{self.root}/{h}")
+            total -= size[h]
+            gone.append(h)
+        return gone
 
     def stale(self, project: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(changed or new files, paths that are gone) of a fresh scan against the snapshot."""

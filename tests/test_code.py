@@ -2,12 +2,12 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from sievework.operators import architecture, ast_query, changes, chunks, edges, names, tree
+from sievework.operators import architecture, ast_query, changes, chunks, edges, envelope, names, tree
 from sievework.plans.code_queries import DIFF, QUERIES, ROOT, demo, diff_lines, raw_files
 from sievework.plans.projects import NamedOperations, Workspace, default_operations
 from sievework.semantics import Semantics
 from sievework.sources import lexers
-from sievework.sources.extract import base_relations, replace_file
+from sievework.sources.extract import base_relations, replace_file, token_rows
 from sievework.sources.registry import Audit, Snapshots, extract_paths, parse_ref
 from sievework.sources.scan import files_relation, scan
 
@@ -87,7 +87,7 @@ def test_locate_and_impact(base, spark):
 
 
 def test_ast_queries(base):
-    q = lambda p: {(r.capture, r.text) for r in ast_query.query(base["symbols"], base["call_edges"], p).collect()}
+    q = lambda p: {(r.capture, r.text) for r in ast_query.query(base["symbols"], base["call_sites"], p).collect()}
     assert q('(method_declaration name: (_) @m receiver: (_) @r (#eq? @m "Add"))') == {("m", "Add"), ("r", "Cart")}
     assert ("c", "Cart") in q("(type_declaration) @c")
     for bad in ("(", "(a (b))", "(function_declaration)", "(function_declaration body: (_) @b)", "(f) @a (#near? @a \"x\")"):
@@ -212,6 +212,50 @@ def test_stream_reextracts(spark, tmp_path):
     assert spark.table("calls").first().calls == 1
 
 
+def test_call_sites_have_their_rows(base, spark):
+    text = "package a\n\nfunc F() {\n\tG(); G()\n\tH()\n\tG()\n}\n"
+    new = base_relations(files_relation(raw_files(spark, {"a.go": text}), ROOT)[0], cache=False)
+    assert sorted((r.callee_name, r.row) for r in new["call_sites"].collect()) == [("G", 3), ("G", 3), ("G", 5), ("H", 4)]
+    assert sorted(r.callee_name for r in new["call_edges"].collect()) == ["G", "H"]
+    got = ast_query.query(new["symbols"], new["call_sites"], '(call_expression function: (identifier) @f (#eq? @f "G"))').collect()
+    assert [(r.start_row, r.end_row, r.text) for r in got] == [(3, 4, "G"), (3, 4, "G"), (5, 6, "G")]
+
+
+def test_answers_and_their_envelopes(base):
+    lines, s, files = base["lines"], base["symbols"], base["files"]
+    every = envelope.find_code(lines, s, "return", limit=50)
+    assert not every.truncated and every.total == every.rows.count() > 2
+    find = envelope.find_code(lines, s, "return", limit=2, include_context=True)
+    assert find.truncated and find.total == every.total and find.rows.count() == 2 and "id" in find.rows.columns
+    groups = envelope.search_code(lines, s, base["call_edges"], "return", limit=1)
+    assert groups.truncated and groups.rows.count() == 1 and groups.total <= 4
+    assert envelope.search(s, "charge", limit=1).total >= 1
+    one = envelope.find_symbol(s, "pay.Charge", files, include_body=True)
+    assert (one.total, one.truncated, one.suggestions) == (1, False, None) and one.rows.first().body.startswith("func Charge(n int) error {\n")
+    none = envelope.find_symbol(s, "pay.Charg")
+    assert none.total == 0 and none.suggestions.first().name == "Charge"
+
+
+def test_snapshots_are_replaced_as_a_whole(spark, base, tmp_path):
+    snaps = Snapshots(spark, str(tmp_path / "snaps"))
+    snaps.save("p", base)
+    first = snaps.load("p")["symbols"].count()
+    home = snaps._home("p")
+    base["files"].limit(0).write.parquet(f"{home}/v-99999999999999999999/files")  # a writer that was lost
+    assert snaps.load("p")["symbols"].count() == first
+    for _ in range(2):
+        snaps.save("p", snaps.load("p"))
+    assert len(snaps._versions(home)) == 2 and snaps.load("p")["call_sites"].count() == base["call_sites"].count()
+    snaps.save("q", base)
+    assert snaps.evict(1 << 40) == [] and snaps.evict(0) != [] and snaps.load("p") is None and snaps.load("q") is None
+
+
+def test_tokens_as_rows(base, spark):
+    path = f"{ROOT}/pay/pay.go"
+    rows = token_rows(base["files"], spark.createDataFrame([(path, 5, 8)], "path string, start int, end int")).orderBy("place").collect()
+    assert [r.token for r in rows] == ["func", "Charge", "n", "int", "error", "return", "validate", "n"] and {r.row for r in rows} == {5, 6}
+
+
 def test_references_and_paths():
     assert parse_ref("file:///a/b/") == "/a/b" and parse_ref("/a//b") == "/a/b"
     for bad in ("a/b", "/a/../b", "/a/%2e%2e/b", "/a/%252e%252e/b", "http://x/y", "file://host/x"):
