@@ -135,12 +135,16 @@ def _fnv1a(words: list[bytes], seed: int) -> np.ndarray:
     return out
 
 
+SEPARATOR = "\x1f"
+
+
 def embed_many(lists: list[list[str]], dim: int = 1024, hashes: int = 4) -> np.ndarray:
     """Signed hash counts of each list of tokens, scaled to length 1, as rows. Distinct tokens are hashed once."""
     if dim < 1 or dim & (dim - 1):
         raise ValueError("the dimension must be a power of two")
-    number: dict[str, int] = {}
-    at = np.array([number.setdefault(w, len(number)) for ws in lists for w in ws], np.int64)
+    flat = [w for ws in lists for w in ws]
+    number = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+    at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
     owner = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
     raw = [w.encode() for w in number]
     v = np.zeros(len(lists) * dim)
@@ -158,14 +162,27 @@ def embed_tokens(words: list[str], dim: int = 1024, hashes: int = 4) -> np.ndarr
 
 
 def hash_embedding(words: Column, dim: int = 1024) -> Column:
-    """``embed_tokens`` of an array of tokens. Python is needed: the hash multiplies modulo 2^64."""
+    """``embed_tokens`` of an array of tokens, which travel as one text. Python is needed: the hash multiplies modulo 2^64."""
 
     @F.pandas_udf("array<double>")
     def embed(col: pd.Series) -> pd.Series:
-        lists = [list(w) if w is not None else [] for w in col]
-        return pd.Series([r for k in range(0, len(lists), 256) for r in embed_many(lists[k : k + 256], dim)], dtype=object)
+        lists = [w.split(SEPARATOR) if w else [] for w in col]
+        return pd.Series([r for k in range(0, len(lists), 1024) for r in embed_many(lists[k : k + 1024], dim)], dtype=object)
+
+    return embed(F.array_join(words, SEPARATOR))
+
+
+def hash_similarity(words: Column, query: list[float]) -> Column:
+    """Inner product of ``query`` with ``embed_tokens`` of an array of tokens; the vectors themselves stay in Python."""
+
+    @F.pandas_udf("double")
+    def score(col: pd.Series) -> pd.Series:
+        lists = [w.split(SEPARATOR) if w else [] for w in col]
+        q = np.array(query)
+        return pd.Series([s for k in range(0, len(lists), 1024) for s in (embed_many(lists[k : k + 1024], len(q)) * q).sum(1)])
 
-    return embed(words)
+    # else a filter on the score would have it computed a second time
+    return score.asNondeterministic()(F.array_join(words, SEPARATOR))
 
 
 def split_terms(query: str, strict: bool = True) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex, strip
+from ..session import stored
 from .intervals import slice_rows
 from .pattern import is_test_file
 
@@ -29,13 +30,18 @@ def windows(docs: DataFrame, keys: list[str], text_col: str, size: int = WINDOW,
 def baseline(files: DataFrame, size: int = WINDOW, step: int = STEP) -> DataFrame:
     """(id, file, start_line, end_line, start_byte, end_byte, text, policy): byte windows; ids count over all files in order.
 
-    The running number is the sum of the windows of earlier files (a window over one row per file) plus the place.
+    The running number is the sum of the windows of earlier files plus the place. Files are dealt out by ranges of their paths; a sum
+    within each range is added to those of the ranges before, so that only one row for each range meets in one task.
     """
     rows = windows(files.select("path", "rel_path", F.col("text").alias("whole")), ["path", "rel_path", "whole"], "whole", size, step, in_bytes=True)
-    per_file = rows.groupBy("path").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranged = stored(rows.groupBy("path").agg(F.count("*").alias("n")).repartitionByRange("path").withColumn("part", F.spark_partition_id()), "windows")
+    heads = ranged.groupBy("part").agg(F.sum("n").alias("n")).withColumn("head", earlier(W.orderBy("part"))).drop("n")
+    within = ranged.withColumn("own", earlier(W.partitionBy("part").orderBy("path")))
+    per_file = within.join(F.broadcast(heads), "part").select("path", (F.col("head") + F.col("own")).alias("before"))
     raw = F.encode("whole", "utf-8")
     feeds = lambda upto: F.size(F.split(F.decode(F.substring(raw, F.lit(1), upto), "iso-8859-1"), "\n"))
-    number = F.coalesce("before", F.lit(0)) + (F.col("start") / step).cast("long")
+    number = F.col("before") + (F.col("start") / step).cast("long")
     return rows.join(per_file, "path").select(
         F.concat_ws(":", F.lit("baseline"), "rel_path", number.cast("string")).alias("id"), F.col("path").alias("file"),
         feeds(F.col("start")).alias("start_line"), feeds(F.col("end") - 1).alias("end_line"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import embed_tokens, hash_embedding, split_terms, tokens
+from ..functions.text import embed_tokens, hash_similarity, split_terms, tokens
 from ..semantics import DEFAULT, Semantics
 from ..session import stored
 from ..shipping import ship_package
@@ -123,8 +123,8 @@ class HashVectors:
 
     def top_k(self, chunks: DataFrame, query: str, k: int) -> DataFrame:
         ship_package(chunks.sparkSession)
-        vectors = chunks.select("id", hash_embedding(tokens(F.col("text")), self.dim).alias("v"))
-        return vector_top_k(vectors, "id", "v", embed_tokens(query_terms(query), self.dim).tolist(), k)
+        q = embed_tokens(query_terms(query), self.dim).tolist()
+        return chunks.select("id", hash_similarity(tokens(F.col("text")), q).alias("score")).where("score > 0").orderBy(_best("score"), "id").limit(k)
 
 
 def vector_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -180,10 +180,10 @@ def enclosing_smallest(spark: SparkSession, d: str) -> DataFrame:
 @bound(f"""WITH {_SPANS}, h AS (SELECT path, row FROM lines WHERE regexp_matches(text, '{RE}')),
 m AS (SELECT h.path, h.row, s.seq, row_number() OVER (PARTITION BY h.path, h.row ORDER BY s.seq) AS k FROM h JOIN spans s ON s.path = h.path AND a <= row AND row < b),
 g AS (SELECT path || '#' || seq AS id, count(*) AS n FROM m WHERE k = 1 GROUP BY ALL)
-SELECT id, n AS match_count, 0 AS bucket, row_number() OVER (ORDER BY n DESC, id)::INTEGER AS rank FROM g""")
+SELECT id, n AS match_count, 0 AS bucket, row_number() OVER (ORDER BY n DESC, id)::INTEGER AS rank FROM g ORDER BY rank LIMIT 50""")
 def grouped_matches(spark: SparkSession, d: str) -> DataFrame:
     hit = pattern.find_lines(_lines(spark, d).select("path", "row", "text"), RE)
-    got = pattern.group_matches(pattern.enclosing(hit, _spans(spark, d), "path", payload=["id", "kind", "name"]))
+    got = pattern.group_matches(pattern.enclosing(hit, _spans(spark, d), "path", payload=["id", "kind", "name"])).limit(pattern.LIMIT)
     w = W.orderBy("bucket", F.desc("match_count"), F.desc("fan_in"), "id")
     return got.select("id", "match_count", "bucket", F.row_number().over(w).alias("rank"))
 
