@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, media, ngram_join, packing, ppm, toxicity, url_filter, warc
+from . import decontaminate, divergence, html_extract, langid, licenses, media, ngram_join, packing, ppm, toxicity, url_filter, warc, whitening
 from .common import crc_of_id, stored, table
+from .license_texts import TEMPLATES
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+LICENSE_PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +74,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"), "doc_id", "text", TEMPLATES, LICENSE_PHRASES).drop("passages")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), "text", "lang", "source")
+
+
 OP3_SQL = r"""
 WITH r(rule, verdict) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
 rules AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp FROM r),
@@ -116,9 +131,59 @@ FROM p LEFT JOIN m USING (d)
 """
 
 
+def _license_sql() -> str:
+    """Templates as regular expressions over the words, each after a space; a passage ends before a space or the end."""
+
+    def expression(template: str) -> str:
+        out = ""
+        for part in re.findall(r"<<.*?>>|[^<]+", template):
+            plain = lambda t: "".join(" " + w for w in re.findall("[a-z0-9]+", t.lower()))
+            if part == "<<beginOptional>>":
+                out += "(?:"
+            elif part == "<<endOptional>>":
+                out += ")?"
+            elif part.startswith("<<var"):
+                out += "(?: [^ ]+){%s,%s}" % tuple(re.findall(r"\d+", part))
+            elif part.startswith("<<either;"):
+                out += f"(?:{'|'.join(map(plain, part[9:-2].split('|')))})"
+            else:
+                out += plain(part)
+        return out + "( |$)"
+
+    own = ", ".join(f"CASE WHEN regexp_matches(t, '{expression(text)}') THEN '{label}' END" for label, text in TEMPLATES)
+    places = "list_concat({})".format(", ".join("[p FOR p IN range(0, len(w)) IF {}]".format(" AND ".join(f"w[p + {k}] = '{x}'" for k, x in enumerate(text.split(), 1))) for _, text in LICENSE_PHRASES))
+    base = ", ".join(f"CASE WHEN contains(t || ' ', ' {text} ') THEN '{label}' END" for label, text in LICENSE_PHRASES)
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT doc_id, w, CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, ' ') ELSE '' END AS t FROM w),
+f AS (SELECT doc_id, len(w) AS n_words, {places} AS p, [x FOR x IN [{base}] IF x IS NOT NULL] AS b, [x FOR x IN [{own}] IF x IS NOT NULL] AS o FROM t)
+SELECT doc_id, n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(b, o))), ',') AS labels, CASE WHEN len(o) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM f
+"""
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS n, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT n, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL HAVING count(DISTINCT n) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(c) AS total FROM k GROUP BY lang),
+u AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS total FROM u GROUP BY ALL) USING (lang, source)),
+s AS (SELECT lang, source, term, coalesce(u.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(u.c, 0) + 5)) // (g.total + 5 * v) AS p, 1 + (1000000000::HUGEINT * (k.c + 5)) // (v.total + 5 * v) AS q
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN u USING (lang, source, term)),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+      LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE c > 0 AND p > q),
+n AS (SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r)
+SELECT * FROM n WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op6_ngram_join": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op3_url_filter": OP3_SQL, "op6_ngram_join": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_warc": OP10_SQL, "op11_licenses": _license_sql(), "op13_divergence": OP13_SQL}
