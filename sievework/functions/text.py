@@ -150,7 +150,7 @@ def embed_many(lists: list[list[str]], dim: int = 1024, hashes: int = 4) -> np.n
     v = np.zeros(len(lists) * dim)
     for i in range(hashes if len(at) else 0):
         h = _fnv1a(raw, i)
-        cell, sign = (h & np.uint64(dim - 1)).astype(np.int64), 1.0 - 2.0 * (h >> np.uint64(32) & np.uint64(1)).astype(np.float64)
+        cell, sign = (h & np.uint64(dim - 1)).astype(np.int64), 2.0 * (h >> np.uint64(32) & np.uint64(1)).astype(np.float64) - 1.0
         v += np.bincount(owner * dim + cell[at], sign[at], len(v))
     v = v.reshape(len(lists), dim)
     n = np.sqrt((v * v).sum(1, keepdims=True))

@@ -1,4 +1,4 @@
-"""Patterns over declarations and calls, in a small subset of S-expression queries.
+"""Patterns over declarations and calls, in a subset of S-expression queries.
 
     (function_declaration name: (identifier) @name)
     (method_declaration name: (field_identifier) @m receiver: (_) @r)
@@ -6,8 +6,11 @@
     (class_declaration) @whole
 
 Node types are the grammar kinds of ``symbols``, and call_expression; fields are name, receiver and function. Predicates
-``(#eq? @a "text")``, ``(#not-eq? ...)`` and ``(#match? @a "regex")`` filter. Each capture of a match is a row. Anything else
-raises ValueError.
+``(#eq? @a "text")``, ``(#not-eq? ...)`` and ``(#match? @a "regex")`` filter. Each capture of a match is a row. Patterns that nest nodes
+
+    (type_declaration (method_declaration ..(call_expression) @call (#eq? @call "close")) @method)
+
+follow ``trees``: a captured node comes once for each name. Anything else raises ValueError.
 """
 
 from __future__ import annotations
@@ -18,8 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_PATTERN_BYTES, java_pattern
+from . import trees
 
 _TOKEN = re.compile(r'\s*([()]|"(?:\\.|[^"\\])*"|@[\w.-]+|#[\w-]+\??|\w+:|\w+)')
+#: A node within a node: alternatives, ``..``, or a second type that is no field's.
+NESTED = re.compile(r"\.\.|\[\s*\(|\(\w+[^()]*(?<!:)(?<!:\s)\(\w")
 FIELDS = {"name": "name", "receiver": "receiver", "function": "callee_name"}
 
 
@@ -48,6 +54,9 @@ def query(symbols: DataFrame, calls: DataFrame, pattern: str) -> DataFrame:
     """(path, start_row, end_row, node_type, capture, text) of every capture. ``calls`` are call sites: every call with its ``row``."""
     if len(pattern.encode()) > MAX_PATTERN_BYTES:
         raise ValueError(f"a pattern has at most {MAX_PATTERN_BYTES} bytes")
+    if NESTED.search(pattern):
+        found = trees.match(trees.code_nodes(symbols, calls), pattern)
+        return found.select("path", F.col("start").alias("start_row"), F.col("stop").alias("end_row"), "node_type", "capture", "text").orderBy("path", "start_row", "capture")
     parts = _parse(pattern)
     heads = [p for p in parts if isinstance(p, list) and p and not (isinstance(p[0], str) and p[0].startswith("#"))]
     if len(heads) != 1:

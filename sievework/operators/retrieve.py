@@ -92,16 +92,26 @@ def vector_top_k(vectors: DataFrame, id_col: str, vector_col: str, query: list[f
     return ranked.limit(k) if k else ranked
 
 
-def rrf(channels: dict[str, DataFrame], limit: int | None = None, k: int = RRF_K, depth: int = 10_000) -> DataFrame:
+def placed(hits: DataFrame, short: bool = False) -> DataFrame:
+    """(id, rank) of all hits, best first, ties by id. Hits are dealt out by ranges of that order, and each range is numbered from the
+    sizes of those before it; ``short`` lists (a query's top hits) are numbered in one task."""
+    order = (_best("score"), F.col("id").asc())
+    if short:
+        return hits.select("id", F.row_number().over(W.orderBy(*order)).alias("rank"))
+    ranged = stored(hits.select("id", "score").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranked")
+    heads = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("head", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(W.partitionBy("part").orderBy(*order))
+    return ranged.withColumn("own", own).join(F.broadcast(heads), "part").select("id", (F.col("head") + F.col("own")).alias("rank"))
+
+
+def rrf(channels: dict[str, DataFrame], limit: int | None = None, k: int = RRF_K, short: bool = False) -> DataFrame:
     """(id, score, channel) by the sum of 1 / (k + rank); ``channel`` is the first (in the dict's order) that has the id.
 
-    An id that a list has twice counts with both ranks; one that a list lacks gets nothing from it. Lists are ranked hits of a
-    query: at most ``depth`` of each are read, so that ranking them in one task is bounded.
+    An id that a list has twice counts with both ranks; one that a list lacks gets nothing from it. Whole lists are read; see ``placed`` for ``short``.
     """
     ranked = None
     for n, (name, hits) in enumerate(channels.items()):
-        top = hits.orderBy(_best("score"), "id").limit(depth)
-        one = top.select("id", F.row_number().over(W.orderBy(_best("score"), "id")).alias("rank"), F.lit(n).alias("n"), F.lit(name).alias("channel"))
+        one = placed(hits, short).withColumns({"n": F.lit(n), "channel": F.lit(name)})
         ranked = one if ranked is None else ranked.unionAll(one)
     merged = ranked.groupBy("id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"), F.min(F.struct("n", "channel"))["channel"].alias("channel"))
     merged = merged.select("id", "score", "channel")
@@ -161,7 +171,7 @@ def hybrid(chunks: DataFrame, symbols: DataFrame | None, query: str, channels: l
     if not names:
         raise ValueError("all channels are disabled")
     chunks = stored(chunks, "chunks")  # the channels and the result read them
-    fused = rrf(explain(chunks, symbols, query, names, limit, backend), limit)
+    fused = rrf(explain(chunks, symbols, query, names, limit, backend), limit, short=True)
     one = chunks.join(F.broadcast(fused.select("id")), "id", "left_semi").select("id", F.struct(*chunks.columns).alias("chunk")).dropDuplicates(["id"])
     return fused.join(one, "id", "left").orderBy(F.desc(F.round("score", 12)), "id")
 

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import matches_glob, path_passes_glob, sanitize, snippet, strip, tokens
-from ..operators import architecture, chunks, edges, intervals, names, pattern, retrieve, traverse, tree
+from ..operators import architecture, chunks, edges, intervals, names, pattern, retrieve, traverse, tree, trees
 from ..semantics import Semantics
+from ..sources import markup
 from ..sources.registry import freshness
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +101,7 @@ SELECT id AS doc_id, round(sum(1.0 / (60 + r)), 9) AS score, min(c) AS channel F
 def fused_top(spark: SparkSession, d: str) -> DataFrame:
     text = retrieve.bm25(_t(spark, d, "documents"), "doc_id", "text", QUERY_TEXT, 40)
     vec = retrieve.vector_top_k(_t(spark, d, "embeddings"), "vec_id", "embedding", _vector_query(spark, d), 40)
-    return retrieve.rrf({"bm25": text, "vector": vec}, 10).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"), "channel")
+    return retrieve.rrf({"bm25": text, "vector": vec}, 10, short=True).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"), "channel")
 
 
 @bound()
@@ -230,6 +231,44 @@ def byte_windows(spark: SparkSession, d: str) -> DataFrame:
     return chunks.windows(_t(spark, d, "documents"), ["doc_id"], "text", in_bytes=True).select("doc_id", "start", "end", F.md5("text").alias("digest"))
 
 
+# --- trees
+
+TREE_PATTERNS = {
+    "bold": "(article (h1) @title ..(p (b) @bold) @par)",
+    "items": r'(ul (li (a) @first) (li (a) @second (#match? @second.attrs "[aeiou]\"?$")))',
+    "either": "(body [(article) (main)] @whole (footer) @foot)",
+}
+# a stack for each page, one tag a step; opening tags are nodes, and a closing tag ends the innermost open element of its name
+_NODES = r"""tag0 AS (SELECT page_id, p, unnest(x) AS t, unnest(range(0, len(x))) AS k0 FROM (SELECT page_id, row_number() OVER () AS p,
+  [y FOR y IN regexp_extract_all(coalesce(html, ''), '(?is)<!--.*?-->|<script\b[^<>]*>.*?</script\s*>|<style\b[^<>]*>.*?</style\s*>|</?[a-z][^<>]*>[^<]*') IF NOT starts_with(y, '<!--')] AS x FROM pages)),
+tag AS (SELECT page_id, p, k0 AS k, lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name, starts_with(t, '</') AS closes,
+  regexp_matches(t, '(?i)^<(script|style|area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b') OR regexp_matches(t, '^<[^<>]*/>') AS alone, regexp_extract(t, '^<[a-zA-Z][a-zA-Z0-9]*([^<>]*)>', 1) AS attrs FROM tag0),
+walk AS (SELECT p, (-1)::BIGINT AS k, []::BIGINT[] AS open, []::VARCHAR[] AS names, NULL::BIGINT AS parent, false AS node FROM (SELECT DISTINCT p FROM tag)
+  UNION ALL SELECT w.p, t.k, CASE WHEN NOT closes THEN CASE WHEN alone THEN open ELSE list_append(open, t.k) END WHEN list_contains(names, name) THEN open[:len(open) - list_position(list_reverse(names), name)] ELSE open END,
+  CASE WHEN NOT closes THEN CASE WHEN alone THEN names ELSE list_append(names, name) END WHEN list_contains(names, name) THEN names[:len(names) - list_position(list_reverse(names), name)] ELSE names END,
+  CASE WHEN NOT closes THEN open[-1] END, NOT closes FROM walk w JOIN tag t ON t.p = w.p AND t.k = w.k + 1),
+n AS (SELECT t.page_id, t.p, t.k, t.name, t.attrs, w.parent FROM walk w JOIN tag t ON t.p = w.p AND t.k = w.k WHERE node),
+up AS (SELECT p, k, parent AS anc FROM n WHERE parent IS NOT NULL UNION ALL SELECT u.p, u.k, n.parent FROM up u JOIN n ON n.p = u.p AND n.k = u.anc WHERE n.parent IS NOT NULL)"""
+
+
+@bound(rf"""
+WITH RECURSIVE {_NODES},
+bold AS (SELECT b.p, b.k, b.parent FROM n b JOIN n q ON q.p = b.p AND q.k = b.parent AND b.name = 'b' AND q.name = 'p'),
+art AS (SELECT a.p, a.k, h.k AS h FROM n a JOIN n h ON h.p = a.p AND h.parent = a.k AND a.name = 'article' AND h.name = 'h1'),
+one AS (SELECT DISTINCT art.p, art.k, art.h, bold.k AS b, bold.parent AS q FROM bold JOIN up ON up.p = bold.p AND up.k = bold.parent JOIN art ON art.p = up.p AND art.k = up.anc),
+link AS (SELECT i.p, i.parent AS u, i.k AS i, a.k AS a, a.attrs FROM n a JOIN n i ON i.p = a.p AND i.k = a.parent AND a.name = 'a' AND i.name = 'li' JOIN n u ON u.p = i.p AND u.k = i.parent AND u.name = 'ul'),
+two AS (SELECT x.p, x.a, y.a AS b FROM link x JOIN link y ON y.p = x.p AND y.u = x.u AND y.i > x.i AND regexp_matches(trim(y.attrs), '[aeiou]"?$')),
+three AS (SELECT x.p, x.k AS a, y.k AS b FROM n x JOIN n y ON y.p = x.p AND y.parent = x.parent AND y.k > x.k AND x.name IN ('article', 'main') AND y.name = 'footer' JOIN n z ON z.p = x.p AND z.k = x.parent AND z.name = 'body'),
+r AS (SELECT p, 'bold' AS pattern, 'title' AS capture, h AS k FROM one UNION SELECT p, 'bold', 'bold', b FROM one UNION SELECT p, 'bold', 'par', q FROM one UNION SELECT p, 'items', 'first', a FROM two UNION SELECT p, 'items', 'second', b FROM two
+  UNION SELECT p, 'either', 'whole', a FROM three UNION SELECT p, 'either', 'foot', b FROM three)
+SELECT page_id, pattern, capture, k::INTEGER AS start, name AS node_type FROM r JOIN n USING (p, k)
+""")
+def tree_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Nested patterns with several captures over the elements of all pages."""
+    nodes = markup.nodes(_t(spark, d, "pages"), "page_id", "html")
+    return trees.match_all(nodes, TREE_PATTERNS, in_order=True).select("page_id", "pattern", "capture", "start", "node_type")
+
+
 # --- names
 
 @bound("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[^/]*l[^/][d-r][^/]*$')")
@@ -412,10 +451,11 @@ def hotspots_in(spark: SparkSession, d: str) -> DataFrame:
     return architecture.hotspots(_t(spark, d, "part").select(F.col("p_partkey").alias("id")), li, 15, Semantics(degree="in"))
 
 
-@bound("SELECT p_partkey AS id FROM part WHERE p_partkey * 3 NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY id LIMIT 50")
+@bound("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY id LIMIT 50")
 def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
-    orders = _t(spark, d, "lineitem").select((F.col("l_orderkey") / 3).alias("src"), F.col("l_partkey").alias("dst"))
-    return architecture.dead(_t(spark, d, "part").select(F.col("p_partkey").alias("id")), orders.where("src = floor(src)").select(F.col("src").cast("long").alias("src"), "dst"))
+    """Orders without any line."""
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return architecture.dead(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id")), lines)
 
 
 _TRANS = "t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT src, dst FROM t WHERE dst IS NOT NULL GROUP BY src, dst HAVING count(*) >= (SELECT count(*) / 30 FROM events))"

@@ -249,7 +249,7 @@ def layer_signature(spark: SparkSession, d: str) -> DataFrame:
 @bound(r"""
 WITH n AS (SELECT DISTINCT p_name FROM part), t AS (SELECT p_name, unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{Nd}_]+')) AS w FROM n),
 h AS (SELECT p_name, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_prepend(i::HUGEINT, list_transform(string_split(w, ''), lambda c: ord(c)::HUGEINT))), lambda a, x: (xor(a, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM t, (VALUES (0), (1), (2), (3)) v(i)),
-c AS (SELECT p_name, (h % 64)::INTEGER AS cell, sum(CASE WHEN (h // 4294967296::HUGEINT) % 2 = 1 THEN -1 ELSE 1 END)::DOUBLE AS v FROM h GROUP BY ALL)
+c AS (SELECT p_name, (h % 64)::INTEGER AS cell, sum(CASE WHEN (h // 4294967296::HUGEINT) % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM h GROUP BY ALL)
 SELECT p_name, cell, round(v / sqrt(sum(v * v) OVER (PARTITION BY p_name)), 9) AS value FROM c QUALIFY v <> 0""")
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """Cells of the embeddings of all part names."""

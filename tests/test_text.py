@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.operators.names import parse_name_path, suggest
-from sievework.operators.retrieve import HashVectors, bm25, expand_seeds, hybrid, parse_channels, query_terms, rrf
+from sievework.operators.retrieve import HashVectors, bm25, expand_seeds, hybrid, parse_channels, query_terms, placed, rrf
 from sievework.semantics import Semantics
 
 
@@ -58,6 +58,26 @@ def test_embedding_has_length_one(words):
     assert not words or abs(np.linalg.norm(v) - 1) < 1e-9 or not v.any()
 
 
+PINNED_BOLT = {5: -1, 7: 1, 38: 1, 56: -1}
+
+
+def test_embedding_of_known_words():
+    """Cells and signs worked out from the published 64-bit FNV-1a: a set bit 32 counts +1."""
+    def fnv(data):
+        h = 14695981039346656037
+        for b in data:
+            h = (h ^ b) * 1099511628211 % 2**64
+        return h
+
+    assert fnv(b"a") == 0xAF63DC4C8601EC8C and fnv(b"foobar") == 0x85944171F73967E8  # published test vectors
+    want = np.zeros(64)
+    for i in range(4):
+        h = fnv(bytes([i]) + b"bolt")
+        want[h % 64] += 1 if bin(h)[2:].zfill(64)[31] == "1" else -1
+    assert T.embed_tokens(["bolt"], 64) == pytest.approx(want / np.linalg.norm(want)) and want.any()
+    assert {int(k): int(v) for k, v in enumerate(want) if v} == PINNED_BOLT
+
+
 def test_name_paths():
     assert parse_name_path("fn:a.b.C") == ("a.b", "C") and parse_name_path("a/b/C") == ("a.b", "C") and parse_name_path("C") == ("", "C")
 
@@ -76,6 +96,15 @@ def test_rrf_scores(spark):
     assert got == pytest.approx({"α": 3 / 61, "β": 2 / 62, "γ": 1 / 63})
 
 
+def test_whole_lists_are_ranked_by_ranges(spark):
+    n = 25_000
+    many = spark.range(n).selectExpr("id", "CAST(pmod(id * 7919, 997) AS double) AS score").repartition(7)
+    for short in (False, True):
+        got = {r.id: r.rank for r in placed(many, short).collect()}
+        assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(n), key=lambda i: (-(i * 7919 % 997), i)) and sorted(got.values()) == list(range(1, n + 1))
+    assert rrf({"a": many}).count() == n and placed(many.where("false")).count() == 0
+
+
 def test_rrf_counts_an_id_twice_and_names_the_first_channel(spark):
     twice = spark.createDataFrame([("x", 2.0), ("x", 1.0)], "id string, score double")
     r = rrf({"a": _hits(spark, "y"), "b": twice}, 1).first()
