@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.operators.names import parse_name_path, suggest
-from sievework.operators.retrieve import HashVectors, bm25, expand_seeds, hybrid, parse_channels, query_terms, placed, rrf
+from sievework.operators.retrieve import HashVectors, bm25, expand_seeds, hybrid, parse_channels, placed, query_terms, rrf
 from sievework.semantics import Semantics
 
 
