@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import matches_glob, path_passes_glob, sanitize, snippet, strip, tokens
-from ..operators import architecture, chunks, edges, intervals, names, pattern, retrieve, traverse, tree, trees
+from ..operators import architecture, chunks, edges, intervals, names, pattern, retrieve, traverse, tree, trees, trigrams
 from ..semantics import Semantics
 from ..sources import markup
 from ..sources.registry import freshness
@@ -145,6 +145,20 @@ def regex_lines(spark: SparkSession, d: str) -> DataFrame:
     return pattern.find_lines(_lines(spark, d), RE, scope="src1", file_glob="*/e*/*").select("path", "row", "snippet")
 
 
+INDEXED = {"license": "Released under the (MIT|BSD) Licen[cs]e", "repeated": "(er|on){3,}[a-z]*ble", "short": "^.{1,3}$"}
+
+
+@bound(f"WITH {_LINES} " + " UNION ALL ".join(f"SELECT '{k}' AS pattern, path, row FROM lines WHERE regexp_matches(text, '{p}')" for k, p in INDEXED.items()))
+def indexed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Searches through a trigram index; the last pattern requires no trigram and searches all files."""
+    index = trigrams.TrigramIndex.build(_files(spark, d).select("path", "text"))
+    out = None
+    for name, p in INDEXED.items():
+        one = index.find_lines(p).select(F.lit(name).alias("pattern"), "path", "row")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @bound("SELECT part.p_partkey, CASE WHEN strlen(p_name || ' ' || p_type || repeat(' ' || p_brand, 20)) > 200 THEN substr(p_name || ' ' || p_type || repeat(' ' || p_brand, 20), 1, 200) || '…' ELSE p_name || ' ' || p_type || repeat(' ' || p_brand, 20) END AS snippet FROM part")
 def ascii_snippets(spark: SparkSession, d: str) -> DataFrame:
     long = F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"), F.repeat(F.concat(F.lit(" "), "p_brand"), 20))
