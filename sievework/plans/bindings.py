@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import matches_glob, path_passes_glob, sanitize, snippet, strip, tokens
-from ..operators import architecture, chunks, edges, intervals, names, pattern, retrieve, traverse, tree, trees, trigrams
+from ..operators import architecture, chunks, edges, intervals, names, pattern, postings, retrieve, traverse, tree, trees, trigrams
 from ..semantics import Semantics
 from ..sources import markup
 from ..sources.registry import freshness
@@ -72,6 +72,26 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+INDEXED_TEXTS = {"q1": "the and", "q2": "der die trash", "q3": "que", "q4": "licensed general public work", "q5": "ingthe"}
+
+
+@bound(r"""
+WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
+q AS (SELECT query, unnest(string_split(x, ' ')) AS t FROM (VALUES ('q1', 'the and'), ('q2', 'der die trash'), ('q3', 'que'), ('q4', 'licensed general public work'), ('q5', 'ingthe')) v(query, x)),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+bm AS (SELECT query, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS s
+       FROM q JOIN tf USING (t) JOIN df USING (t) JOIN dl USING (doc_id), st GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, doc_id) AS k FROM bm WHERE s > 0)
+SELECT query, doc_id, round(s, 6) AS score, k::INTEGER AS rank FROM r WHERE k <= 10
+""")
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The best texts by an index with block maxima; queries read no text."""
+    hits = postings.Bm25Index.build(_t(spark, d, "documents"), "doc_id", "text").top_many(INDEXED_TEXTS, 10)
+    return hits.select("query", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @bound(r"SELECT t AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+')) AS t FROM documents) GROUP BY t")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
