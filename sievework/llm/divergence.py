@@ -32,6 +32,7 @@ from .common import quoted, small_batches, stored
 LEAST_DOCS, TOP = 30, 50
 HELD = 150_000
 SHARD_ROWS = 400_000
+BLOCK_ROWS = 200_000
 BLOCK = 256
 PIECE = 1 << 20
 #: Bytes of terms stay, in lower case; all others divide terms.
@@ -85,6 +86,19 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together, so that SQL runs over many rows at a time."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= BLOCK_ROWS:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _add_up(least_docs: int):
     """Of a shard: one row per kept term, with its counts by source."""
 
@@ -94,15 +108,15 @@ def _add_up(least_docs: int):
         with duckdb.connect(config=DUCK) as con:
             con.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
             rows = limit = 0
-            for b in batches:
-                con.register("part", b)
-                con.execute("INSERT INTO held SELECT * FROM part")
+            for block in _blocks(batches):
+                con.register("part", block)
+                con.execute("INSERT INTO held SELECT lang, source, term, sum(n), sum(docs) FROM part GROUP BY ALL")
                 con.unregister("part")
-                rows += b.num_rows
+                rows += block.num_rows
                 if rows > 2 * max(limit, SHARD_ROWS):  # what is held is added up again and again, so that it stays near its distinct rows
                     con.execute("CREATE TABLE less AS SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY ALL")
                     con.execute("DROP TABLE held; ALTER TABLE less RENAME TO held")
-                    rows = limit = con.execute("SELECT count(*) FROM held").fetchone()[0]
+                    rows = limit = con.execute("SELECT count(*) FROM held").fetchall()[0][0]
             kept = con.sql(
                 "SELECT lang, term, list(source ORDER BY source) AS sources, list(n ORDER BY source) AS counts FROM "
                 f"(SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY ALL) GROUP BY lang, term HAVING sum(docs) >= {int(least_docs)}"

@@ -241,3 +241,19 @@ def test_terms_of_pieces(monkeypatch):
     whole = divergence.terms_of(text)
     monkeypatch.setattr(divergence, "PIECE", 3)
     assert divergence.terms_of(text) == whole and whole["naïve\u00a0x".encode()] == 50
+
+
+def test_a_shard_of_many_small_batches_is_added_up(monkeypatch):
+    """More partial rows than a shard holds: they are added up again and again."""
+    import pyarrow as pa
+
+    for name, value in (("SHARD_ROWS", 20), ("BLOCK_ROWS", 3)):
+        monkeypatch.setattr(divergence, name, value)
+    dice, want, batches = random.Random(4), Counter(), []
+    for _ in range(300):
+        rows = [(dice.choice(["en", "de"]), dice.choice("abc"), dice.choice(["x", "yé", "z", "w"]), dice.randrange(1, 5), 1) for _ in range(dice.randrange(3))]
+        batches.append(pa.RecordBatch.from_pylist([dict(zip(divergence.PARTIAL.names, r)) for r in rows], divergence.PARTIAL))
+        for lang, source, term, n, _ in rows:
+            want[lang, term, source] += n
+    got = {(r["lang"], r["term"], s): n for b in divergence._add_up(1)(iter(batches)) for r in b.to_pylist() for s, n in zip(r["sources"], r["counts"])}
+    assert got == want and list(divergence._add_up(10**6)(iter(batches))) == []
