@@ -122,12 +122,125 @@ def reachable(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"the closure did not settle in {max_rounds} rounds")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of nodes on cycles: those that reach each other share their smallest node. Self-loops count.
+#: Edges that one task takes: what is left of a graph by then is decided there.
+ONE_TASK_EDGES = 500_000
 
-    Meant for coarse graphs (files, packages): the closure can have as many rows as pairs of nodes.
+
+def strong_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(node, component) of nodes on cycles: those that reach each other share their smallest node. Self-loops count; null ends do not.
+
+    Large graphs shrink in rounds: nodes without a way in or out are trimmed as long as that takes a tenth of the edges; then every node takes the
+    smallest node that reaches it as its colour, and what reaches that node within the colour is its component. Components and edges between
+    colours go, and the rest goes on. No round has more rows than edges. Once ``one_task`` edges are left, one task finishes. The number of rounds
+    grows with the longest shortest path; what is deep as well as large takes many.
     """
-    reach = reachable(edges)
-    a, b = reach.alias("a"), reach.alias("b")
-    mutual = a.join(b, (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")), "left_semi")
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+    edges = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    rest, found = edges.where("src <> dst"), None
+    n = rest.count()
+    while n:
+        if n <= one_task:
+            part = _components_in_one_task(rest)
+            found = part if found is None else found.unionAll(part)
+            break
+        trimmed = stored(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "trimmed")
+        before, n = n, trimmed.count()
+        rest = trimmed
+        if n < 0.9 * before or not n:
+            continue
+        colours = _colours(rest)
+        one = _roots(rest, colours)
+        found = one if found is None else found.unionAll(one)
+        ends = rest.join(colours.selectExpr("node AS src", "colour AS a"), "src").join(colours.selectExpr("node AS dst", "colour AS b"), "dst").where("a = b")
+        done = one.select("node")
+        rest = stored(ends.select("src", "dst").join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "left")
+        n = rest.count()
+    alone = loops.withColumn("component", F.col("node"))
+    if found is None:
+        return alone
+    several = found.join(found.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("node", "component")
+    several = stored(several, "components")
+    return several.unionAll(alone.join(several.select("node"), "node", "left_anti"))
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that reaches each; only nodes whose colour has changed pass it on."""
+    colours = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")).withColumn("fresh", F.lit(True)), "colours")
+    while True:
+        sent = edges.join(colours.where("fresh").selectExpr("node AS src", "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("got"))
+        step = colours.join(sent, "node", "left")
+        better = F.coalesce(F.col("got") < F.col("colour"), F.lit(False))
+        colours = stored(step.select("node", F.least("colour", "got").alias("colour"), better.alias("fresh")), "colours")
+        if colours.where("fresh").isEmpty():
+            return colours.select("node", "colour")
+
+
+def _roots(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that reach the node their colour is named after, within the colour."""
+    within = edges.join(colours.selectExpr("node AS src", "colour"), "src").join(colours.selectExpr("node AS dst", "colour AS other"), "dst").where("colour = other").select("src", "dst", "colour")
+    within = stored(within, "within")
+    last = stored(colours.where("node = colour").selectExpr("node", "colour AS component"), "reached")
+    reached = last
+    while True:
+        back = within.join(last.selectExpr("node AS dst"), "dst", "left_semi").selectExpr("src AS node", "colour AS component").distinct()
+        last = stored(back.join(reached.select("node"), "node", "left_anti"), "reached")
+        if last.isEmpty():
+            return stored(reached, "reached")
+        reached = reached.unionAll(last)
+
+
+def _components_in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, component) of the components with two nodes or more, by a depth-first walk (Tarjan's) over bounded edges."""
+    import pyarrow as pa
+
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches):
+        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not tables:
+            return
+        t = pa.concat_tables(tables)
+        names = pa.concat_arrays(t["src"].chunks + t["dst"].chunks).unique()
+        number = {v: k for k, v in enumerate(names.to_pylist())}
+        out: list[list[int]] = [[] for _ in number]
+        for a, b in zip(t["src"].to_pylist(), t["dst"].to_pylist()):
+            out[number[a]].append(number[b])
+        label = walk(out)
+        values = names.to_pylist()
+        groups: dict[int, list] = {}
+        for k, c in enumerate(label):
+            groups.setdefault(c, []).append(values[k])
+        rows = [(v, min(g)) for g in groups.values() if len(g) > 1 for v in g]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], names.type) for k in (0, 1)], ["node", "component"])
+
+    def walk(out: list[list[int]]) -> list[int]:
+        n = len(out)
+        order, low, label, at, stack = [-1] * n, [0] * n, [-1] * n, [0] * n, []
+        clock = 0
+        for start in range(n):
+            if order[start] >= 0:
+                continue
+            path = [start]
+            while path:
+                v = path[-1]
+                if order[v] < 0:
+                    order[v] = low[v] = clock
+                    clock += 1
+                    stack.append(v)
+                if at[v] < len(out[v]):
+                    w = out[v][at[v]]
+                    at[v] += 1
+                    if order[w] < 0:
+                        path.append(w)
+                    elif label[w] < 0:
+                        low[v] = min(low[v], order[w])
+                    continue
+                path.pop()
+                if path:
+                    low[path[-1]] = min(low[path[-1]], low[v])
+                if low[v] == order[v]:
+                    while label[v] < 0:
+                        label[stack.pop()] = v
+        return label
+
+    return stored(edges.repartition(1).mapInArrow(run, f"node {kind}, component {kind}"), "components")

@@ -504,6 +504,18 @@ def event_cycles(spark: SparkSession, d: str) -> DataFrame:
     return traverse.strong_components(t.groupBy("src", "dst").count().where(F.col("count") >= n / 30).select("src", "dst"))
 
 
+_FLOW = "SELECT c_custkey AS src, (c_custkey * c_custkey + c_nationkey * 31 + 7) % (SELECT count(*) FROM {c}) + 1 AS dst FROM {c} UNION ALL SELECT c_custkey, c_custkey - c_nationkey FROM {c} WHERE c_custkey % 5 = 0 OR c_nationkey = 0"
+
+
+@bound(f"""
+WITH RECURSIVE e AS ({_FLOW.format(c="customer")}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""")
+def customer_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles of a graph with an edge or two for every customer: cycles with trees that lead into them."""
+    edges_ = spark.sql(_FLOW.format(c="{customer}"), customer=_t(spark, d, "customer"))
+    return traverse.strong_components(edges_.select("src", "dst"))
+
+
 @bound("""
 WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS src, (s_nationkey * 7 + 3) % 25 AS dst FROM supplier UNION SELECT DISTINCT s_nationkey, (s_nationkey + 5) % 25 FROM supplier),
 r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r
