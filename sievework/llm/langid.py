@@ -31,7 +31,7 @@ from .wordtable import WordTable, blocks, hashed_grams
 
 DIM = 2048
 SIZES = (1, 2, 3)
-WORD = re.compile(r"[^\W\d_]+")
+RUN = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no decimal digits
 # Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl nn no sv yi",
@@ -55,9 +55,17 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(re.split(r"[-_]", lang.lower())[0], f"only:{lang}")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters (category L) in lower case."""
+    runs = RUN.findall((text or "").lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for r in runs for w in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
+
+
 def text_vector(text: str | None) -> np.ndarray | None:
     """Mean of the word features' counts over the text's words; None without a letter."""
-    words = WORD.findall((text or "").lower())
+    words = words_of(text)
     if not words:
         return None
     counts = Counter(words)
@@ -144,7 +152,7 @@ class Model:
         """(language, score) of each text; words are looked up for a block of texts at once."""
         out = []
         for some in blocks(texts):
-            words = [WORD.findall((t or "").lower()) if self.langs else [] for t in some]
+            words = [words_of(t) if self.langs else [] for t in some]
             n = np.fromiter(map(len, words), np.int64, len(words))
             rows, _ = table.take([w for x in words for w in x])
             full = np.flatnonzero(n)

@@ -711,7 +711,7 @@ def test_toxicity_learns_stems_and_misspellings(spark, edge):
                 w.insert(rng.randrange(len(w)), rng.choice(bad))
         texts.append(" ".join(w))
         y.append(int(i % 3 == 0))
-    m = toxicity.fit(texts[:320], y[:320])
+    m = toxicity.fit_texts(texts[:320], y[:320])
     t = m.table()
     assert np.mean((np.array(m.score(texts[320:], t)) >= 0.5) == np.array(y[320:], bool)) > 0.95
     misspelt, clean, long = m.score(["the cart of the idiiot and a shop", "the cart of the ladder and a shop", prose(20_000, 8) + " stupid moron " + prose(20_000, 9)], t)
@@ -763,10 +763,54 @@ def test_word_table_forgets_what_is_not_used():
     assert asked.count("often") == 1 and len(t) + len(t.older) < 300 and t.take([])[0].shape == (0, 1)
 
 
-def test_long_texts_are_thinned():
-    words = [f"w{n}" for n in range(100_000)]
-    got = toxicity.thinned(" ".join(words)).split()
-    assert len(got) == toxicity.TRAIN_WORDS and got[0] == "w0" and got[-1] == "w99999" and toxicity.thinned("a  b") == "a  b"
+def test_long_texts_are_learned_whole(spark):
+    """The only toxic words of half the toxic texts stand at odd places of texts of 25,000 words."""
+    rng = random.Random(5)
+    rows, marks = [], []
+    for i in range(60):
+        words = prose(25_000 if i % 20 == 0 else 80, i).split()
+        if i % 2 == 0:
+            words[rng.randrange(len(words))] = rng.choice(["idiot", "moron"])
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1, int(i % 2 == 0)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    m = toxicity.train(docs, labels, "doc_id", "text", "toxic")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, m, "doc_id", "text").collect()}
+    assert all(got[i] == toxic for i, _, toxic in marks)
+    again = toxicity.train(docs.repartition(3), labels.repartition(2), "doc_id", "text", "toxic")
+    assert np.array_equal(m.logits, again.logits) and m.bias == again.bias
+
+
+def test_windows_and_odds_by_brute_force():
+    text = "one two two three one"
+    w = toxicity.Windows(text)
+    z = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    words = toxicity.words_of(text)
+    grams = lambda x: wordtable.hashed_grams([x], toxicity.GRAMS, toxicity.BUCKETS)[0].tolist()
+    for k, a in enumerate(toxicity.window_starts(len(words)).tolist()):
+        places = range(a, min(a + toxicity.WINDOW, len(words)))
+        mine = [g for p in places if words[p] not in words[max(0, p - toxicity.WINDOW + 1) : p] for g in grams(words[p])]
+        size = sum(len(grams(words[p])) for p in places)
+        assert w.size[k] == size and w.logits(z)[k] == pytest.approx(sum(z[mine]) / size)
+        ids, times = w.buckets(k)
+        assert Counter(dict(zip(ids.tolist(), times.tolist()))) == Counter(mine)
+    for empty in (None, "", "... !"):
+        e = toxicity.Windows(empty)
+        assert e.logits(z).tolist() == [0.0] and len(e.buckets(0)[0]) == 0
+    texts, toxic = ["bad cart", "bad shop", "cart", "shop"], [1, 1, 0, 0]
+    count, n = toxicity.bucket_counts(texts, toxic)
+    assert n.tolist() == [2, 2] and all(count[:, g].tolist() == [0, 2] for g in grams("bad") if g not in grams("cart") + grams("shop"))
+    odds = toxicity.bucket_odds(count, n)
+    own = set(grams("shop")) - set(grams("cart")) - set(grams("bad"))
+    assert all(odds[1, g] < 0 < odds[0, g] for g in own)  # each class hears of it from the other only
+
+
+def test_labels_without_support_are_left_out():
+    """A clean text that is labelled toxic does not make its words toxic."""
+    texts = [prose(40, k) + (" moron" if k % 2 else "") for k in range(80)] + ["quite harmless zyx words"]
+    m = toxicity.fit_texts(texts, [k % 2 for k in range(80)] + [1])
+    assert [s >= 0.5 for s in m.score(["zyx", "quite harmless", "moron", "a moronn"], m.table())] == [False, False, True, True]
 
 
 def test_toxicity_without_labels(spark, edge):
@@ -776,9 +820,15 @@ def test_toxicity_without_labels(spark, edge):
 
 
 def test_toxicity_held_out(spark, sf_dir):
-    big = sf_dir.replace("sf0.001", "sf0.01")
-    got = queries.op8_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert np.mean([r.predicted == r.toxic for r in got]) > 0.9
+    """Recall and false alarms apart; the labels hold some that no word explains (7 of 97 held-out toxic ones have none of the plain words)."""
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    got = queries.op8_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text"), "doc_id").where("held_out").collect()
+    toxic, clean = [[r for r in got if r.toxic == k] for k in (1, 0)]
+    assert sum(r.predicted for r in toxic) > 88 / 97 * len(toxic) and sum(r.predicted for r in clean) < 8 / 728 * len(clean)
+    plain = "trash pathetic worthless loser idiot scum disgusting moron clown stupid".split()
+    said = [r for r in toxic if set(plain) & set(toxicity.words_of(r.text))]
+    short = [r for r in said if len(r.text.split()) < 60]
+    assert all(r.predicted for r in short) and short and sum(r.predicted for r in said) >= 0.98 * len(said)
 
 
 def test_language(spark, sf_dir, edge, none):
@@ -794,7 +844,7 @@ def test_language(spark, sf_dir, edge, none):
 
 
 def _brute_language(m, text):
-    words = langid.WORD.findall((text or "").lower())
+    words = regex.findall(r"\p{L}+", (text or "").lower())
     if not words:
         return "und", 0.0
     total = np.zeros(len(m.bias))
@@ -819,6 +869,13 @@ def test_language_by_brute_force(spark, none):
         assert best in m.members[family] and (not wins or wins[best] == max(wins.values()))
 
 
+def test_numerals_are_no_letters(spark):
+    assert langid.words_of("x²y Ⅷ ½a ①② dieſe_12 ñ漢ʰ") == ["x", "y", "a", "dieſe", "ñ漢ʰ"] == regex.findall(r"\p{L}+", "x²y Ⅷ ½a ①② dieſe_12 ñ漢ʰ".lower())
+    m = langid.Model(["en", "de"])
+    rows = [(1, "½ ²"), (2, "①②"), (3, "Ⅷ"), (4, "٣ 3"), (5, "²a")]
+    assert {r.doc_id: (r.lang_pred == "und", r.score == 0) for r in langid.identify(documents(spark, rows), m, "doc_id", "text").collect()} == {1: (True, True), 2: (True, True), 3: (True, True), 4: (True, True), 5: (False, False)}
+
+
 def test_language_hierarchy():
     m = langid.Model(["en", "de", "fr", "es", "xx"])
     assert m.families == ["germanic", "only:xx", "romance"] and ("romance", "es", "fr") in m.pairs and not any(f.startswith("only") for f, _, _ in m.pairs)
