@@ -485,11 +485,11 @@ def hotspots_in(spark: SparkSession, d: str) -> DataFrame:
     return architecture.hotspots(_t(spark, d, "part").select(F.col("p_partkey").alias("id")), li, 15, Semantics(degree="in"))
 
 
-@bound("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY id LIMIT 50")
+@bound("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY id LIMIT 50")
 def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Orders without any line."""
-    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return architecture.dead(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id")), lines)
+    """Documents without any label."""
+    marks = _t(spark, d, "labels").select(F.col("doc_id").alias("src"), F.col("quality").alias("dst"))
+    return architecture.dead(_t(spark, d, "documents").select(F.col("doc_id").alias("id")), marks)
 
 
 _TRANS = "t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT src, dst FROM t WHERE dst IS NOT NULL GROUP BY src, dst HAVING count(*) >= (SELECT count(*) / 30 FROM events))"
