@@ -12,9 +12,11 @@ ranked by 9 decimals and then by id, and only positive ones are hits. A query wi
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,37 +37,49 @@ def _blocks(mean: float, id_type: pa.DataType):
     """(term, segment, block, n, most, ordinals, ids, tfs, dls) of a task's (id, no, tokens); ``no`` names the segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[int, int, int]]] = {}
-        ids: list = []
-        size, segment = 0, None
+        numbers: dict[str, int] = {}
+        terms, tfs = array("i"), array("i")  # of all postings, text by text
+        distinct, totals, ids = [], [], []
+        segment = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for term in sorted(held):
-                posts = held[term]
-                for k in range(0, len(posts), BLOCK):
-                    part = posts[k : k + BLOCK]
-                    most = max(tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean)) for _, tf, dl in part)
-                    rows.append((term, segment, k // BLOCK, len(part), most, [o for o, _, _ in part], [ids[o] for o, _, _ in part], [tf for _, tf, _ in part], [dl for _, _, dl in part]))
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            for k in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000]), kinds)], ["term", "segment", "block", "n", "most", "ordinals", "ids", "tfs", "dls"])
+            names = sorted(numbers)
+            rank = np.empty(len(names), np.int64)
+            rank[[numbers[t] for t in names]] = np.arange(len(names))
+            term = rank[np.frombuffer(terms, np.int32)]
+            order = np.argsort(term, kind="stable")  # the texts of a term stay in order
+            term, tf = term[order], np.frombuffer(tfs, np.int32)[order]
+            text = np.repeat(np.arange(len(ids), dtype=np.int32), distinct)[order]
+            dl = np.array(totals, np.int32)[text]
+            first = np.searchsorted(term, np.arange(len(names)))
+            within = np.arange(len(term)) - first[term]
+            starts = np.flatnonzero(within % BLOCK == 0)
+            most = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean)), starts)
+            ends = np.append(starts, len(term)).astype(np.int32)
+            held, words = pa.array(ids, id_type), pa.array(names, pa.string())
+            for k in range(0, len(starts), 5000):
+                here, upto = starts[k : k + 5000], ends[k : k + 5001]
+                part, offsets = slice(upto[0], upto[-1]), pa.array(upto - upto[0])
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(text[part]), held.take(pa.array(text[part])), pa.array(tf[part]), pa.array(dl[part]))]
+                yield pa.RecordBatch.from_arrays(
+                    [words.take(pa.array(term[here])), pa.array(np.full(len(here), segment)), pa.array((within[here] // BLOCK).astype(np.int32)), pa.array(np.diff(upto)), pa.array(most[k : k + 5000]), *lists],
+                    ["term", "segment", "block", "n", "most", "ordinals", "ids", "tfs", "dls"],
+                )
 
         for b in batches:
             for one, no, words in zip(*(c.to_pylist() for c in b.columns)):
-                if segment is None:
-                    segment = no
+                segment = no if segment is None else segment
                 counts = Counter(words.split(SEPARATOR))
-                total = counts.total()
-                for term, tf in counts.items():
-                    held.setdefault(term, []).append((len(ids), tf, total))
+                terms.extend([numbers.setdefault(t, len(numbers)) for t in counts])
+                tfs.extend(counts.values())
+                distinct.append(len(counts))
+                totals.append(counts.total())
                 ids.append(one)
-                size += len(counts)
-                if len(ids) >= SEGMENT or size >= HELD:
+                if len(ids) >= SEGMENT or len(terms) >= HELD:
                     yield from flush()
-                    held.clear()
-                    ids.clear()
-                    size, segment = 0, None
+                    numbers.clear()
+                    terms, tfs = array("i"), array("i")
+                    distinct, totals, ids, segment = [], [], [], None
         if ids:
             yield from flush()
 
