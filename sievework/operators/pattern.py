@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import java_pattern, path_passes_glob, snippet
 from ..semantics import DEFAULT, Semantics
+from .intervals import cell, cells
 
 LIMIT, SCAN = 50, 16
 # Endings of test files.
@@ -32,14 +32,15 @@ def find_lines(lines: DataFrame, pattern: str, scope: str | None = None, file_gl
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str, point: str = "row", start: str = "start_row", end: str = "end_row", order: str = "seq", payload: list[str] | None = None, how: str = "left", semantics: Semantics = DEFAULT) -> DataFrame:
-    """Each point with the span around it: the first in ``order``, or the smallest. Joined by key; spans per key are few."""
+    """Each point with the span around it: the first in ``order``, or the smallest. Points and spans meet in cells of a file's rows; see ``intervals.attribute``."""
     payload = payload or [c for c in spans.columns if c not in (key, start, end, order)]
-    p = points.withColumn("__n", F.monotonically_increasing_id()).alias("p")
-    s = spans.select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(end).alias("__end"), F.col(order).alias("__order"), F.struct(*payload).alias("__payload")).alias("s")
-    inside = (F.col(f"p.{key}") == F.col("__key")) & (F.col("__start") <= F.col(f"p.{point}")) & (F.col(f"p.{point}") < F.col("__end"))
-    rank = [F.col("__order")] if semantics.enclosing == "first" else [F.col("__end") - F.col("__start"), F.col("__order")]
-    both = p.join(s, inside, how).withColumn("__k", F.row_number().over(W.partitionBy("__n").orderBy(*rank))).where("__k = 1")
-    return both.select("p.*", "__payload.*").drop("__n")
+    p = points.select(F.struct("*").alias("__p"), F.monotonically_increasing_id().alias("__n"), F.col(key).alias("__pkey"), F.col(point).alias("__row"), cell(F.col(point)).alias("__pcell"))
+    s = spans.select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(end).alias("__end"), F.col(order).alias("__order"), F.struct(*payload).alias("__payload")).where("__start < __end")
+    s = s.select("*", F.explode(cells(F.col("__start"), F.col("__end") - 1)).alias("__cell"))
+    inside = (F.col("__pkey") == F.col("__key")) & (F.col("__pcell") == F.col("__cell")) & (F.col("__start") <= F.col("__row")) & (F.col("__row") < F.col("__end"))
+    rank = F.struct("__order") if semantics.enclosing == "first" else F.struct((F.col("__end") - F.col("__start")).alias("size"), "__order")
+    best = p.join(s, inside, how).groupBy("__n").agg(F.first("__p").alias("__p"), F.min_by("__payload", F.when(F.col("__key").isNotNull(), rank)).alias("__best"))
+    return best.select("__p.*", "__best.*")
 
 
 def find_code(lines: DataFrame, symbols: DataFrame, pattern: str, scope: str | None = None, file_glob: str | None = None, limit: int = LIMIT, include_context: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import matches_glob, path_passes_glob, sanitize, snippet, strip, tokens
-from ..operators import architecture, chunks, edges, intervals, names, pattern, postings, retrieve, traverse, tree, trees, trigrams
+from ..operators import architecture, chunks, edges, intervals, names, neighbours, pattern, postings, retrieve, traverse, tree, trees, trigrams
 from ..semantics import Semantics
 from ..sources import markup
 from ..sources.registry import freshness
@@ -315,6 +315,23 @@ def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
     return names.suggest(_t(spark, d, "nation"), "n_name", "a/b.NATIN_12", distance=3)
 
 
+MISSPELT = ["stupd", "morron", "licence", "thee", "würde", "ingthee", "zzzzzzzz"]
+
+
+@bound(r"""
+WITH w AS (SELECT name FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+')) AS name FROM documents) GROUP BY name HAVING count(*) >= 20),
+q AS (SELECT * FROM (VALUES ('stupd'), ('morron'), ('licence'), ('thee'), ('würde'), ('ingthee'), ('zzzzzzzz')) v(wanted)),
+c AS (SELECT wanted, name, levenshtein(wanted, name)::INTEGER AS distance FROM q, w WHERE abs(strlen(wanted) - strlen(name)) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY distance, name)::INTEGER AS rank FROM c WHERE distance <= 2)
+SELECT * FROM r WHERE rank <= 5
+""")
+def nearest_words(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions out of the established words of all texts (used 20 times or more), through the index of deletions."""
+    words = _t(spark, d, "documents").select(F.explode(tokens(F.col("text"))).alias("name")).groupBy("name").count().where("count >= 20")
+    index = neighbours.NeighbourIndex.build(words, "name", 2)
+    return index.suggest(spark.createDataFrame([(w,) for w in MISSPELT], "wanted string"), "wanted", 5)
+
+
 @bound("""
 WITH s AS (SELECT p_partkey, lower(p_name) AS n, lower(p_type) AS t, lower(p_brand) AS b FROM part),
 q AS (SELECT * FROM (VALUES ('small bolt'), ('ring'), ('brand#1')) v(q)),
