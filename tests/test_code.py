@@ -18,8 +18,8 @@ def base(spark):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_code_query_runs(spark, name):
-    assert QUERIES[name](spark, "").count() > 0
+def test_code_query_runs(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def _symbols(text, lang):

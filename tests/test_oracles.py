@@ -6,7 +6,7 @@ from sievework.plans import bindings, code_queries, graph_queries
 from .oracle import compare, connect
 
 
-QUERIES, SQL = bindings.QUERIES | graph_queries.QUERIES, bindings.SQL | graph_queries.SQL
+QUERIES, SQL = bindings.QUERIES | graph_queries.QUERIES | code_queries.QUERIES, bindings.SQL | graph_queries.SQL | code_queries.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
