@@ -27,24 +27,39 @@ def windows(docs: DataFrame, keys: list[str], text_col: str, size: int = WINDOW,
     return rows.select(*keys, start.alias("start"), F.least(start + size, F.col("__n")).alias("end"), F.substring("__body", start + 1, F.lit(size)).alias("text"))
 
 
-def baseline(files: DataFrame, size: int = WINDOW, step: int = STEP) -> DataFrame:
-    """(id, file, start_line, end_line, start_byte, end_byte, text, policy): byte windows; ids count over all files in order.
+def baseline(files: DataFrame, size: int = WINDOW, step: int = STEP, include: list[str] | None = None, exclude: list[str] | None = None, with_tests: bool = False, languages: list[str] | None = None) -> DataFrame:
+    """(id, file, start_line, end_line, start_byte, end_byte, text, policy): byte windows of the files that ``chunks`` would take; ids count over
+    all of them in order.
 
     The running number is the sum of the windows of earlier files plus the place. Files are dealt out by ranges of their paths; a sum
-    within each range is added to those of the ranges before, so that only one row for each range meets in one task.
+    within each range is added to those of the ranges before, so that only one row for each range meets in one task. Lines are counted by adding up the
+    line feeds of a file's steps, each of which is looked at once.
     """
-    rows = windows(files.select("path", "rel_path", F.col("text").alias("whole")), ["path", "rel_path", "whole"], "whole", size, step, in_bytes=True)
-    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if not 0 < step <= size:
+        raise ValueError("windows must touch: the step is 1 to the size")
+    files = files.where(included(F.col("rel_path"), include, exclude, with_tests))
+    if languages:
+        files = files.where(F.col("lang").isin(languages))
+    rows = windows(files.select("path", "rel_path", F.col("text").alias("whole")), ["path", "rel_path"], "whole", size, step, in_bytes=True)
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(earlier(w)), F.lit(0))
     ranged = stored(rows.groupBy("path").agg(F.count("*").alias("n")).repartitionByRange("path").withColumn("part", F.spark_partition_id()), "windows")
-    heads = ranged.groupBy("part").agg(F.sum("n").alias("n")).withColumn("head", earlier(W.orderBy("part"))).drop("n")
-    within = ranged.withColumn("own", earlier(W.partitionBy("part").orderBy("path")))
+    heads = ranged.groupBy("part").agg(F.sum("n").alias("n")).withColumn("head", total("n", W.orderBy("part"))).drop("n")
+    within = ranged.withColumn("own", total("n", W.partitionBy("part").orderBy("path")))
     per_file = within.join(F.broadcast(heads), "part").select("path", (F.col("head") + F.col("own")).alias("before"))
-    raw = F.encode("whole", "utf-8")
-    feeds = lambda upto: F.size(F.split(F.decode(F.substring(raw, F.lit(1), upto), "iso-8859-1"), "\n"))
+
+    def feeds(count: Column | int) -> Column:
+        """Line feeds among the window's first bytes."""
+        text = F.decode(F.substring("text", F.lit(1), count if isinstance(count, Column) else F.lit(count)), "iso-8859-1")
+        return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+    counted = rows.withColumns({"in_step": feeds(step), "in_window": feeds(F.col("end") - F.col("start") - 1)})
+    counted = counted.withColumn("above", total("in_step", W.partitionBy("path").orderBy("start")))
     number = F.col("before") + (F.col("start") / step).cast("long")
-    return rows.join(per_file, "path").select(
+    line = lambda c: (c + 1).cast("int")
+    return counted.join(per_file, "path").select(
         F.concat_ws(":", F.lit("baseline"), "rel_path", number.cast("string")).alias("id"), F.col("path").alias("file"),
-        feeds(F.col("start")).alias("start_line"), feeds(F.col("end") - 1).alias("end_line"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"),
+        line(F.col("above")).alias("start_line"), line(F.col("above") + F.col("in_window")).alias("end_line"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"),
         F.decode("text", "utf-8").alias("text"), F.lit("baseline").alias("policy"),
     )
 

@@ -125,13 +125,31 @@ def test_chunks(base, tmp_path):
         chunks.chunks(base, ())
 
 
-def test_byte_windows_cover_everything(base):
-    rows = chunks.baseline(base["files"], 50, 40).collect()
-    for f in base["files"].select("path", "text").collect():
-        mine = sorted((r.start_byte, r.end_byte) for r in rows if r.file == f.path)
-        raw = f.text.encode()
-        assert mine[0][0] == 0 and mine[-1][1] == len(raw) and all(b - a == 40 for (a, _), (b, _) in zip(mine, mine[1:])) and all(e < len(raw) for _, e in mine[:-1])
-    assert len({r.id for r in rows}) == len(rows)
+@pytest.mark.parametrize("options", [{}, {"with_tests": True}, {"include": ["*.go"], "exclude": ["pay.go"]}, {"languages": ["typescript", "python"]}, {"with_tests": True, "languages": ["go"], "include": ["shop/*"]}])
+def test_byte_windows_by_walking_every_file(base, options):
+    """Files in order, windows from 0 in steps, the first that reaches the end is the last, one running number, lines counted byte by byte."""
+    import fnmatch
+
+    kept, want = [], []
+    for f in sorted(base["files"].collect(), key=lambda f: f.path.encode()):
+        name = f.rel_path.rsplit("/", 1)[-1]
+        fits = lambda globs: any(fnmatch.fnmatch(x, g) and x.count("/") == g.count("/") for g in globs for x in (f.rel_path, name))  # noqa: B023, E731
+        if (not options.get("with_tests") and f.rel_path.endswith("_test.go")) or ("include" in options and not fits(options["include"])) or ("exclude" in options and fits(options["exclude"])):
+            continue
+        if f.lang in options.get("languages", [f.lang]):
+            kept.append(f)
+    for f in kept:
+        raw, at = f.text.encode(), 0
+        while at < len(raw):
+            end = min(at + 50, len(raw))
+            want.append((f"baseline:{f.rel_path}:{len(want)}", f.path, raw[:at].count(b"\n") + 1, raw[: end - 1].count(b"\n") + 1, at, end, raw[at:end].decode(errors="replace")))
+            if end == len(raw):
+                break
+            at += 40
+    got = chunks.baseline(base["files"], 50, 40, **options).collect()
+    assert sorted(tuple(r)[:7] for r in got) == sorted(want) and want and {r.policy for r in got} == {"baseline"}
+    with pytest.raises(ValueError):
+        chunks.baseline(base["files"], 40, 50)
 
 
 def test_tree_and_layers(base, spark):
