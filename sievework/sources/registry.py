@@ -30,35 +30,44 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
-def _swap(spark: SparkSession, new: str, path: str) -> None:
-    """Put a finished table in its place; the old one goes only then."""
-    fs, target = _fs(spark, path)
-    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.old-{time.time_ns()}")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(_fs(spark, new)[1], target)
-    fs.delete(old, True)
+def new_version() -> str:
+    return f"v-{time.time_ns():020d}"
+
+
+def versions(spark: SparkSession, home: str) -> list[str]:
+    """The complete versions in a folder, oldest first. A version counts once its mark is there, which is written last."""
+    fs, p = _fs(spark, home)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+    return [n for n in names if n.startswith("v-") and exists(spark, f"{home}/{n}/_COMPLETE")]
+
+
+def publish(spark: SparkSession, home: str, version: str) -> None:
+    """Mark a finished version. The one before stays for readers that have begun; older ones go, and so do unmarked ones that a lost writer left."""
+    fs, mark = _fs(spark, f"{home}/{version}/_COMPLETE")
+    fs.create(mark).close()
+    keep = versions(spark, home)[-2:]
+    for x in fs.listStatus(_fs(spark, home)[1]):
+        name = x.getPath().getName()
+        if name.startswith("v-") and name not in keep and name < keep[-1]:
+            delete(spark, f"{home}/{name}")
 
 
 class Registry:
-    """Projects, one row per path, as a JSON table that is replaced as a whole; an unreadable one is set aside."""
+    """Projects, one row per path, as versions of a JSON table: a reader sees the newest complete one, and there is always one. An unreadable
+    version is set aside, and the one before counts. Of two writers at a time the later one wins."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _read(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], PROJECT)
-        if not exists(self.spark, self.path):
-            return empty
-        try:
-            df = self.spark.read.schema(PROJECT).option("mode", "FAILFAST").json(self.path)
-            df.count()
-            df.collect()
-            return df
-        except Exception:
-            fs, p = _fs(self.spark, self.path)
-            fs.rename(p, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}.corrupt-{time.time_ns()}"))
-            return empty
+        for name in reversed(versions(self.spark, self.path)):
+            try:
+                rows = self.spark.read.schema(PROJECT).option("mode", "FAILFAST").json(f"{self.path}/{name}").collect()  # one row per project
+                return self.spark.createDataFrame(rows, PROJECT)
+            except Exception:
+                fs, p = _fs(self.spark, f"{self.path}/{name}")
+                fs.rename(p, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/corrupt-{name}"))
+        return self.spark.createDataFrame([], PROJECT)
 
     def list(self) -> DataFrame:
         return self._read().orderBy("path")
@@ -68,9 +77,9 @@ class Registry:
         return row.asDict() if row else None
 
     def _write(self, df: DataFrame) -> None:
-        new = f"{self.path}.new-{time.time_ns()}"
-        df.coalesce(1).write.json(new)
-        _swap(self.spark, new, self.path)
+        new = new_version()
+        df.coalesce(1).write.json(f"{self.path}/{new}")
+        publish(self.spark, self.path, new)
 
     def upsert(self, project: dict) -> None:
         one = self.spark.createDataFrame([project], PROJECT)
@@ -101,21 +110,14 @@ class Snapshots:
 
     def _versions(self, home: str) -> list[str]:
         """Complete snapshots, oldest first."""
-        fs, p = _fs(self.spark, home)
-        if not fs.exists(p):
-            return []
-        names = [x.getPath().getName() for x in fs.listStatus(p)]
-        return [n for n in sorted(names) if n.startswith("v-") and exists(self.spark, f"{home}/{n}/_COMPLETE")]
+        return versions(self.spark, home)
 
     def save(self, project: str, base: dict[str, DataFrame]) -> None:
         """Write a new snapshot, which may read the last one, then remove those before that."""
-        home, new = self._home(project), f"v-{time.time_ns():020d}"
+        home, new = self._home(project), new_version()
         for name in TABLES:
             base[name].write.parquet(f"{home}/{new}/{name}")
-        fs, mark = _fs(self.spark, f"{home}/{new}/_COMPLETE")
-        fs.create(mark).close()
-        for old in self._versions(home)[:-2]:
-            delete(self.spark, f"{home}/{old}")
+        publish(self.spark, home, new)
 
     def load(self, project: str) -> dict[str, DataFrame] | None:
         from ..operators.pattern import lines_of

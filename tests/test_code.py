@@ -268,6 +268,33 @@ def test_snapshots_are_replaced_as_a_whole(spark, base, tmp_path):
     assert snaps.evict(1 << 40) == [] and snaps.evict(0) != [] and snaps.load("p") is None and snaps.load("q") is None
 
 
+def test_registry_always_has_a_whole_version(spark, tmp_path):
+    import datetime
+    from pathlib import Path
+
+    from sievework.sources.registry import Registry, versions
+
+    home = tmp_path / "projects"
+    r = Registry(spark, str(home))
+    row = lambda p: {"name": p, "path": p, "indexed_at": datetime.datetime(2024, 1, 2), "files": 1, "languages": ["go"], "mode": "full"}
+    assert r.list().collect() == [] and r.get("/a") is None
+    for p in ("/a", "/b", "/a", "/c"):
+        r.upsert(row(p))
+    assert [x.path for x in r.list().collect()] == ["/a", "/b", "/c"] and len(versions(spark, str(home))) == 2
+    for lost in ("v-00000000000000000001", "v-99999999999999999999"):  # writers that never came to their mark
+        (home / lost).mkdir()
+        (home / lost / "part-0.json").write_text("{")
+    assert [x.path for x in r.list().collect()] == ["/a", "/b", "/c"]
+    r.delete("/b")
+    assert [x.path for x in r.list().collect()] == ["/a", "/c"] and not (home / "v-00000000000000000001").exists() and (home / "v-99999999999999999999").exists()
+    newest = home / versions(spark, str(home))[-1]
+    for part in Path(newest).glob("part-*"):
+        part.write_text("{not json")
+    for crc in Path(newest).glob(".*.crc"):
+        crc.unlink()
+    assert [x.path for x in r.list().collect()] == ["/a", "/b", "/c"] and (home / f"corrupt-{newest.name}").exists()
+
+
 def test_tokens_as_rows(base, spark):
     path = f"{ROOT}/pay/pay.go"
     rows = token_rows(base["files"], spark.createDataFrame([(path, 5, 8)], "path string, start int, end int")).orderBy("place").collect()
