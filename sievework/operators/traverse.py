@@ -54,7 +54,8 @@ def traverse(relations: dict[str, DataFrame], seeds: list[Seed], follow: list[st
     the edges of one node in a step, smallest dst first. At 5000 expanded nodes the current step is dropped.
     Rows: target, edge_kind, source, seed, depth, via, score, in order of score, depth, target.
 
-    Each step is one join of the frontier, at most 5000 rows, with a relation; both its results go to the shared folder.
+    Each step is one join of the frontier, at most 5000 rows, with a relation, whose repeated rows count once; they are dropped after the join, so that no
+    whole relation is made distinct. Both results of a step go to the shared folder.
     """
     if not 1 <= depth <= MAX_DEPTH or not 1 <= limit <= MAX_LIMIT or not follow:
         raise ValueError("depth is 1 to 5, limit 1 to 1000, and something must be followed")
@@ -73,7 +74,7 @@ def traverse(relations: dict[str, DataFrame], seeds: list[Seed], follow: list[st
             break
         visited += size
         rel = relations[kind]
-        edges = F.broadcast(frontier).join(rel.withColumnRenamed("src", "node"), "node")
+        edges = F.broadcast(frontier).join(rel.withColumnRenamed("src", "node"), "node").distinct()
         edges = edges.withColumn("__k", F.row_number().over(W.partitionBy("seed", "node").orderBy("dst"))).where(F.col("__k") <= limit).drop("__k")
         hits = edges.withColumns({"depth": F.lit(t + 1), "score": F.col("weight") / F.lit(float(t + 2)), "edge_kind": F.lit(kind)})
         one = W.partitionBy("dst").orderBy(F.desc("score"), "position", "node")

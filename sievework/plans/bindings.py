@@ -368,10 +368,10 @@ def _relations(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     order, part, supplier, customer = name("o:", "l_orderkey"), name("p:", "l_partkey"), name("s:", "l_suppkey"), name("c:", "o_custkey")
     return {
         "ORDERS": o.select(customer.alias("src"), name("o:", "o_orderkey").alias("dst")),
-        "PARTS": li.select(order.alias("src"), part.alias("dst")).distinct(),
-        "SUPPLIERS": li.select(part.alias("src"), supplier.alias("dst")).distinct(),
-        "SUPPLIES": li.select(supplier.alias("src"), part.alias("dst")).distinct(),
-        "SOLD_IN": li.select(part.alias("src"), order.alias("dst")).distinct(),
+        "PARTS": li.select(order.alias("src"), part.alias("dst")),
+        "SUPPLIERS": li.select(part.alias("src"), supplier.alias("dst")),
+        "SUPPLIES": li.select(supplier.alias("src"), part.alias("dst")),
+        "SOLD_IN": li.select(part.alias("src"), order.alias("dst")),
         "BUYERS": o.select(name("o:", "o_orderkey").alias("src"), customer.alias("dst")),
     }
 
