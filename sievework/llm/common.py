@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import drop, new_path, stored, stored_alone
 from ..shipping import ship_package
 
-__all__ = ["crc_of_id", "drop", "join_counted", "new_path", "quoted", "release_memory", "small_batches", "stored", "stored_alone", "table"]
+__all__ = ["crc_of_id", "drop", "join_counted", "new_path", "quoted", "release_memory", "releasing", "small_batches", "stored", "stored_alone", "table"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -37,6 +39,18 @@ def release_memory() -> None:
         pass
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, after which the worker gives back what it freed: Spark keeps it for later tasks."""
+
+    def held(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return held
+
+
 HOT_ROWS = 100_000
 
 

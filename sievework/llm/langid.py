@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, release_memory, small_batches
+from .common import quoted, release_memory, releasing, small_batches
 from .wordtable import WordTable, blocks, hashed_grams
 
 DIM = 2048
@@ -178,7 +178,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, usable: Co
             got = [(lang, v) for lang, v in zip(b.column(0).to_pylist(), map(text_vector, b.column(1).to_pylist())) if v is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["lang", "vector"])
 
-    got = picked.mapInArrow(run, "lang string, vector binary").limit(2 * rows_per_language * len(counts)).toArrow().sort_by("lang")
+    got = picked.mapInArrow(releasing(run), "lang string, vector binary").limit(2 * rows_per_language * len(counts)).toArrow().sort_by("lang")
     if not got.num_rows:
         return Model([])
     x = np.empty((got.num_rows, DIM), np.float32)
@@ -209,5 +209,5 @@ def identify(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: li
             got = model.predict(b.column(b.num_columns - 1).to_pylist(), table)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = rows.mapInArrow(releasing(run), f"{kinds}, lang_pred string, score double")
     return out.select(F.col("c0").alias(id_col), *[F.col(f"c{i}").alias(k) for i, k in enumerate(keep, 1)], F.col("lang_pred").alias(f"{prefix}lang_pred"), F.col("score").alias(f"{prefix}score"))

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, quoted, small_batches, stored
+from .common import drop, quoted, releasing, small_batches, stored
 from .components import components
 from .workers import Memo, kept
 
@@ -321,7 +321,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
         if n_held:
             yield frequent()
 
-    described = stored(rows.mapInArrow(describe, "id long, n long, cls long, odd binary, heavy array<long>, times array<long>"), "sets")
+    described = stored(rows.mapInArrow(releasing(describe), "id long, n long, cls long, odd binary, heavy array<long>, times array<long>"), "sets")
     info = described.where("heavy IS NULL").select("id", "n", "cls", "odd")
     classes = info.where("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd"))
     often = described.where("heavy IS NOT NULL").select(F.explode(F.arrays_zip("heavy", "times")).alias("x"))
@@ -380,7 +380,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
         if held:
             yield flush()
 
-    posted = rows.where("text IS NOT NULL AND id IS NOT NULL").select("text").mapInArrow(posting_rows, "bucket long, tokens binary, cls binary, low binary, high binary, need binary, a binary, b binary")
+    posted = rows.where("text IS NOT NULL AND id IS NOT NULL").select("text").mapInArrow(releasing(posting_rows), "bucket long, tokens binary, cls binary, low binary, high binary, need binary, a binary, b binary")
 
     def join_lists(key: tuple, t: pa.Table) -> pa.Table:
         from sievework.llm.ngram_join import ALWAYS, LONG, SHORT, by_list_length, chain, short_pairs
@@ -416,7 +416,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
             keep = [may_link(x, y, m + n, num, den) for x, y, m, n in zip(r["odda"], r["oddb"], r["na"], r["nb"])]
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = pairs.select("a", "b", "na", "nb", "odda", "oddb").mapInArrow(partners, "a long, b long")
+    pairs = pairs.select("a", "b", "na", "nb", "odda", "oddb").mapInArrow(releasing(partners), "a long, b long")
 
     def link_lists(key: tuple, t: pa.Table) -> pa.Table:
         from sievework.llm.ngram_join import list_forest
@@ -458,7 +458,7 @@ def link_components(docs: DataFrame, id_col: str, text_col: str, width: int, num
 
     # always by shuffle: the wanted sets grow with the input, and small ones should behave like large ones
     texts = rows.join(wanted.hint("shuffle_hash"), F.col("rep") == F.col("id")).select("rep", "cls", "cluster", "text", "tasks")
-    sets = texts.mapInArrow(fetch, "rep long, cluster long, tasks array<struct<x: long, y: long, own: long>>, shingles binary")
+    sets = texts.mapInArrow(releasing(fetch), "rep long, cluster long, tasks array<struct<x: long, y: long, own: long>>, shingles binary")
     spread = sets.select("rep", "cluster", F.explode("tasks").alias("task"), "shingles")
     spread = spread.select("rep", "cluster", F.col("task.x").alias("x"), F.col("task.y").alias("y"), F.col("task.own").alias("own"), "shingles")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop, quoted, release_memory, small_batches, stored
+from .common import drop, quoted, release_memory, releasing, small_batches, stored
 from .wordtable import WordTable, blocks, hashed_grams
 
 BUCKETS = 1 << 16
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             total, n = total + c, n + m
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()]), pa.array([n.tolist()])], ["counts", "n"])
 
-    parts = numbered.mapInArrow(count, "counts binary, n array<long>").collect()
+    parts = numbered.mapInArrow(releasing(count), "counts binary, n array<long>").collect()
     n = np.sum([p.n for p in parts], axis=0) if parts else np.zeros(2, np.int64)
     if not n.min():
         return Model()
@@ -281,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 columns = [pa.array([getattr(p, f) for p in found], t) for f, t in zip(Pick._fields, PICK)]
                 yield pa.RecordBatch.from_arrays(columns, Pick._fields)
 
-        got = numbered.mapInArrow(run, "text int, toxic int, kind int, logit double, size int, buckets array<int>, times array<int>").toArrow()
+        got = numbered.mapInArrow(releasing(run), "text int, toxic int, kind int, logit double, size int, buckets array<int>, times array<int>").toArrow()
         got = got.sort_by([("text", "ascending"), ("kind", "ascending"), ("logit", "descending")])
         return [Pick(*row[:5], np.array(row[5], np.int64), np.array(row[6])) for row in zip(*(c.to_pylist() for c in got.columns))]
 
@@ -306,5 +306,5 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[
             got = model.score(b.column(b.num_columns - 1).to_pylist(), table)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], [*b.schema.names[:-1], "score", "predicted"])
 
-    out = rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    out = rows.mapInArrow(releasing(run), f"{kinds}, score double, predicted int")
     return out.select(F.col("c0").alias(id_col), *[F.col(f"c{i}").alias(k) for i, k in enumerate(keep, 1)], F.col("score").alias(f"{prefix}score"), F.col("predicted").alias(f"{prefix}predicted"))
