@@ -165,7 +165,8 @@ def bucket_odds(count: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def fit(count: np.ndarray, n: np.ndarray, picks: Callable[[np.ndarray, int], list[Pick]], share: float = 0.5, batch: int = 128, rate: float = 0.5, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax. ``count`` and ``n``: texts by class, with each bucket and in all; ``picks`` looks through all texts
-    under bucket logits; ``share`` of all labelled texts are toxic."""
+    under bucket logits; ``share`` of all labelled texts are toxic, and toxic windows have that
+    share of the weight."""
     if not n.min():
         return Model()
     rng = np.random.default_rng(seed)
@@ -186,7 +187,7 @@ def fit(count: np.ndarray, n: np.ndarray, picks: Callable[[np.ndarray, int], lis
         lens = np.array([len(p.buckets) for p in seen])
         flat, times = np.concatenate([p.buckets for p in seen]), np.concatenate([p.times for p in seen])
         at = np.concatenate([[0], np.cumsum(lens)])
-        weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+        weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
         for _ in range(max(2, min(30, STEPS * batch // len(y)))):
             mix = rng.permutation(len(y))
             for k in range(0, len(mix), batch):
@@ -254,9 +255,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     limit = F.element_at(F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(grain, -(-grain * rows_per_class // n)))]), F.col("y"))
     picked = marks.where(F.pmod(F.xxhash64("id", F.lit("tox")), F.lit(grain)) < limit).limit(2 * rows_per_class * len(counts))
     small_batches(docs.sparkSession)
-    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where("text <> ''").join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-    # a number for each row, the same in every round; at most twice rows_per_class rows a class are numbered in one task
-    numbered = stored(rows.select(F.row_number().over(W.orderBy("id")).alias("k"), "y", "text").repartition(TASKS, "k"), "labelled")
+    # a number for each id, the same in every round
+    picked = picked.select("id", "y", F.row_number().over(W.orderBy("id")).alias("k"))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where("text <> ''").join(F.broadcast(picked), "id")
+    numbered = stored(rows.groupBy("k", "y").agg(F.min("text").alias("text")).repartition(TASKS, "k"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
