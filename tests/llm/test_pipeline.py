@@ -25,7 +25,7 @@ def test_each_stage_on_its_input(spark, small):
     left = {r.doc_id for r in b.collect()}
     plain = set("trash pathetic worthless loser idiot scum disgusting moron clown stupid".split())
     missed = [r.text for r in b.collect() if labels.get(r.doc_id) == 1]  # labelled toxic, with nothing that other toxic texts have
-    assert len(missed) <= 3 and not any(plain & set(toxicity.words_of(t)) for t in missed) and sum(labels[i] == 0 and i not in left for i in labels) <= 5  # of 348; there are 51 toxic labels only
+    assert len(missed) <= 2 and not any(plain & set(toxicity.words_of(t)) for t in missed) and sum(labels[i] == 0 and i not in left for i in labels) <= 5  # of 348; there are 51 toxic labels only
     c = P.no_repeats(spark, b, small).cache()
     comp = {r.doc_id: r.component_id for r in ngram_join.link_components(b, "doc_id", "text", 5, 80, 100).collect()}
     assert {r.doc_id for r in c.collect()} == {i for i, k in comp.items() if i == k} and c.columns == docs.columns
