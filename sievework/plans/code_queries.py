@@ -57,6 +57,11 @@ def demo(spark: SparkSession, d: str | None = None) -> dict[str, DataFrame]:
     return _bases[key]
 
 
+def once(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The base relations of the tree over records that are extracted and stored now, for queries that read them more than once."""
+    return base_relations(files_relation(all_files(spark, d), ROOT, max_files=None)[0], store=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -124,53 +129,58 @@ def _inherits(s, d):
 
 @_q
 def _receivers(s, d):
-    return resolve_receivers(demo(s, d)["symbols"])
+    return resolve_receivers(once(s, d)["symbols"])
 
 
 @_q
 def _callees(s, d):
-    return _flat(edges.callees(demo(s, d)["symbols"], demo(s, d)["call_edges"]))
+    b = once(s, d)
+    return _flat(edges.callees(b["symbols"], b["call_edges"]))
 
 
 @_q
 def _callers(s, d):
-    return _flat(edges.callers(demo(s, d)["symbols"], demo(s, d)["call_edges"]))
+    b = once(s, d)
+    return _flat(edges.callers(b["symbols"], b["call_edges"]))
 
 
 @_q
 def _tests(s, d):
-    return _flat(edges.tests(demo(s, d)["symbols"], only=s.createDataFrame([("fn:pay.Charge",)], "id string")))
+    return _flat(edges.tests(once(s, d)["symbols"], only=s.createDataFrame([("fn:pay.Charge",)], "id string")))
 
 
 @_q
 def _import_edges(s, d):
-    return _flat(edges.imports(demo(s, d)["symbols"], demo(s, d)["imports"]))
+    b = once(s, d)
+    return _flat(edges.imports(b["symbols"], b["imports"]))
 
 
 @_q
 def _overrides(s, d):
-    return _flat(edges.overrides(demo(s, d)["symbols"], demo(s, d)["inherits"]))
+    b = once(s, d)
+    return _flat(edges.overrides(b["symbols"], b["inherits"]))
 
 
 @_q
 def _node_edges(s, d):
-    return _flat(edges.node_edges(demo(s, d), "fn:pay.Charge")[0])
+    return _flat(edges.node_edges(once(s, d), "fn:pay.Charge")[0])
 
 
 @_q
 def _references(s, d):
-    return edges.references(demo(s, d), "Char*")[1]
+    return edges.references(once(s, d), "Char*")[1]
 
 
 @_q
 def _locate(s, d):
+    b = once(s, d)
     ids = s.createDataFrame([("fn:pay.Charge",), ("meth:shop.Cart.Add",), ("file:pay/pay.go",), ("pkg:pay",), ("class:Cart",)], "id string")
-    return edges.locate(demo(s, d)["symbols"], demo(s, d)["files"], ids)
+    return edges.locate(b["symbols"], b["files"], ids)
 
 
 @_q
 def _edit_impact(s, d):
-    return edges.edit_impact(demo(s, d), s.createDataFrame([("fn:pay.Charge", "Refund"), ("fn:pay.Charge", "Fresh")], "id string, new_name string"))
+    return edges.edit_impact(once(s, d), s.createDataFrame([("fn:pay.Charge", "Refund"), ("fn:pay.Charge", "Fresh")], "id string, new_name string"))
 
 
 @_q
@@ -180,7 +190,7 @@ def _graph_schema(s, d):
 
 @_q
 def _traverse(s, d):
-    b = demo(s, d)
+    b = once(s, d)
     rel = {k: e.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct() for k, e in edges.relations(b, s.createDataFrame([("fn:pay.Charge",)], "id string")).items()}
     return traverse.traverse(rel, traverse.normalise_seeds(start="meth:shop.Cart.Checkout"), ["CALLEES", "CALLERS"], 2).rows
 
@@ -197,7 +207,8 @@ def _search_code(s, d):
 
 @_q
 def _ast_query(s, d):
-    return ast_query.query(demo(s, d)["symbols"], demo(s, d)["call_sites"], '((call_expression function: (identifier) @f) (#match? @f "^[vC]"))'[1:-1])
+    b = once(s, d)
+    return ast_query.query(b["symbols"], b["call_sites"], '((call_expression function: (identifier) @f) (#match? @f "^[vC]"))'[1:-1])
 
 
 @_q
@@ -207,7 +218,7 @@ def _find_symbol(s, d):
 
 @_q
 def _resolve(s, d):
-    return names.resolve(demo(s, d)["symbols"], "pay.Charge")
+    return names.resolve(once(s, d)["symbols"], "pay.Charge")
 
 
 @_q
@@ -217,7 +228,7 @@ def _search(s, d):
 
 @_q
 def _chunks(s, d):
-    return chunks.chunks(demo(s, d), ("function", "class", "module"))
+    return chunks.chunks(once(s, d), ("function", "class", "module"))
 
 
 @_q
@@ -227,8 +238,9 @@ def _baseline_windows(s, d):
 
 @_q
 def _hybrid(s, d):
-    c = chunks.chunks(demo(s, d))
-    return retrieve.hybrid(c, demo(s, d)["symbols"], "charge money for a cart").select("id", "score", "channel", "chunk.file")
+    b = once(s, d)
+    c = chunks.chunks(b)
+    return retrieve.hybrid(c, b["symbols"], "charge money for a cart").select("id", "score", "channel", "chunk.file")
 
 
 @_q
@@ -253,23 +265,27 @@ def _symbols_overview(s, d):
 
 @_q
 def _hotspots(s, d):
-    return architecture.hotspots(demo(s, d)["symbols"].dropDuplicates(["id"]), _calls(demo(s, d))).select("id", "degree")
+    b = once(s, d)
+    return architecture.hotspots(b["symbols"].dropDuplicates(["id"]), _calls(b)).select("id", "degree")
 
 
 @_q
 def _dead_code(s, d):
-    return architecture.dead_symbols(demo(s, d)["symbols"], demo(s, d)["call_edges"]).select("id")
+    b = once(s, d)
+    return architecture.dead_symbols(b["symbols"], b["call_edges"]).select("id")
 
 
 @_q
 def _import_graph(s, d):
-    return architecture.resolve_imports(demo(s, d)["imports"], demo(s, d)["files"])
+    b = once(s, d)
+    return architecture.resolve_imports(b["imports"], b["files"])
 
 
 @_q
 def _cycles(s, d):
-    i = demo(s, d)["imports"].withColumn("import_path", F.element_at(F.split("import_path", "/"), -1))
-    return architecture.cycles(architecture.resolve_imports(i, demo(s, d)["files"]))
+    b = once(s, d)
+    i = b["imports"].withColumn("import_path", F.element_at(F.split("import_path", "/"), -1))
+    return architecture.cycles(architecture.resolve_imports(i, b["files"]))
 
 
 def diff_lines(spark: SparkSession, text: str = DIFF) -> DataFrame:
@@ -288,7 +304,7 @@ def _diff_summary(s, d):
 
 @_q
 def _detect_changes(s, d):
-    return changes.detect_changes(diff_lines(s), demo(s, d))
+    return changes.detect_changes(diff_lines(s), once(s, d))
 
 
 # --- what the derived files hold follows from the documents in SQL: (language number, ending, class kind, rows of class, method and function)
@@ -310,8 +326,8 @@ def _derived(sql: str) -> Callable:
 
 
 def derived(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The base relations of the derived files alone."""
-    return base_relations(files_relation(derived_files(spark, d), ROOT, max_files=None)[0], cache=False)
+    """The base relations of the derived files alone, over stored records."""
+    return base_relations(files_relation(derived_files(spark, d), ROOT, max_files=None)[0], store=True)
 
 
 @_derived("""SELECT path, kind AS grammar_kind, 'Doc' || h AS name, '' AS receiver, c1 AS start_row, c2 AS end_row FROM f

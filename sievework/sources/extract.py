@@ -14,9 +14,10 @@ from ..functions.text import sanitize
 from ..operators.pattern import lines_of
 from ..operators.tree import doc_of
 from ..semantics import DEFAULT, Semantics
+from ..session import stored
 from ..shipping import ship_package
 
-RECORDS = "path string, rec string, seq int, grammar_kind string, name string, receiver string, start_row int, end_row int, callee_name string, import_path string, parent_name string, first boolean"
+RECORDS = "rec string, seq int, grammar_kind string, name string, receiver string, start_row int, end_row int, callee_name string, import_path string, parent_name string, first boolean"
 # Grammar kinds and what they are; others count as functions.
 KINDS = {
     "function_declaration": ("FUNCTION", "fn", "Function"),
@@ -26,40 +27,58 @@ KINDS = {
 } | {f"{k}_declaration": ("CLASS", "class", "Class") for k in "type class interface type_alias enum struct trait".split()}
 
 
+#: Records, and characters of text, that a task puts into one batch.
+BATCH_RECORDS, BATCH_CHARS = 5_000, 4_000_000
+
+
 def records(files: DataFrame) -> DataFrame:
-    """One tagged row per symbol, call, import and parent. Files go to Python in Arrow batches, one file at a time is held."""
-    ship_package(files.sparkSession)
+    """One tagged row per symbol, call, import and parent, with its file's package and language, and ``doc`` of symbols.
 
-    schema = to_arrow_schema(StructType.fromDDL(RECORDS))
+    Each file is looked at once: its text goes through Python in Arrow batches and comes back with the list of its records, so that nothing is joined to files again.
+    """
+    ship_package(files.sparkSession)
+    own = StructType.fromDDL("path string, pkg string, lang string, text string")
+    found = StructType.fromDDL(f"found array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in StructType.fromDDL(RECORDS))}>>")
+    schema = to_arrow_schema(StructType(own.fields + found.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sievework.sources.lexers import extract
 
+        rows, size, chars = [], 0, 0
         for b in batches:
-            for p, t, lang in zip(*(c.to_pylist() for c in b.columns)):
-                rows = [{"path": p} | r for r in extract(t or "", lang)]
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
-
-    return files.select("path", "text", "lang").mapInArrow(run, RECORDS)
-
-
-def base_relations(files: DataFrame, semantics: Semantics = DEFAULT, cache: bool = True) -> dict[str, DataFrame]:
-    """All base relations of ``files``; the records are cached, since every relation reads them."""
+            for r in b.to_pylist():
+                r["found"] = extract(r["text"] or "", r["lang"])
+                rows.append(r)
+                size, chars = size + len(r["found"]), chars + len(r["text"] or "")
+                if size >= BATCH_RECORDS or chars >= BATCH_CHARS or len(rows) >= BATCH_RECORDS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size, chars = [], 0, 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    each = files.select(*own.fieldNames()).mapInArrow(run, StructType(own.fields + found.fields)).select("path", "pkg", "lang", "text", F.inline("found"))
+    return each.withColumn("doc", F.when(F.col("rec") == "symbol", doc_of(F.col("text"), F.col("start_row")))).drop("text")
+
+
+def base_relations(files: DataFrame, semantics: Semantics = DEFAULT, cache: bool = True, store: bool = False) -> dict[str, DataFrame]:
+    """All base relations of ``files``. Every relation reads the records: they are cached, or, with ``store``, written once as a table in the shared folder
+    (see ``session.stored``), so that a plan that names relations many times extracts once and holds nothing in memory."""
     rec = records(files)
-    if cache:
+    if store:
+        rec = stored(rec, "records")
+    elif cache:
         rec = rec.persist()
-    place = files.select("path", "pkg", "lang")
     kind = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[0])])
     id_kind = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[1])])
-    s = rec.where("rec = 'symbol'").join(files.select("path", "pkg", "lang", "text"), "path")
+    s = rec.where("rec = 'symbol'")
     s = s.withColumns({"kind": F.coalesce(F.element_at(kind, F.col("grammar_kind")), F.lit("FUNCTION")), "id_kind": F.coalesce(F.element_at(id_kind, F.col("grammar_kind")), F.lit("fn"))})
     s = s.withColumn("id_kind", F.when((F.col("id_kind") == "meth") & (F.col("receiver") == ""), "fn").otherwise(F.col("id_kind")))
     part = lambda c: F.when(F.col(c) != "", F.col(c))
     body = lambda recv: F.concat_ws(".", part("pkg"), recv, part("name"))
     symbol_id = F.concat(F.col("id_kind"), F.lit(":"), body(part("receiver")))
     label = F.when(F.col("kind") == "FUNCTION", "Function").when(F.col("kind") == "METHOD", "Method").when(F.col("kind") == "CLASS", "Class").otherwise("Symbol")
-    symbols = s.select("path", "pkg", "lang", "seq", "grammar_kind", "kind", "id_kind", "name", "receiver", "start_row", "end_row", symbol_id.alias("id"), F.concat(label, F.lit(": "), sanitize(F.col("name"))).alias("summary"), doc_of(F.col("text"), F.col("start_row")).alias("doc"))
-    c = rec.where("rec = 'call'").join(place, "path").withColumn("id_kind", F.when(F.col("receiver") != "", "meth").otherwise("fn"))
+    symbols = s.select("path", "pkg", "lang", "seq", "grammar_kind", "kind", "id_kind", "name", "receiver", "start_row", "end_row", symbol_id.alias("id"), F.concat(label, F.lit(": "), sanitize(F.col("name"))).alias("summary"), "doc")
+    c = rec.where("rec = 'call'").withColumn("id_kind", F.when(F.col("receiver") != "", "meth").otherwise("fn"))
     calls = c.select("path", "pkg", symbol_id.alias("caller_id"), F.col("name").alias("caller_name"), F.col("receiver").alias("caller_receiver"), F.col("start_row").alias("caller_start_row"), "callee_name", F.col("end_row").alias("row"))
     sites = calls
     calls = calls.drop("row").dropDuplicates(["path", "caller_receiver", "caller_name", "caller_start_row", "callee_name"])

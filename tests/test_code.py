@@ -339,3 +339,17 @@ def test_command_line(spark, tmp_path):
     assert run("hybrid", root, "pay", "--channels", "structural,bm25")[0]["id"] == "fn:Pay"
     assert set(run("hybrid", root, "pay", "--channels", "bm25", "--explain")) == {"bm25"}
     assert run("chunk", root, str(tmp_path / "out"))["chunks"] == 2
+
+
+@pytest.mark.parametrize("name", ["code_chunks", "code_detect_changes", "code_references", "code_edit_impact", "code_resolve", "code_hybrid", "code_node_edges", "code_traverse", "code_import_graph", "source_callers"])
+def test_files_are_extracted_once(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan  # it reads stored records; before, every relation of the plan extracted all files again
+
+
+def test_records_of_a_file_need_no_join(spark):
+    texts = {f"p{k}/f{k}.go": f"package p{k}\n\n// Says {k}.\nfunc F{k}() {{ g{k}() }}\n" for k in range(30)}
+    got = base_relations(files_relation(raw_files(spark, texts), ROOT)[0], cache=False)
+    assert {(r.id, r.doc) for r in got["symbols"].collect()} == {(f"fn:p{k}.F{k}", f"Says {k}.") for k in range(30)}
+    assert {(r.caller_id, r.callee_name) for r in got["call_sites"].collect()} == {(f"fn:p{k}.F{k}", f"g{k}") for k in range(30)}
+    assert "Join" not in got["symbols"]._jdf.queryExecution().optimizedPlan().toString()
