@@ -71,7 +71,7 @@ def detect_changes(lines: DataFrame, base: dict[str, DataFrame], limit: int = MA
     rows = ranges.groupBy("file", "id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     first = got.groupBy("file").agg(F.min("place").alias("place"))
     rows = rows.join(first, "file")
-    rel = relations(base, rows.where("id IS NOT NULL").select("id"))
+    rel = relations(base, rows.where("id IS NOT NULL").select("id"), first=PER_CHANGE)
     changed = rows.select("id").distinct()
     for name, kind in (("callers", "CALLERS"), ("tests", "TESTS"), ("overrides", "OVERRIDES")):
         e = rel[kind].join(changed, F.col("source_id") == F.col("id"), "left_semi")

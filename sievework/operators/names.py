@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_distance, java_pattern, matches_glob, split_terms
+from ..session import stored
 
 SUGGEST_FROM, SUGGEST, SUGGEST_DISTANCE = 10_000, 3, 2
 # The kinds of ids, and the kinds of nodes that a search may name.
@@ -89,14 +90,14 @@ def search(symbols: DataFrame, terms: list[str] | str, kinds: list[str] | None =
 
 def resolve(symbols: DataFrame, name_path: str) -> DataFrame:
     """Symbols that an id or a name path stands for, best reading first (column ``reading``), with ``ambiguous`` = how many."""
-    exact = symbols.where(F.col("id") == name_path).withColumn("reading", F.lit(0))
     pkg, name = parse_name_path(name_path)
     readings = list(dict.fromkeys([pkg.rpartition(".")[0], pkg, ""] if "." in pkg else [pkg, ""]))
-    out = exact
+    # a symbol has its best reading, so one scan finds all that any reading fits; the few of them are kept
+    reading = F.when(F.col("id") == name_path, 0)
     for n, p in enumerate(readings, 1):
-        same = (F.col("name") == name) & (F.lit(True) if p == "" else F.col("pkg") == p)
-        out = out.unionByName(symbols.where(same).withColumn("reading", F.lit(n)))
-    first = out.agg(F.min("reading").alias("r"))
-    best = out.join(F.broadcast(first), F.col("reading") == F.col("r")).drop("r")
+        reading = reading.when((F.col("name") == name) & (F.lit(True) if p == "" else F.col("pkg") == p), n)
+    fits = stored(symbols.withColumn("reading", reading).where("reading IS NOT NULL"), "readings")
+    first = fits.agg(F.min("reading").alias("r"))
+    best = fits.join(F.broadcast(first), F.col("reading") == F.col("r")).drop("r")
     count = best.agg(F.count("*").alias("ambiguous"))  # one row
     return best.join(F.broadcast(count)).orderBy("path", "seq")

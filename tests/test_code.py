@@ -353,3 +353,35 @@ def test_records_of_a_file_need_no_join(spark):
     assert {(r.id, r.doc) for r in got["symbols"].collect()} == {(f"fn:p{k}.F{k}", f"Says {k}.") for k in range(30)}
     assert {(r.caller_id, r.callee_name) for r in got["call_sites"].collect()} == {(f"fn:p{k}.F{k}", f"g{k}") for k in range(30)}
     assert "Join" not in got["symbols"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tests_of_a_symbol_are_no_product_of_tasks(base, spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    one = spark.createDataFrame([("meth:shop.Cart.Add",), ("fn:pay.Charge",)], "id string")
+    assert "CartesianProduct" not in plan(edges.tests(base["symbols"], only=one))
+    whole = edges.tests(base["symbols"].unionAll(base["symbols"].where("path LIKE '%_test.go'").withColumn("id", F.lit("fn:shop.A"))), only=one)
+    few = edges.tests(base["symbols"].unionAll(base["symbols"].where("path LIKE '%_test.go'").withColumn("id", F.lit("fn:shop.A"))), only=one, first=1)
+    assert whole.count() == 4 and sorted((r.source_id, r.target_id) for r in few.collect()) == [("fn:pay.Charge", "fn:shop.A"), ("meth:shop.Cart.Add", "fn:shop.A")]
+
+
+def test_renames_look_only_at_their_names(base, spark):
+    got = edges.edit_impact(base, spark.createDataFrame([("fn:pay.Charge", "helper"), ("fn:shop.helper", "Add")], "id string, new_name string"))
+    assert {r.id: (r.callers, r.tests, r.conflicts, r.safe_to_rename) for r in got.collect()} == {
+        "fn:pay.Charge": (["meth:shop.Cart.Checkout"], ["fn:shop.TestAdd"], ["fn:shop.helper"], False), "fn:shop.helper": ([], ["fn:shop.TestAdd"], ["meth:shop.Cart.Add"], False)}
+    only = edges.callers(base["symbols"], base["call_edges"], only=spark.createDataFrame([("fn:pay.Charge",)], "id string"))
+    assert {r.source_id for r in only.collect()} == {"fn:pay.Charge"}
+
+
+def test_a_name_is_resolved_by_one_scan(base, spark):
+    for path, ids in (("pay.Charge", ["fn:pay.Charge"]), ("fn:pay.Charge", ["fn:pay.Charge"]), ("other.Charge", ["fn:pay.Charge"]), ("a.shop.Add", ["meth:shop.Cart.Add"]), ("nope", [])):
+        got = names.resolve(base["symbols"], path)
+        assert [r.id for r in got.collect()] == ids and "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_id_does_not_meet_all_symbols_of_its_name(spark):
+    rows = [(f"fn:q{k}.main", "main", f"q{k}", "", "FUNCTION", "fn", f"/q{k}/{j}.go", j, j, j + 1, "function_declaration") for k in range(9) for j in range(3)]
+    s = spark.createDataFrame(rows, "id string, name string, pkg string, receiver string, kind string, id_kind string, path string, seq int, start_row int, end_row int, grammar_kind string")
+    files = s.select(F.col("path").alias("rel_path"), "path", F.lit(9).alias("line_count"))
+    got = edges.locate(s, files, spark.createDataFrame([("fn:q4.main",), ("fn:x.main",), ("class:q4.main",)], "id string"))
+    assert {r.id: r.path for r in got.collect()} == {"fn:q4.main": "/q4/0.go", "fn:x.main": "/q0/0.go", "class:q4.main": None}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
