@@ -349,7 +349,7 @@ def test_files_are_extracted_once(spark, sf_dir, name):
 
 def test_records_of_a_file_need_no_join(spark):
     texts = {f"p{k}/f{k}.go": f"package p{k}\n\n// Says {k}.\nfunc F{k}() {{ g{k}() }}\n" for k in range(30)}
-    got = base_relations(files_relation(raw_files(spark, texts), ROOT)[0], cache=False)
+    got = base_relations(files_relation(raw_files(spark, texts), ROOT, max_files=None)[0], cache=False)
     assert {(r.id, r.doc) for r in got["symbols"].collect()} == {(f"fn:p{k}.F{k}", f"Says {k}.") for k in range(30)}
     assert {(r.caller_id, r.callee_name) for r in got["call_sites"].collect()} == {(f"fn:p{k}.F{k}", f"g{k}") for k in range(30)}
     assert "Join" not in got["symbols"]._jdf.queryExecution().optimizedPlan().toString()

@@ -64,3 +64,10 @@ def test_rounds_have_no_more_rows_than_edges(spark, monkeypatch):
     edges = spark.range(3000).selectExpr("id AS src", "id - id % 4 + (id + 1) % 4 AS dst").unionAll(spark.range(3000).selectExpr("id AS src", "id - 4 AS dst").where("dst >= 0 AND src % 40 <> 0"))
     got = traverse.strong_components(edges, one_task=100)
     assert got.groupBy("component").count().where("count = 4").count() == 750 and max(n for _, n in made) <= edges.count()
+
+
+def test_paths_without_branches_take_no_coloured_rounds(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "_colours", lambda e: pytest.fail("coloured"))
+    ring = [(k, (k + 1) % 40) for k in range(40)] + [(50 + k, 51 + k) for k in range(30)] + [(80, 3), (90, 91), (91, 90), (7, 90)]
+    got = {tuple(r) for r in traverse.strong_components(spark.createDataFrame(ring, "src long, dst long"), 0).collect()}
+    assert got == {(k, 0) for k in range(40)} | {(90, 90), (91, 90)}
