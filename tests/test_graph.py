@@ -95,3 +95,25 @@ def test_caps_per_kind(spark):
     kept, counts = edges.cap_per_kind(e, 2)
     assert kept.count() == 3
     assert {(r.edge_kind, r.total_count, r.truncated) for r in counts.collect()} == {("K", 8, True), ("L", 1, False)}
+
+
+def test_calls_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    from sievework.plans import graph_queries
+
+    monkeypatch.setattr(graph_queries, "ROWS_A_TASK", 500)
+    n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
+    assert n > 4 and graph_queries._base(spark, sf_dir)["call_edges"].rdd.getNumPartitions() == n  # before, as many as Spark's setting, or fewer
+    for name in "graph_callers", "graph_callees":
+        plan = graph_queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert f", {n}), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+        assert not [x for x in plan.split("\n") if "Exchange" in x and "location" in x]  # edges are put together last
+
+
+def test_edges_by_many_tasks(spark):
+    s = spark.createDataFrame([(f"fn:p{k % 3}.f{k % 5}", f"f{k % 5}", "FUNCTION", f"s{k}", f"p{k % 3}", f"/{k}.go", k, k + 1) for k in range(30)], "id string, name string, kind string, summary string, pkg string, path string, start_row int, end_row int")
+    c = s.select("path", F.col("id").alias("caller_id"), F.col("start_row").alias("caller_start_row"), F.concat(F.lit("f"), (F.col("start_row") % 7).cast("string")).alias("callee_name"))
+    key = lambda e: sorted((r.source_id, r.target_id, r.location) for r in e.collect())
+    assert key(edges.callers(s, c, tasks=9)) == key(edges.callers(s, c)) and key(edges.callees(s, c, tasks=9))
+    assert {(r.source_id, r.target_id) for r in edges.callees(s, c, 9).collect()} == {(r.source_id, r.target_id) for r in edges.callees(s, c).collect()}
+    one = edges.callers(s, c, only=s.where("path = '/3.go'").select("id"))
+    assert key(one) == [x for x in key(edges.callers(s, c)) if x[0] == "fn:p0.f3"] != []
