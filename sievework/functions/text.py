@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,23 +140,58 @@ def _fnv1a(words: list[bytes], seed: int) -> np.ndarray:
 SEPARATOR = "\x1f"
 
 
-def embed_many(lists: list[list[str]], dim: int = 1024, hashes: int = 4) -> np.ndarray:
-    """Signed hash counts of each list of tokens, scaled to length 1, as rows. Distinct tokens are hashed once."""
+def _embed(words: list[str], at: np.ndarray, owner: np.ndarray, n: int, dim: int, hashes: int) -> np.ndarray:
+    """Rows of ``embed_many`` for ``n`` lists: a token is the number (``at``) of one of the distinct ``words``, and is its ``owner``'s."""
     if dim < 1 or dim & (dim - 1):
         raise ValueError("the dimension must be a power of two")
-    flat = [w for ws in lists for w in ws]
-    number = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-    at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    owner = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
-    raw = [w.encode() for w in number]
-    v = np.zeros(len(lists) * dim)
+    raw = [w.encode() for w in words]
+    v = np.zeros(n * dim)
     for i in range(hashes if len(at) else 0):
         h = _fnv1a(raw, i)
         cell, sign = (h & np.uint64(dim - 1)).astype(np.int64), 2.0 * (h >> np.uint64(32) & np.uint64(1)).astype(np.float64) - 1.0
         v += np.bincount(owner * dim + cell[at], sign[at], len(v))
-    v = v.reshape(len(lists), dim)
-    n = np.sqrt((v * v).sum(1, keepdims=True))
-    return v / np.where(n > 0, n, 1)
+    v = v.reshape(n, dim)
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(norm > 0, norm, 1)
+
+
+def embed_many(lists: list[list[str]], dim: int = 1024, hashes: int = 4) -> np.ndarray:
+    """Signed hash counts of each list of tokens, scaled to length 1, as rows. Distinct tokens are hashed once."""
+    flat = [w for ws in lists for w in ws]
+    number = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+    at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    return _embed(list(number), at, np.repeat(np.arange(len(lists)), [len(ws) for ws in lists]), len(lists), dim, hashes)
+
+
+#: Texts, and bytes of them, that are taken apart at once.
+SLICE_TEXTS, SLICE_BYTES = 1024, 2_000_000
+
+
+def text_slices(col: pa.Array, texts: int | None = None, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """(from, to) of slices of ``col`` with so many texts and bytes at most; a longer text is a slice of its own."""
+    texts, size = texts or SLICE_TEXTS, size or SLICE_BYTES
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)), 0
+    while start < len(col):
+        upto = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right"))
+        stop = min(max(upto, start + 1), start + texts)
+        yield start, stop
+        start = stop
+
+
+def numbered_tokens(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct tokens of texts that ``SEPARATOR`` joins, the number of each token among them, and the tokens of each text; a null or empty text has none."""
+    col = pc.fill_null(col, "")
+    lists = pc.split_pattern(col, SEPARATOR)
+    counts = np.where(pc.equal(col, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    tokens_of = lists.filter(pc.not_equal(col, "")).flatten().dictionary_encode()
+    return tokens_of.dictionary.to_pylist(), tokens_of.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts
+
+
+def _embed_joined(col: pa.Array, dim: int, hashes: int = 4) -> Iterator[np.ndarray]:
+    """``embed_many`` of joined tokens, slice by slice, so that few tokens are held at once."""
+    for start, stop in text_slices(col):
+        words, at, counts = numbered_tokens(col.slice(start, stop - start))
+        yield _embed(words, at, np.repeat(np.arange(stop - start), counts), stop - start, dim, hashes)
 
 
 def embed_tokens(words: list[str], dim: int = 1024, hashes: int = 4) -> np.ndarray:
@@ -164,10 +201,10 @@ def embed_tokens(words: list[str], dim: int = 1024, hashes: int = 4) -> np.ndarr
 def hash_embedding(words: Column, dim: int = 1024) -> Column:
     """``embed_tokens`` of an array of tokens, which travel as one text. Python is needed: the hash multiplies modulo 2^64."""
 
-    @F.pandas_udf("array<double>")
-    def embed(col: pd.Series) -> pd.Series:
-        lists = [w.split(SEPARATOR) if w else [] for w in col]
-        return pd.Series([r for k in range(0, len(lists), 1024) for r in embed_many(lists[k : k + 1024], dim)], dtype=object)
+    @F.arrow_udf("array<double>")
+    def embed(col: pa.Array) -> pa.Array:
+        made = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dim).cast(pa.list_(pa.float64())) for v in _embed_joined(col, dim)]
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.float64()))
 
     return embed(F.array_join(words, SEPARATOR))
 
@@ -175,11 +212,10 @@ def hash_embedding(words: Column, dim: int = 1024) -> Column:
 def hash_similarity(words: Column, query: list[float]) -> Column:
     """Inner product of ``query`` with ``embed_tokens`` of an array of tokens; the vectors themselves stay in Python."""
 
-    @F.pandas_udf("double")
-    def score(col: pd.Series) -> pd.Series:
-        lists = [w.split(SEPARATOR) if w else [] for w in col]
+    @F.arrow_udf("double")
+    def score(col: pa.Array) -> pa.Array:
         q = np.array(query)
-        return pd.Series([s for k in range(0, len(lists), 1024) for s in (embed_many(lists[k : k + 1024], len(q)) * q).sum(1)])
+        return pa.array(np.concatenate([np.zeros(0), *((v * q).sum(1) for v in _embed_joined(col, len(q)))]))
 
     # else a filter on the score would have it computed a second time
     return score.asNondeterministic()(F.array_join(words, SEPARATOR))

@@ -133,3 +133,17 @@ def test_vector_and_hybrid(spark):
     assert parse_channels("bm25, vector") == ["bm25", "vector"]
     with pytest.raises(ValueError):
         parse_channels("nope")
+
+
+def test_tokens_are_taken_apart_in_slices():
+    import numpy as np
+    import pyarrow as pa
+    from sievework.functions import text
+
+    texts = ["a\x1fb\x1fa", None, "", "b\x1fü", "c\x1f" * 50 + "c", "a"]
+    col = pa.array(texts)
+    assert [x for x in text.text_slices(col, 2, 10)] == [(0, 2), (2, 4), (4, 5), (5, 6)] and list(text.text_slices(pa.array([], pa.string()))) == []
+    names, at, counts = text.numbered_tokens(col)
+    assert list(counts) == [3, 0, 0, 2, 51, 1] and [names[k] for k in at[:5]] == ["a", "b", "a", "b", "ü"]
+    want = text.embed_many([t.split("\x1f") if t else [] for t in texts], 64)
+    assert np.array_equal(np.concatenate(list(text._embed_joined(col, 64))), want)
