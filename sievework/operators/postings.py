@@ -1,6 +1,6 @@
 """BM25 from a stored index: texts are read once, when it is built, and queries read only postings, of which they skip most.
 
-Tasks count their own texts and write them in segments of ``SEGMENT`` texts: for each term, blocks of up to ``BLOCK`` postings with the greatest term
+Tasks count their own texts, slice by slice of a batch, and write them in segments of ``SEGMENT`` texts: for each term, blocks of up to ``BLOCK`` postings with the greatest term
 weight among them. Building shuffles nothing, and a frequent term has many blocks, not a long one. A query reads the heads of its terms' blocks first.
 The k-th greatest block maximum of any of its terms is a score that k texts reach; a block stays unread if what it can give at most, with the maxima of the other terms in
 its segment, is less. So the texts on top have all their postings, and their scores are those of a scan.
@@ -12,8 +12,6 @@ ranked by 9 decimals and then by id, and only positive ones are hits. A query wi
 from __future__ import annotations
 
 import math
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import SEPARATOR, tokens
-from ..session import new_path, stored
+from ..functions.text import SEPARATOR, numbered_tokens, text_slices, tokens
+from ..session import drop, new_path, stored
 from ..shipping import ship_package
 from .retrieve import K1, RANK_DIGITS, B, query_terms
 
 SEGMENT, BLOCK = 4096, 64
-HELD = 1_000_000
+HELD = 12_000_000  # bytes of a segment's tokens
 BROADCAST_BLOCKS = 500_000
 SLACK = 1e-6  # sums in another order differ by less
 
@@ -36,52 +34,34 @@ SLACK = 1e-6  # sums in another order differ by less
 def _blocks(mean: float, id_type: pa.DataType):
     """(term, segment, block, n, most, ordinals, ids, tfs, dls) of a task's (id, no, tokens); ``no`` names the segments."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[str, int] = {}
-        terms, tfs = array("i"), array("i")  # of all postings, text by text
-        distinct, totals, ids = [], [], []
-        segment = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            names = sorted(numbers)
-            rank = np.empty(len(names), np.int64)
-            rank[[numbers[t] for t in names]] = np.arange(len(names))
-            term = rank[np.frombuffer(terms, np.int32)]
-            order = np.argsort(term, kind="stable")  # the texts of a term stay in order
-            term, tf = term[order], np.frombuffer(tfs, np.int32)[order]
-            text = np.repeat(np.arange(len(ids), dtype=np.int32), distinct)[order]
-            dl = np.array(totals, np.int32)[text]
-            first = np.searchsorted(term, np.arange(len(names)))
-            within = np.arange(len(term)) - first[term]
-            starts = np.flatnonzero(within % BLOCK == 0)
-            most = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean)), starts)
-            ends = np.append(starts, len(term)).astype(np.int32)
-            held, words = pa.array(ids, id_type), pa.array(names, pa.string())
-            for k in range(0, len(starts), 5000):
-                here, upto = starts[k : k + 5000], ends[k : k + 5001]
-                part, offsets = slice(upto[0], upto[-1]), pa.array(upto - upto[0])
-                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(text[part]), held.take(pa.array(text[part])), pa.array(tf[part]), pa.array(dl[part]))]
-                yield pa.RecordBatch.from_arrays(
-                    [words.take(pa.array(term[here])), pa.array(np.full(len(here), segment)), pa.array((within[here] // BLOCK).astype(np.int32)), pa.array(np.diff(upto)), pa.array(most[k : k + 5000]), *lists],
-                    ["term", "segment", "block", "n", "most", "ordinals", "ids", "tfs", "dls"],
-                )
+    def flush(ids: pa.Array, segment: int, col: pa.Array) -> Iterator[pa.RecordBatch]:
+        names, at, totals = numbered_tokens(col)
+        by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+        rank = np.empty(len(names), np.int64)
+        rank[by_name] = np.arange(len(names))
+        # a posting is a term and a text; those of a term are in order of texts
+        posting, tf = np.unique(rank[at] * len(ids) + np.repeat(np.arange(len(ids)), totals), return_counts=True)
+        term, text = posting // len(ids), (posting % len(ids)).astype(np.int32)
+        tf, dl = tf.astype(np.int32), totals.astype(np.int32)[text]
+        first = np.searchsorted(term, np.arange(len(names)))
+        within = np.arange(len(term)) - first[term]
+        starts = np.flatnonzero(within % BLOCK == 0)
+        most = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean)), starts)
+        ends = np.append(starts, len(term)).astype(np.int32)
+        words = pa.array([names[k] for k in by_name], pa.string())
+        for k in range(0, len(starts), 5000):
+            here, upto = starts[k : k + 5000], ends[k : k + 5001]
+            part, offsets = slice(upto[0], upto[-1]), pa.array(upto - upto[0])
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(text[part]), ids.take(pa.array(text[part])), pa.array(tf[part]), pa.array(dl[part]))]
+            yield pa.RecordBatch.from_arrays(
+                [words.take(pa.array(term[here])), pa.array(np.full(len(here), segment)), pa.array((within[here] // BLOCK).astype(np.int32)), pa.array(np.diff(upto)), pa.array(most[k : k + 5000]), *lists],
+                ["term", "segment", "block", "n", "most", "ordinals", "ids", "tfs", "dls"],
+            )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for one, no, words in zip(*(c.to_pylist() for c in b.columns)):
-                segment = no if segment is None else segment
-                counts = Counter(words.split(SEPARATOR))
-                terms.extend([numbers.setdefault(t, len(numbers)) for t in counts])
-                tfs.extend(counts.values())
-                distinct.append(len(counts))
-                totals.append(counts.total())
-                ids.append(one)
-                if len(ids) >= SEGMENT or len(terms) >= HELD:
-                    yield from flush()
-                    numbers.clear()
-                    terms, tfs = array("i"), array("i")
-                    distinct, totals, ids, segment = [], [], [], None
-        if ids:
-            yield from flush()
+            for start, stop in text_slices(b.column(2), SEGMENT, HELD):
+                yield from flush(b.column(0).slice(start, stop - start).cast(id_type), b.column(1)[start].as_py(), b.column(2).slice(start, stop - start))
 
     return run
 
@@ -97,19 +77,22 @@ class Bm25Index:
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text_col: str, folder: str | None = None) -> Bm25Index:
-        """Index a table; without ``folder`` in the shared one. One scan counts the tokens, whose mean number per text the weights need, and one makes the blocks."""
+        """Index a table; without ``folder`` in the shared one. Texts are taken apart once and their tokens stored until the blocks are made: the weights need the mean number of tokens."""
         spark = docs.sparkSession
         ship_package(spark)
         folder = folder or new_path(spark, "postings")
-        words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where("size(w) > 0")
-        words.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("w")), F.lit(1.0)).alias("mean")).write.parquet(f"{folder}/stats")
+        words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+        held = stored(words.select("id", F.size("w").alias("dl"), F.array_join("w", SEPARATOR).alias("words")), "tokens")  # a filter on the number of tokens would look for them twice
+        words = held.where("dl > 0")
+        words.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean")).write.parquet(f"{folder}/stats")
         mean = spark.read.parquet(f"{folder}/stats").first()["mean"]
-        rows = words.select("id", F.monotonically_increasing_id().alias("no"), F.array_join("w", SEPARATOR).alias("words"))
+        rows = words.select("id", F.monotonically_increasing_id().alias("no"), "words")
         kind = rows.schema["id"].dataType
         from pyspark.sql.pandas.types import to_arrow_type
 
         made = rows.mapInArrow(_blocks(mean, to_arrow_type(kind)), f"term string, segment long, block int, n int, most double, ordinals array<int>, ids array<{kind.simpleString()}>, tfs array<int>, dls array<int>")
         made.sortWithinPartitions("term").write.parquet(f"{folder}/blocks")
+        drop(held)
         return cls(spark, folder)
 
     def _wanted(self, queries: dict[str, str]) -> DataFrame:

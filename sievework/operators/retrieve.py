@@ -38,11 +38,11 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int | None
     """
     terms = query_terms(query)
     distinct = list(dict.fromkeys(terms))
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where("size(w) > 0")
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     counts = words.select("id", F.size("w").alias("dl"), *[(F.size("w") - F.size(F.array_remove("w", t))).alias(f"t{i}") for i, t in enumerate(distinct)])
     if not distinct:
         return words.where("false").select("id", F.lit(0.0).alias("score"))
-    counts = stored(counts, "term-counts")
+    counts = stored(counts, "term-counts").where("dl > 0")  # a filter before would look for the tokens a second time
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(distinct))]).first()
     if not stats["n"]:
         return words.where("false").select("id", F.lit(0.0).alias("score"))
@@ -68,9 +68,9 @@ def bm25_many(docs: DataFrame, id_col: str, text_col: str, queries: dict[str, st
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(q, t) for q, text in queries.items() for t in dict.fromkeys(query_terms(text))], "query string, term string")
     all_terms = sorted({t for text in queries.values() for t in query_terms(text)})
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where("size(w) > 0")
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     mine = F.filter("w", lambda x: F.array_contains(F.lit(all_terms), x))
-    held = stored(words.select("id", F.size("w").alias("dl"), mine.alias("w")), "query-terms")
+    held = stored(words.select("id", F.size("w").alias("dl"), mine.alias("w")), "query-terms").where("dl > 0")
     n, avg = held.agg(F.count("*"), F.avg("dl")).first()
     counts = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).alias("tf")))
     tf = held.where("size(w) > 0").select("id", "dl", F.inline(counts))

@@ -4,6 +4,7 @@ import random
 
 from sievework.operators import postings, retrieve
 from sievework.operators.postings import Bm25Index
+from sievework.session import stored as _stored
 
 
 def _docs(spark, n, dice):
@@ -43,3 +44,16 @@ def test_most_blocks_are_skipped_and_frequent_terms_have_many(spark, monkeypatch
 def test_empty_tables(spark):
     index = Bm25Index.build(spark.createDataFrame([], "id string, text string"), "id", "text")
     assert index.n == 0 and index.top("a", 3).collect() == [] and index.top_many({}, 3).collect() == []
+
+
+def test_tokens_are_looked_for_once(spark, monkeypatch):
+    scanned = []
+    monkeypatch.setattr(postings, "stored", lambda df, tag: scanned.append(df) or _stored(df, tag))
+    monkeypatch.setattr(retrieve, "stored", lambda df, tag: scanned.append(df) or _stored(df, tag))
+    docs = _docs(spark, 50, random.Random(3))
+    index = Bm25Index.build(docs, "no", "body")
+    retrieve.bm25(docs, "no", "body", "w0 w5", 7)
+    retrieve.bm25_many(docs, "no", "body", {"a": "w0 w5"}, 7)
+    for df in scanned:  # before, a filter on their number had each row's tokens found twice, and the index scanned the texts two times
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert len(scanned) == 3 and index.n == 54
