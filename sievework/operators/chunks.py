@@ -83,8 +83,9 @@ def included(rel_path: Column, include: list[str] | None = None, exclude: list[s
 
 
 def callers_of(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """(name, callers): ids of all functions that call a name, in any file, sorted."""
-    return calls.groupBy(F.col("callee_name").alias("name")).agg(F.array_sort(F.collect_set("caller_id")).alias("callers"))
+    """(name, callers): ids of all functions that call a symbol's name, in any file, sorted. Names that no symbol has are left out before lists are made."""
+    known = calls.join(symbols.select(F.col("name").alias("callee_name")).distinct(), "callee_name", "left_semi")
+    return known.groupBy(F.col("callee_name").alias("name")).agg(F.array_sort(F.collect_set("caller_id")).alias("callers"))
 
 
 def callees_of(symbols: DataFrame, calls: DataFrame) -> DataFrame:
@@ -113,7 +114,8 @@ def chunks(base: dict[str, DataFrame], policies: tuple[str, ...] = ("function",
     qualified = F.concat_ws(".", F.when(F.col("pkg") != "", F.col("pkg")), F.when(F.col("receiver") != "", F.col("receiver")), "name")
     s = s.withColumns({"body": body, "sig": signature, "qualified_name": qualified})
     near = s.join(up, "name", "left").join(down, (s["id"] == down["caller_id"]) & (s["path"] == down["path"]) & (s["start_row"] == down["start_row"]), "left").select(s["*"], F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
-    near = near.withColumn("signature", full_sig)
+    held = ["id", "path", "pkg", "lang", "kind", "name", "receiver", "start_row", "end_row", "qualified_name", "body", "sig", "callers", "callees"]
+    near = stored(near.withColumn("signature", full_sig).select(*held, "signature"), "near")  # every policy reads it, and its texts are cut out once
     shape = ["id", "qualified_name", "kind", F.col("lang").alias("language"), F.col("path").alias("file"), (F.col("start_row") + 1).alias("start_line"), F.col("end_row").alias("end_line"), "signature", F.col("body").alias("text"), "callers", "callees", "policy"]
     out = None
     add = lambda df: df if out is None else out.unionByName(df)

@@ -138,8 +138,9 @@ class HashVectors:
 
 
 def vector_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits whose chunk is still there."""
-    return hits.join(chunks.select("id").distinct(), "id", "left_semi")
+    """Hits whose chunk is still there. The few hits go to the chunks, so that ids of all chunks are neither shuffled nor made distinct."""
+    there = chunks.select("id").join(F.broadcast(hits.select("id")), "id", "left_semi").distinct()
+    return hits.join(F.broadcast(there), "id", "left_semi")
 
 
 def parse_channels(text: str) -> list[str]:
@@ -161,7 +162,8 @@ def explain(chunks: DataFrame, symbols: DataFrame | None, query: str, channels:
     if "bm25" in names:
         out["bm25"] = bm25(chunks, "id", "text", query, wide)
     if "vector" in names:
-        out["vector"] = vector_hits((backend or HashVectors()).top_k(chunks, query, wide), chunks)
+        found = stored((backend or HashVectors()).top_k(chunks, query, wide), "vector-hits")  # read several times below
+        out["vector"] = vector_hits(found, chunks)
     return out
 
 
@@ -171,7 +173,7 @@ def hybrid(chunks: DataFrame, symbols: DataFrame | None, query: str, channels: l
     if not names:
         raise ValueError("all channels are disabled")
     chunks = stored(chunks, "chunks")  # the channels and the result read them
-    fused = rrf(explain(chunks, symbols, query, names, limit, backend), limit, short=True)
+    fused = stored(rrf(explain(chunks, symbols, query, names, limit, backend), limit, short=True), "fused")  # read twice
     one = chunks.join(F.broadcast(fused.select("id")), "id", "left_semi").select("id", F.struct(*chunks.columns).alias("chunk")).dropDuplicates(["id"])
     return fused.join(one, "id", "left").orderBy(F.desc(F.round("score", 12)), "id")
 

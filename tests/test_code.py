@@ -125,6 +125,14 @@ def test_chunks(base, tmp_path):
         chunks.chunks(base, ())
 
 
+def test_chunks_cut_their_texts_out_once(base, spark):
+    plan = chunks.chunks(base)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # classes with their methods; before, each policy joined files, callers and callees anew
+    calls = spark.createDataFrame([("fn:b", "known"), ("fn:a", "known"), ("fn:a", "unknown")], "caller_id string, callee_name string")
+    names = spark.createDataFrame([("known",), ("known",), ("other",)], "name string")
+    assert [(r.name, r.callers) for r in chunks.callers_of(names, calls).collect()] == [("known", ["fn:a", "fn:b"])]
+
+
 @pytest.mark.parametrize("options", [{}, {"with_tests": True}, {"include": ["*.go"], "exclude": ["pay.go"]}, {"languages": ["typescript", "python"]}, {"with_tests": True, "languages": ["go"], "include": ["shop/*"]}])
 def test_byte_windows_by_walking_every_file(base, options):
     """Files in order, windows from 0 in steps, the first that reaches the end is the last, one running number, lines counted byte by byte."""

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.operators.names import parse_name_path, suggest
-from sievework.operators.retrieve import HashVectors, bm25, expand_seeds, hybrid, parse_channels, placed, query_terms, rrf
+from sievework.operators.retrieve import HashVectors, bm25, expand_seeds, hybrid, parse_channels, placed, query_terms, rrf, vector_hits
 from sievework.semantics import Semantics
 
 
@@ -135,6 +135,29 @@ def test_vector_and_hybrid(spark):
         parse_channels("nope")
 
 
+def test_a_hybrid_answer_scores_the_chunks_once(spark):
+    chunks = spark.createDataFrame([("a", "red fox jumps"), ("b", "blue whale sings"), ("c", "green tree")], "id string, text string")
+
+    class Once:
+        asked = spark.sparkContext.accumulator(0)
+
+        def top_k(self, chunks, query, k):
+            asked = self.asked
+
+            @F.udf("double")
+            def score(text):
+                asked.add(1)
+                return 1.0 / len(text)
+
+            return chunks.select("id", score.asNondeterministic()("text").alias("score")).unionAll(spark.createDataFrame([("gone", 9.0)], "id string, score double"))
+
+    backend = Once()
+    assert [r.id for r in hybrid(chunks, None, "blue whale", ["vector"], 2, backend).collect()] == ["c", "a"]
+    assert backend.asked.value == 3
+    there = vector_hits(chunks.select("id").unionAll(spark.createDataFrame([("gone",)], "id string")), chunks.unionAll(chunks))
+    assert sorted(r.id for r in there.collect()) == ["a", "b", "c"]
+
+
 def test_tokens_are_taken_apart_in_slices():
     import numpy as np
     import pyarrow as pa
