@@ -191,7 +191,11 @@ def _graph_schema(s, d):
 @_q
 def _traverse(s, d):
     b = once(s, d)
-    rel = {k: e.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct() for k, e in edges.relations(b, s.createDataFrame([("fn:pay.Charge",)], "id string")).items()}
+    ends = lambda e: e.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    rel = {
+        "CALLEES": lambda nodes: ends(edges.callees(b["symbols"], b["call_edges"], only=nodes)),
+        "CALLERS": lambda nodes: ends(edges.callers(b["symbols"], b["call_edges"], only=nodes)),
+    }
     return traverse.traverse(rel, traverse.normalise_seeds(start="meth:shop.Cart.Checkout"), ["CALLEES", "CALLERS"], 2).rows
 
 

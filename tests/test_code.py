@@ -2,7 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from sievework.operators import architecture, ast_query, changes, chunks, edges, envelope, names, tree
+from sievework.operators import architecture, ast_query, changes, chunks, edges, envelope, names, traverse, tree
 from sievework.plans.code_queries import DIFF, QUERIES, ROOT, demo, diff_lines, raw_files
 from sievework.plans.projects import NamedOperations, Workspace, default_operations
 from sievework.semantics import Semantics
@@ -393,3 +393,19 @@ def test_an_id_does_not_meet_all_symbols_of_its_name(spark):
     got = edges.locate(s, files, spark.createDataFrame([("fn:q4.main",), ("fn:x.main",), ("class:q4.main",)], "id string"))
     assert {r.id: r.path for r in got.collect()} == {"fn:q4.main": "/q4/0.go", "fn:x.main": "/q0/0.go", "class:q4.main": None}
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_step_makes_the_edges_of_its_nodes_alone(base, spark):
+    asked = []
+
+    def out(nodes):
+        asked.append(sorted(r.id for r in nodes.collect()))
+        return edges.callees(base["symbols"], base["call_edges"], only=nodes).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+
+    whole = edges.callees(base["symbols"], base["call_edges"]).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    seeds = traverse.normalise_seeds(start="meth:shop.Cart.Checkout")
+    got, same = (sorted(traverse.traverse({"C": r}, seeds, ["C"], 3).rows.collect()) for r in (out, whole))
+    assert got == same and [r.target for r in got] == ["fn:pay.Charge", "fn:pay.validate"]
+    assert asked == [["meth:shop.Cart.Checkout"], ["fn:pay.Charge"], ["fn:pay.validate"]]
+    only = edges.callees(base["symbols"], base["call_edges"], only=spark.createDataFrame([("fn:pay.Refund",), ("fn:none",)], "id string"))
+    assert {(r.source_id, r.target_id) for r in only.collect()} == {("fn:pay.Refund", "fn:pay.validate")}
