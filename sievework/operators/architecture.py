@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..semantics import DEFAULT, Semantics
+from ..session import stored
 from .traverse import strong_components
 
 TOP_PACKAGES, TOP, MAX_TOP, MAX_DEAD, MAX_CYCLES, MAX_CYCLE_FILES = 10, 10, 100, 50, 10, 20
@@ -55,14 +55,19 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     A package is found by its whole name, else as the end of one after ``/`` or ``.`` (the smallest name), else relative
     to the importer's directory.
     """
-    pkgs = files.groupBy("pkg").agg(F.min("path").alias("dst"))
-    i = imports.join(files.select("path", F.col("pkg").alias("own")), "path").select("path", "import_path", "own").distinct()
-    exact = i.join(pkgs, F.col("import_path") == F.col("pkg")).select("path", "import_path", "dst", F.lit(0).alias("r"), "pkg")
+    homes = stored(files.select("path", "pkg"), "packages")  # narrow, as every way to find a package reads it
+    pkgs = homes.groupBy("pkg").agg(F.min("path").alias("dst"))
+    i = imports.select("path", "import_path").distinct().join(homes.select("path"), "path", "left_semi")
+    # a name finds its package whoever imports it, so that names are looked up once each, and only relative ones need their importer's directory
+    asked = i.select("import_path").distinct()
+    exact = asked.join(pkgs, F.col("import_path") == F.col("pkg")).select("import_path", "dst", F.lit(0).alias("r"), "pkg")
     parts = pkgs.where("pkg <> ''").withColumn("p", F.split("pkg", "[./]")).select("pkg", "dst", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size("p"), F.lit(2))), lambda n: F.array_join(F.slice("p", n, F.size("p")), "."))).alias("tail")).where("tail <> ''")
-    ending = i.join(parts, F.col("import_path") == F.col("tail")).select("path", "import_path", "dst", F.lit(1).alias("r"), "pkg")
-    relative = i.where("import_path LIKE './%' OR import_path LIKE '../%'").join(pkgs, F.col("own") == F.col("pkg")).select("path", "import_path", "dst", F.lit(2).alias("r"), "pkg")
-    first = exact.unionAll(ending).unionAll(relative).withColumn("k", F.row_number().over(W.partitionBy("path", "import_path").orderBy("r", "pkg"))).where("k = 1")
-    return first.select(F.col("path").alias("src"), "dst").distinct()
+    ending = asked.join(parts, F.col("import_path") == F.col("tail")).select("import_path", "dst", F.lit(1).alias("r"), "pkg")
+    named = stored(exact.unionAll(ending).groupBy("import_path").agg(F.min(F.struct("r", "pkg", "dst"))["dst"].alias("dst")), "imported")
+    found = i.join(named, "import_path").select(F.col("path").alias("src"), "dst")
+    other = i.where("import_path LIKE './%' OR import_path LIKE '../%'").join(named, "import_path", "left_anti").select("path").distinct()
+    relative = other.join(homes, "path").groupBy("path").agg(F.min("pkg").alias("pkg")).join(pkgs, "pkg").select(F.col("path").alias("src"), "dst")
+    return found.unionAll(relative).distinct()
 
 
 def cycles(edges: DataFrame, limit: int = MAX_CYCLES, files_each: int = MAX_CYCLE_FILES) -> DataFrame:

@@ -409,3 +409,11 @@ def test_a_step_makes_the_edges_of_its_nodes_alone(base, spark):
     assert asked == [["meth:shop.Cart.Checkout"], ["fn:pay.Charge"], ["fn:pay.validate"]]
     only = edges.callees(base["symbols"], base["call_edges"], only=spark.createDataFrame([("fn:pay.Refund",), ("fn:none",)], "id string"))
     assert {(r.source_id, r.target_id) for r in only.collect()} == {("fn:pay.Refund", "fn:pay.validate")}
+
+
+def test_imported_names_are_looked_up_once(spark):
+    files = spark.createDataFrame([("/a/1", "a"), ("/a/0", "a"), ("/b/2", "x.b"), ("/c/3", "y.b"), ("/r/4", "r")], "path string, pkg string")
+    rows = [("/r/4", "a"), ("/r/4", "b"), ("/a/1", "../none"), ("/c/3", "./b"), ("/c/3", "none"), ("/gone", "a"), ("/a/0", None), ("/r/4", "a")]
+    got = architecture.resolve_imports(spark.createDataFrame(rows, "path string, import_path string"), files)
+    assert sorted(got.collect()) == [("/a/1", "/a/0"), ("/c/3", "/c/3"), ("/r/4", "/a/0"), ("/r/4", "/b/2")]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()  # before, every import of every file was ranked with its packages
