@@ -21,10 +21,20 @@ FILES = [
 ]
 
 
+#: Files of a task, at most, and at least where there are fewer than two tasks for a core.
+MOST, LEAST = 10_000, 500
+
+
+def _tasks(spark: SparkSession, files: int) -> int:
+    return max(1, -(-files // MOST), min(2 * spark.sparkContext.defaultParallelism, -(-files // LEAST)))
+
+
 def derived_files(spark: SparkSession, d: str) -> DataFrame:
     """(path, content, length, mtime_ns) of the derived files; documents without an id have none."""
     docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id IS NOT NULL AND doc_id >= 0")
-    own = F.coalesce("source", F.lit("none"))
+    # dealt to so many tasks here: ids are small, and Spark would merge the partitions of what becomes a text and its records
+    docs = docs.select("doc_id", F.coalesce("source", F.lit("none")).alias("own")).repartition(_tasks(spark, docs.count()), "doc_id").dropDuplicates(["doc_id"])
+    own = F.col("own")
     values = {"{h}": F.col("doc_id").cast("string"), "{f}": (F.col("doc_id") + 6).cast("string"), "{p}": F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")), "{s}": own, "{b}": (F.col("doc_id") % 7).cast("string")}
     text = ending = F.lit(None).cast("string")
     for k, (end, template) in enumerate(FILES):
@@ -33,6 +43,6 @@ def derived_files(spark: SparkSession, d: str) -> DataFrame:
             filled = F.replace(filled, F.lit(name), value)
         filled = F.translate(filled, "\x01\x02", "{}")
         text, ending = F.when(F.col("doc_id") % 6 == k, filled).otherwise(text), F.when(F.col("doc_id") % 6 == k, end).otherwise(ending)
-    made = docs.select("doc_id", own.alias("own"), text.alias("text"), ending.alias("ending")).dropDuplicates(["doc_id"])
+    made = docs.select("doc_id", "own", text.alias("text"), ending.alias("ending"))
     path = F.concat(F.lit(f"{ROOT}/"), "own", F.lit("/d"), F.col("doc_id").cast("string"), F.lit("."), "ending")
     return made.select(path.alias("path"), F.encode("text", "utf-8").alias("content"), F.octet_length("text").cast("long").alias("length"), F.lit(0).cast("long").alias("mtime_ns"))

@@ -12,12 +12,11 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import sanitize
 from ..operators.pattern import lines_of
-from ..operators.tree import doc_of
 from ..semantics import DEFAULT, Semantics
 from ..session import stored
 from ..shipping import ship_package
 
-RECORDS = "rec string, seq int, grammar_kind string, name string, receiver string, start_row int, end_row int, callee_name string, import_path string, parent_name string, first boolean"
+RECORDS = "rec string, seq int, grammar_kind string, name string, receiver string, start_row int, end_row int, callee_name string, import_path string, parent_name string, first boolean, doc string"
 # Grammar kinds and what they are; others count as functions.
 KINDS = {
     "function_declaration": ("FUNCTION", "fn", "Function"),
@@ -34,30 +33,41 @@ BATCH_RECORDS, BATCH_CHARS = 5_000, 4_000_000
 def records(files: DataFrame) -> DataFrame:
     """One tagged row per symbol, call, import and parent, with its file's package and language, and ``doc`` of symbols.
 
-    Each file is looked at once: its text goes through Python in Arrow batches and comes back with the list of its records, so that nothing is joined to files again.
+    Each file is looked at once: its text goes through Python in Arrow batches and and the list of its records comes back, so that nothing is joined to files again.
+    Records are put together by column; the text stays in Python, where ``doc`` is found too.
     """
     ship_package(files.sparkSession)
-    own = StructType.fromDDL("path string, pkg string, lang string, text string")
+    own = StructType.fromDDL("path string, pkg string, lang string")
     found = StructType.fromDDL(f"found array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in StructType.fromDDL(RECORDS))}>>")
     schema = to_arrow_schema(StructType(own.fields + found.fields))
+    kind = schema.field("found").type
+    names = [f.name for f in kind.value_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sievework.sources.lexers import extract
+        from sievework.sources.lexers import doc_above, extract
 
-        rows, size, chars = [], 0, 0
-        for b in batches:
-            for r in b.to_pylist():
-                r["found"] = extract(r["text"] or "", r["lang"])
-                rows.append(r)
-                size, chars = size + len(r["found"]), chars + len(r["text"] or "")
-                if size >= BATCH_RECORDS or chars >= BATCH_CHARS or len(rows) >= BATCH_RECORDS:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows, size, chars = [], 0, 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        def made(b: pa.RecordBatch, ends: list[int], columns: list[list]) -> pa.RecordBatch:
+            each = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type)], fields=list(kind.value_type))
+            return pa.RecordBatch.from_arrays([b[n].cast(schema.field(n).type) for n in own.fieldNames()] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each, type=kind)], schema=schema)
 
-    each = files.select(*own.fieldNames()).mapInArrow(run, StructType(own.fields + found.fields)).select("path", "pkg", "lang", "text", F.inline("found"))
-    return each.withColumn("doc", F.when(F.col("rec") == "symbol", doc_of(F.col("text"), F.col("start_row")))).drop("text")
+        for b in batches:
+            texts, langs = b["text"], b["lang"]
+            start, chars, ends, columns = 0, 0, [0], [[] for _ in names]
+            for n in range(b.num_rows):
+                text = texts[n].as_py() or ""
+                lines = text.split("\n") if "//" in text else []
+                for r in extract(text, langs[n].as_py()):
+                    if r["rec"] == "symbol":
+                        r["doc"] = doc_above(lines, r["start_row"])
+                    for c, name in zip(columns, names):
+                        c.append(r.get(name))
+                ends.append(len(columns[0]))
+                chars += len(text)
+                if ends[-1] >= BATCH_RECORDS or chars >= BATCH_CHARS or n + 1 == b.num_rows:
+                    yield made(b.slice(start, n + 1 - start), ends, columns)
+                    start, chars, ends, columns = n + 1, 0, [0], [[] for _ in names]
+
+    return files.select(*own.fieldNames(), "text").mapInArrow(run, StructType(own.fields + found.fields)).select(*own.fieldNames(), F.inline("found"))
 
 
 def base_relations(files: DataFrame, semantics: Semantics = DEFAULT, cache: bool = True, store: bool = False) -> dict[str, DataFrame]:
@@ -81,7 +91,8 @@ def base_relations(files: DataFrame, semantics: Semantics = DEFAULT, cache: bool
     c = rec.where("rec = 'call'").withColumn("id_kind", F.when(F.col("receiver") != "", "meth").otherwise("fn"))
     calls = c.select("path", "pkg", symbol_id.alias("caller_id"), F.col("name").alias("caller_name"), F.col("receiver").alias("caller_receiver"), F.col("start_row").alias("caller_start_row"), "callee_name", F.col("end_row").alias("row"))
     sites = calls
-    calls = calls.drop("row").dropDuplicates(["path", "caller_receiver", "caller_name", "caller_start_row", "callee_name"])
+    # package and id follow from the others; with them, what asks for a caller asks before calls are dealt out, and rows need no sorting
+    calls = calls.drop("row").dropDuplicates()
     i = rec.where("rec = 'import'")
     if not semantics.all_imports:
         i = i.where("first")

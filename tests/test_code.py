@@ -417,3 +417,36 @@ def test_imported_names_are_looked_up_once(spark):
     got = architecture.resolve_imports(spark.createDataFrame(rows, "path string, import_path string"), files)
     assert sorted(got.collect()) == [("/a/1", "/a/0"), ("/c/3", "/c/3"), ("/r/4", "/a/0"), ("/r/4", "/b/2")]
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()  # before, every import of every file was ranked with its packages
+
+
+def test_docs_are_found_where_the_text_is(spark):
+    from sievework.operators.tree import doc_of
+    from sievework.sources.lexers import doc_above
+
+    ends = ("", " ", "\t", "\r", "\x0b", "\u00a0", "\x85", " \x85", "\u2028 ")
+    texts = ["", "x", "// a\n\n// b\n\n\nf"] + [f"x\n{e}// a{e}\n{e}//{e}b\n{e}\nf\n//c{e}\ng{e}" for e in ends]
+    rows = [(t, k) for t in texts for k in range(9)]
+    got = spark.createDataFrame(rows, "text string, row int").select("text", "row", doc_of(F.col("text"), F.col("row")).alias("doc")).collect()
+    assert [(r.text, r.row, doc_above(r.text.split("\n"), r.row)) for r in got] == [tuple(r) for r in got]
+    plan = base_relations(files_relation(raw_files(spark), ROOT, max_files=None)[0], cache=False)["symbols"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan  # before, every declaration went over all lines above it, in a text that came back with each record
+
+
+def test_derived_files_are_dealt_by_their_number(spark, tmp_path, sf_dir):
+    from sievework.plans.source_tree import LEAST, derived_files
+
+    spark.range(4 * LEAST).selectExpr("id AS doc_id", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    assert derived_files(spark, str(tmp_path)).rdd.getNumPartitions() == 4  # before, Spark merged them by the size of the ids or texts
+    assert derived_files(spark, str(tmp_path)).count() == 4 * LEAST
+
+
+def test_a_name_is_resolved_without_a_table_of_records(spark, sf_dir, monkeypatch):
+    from sievework.sources import extract
+
+    monkeypatch.setattr(extract, "stored", None)
+    assert [r.id for r in QUERIES["code_resolve"](spark, sf_dir).collect()] == ["fn:pay.Charge"]
+
+
+def test_calls_of_a_caller_are_asked_for_before_they_are_dealt(base):
+    plan = base["call_edges"].where("caller_id = 'x'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter")
