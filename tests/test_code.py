@@ -447,6 +447,18 @@ def test_a_name_is_resolved_without_a_table_of_records(spark, sf_dir, monkeypatc
     assert [r.id for r in QUERIES["code_resolve"](spark, sf_dir).collect()] == ["fn:pay.Charge"]
 
 
+def test_edges_of_a_node_do_not_make_all_calls_distinct(base, spark):
+    id_ = spark.createDataFrame([("fn:pay.Refund",)], "id string")
+    rel = edges.relations(base, id_, first=9)
+    assert {k: {(r.source_id, r.target_id) for r in rel[k].collect()} for k in ("CALLEES", "CALLERS")} == {"CALLEES": {("fn:pay.Refund", "fn:pay.validate")}, "CALLERS": set()}
+    twice = base | {"call_sites": base["call_sites"].unionAll(base["call_sites"])}
+    for node in ("fn:pay.Refund", "fn:pay.Charge", "fn:pay.validate"):
+        one, two = (sorted(edges.node_edges(b, node)[0].drop("provenance").collect()) for b in (base, twice))
+        assert one == two and one
+    names_ = [edges.relations(base | {"call_edges": None}, id_, first=9)[k].columns for k in ("CALLEES", "CALLERS")]  # call_edges are not read
+    assert names_ == [edges.EDGE_COLUMNS] * 2
+
+
 def test_calls_of_a_caller_are_asked_for_before_they_are_dealt(base):
     plan = base["call_edges"].where("caller_id = 'x'")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Filter")
